@@ -3,23 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup
+from pagewright.llm import exact_dedup, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.archive_pages(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_warc_normaliser": op1_warc_normaliser,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLE_SQL = {
+    "op1_warc_normaliser": """
+        WITH rows AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages),
+        named AS (
+            SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, hexed, min(page_id) OVER (PARTITION BY hexed) AS first_id,
+                   translate(list_aggregate([to_base(('0x' || hexed[k:k + 4])::BIGINT, 32, 4) FOR k IN range(1, 41, 5)], 'string_agg', ''),
+                             '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+            FROM rows)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM named
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256

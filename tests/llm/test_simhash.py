@@ -1,0 +1,90 @@
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from pagewright.llm import simhash
+from pagewright.llm.simhash import components, drop_near_duplicates, fingerprint, near_duplicate_classes
+from tests.llm.conftest import SMALL
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def classes(fps):
+    """Component ids over (id, fingerprint) rows by comparing all pairs."""
+    ids = list(fps)
+    root = {x: x for x in ids}
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                ra, rb = sorted((up(a), up(b)))
+                root[rb] = ra
+    return {x: up(x) for x in ids}
+
+
+@pytest.mark.parametrize("text", ["", "One", "two Words", "ÄÖ a\tb\nc d", "a b c " * 700])
+def test_fingerprint(text):
+    assert fingerprint(text.encode()) & (1 << 64) - 1 == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize(("hot", "tile"), [(2048, 2048), (3, 4)])
+def test_classes_match_all_pairs(spark, hot, tile):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in near_duplicate_classes(docs, hot=hot, tile=tile).collect()}
+    assert {k: r.fp & (1 << 64) - 1 for k, r in got.items()} == fps
+    assert {k: r.component_id for k, r in got.items()} == classes(fps)
+
+
+@pytest.mark.parametrize(("hot", "tile"), [(2048, 2048), (8, 16)])
+def test_links_among_close_fingerprints(spark, hot, tile):
+    rng = np.random.default_rng(3)
+    near = [int(rng.integers(2**63))] * 60
+    for k in range(60):
+        for _ in range(rng.integers(0, 6)):
+            near[k] ^= 1 << int(rng.integers(64))
+    fps = {k: x for k, x in enumerate(dict.fromkeys(near + [int(x) for x in rng.integers(2**63, size=40)]))}
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps.values()]
+    got = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(spark.createDataFrame(signed, "fp long"), hot, tile)).collect()}
+    want = classes(fps)
+    for a in fps:
+        for b in fps:
+            assert (want[a] == want[b]) == (got.get(fps[a], fps[a]) == got.get(fps[b], fps[b]) or a == b)
+
+
+def test_long_paths(spark):
+    path = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.range(1000, 1050).selectExpr("id AS u", "1000L AS v"))
+    got = {r.node: r.root for r in components(path).collect()}
+    assert {got[k] for k in range(201)} == {0}
+    assert {got[k] for k in range(1000, 1050)} == {1000}
+
+
+def test_odd_rows(docs, no_docs):
+    got = {(r.doc_id, r.fp): r.component_id for r in near_duplicate_classes(docs).collect()}
+    assert got[(3, 0)] == got[(4, 0)] == 3
+    assert {v for (k, _), v in got.items() if k in (1, 2, None)} == {1}
+    assert {r.doc_id for r in drop_near_duplicates(docs).collect()} == {1, 3, 7, 8, 9, None}
+    assert near_duplicate_classes(no_docs).count() == drop_near_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("rows", [10, 10**7, 10**10, 10**14])
+def test_masks_cover_radius(rows):
+    rng = np.random.default_rng(5)
+    masks = simhash.bucket_masks(rows)
+    for _ in range(200):
+        diff = 0
+        for b in rng.choice(64, 3, replace=False):
+            diff |= 1 << int(b)
+        assert any(diff & m & (1 << 64) - 1 == 0 for m in masks)
