@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, simhash, warc
+from pagewright.llm import exact_dedup, license_scan, mixing, packing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), share=(3, 4), max_epochs=2, seed=7)
+    return drawn.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns().items()], "n_draws")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
+    "op5_source_mixing": op5_source_mixing,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL = {
@@ -49,4 +65,43 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
     """,
+    "op5_source_mixing": """
+        WITH rows AS (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+                   CASE WHEN coalesce(regexp_extract(source, '([0-9]{1,9})$', 1), '') = '' THEN 'other' ELSE 'd' || (regexp_extract(source, '([0-9]{1,9})$', 1)::INT % 4) END AS domain
+            FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 2)::BIGINT AS supply FROM rows GROUP BY ALL),
+        root AS (SELECT least(sum(tokens) * 3 // 4, sum(supply))::BIGINT AS given FROM leaves),
+        d_nodes AS (
+            SELECT n.domain, n.supply, n.tokens, n.weight, g.given
+            FROM (SELECT domain, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY domain) n JOIN root g ON true),
+        d_order AS (
+            SELECT *, coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+            FROM d_nodes WINDOW w AS ( ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, domain)),
+        d_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM d_order),
+        d_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER () AS open_weight FROM d_full),
+        d_given AS (SELECT domain, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM d_rest),
+        l_nodes AS (
+            SELECT n.domain, n.lang, n.supply, n.tokens, n.weight, g.given
+            FROM (SELECT domain, lang, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY domain, lang) n JOIN d_given g ON n.domain = g.domain),
+        l_order AS (
+            SELECT *, coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+            FROM l_nodes WINDOW w AS (PARTITION BY domain ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, lang)),
+        l_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM l_order),
+        l_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (PARTITION BY domain), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER (PARTITION BY domain) AS open_weight FROM l_full),
+        l_given AS (SELECT domain, lang, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM l_rest),
+        s_nodes AS (
+            SELECT n.domain, n.lang, n.source, n.supply, n.tokens, n.weight, g.given
+            FROM (SELECT domain, lang, source, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, 1 AS weight FROM leaves GROUP BY domain, lang, source) n JOIN l_given g ON n.domain = g.domain AND n.lang = g.lang),
+        s_order AS (
+            SELECT *, coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+            FROM s_nodes WINDOW w AS (PARTITION BY domain, lang ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, source)),
+        s_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM s_order),
+        s_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (PARTITION BY domain, lang), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER (PARTITION BY domain, lang) AS open_weight FROM s_full),
+        s_given AS (SELECT domain, lang, source, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM s_rest),
+        plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 2 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM s_given),
+        keyed AS (SELECT r.*, p.epochs, p.rest, md5('7:' || (p.epochs + 1) || ':' || coalesce(r.doc_id::VARCHAR, 'none')) AS k FROM rows r JOIN plan p USING (domain, lang, source)),
+        until AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
+        SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS n_draws FROM until
+    """,
 }

@@ -1,0 +1,65 @@
+import random
+import re
+
+import pytest
+
+from pagewright.llm.license_scan import PHRASES, TEMPLATES, Scanner, build, maximal, scan_documents, statistics, words
+from tests.llm.conftest import SMALL
+
+
+def plain_places(text):
+    run = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = [(k, label) for phrase, label in PHRASES.items() for k in range(len(run)) if run[k : k + len(phrase.split())] == phrase.split()]
+    return len(run), found
+
+
+def test_documents_match_plain_search(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id: r for r in scan_documents(docs).collect()}
+    for r in docs.collect():
+        n, found = plain_places(r.text)
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base) == (n, len(found))
+        assert (g.first_word, g.last_word) == ((min(found)[0], max(found)[0]) if found else (None, None))
+        assert g.base_labels == ",".join(sorted({x for _, x in found}))
+        assert set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(","))
+        assert 0 <= g.score <= 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_matching_statistics(seed):
+    rng = random.Random(seed)
+    draw = lambda n: [rng.choice([b"a", b"b", b"c"]) for _ in range(n)]
+    templates, phrases, text = [draw(8), draw(12)], [draw(2), draw(3)], [rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(200)]
+    a = build(templates, phrases)
+    holds = lambda run: any(t[k : k + len(run)] == run for t in templates + phrases for k in range(len(t)))
+    got = {at: (state, n) for at, state, n in statistics(a, text, frozenset(a.step[0]))}
+    for at in range(len(text)):
+        want = max((n for n in range(at + 2) if holds(text[at + 1 - n : at + 1])), default=0)
+        assert got.get(at, (0, 0))[1] == want
+        if want:
+            state = got[at][0]
+            ends = {k for k, n in a.phrases[state] if n <= want}
+            assert ends == {k for k, p in enumerate(phrases) if text[max(0, at + 1 - len(p)) : at + 1] == p}
+            for t, end in a.places[state].items():
+                assert templates[t][end + 1 - want : end + 1] == text[at + 1 - want : at + 1]
+
+
+def test_spans_bridge_small_changes():
+    scanner = Scanner(TEMPLATES, PHRASES)
+    text = TEMPLATES["bsd"][0].replace("binary forms", "binaries")
+    n, n_base, *_, base, labels, score, spans = scanner.scan(f"some head. {text} and a tail".encode())
+    assert (n_base, base, labels, [s["label"] for s in spans]) == (0, "", "bsd", ["bsd"])
+    assert spans[0]["start"] == 2 and spans[0]["end"] == n - 4 and 0.6 < score < 1
+    assert scanner.scan(" ".join(reversed(text.split())).encode())[-1] == []
+    assert maximal([], 3) == []
+
+
+def test_odd_rows(docs, no_docs):
+    got = {r.doc_id: r for r in scan_documents(docs).collect()}
+    assert len(scan_documents(docs).collect()) == docs.count()
+    assert (got[8].n_base, got[8].first_word, got[8].last_word, got[8].base_labels) == (2, 0, 3, "apache,mit")
+    assert (got[3].n_words, got[3].first_word, got[3].labels, got[3].score) == (0, None, "", 0)
+    assert got[7].n_words == 50_000
+    assert scan_documents(no_docs).count() == 0
+    assert words("Ä-b_C\x7f9".encode()) == ["Ä".encode(), b"b", b"c", b"9"]
