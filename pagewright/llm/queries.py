@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, license_scan, mixing, packing, simhash, warc
+from pagewright.llm import chat, exact_dedup, license_scan, mixing, packing, simhash, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +35,35 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns().items()], "n_draws")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_source_mixing": op5_source_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL = {
