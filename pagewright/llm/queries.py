@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, exact_dedup, license_scan, mixing, packing, simhash, toxicity, url_rules, warc
+from pagewright.llm import chat, exact_dedup, license_scan, mixing, packing, simhash, topk, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, 20)
+
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_exact_dedup": op2_exact_dedup,
@@ -64,6 +69,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLE_SQL = {
@@ -122,4 +128,12 @@ ORACLE_SQL = {
         until AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
         SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS n_draws FROM until
     """,
+    "op10_exact_topk": """
+        WITH ints AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
 }

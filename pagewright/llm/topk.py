@@ -1,0 +1,144 @@
+"""Exact top-k inner products by an impact-ordered, score-at-a-time index.
+
+Components become integers, floor(64 x). Candidates are dealt into blocks of about ``BLOCK`` rows; a block's index has a
+posting segment for each dimension and integer level: the rows at that level. A query's impact on a segment is its own
+component times the level. Segments are processed by descending impact, adding to accumulators. Once all segments with an
+impact above t are done, a row's score is at most its accumulator plus what dimensions it was not yet met in can add, each
+at most t and its own highest impact; rows below the k-th best exact score found so far are out, by proof. Processing stops
+when few rows are left, or at impact zero, where no segment can add any more. All rows left are scored exactly, so the result is
+exact whatever was skipped. Queries meet blocks of rows as blocks; a task returns k rows for each query and block.
+
+Defined cases: null vectors, those with null or non-finite components, and those with a component of 2^24 or more in size
+take no part; null ids are no queries and no candidates; vectors of other lengths are filled up with zeros; rows with the
+query's id are its own, copies too; repeated rows are candidates of their own; a query id with different vectors gets a
+list for each; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pagewright.llm.shared import written
+
+SCALE = 64
+BLOCK = 8192
+QUERY_BLOCK = 1024
+STEPS = (0.1, 0.3, 0.6)
+FEW = 0.02
+SCHEMA = "query_id long, query_key long, vec_id long, score long"
+
+
+def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """vec_id and v (array of int) of the rows that take part."""
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**24))
+    return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+
+
+class Index:
+    """The posting segments of a block of vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        n, dims = vectors.shape
+        order = np.argsort(vectors, axis=0, kind="stable")
+        levels = np.take_along_axis(vectors, order, axis=0)
+        self.postings = np.ascontiguousarray(order.T).ravel().astype(np.int32)
+        new = np.ones((dims, n), bool)
+        new[:, 1:] = levels.T[:, 1:] != levels.T[:, :-1]
+        self.start = np.flatnonzero(new.ravel())
+        self.size = np.diff(np.append(self.start, n * dims))
+        self.dim = self.start // n
+        self.level = levels.T.ravel()[self.start]
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, ties to smaller ids."""
+        n = len(self.ids)
+        left = np.flatnonzero(self.ids != query_id)
+        if n > 4 * k:
+            left = self._possible(query_id, query, k)
+        score = self.vectors[left] @ query
+        best = np.lexsort((self.ids[left], -score))[:k]
+        return self.ids[left][best], score[best]
+
+    def _possible(self, query_id: int, query: np.ndarray, k: int) -> np.ndarray:
+        """The rows that may be among the k best."""
+        n, dims = self.vectors.shape
+        impact = query[self.dim] * self.level
+        highest = np.zeros(dims, np.int64)
+        np.maximum.at(highest, self.dim, impact)
+        gains = np.flatnonzero(impact > 0)
+        order = gains[np.argsort(-impact[gains], kind="stable")]
+        done = np.cumsum(self.size[order])
+        other = self.ids != query_id
+        sums, met, at, least = np.zeros(n), np.zeros(n), 0, None
+        for share in (*STEPS, 1.0):
+            to = int(np.searchsorted(done, share * done[-1], "left")) + 1 if share < 1 and len(done) else len(order)
+            if to > at:
+                part = order[at:to]
+                size = self.size[part]
+                rows = self.postings[np.repeat(self.start[part] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
+                sums += np.bincount(rows, np.repeat(impact[part], size).astype(float), n)
+                met += np.bincount(rows, minlength=n)
+                at = to
+            t = int(impact[order[at]]) if at < len(order) else 0
+            if least is None or share == 1.0:
+                seeds = np.flatnonzero(other)
+                seeds = seeds[np.argpartition(-sums[seeds], min(len(seeds) - 1, 4 * k))[: 4 * k]] if len(seeds) > 4 * k else seeds
+                found = np.sort(self.vectors[seeds] @ query)[::-1][:k]
+                least = max(least, found[-1]) if least is not None and len(found) == k else found[-1] if len(found) == k else None
+            if least is None:
+                return np.flatnonzero(other)
+            bound = sums - met * t + np.minimum(highest, t).sum()
+            left = np.flatnonzero(other & (bound >= least))
+            if len(left) <= max(4 * k, FEW * n):
+                break
+        return left
+
+
+def _vectors(lists: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and a matrix from a list of structs."""
+    rows = lists.flatten()
+    ids, v = rows.field(0).to_numpy(), rows.field(1)
+    sizes = np.diff(v.offsets.to_numpy())
+    out = np.zeros((len(ids), dims), np.int64)
+    out[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)] = v.flatten().to_numpy()
+    return ids, out
+
+
+def _search(k: int, dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = index = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = batch.column(0)[r].as_py()
+                if block != name:
+                    name, index = block, Index(*_vectors(batch.column(1).slice(r, 1), dims))
+                ids, vectors = _vectors(batch.column(2).slice(r, 1), dims)
+                keys = batch.column(2).slice(r, 1).flatten().field(2).to_numpy()
+                found = [index.top(q, v, k) for q, v in zip(ids.tolist(), vectors, strict=True)]
+                sizes = [len(a) for a, _ in found]
+                cols = [np.repeat(ids, sizes), np.repeat(keys, sizes), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_key", "vec_id", "score"])
+
+    return run
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best candidates of each query. Both sides: vec_id and v."""
+    candidates = written(candidates.select("vec_id", "v"), "topk-rows")
+    queries = written(queries.select("vec_id", "v").distinct(), "topk-queries")
+    seen = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks, query_blocks, dims = max(1, -(-seen.n // block)), max(1, -(-asked.n // query_block)), max(1, seen.d or 1, asked.d or 1)
+    key = F.xxhash64("vec_id", "v")
+    packed = candidates.groupBy(F.pmod(key, F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    asking = queries.groupBy(F.pmod(key, F.lit(query_blocks)).alias("part")).agg(F.collect_list(F.struct("vec_id", "v", F.xxhash64("v").alias("key"))).alias("asks"))
+    pairs = asking.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "asks").join(packed, "block").select("block", "rows", "asks")
+    found = pairs.mapInArrow(_search(k, dims), SCHEMA)
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
