@@ -34,7 +34,8 @@ MAX_ROWS = 20_000
 TERMS = 2_000
 FOLDS = 5
 WORD = re.compile(r"[^\W_]+")
-ODD = re.compile(r"[^\W\d_]+(?:[0-9@$!*+._-]+[^\W\d_]+)+")
+ODD = re.compile(r"[^\W\d_][0-9@$!*+._-]+(?=[^\W\d_])")
+SIDE = re.compile(r"[\w@$!*+.-]{0,30}")
 LOUD = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 LONG_RUN = re.compile(r"(\w)\1\1")
 #: Second-person words of the four languages, and the letters that digits and signs stand for.
@@ -53,6 +54,18 @@ def undone(word: str) -> str:
     return word.translate(STANDS_FOR)
 
 
+def odd_words(low: str) -> list[str]:
+    """Words with digits or signs between letters; of longer ones the letters near those. Linear in the text."""
+    out, end = [], 0
+    for m in ODD.finditer(low):
+        if m.start() >= end:
+            left = max(m.start() - 30, end)
+            left = max(left, low.rfind(" ", left, m.start()) + 1)
+            end = SIDE.match(low, m.end()).end()
+            out.append(low[left:end])
+    return out
+
+
 def features(text: str, strength: dict[str, float]) -> list[float]:
     """The values of ``FEATURES``. ``strength``: the lexicons' terms with their log odds; stems end with a tilde."""
     low = text.lower()
@@ -81,7 +94,7 @@ def features(text: str, strength: dict[str, float]) -> list[float]:
         j = np.searchsorted(s, a)
         gap = np.minimum(np.abs(a - s[np.minimum(j, len(s) - 1)]), np.abs(a - s[np.maximum(j - 1, 0)]))
         near = int((gap <= NEAR).sum())
-    odd = ODD.findall(low)
+    odd = odd_words(low)
     odd_hits = sum(1 for w in map(undone, odd) if w in strength or any(x in strength for x in stems(w)))
     chars, letters = max(1, len(text)), max(1, sum(map(len, words)))
     upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text)))
@@ -164,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     path = scratch(docs.sparkSession, "toxicity-features")
     rows.select(calibrates.alias("calibrates"), F.col("toxic").cast("double").alias("label"), feature_column("text", strength).alias("x")).repartition(4).write.parquet(path)
     table = docs.sparkSession.read.parquet(path).withColumn("features", array_to_vector("x"))
-    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, checkpointInterval=-1, maxBins=64).fit(table.where("NOT calibrates"))
+    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, checkpointInterval=-1, maxBins=64, minInstancesPerNode=5).fit(table.where("NOT calibrates"))
     held = boosted.transform(table.where("calibrates")).select(vector_to_array("probability")[1].alias("features"), "label")
     return Model(strength, float(mean), boosted, IsotonicRegression().fit(held))
 
