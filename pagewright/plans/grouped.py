@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import book_of
-from pagewright.operators import evaluate, groups
+from pagewright.operators import evaluate, groups, registrations
 from pagewright.plans.registry import query, table
 
 LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -176,3 +176,39 @@ def component_matches(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
     rows = table(spark, d, "lineitem").select("l_orderkey", F.year("l_shipdate").alias("ly"), F.month("l_shipdate").alias("lm")).join(o, "l_orderkey")
     return evaluate.component_matches(rows, {"same_year": ("y", "ly"), "same_month": ("m", "lm")})
+
+
+def registration_pages(spark: SparkSession, d: str) -> DataFrame:
+    number = F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.lpad((F.col("l_suppkey") % 7 + 1710).cast("string"), 4, "0"))
+    quality = F.when(F.col("l_linenumber") < 3, "clean").when(F.col("l_linenumber") < 5, "ambiguous").otherwise("weak")
+    rows = table(spark, d, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 50).cast("long").alias("book"), F.col("l_orderkey").alias("log"), F.format_string("%03d-%09d-%06d", "l_linenumber", "l_partkey", "l_suppkey").alias("page"), number.alias("number"), (F.floor("l_quantity") / 50).alias("confidence"), quality.alias("quality")
+    )
+    return rows.dropDuplicates(["log", "page"])
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT ON (log, page) * FROM (SELECT (l_orderkey // 50)::BIGINT AS book, l_orderkey AS log, printf('%03d-%09d-%06d', l_linenumber, l_partkey, l_suppkey) AS page, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE lpad((l_suppkey % 7 + 1710)::VARCHAR, 4, '0') END AS number,
+                    floor(l_quantity) / 50 AS confidence, CASE WHEN l_linenumber < 3 THEN 1.0::DOUBLE WHEN l_linenumber < 5 THEN 0.8::DOUBLE ELSE 0.25::DOUBLE END AS factor FROM lineitem)),
+    e AS (SELECT * FROM (SELECT *, round_even(greatest(confidence, 0.05) * factor * 1000000, 0)::BIGINT AS weight, row_number() OVER (PARTITION BY book, log ORDER BY round_even(greatest(confidence, 0.05) * factor * 1000000, 0)::BIGINT DESC, page) AS rn FROM p WHERE number <> '') WHERE rn = 1),
+    g AS (SELECT book, number, sum(weight)::BIGINT AS w, count(*) AS n FROM e GROUP BY ALL),
+    digits AS (SELECT book, k AS place, substr(number, k::INT, 1) AS digit, sum(w) AS w FROM g, range(1, 5) t(k) GROUP BY ALL),
+    voted AS (SELECT book, string_agg(digit, '' ORDER BY place) AS voted FROM (SELECT *, row_number() OVER (PARTITION BY book, place ORDER BY w DESC, digit) AS rn FROM digits) WHERE rn = 1 GROUP BY book),
+    heavy AS (SELECT book, number AS heaviest FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY w DESC, number) AS rn FROM g) WHERE rn = 1),
+    won AS (SELECT v.book, CASE WHEN EXISTS (SELECT 1 FROM g r WHERE r.book = v.book AND r.number = v.voted) THEN v.voted ELSE h.heaviest END AS winner FROM voted v JOIN heavy h USING (book)),
+    s AS (SELECT w.book, w.winner, g.n AS support FROM won w JOIN g ON g.book = w.book AND g.number = w.winner)
+    SELECT log, page, coalesce(winner, number) AS value, CASE WHEN winner IS NULL THEN 'no_vote' WHEN number = '' THEN 'filled' WHEN number = winner AND support >= 2 AND confidence >= 0.5 THEN 'confirmed' WHEN number = winner THEN 'kept' ELSE 'overwritten' END AS method FROM p LEFT JOIN s USING (book)
+""")
+def book_registrations(spark: SparkSession, d: str) -> DataFrame:
+    pages = registration_pages(spark, d)
+    winners = registrations.book_winners(registrations.unique_evidence(pages, "book", "log", "number", "confidence", "quality", "page"), "book", "number")
+    return registrations.impose(pages, winners, "book", "number", "confidence").select("log", "page", "value", "method")
+
+
+@query("""
+    SELECT c_custkey AS wanted, CASE WHEN n0 > 0 THEN c_custkey WHEN n2 = 1 THEN m2 END AS found FROM (
+        SELECT a.c_custkey, count(*) FILTER (b.c_custkey = a.c_custkey) AS n0, count(*) AS n2, min(b.c_custkey) AS m2 FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0) a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY 1)
+""")
+def ranked_name_match(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit(1).alias("size"))
+    return registrations.ranked_names(c.where("c_custkey % 2 = 0"), c, "c_custkey", "c_nationkey", "size")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import collections as fc
 from pagewright.functions import dates as fd
 from pagewright.functions import fuzzy as ff
+from pagewright.functions import handwritten as fh
 from pagewright.functions import text as ft
 from pagewright.operators import status
 from pagewright.plans.registry import AS_OF, query, table
@@ -193,3 +194,17 @@ def rule_checks(spark: SparkSession, d: str) -> DataFrame:
     missing = status.missing_required({"name": F.when(F.col("p_size") % 3 != 0, F.col("p_name")), "type": F.when(F.col("p_size") % 2 != 0, F.col("p_type")).otherwise("")})
     presence = status.presence(F.when(F.col("p_size") % 5 == 0, "true").otherwise("false"), F.col("p_size") / 50)
     return table(spark, d, "part").withColumn("rule", rule).select("p_partkey", status.first_failed_rule(value, F.col("rule"), F.col("p_size") / 50, 0.3).alias("broken"), F.array_join(missing, ",").alias("missing"), presence.alias("present"))
+
+
+@query("""
+    SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders WHERE year(o_orderdate) < 1999
+""")
+def handwritten_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Printed labels around the parts, a letter for a zero before a digit, and names in English."""
+    day = F.to_date("o_orderdate")
+    o = table(spark, d, "orders").where(F.year("o_orderdate") < 1999)
+    written_day = F.regexp_replace(F.date_format(day, "dd"), "^0", "O")
+    as_of = F.make_date(F.lit(2099), F.lit(12), F.lit(31))
+    return o.select(
+        "o_orderkey", fh.month_value(F.concat(F.upper(F.date_format(day, "MMM")), F.lit(" month"))).alias("named"), fh.month_value(F.date_format(day, "M")).alias("numbered"), fh.day_value(written_day).alias("day"), fh.year_value(F.concat(F.lit("Year YR "), F.date_format(day, "yy")), as_of).alias("year")
+    )
