@@ -8,7 +8,7 @@ at most t and its own highest impact; rows below the k-th best exact score found
 when few rows are left, or at impact zero, where no segment can add any more. All rows left are scored exactly, so the result is
 exact whatever was skipped. Queries meet blocks of rows as blocks; a task returns k rows for each query and block.
 
-Defined cases: null vectors, those with null or non-finite components, and those with a component of 2^24 or more in size
+Defined cases: null vectors, those with null or non-finite components, and those with a component of 2^18 or more in size
 take no part; null ids are no queries and no candidates; vectors of other lengths are filled up with zeros; rows with the
 query's id are its own, copies too; repeated rows are candidates of their own; a query id with different vectors gets a
 list for each; an empty table gives an empty result; other columns are not read.
@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 from pagewright.llm.shared import written
 
 SCALE = 64
-BLOCK = 8192
+BLOCK = 16384
 QUERY_BLOCK = 1024
-STEPS = (0.1, 0.3, 0.6)
+STEPS = (0.6,)
 FEW = 0.02
+#: An accumulator holds the sum of a row's impacts times this, plus the number of dimensions it was met in.
+PLACE = 4096
 SCHEMA = "query_id long, query_key long, vec_id long, score long"
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id and v (array of int) of the rows that take part."""
-    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**24))
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**18))
     return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
 
 
@@ -43,17 +45,18 @@ class Index:
     """The posting segments of a block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.floats = ids, vectors, vectors.astype(float)
         n, dims = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
         levels = np.take_along_axis(vectors, order, axis=0)
-        self.postings = np.ascontiguousarray(order.T).ravel().astype(np.int32)
         new = np.ones((dims, n), bool)
         new[:, 1:] = levels.T[:, 1:] != levels.T[:, :-1]
-        self.start = np.flatnonzero(new.ravel())
-        self.size = np.diff(np.append(self.start, n * dims))
-        self.dim = self.start // n
-        self.level = levels.T.ravel()[self.start]
+        start = np.flatnonzero(new.ravel())
+        self.size = np.diff(np.append(start, n * dims))
+        self.dim = start // n
+        self.level = levels.T.ravel()[start]
+        self.postings = np.split(np.ascontiguousarray(order.T).ravel(), start[1:])
+        self.largest = int(np.abs(vectors).max(initial=0))
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, ties to smaller ids."""
@@ -61,39 +64,50 @@ class Index:
         left = np.flatnonzero(self.ids != query_id)
         if n > 4 * k:
             left = self._possible(query_id, query, k)
-        score = self.vectors[left] @ query
+        score = self.exact(left, query)
         best = np.lexsort((self.ids[left], -score))[:k]
         return self.ids[left][best], score[best]
 
+    def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The rows' scores; in floating point where that holds every partial sum exactly."""
+        if self._small(query):
+            scores = self.floats @ query.astype(float) if 4 * len(rows) > len(self.ids) else self.floats[rows] @ query.astype(float)
+            return (scores[rows] if len(scores) != len(rows) else scores).astype(np.int64)
+        return self.vectors[rows] @ query
+
+    def _small(self, query: np.ndarray) -> bool:
+        dims = self.vectors.shape[1]
+        return dims < PLACE and dims * PLACE * self.largest * int(np.abs(query).max(initial=0)) < 2**53
+
     def _possible(self, query_id: int, query: np.ndarray, k: int) -> np.ndarray:
         """The rows that may be among the k best."""
         n, dims = self.vectors.shape
+        other = self.ids != query_id
+        if not self._small(query):
+            return np.flatnonzero(other)  # accumulators would not be exact
         impact = query[self.dim] * self.level
         highest = np.zeros(dims, np.int64)
         np.maximum.at(highest, self.dim, impact)
         gains = np.flatnonzero(impact > 0)
         order = gains[np.argsort(-impact[gains], kind="stable")]
         done = np.cumsum(self.size[order])
-        other = self.ids != query_id
-        sums, met, at, least = np.zeros(n), np.zeros(n), 0, None
+        both, at, least = np.zeros(n), 0, None
         for share in (*STEPS, 1.0):
             to = int(np.searchsorted(done, share * done[-1], "left")) + 1 if share < 1 and len(done) else len(order)
             if to > at:
                 part = order[at:to]
-                size = self.size[part]
-                rows = self.postings[np.repeat(self.start[part] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
-                sums += np.bincount(rows, np.repeat(impact[part], size).astype(float), n)
-                met += np.bincount(rows, minlength=n)
+                both += np.bincount(np.concatenate([self.postings[k] for k in part.tolist()]), np.repeat(impact[part] * float(PLACE) + 1, self.size[part]), n)
                 at = to
             t = int(impact[order[at]]) if at < len(order) else 0
+            sums = np.floor(both / PLACE)
             if least is None or share == 1.0:
                 seeds = np.flatnonzero(other)
-                seeds = seeds[np.argpartition(-sums[seeds], min(len(seeds) - 1, 4 * k))[: 4 * k]] if len(seeds) > 4 * k else seeds
-                found = np.sort(self.vectors[seeds] @ query)[::-1][:k]
-                least = max(least, found[-1]) if least is not None and len(found) == k else found[-1] if len(found) == k else None
-            if least is None:
-                return np.flatnonzero(other)
-            bound = sums - met * t + np.minimum(highest, t).sum()
+                seeds = seeds[np.argpartition(-sums[seeds], 4 * k)[: 4 * k]] if len(seeds) > 4 * k else seeds
+                found = np.sort(self.exact(seeds, query))[::-1][:k]
+                if len(found) < k:
+                    return np.flatnonzero(other)
+                least = found[-1] if least is None else max(least, found[-1])
+            bound = sums - (both - sums * PLACE) * t + np.minimum(highest, t).sum() if t else sums
             left = np.flatnonzero(other & (bound >= least))
             if len(left) <= max(4 * k, FEW * n):
                 break
