@@ -23,7 +23,11 @@ from pagewright.llm.shared import free_name, written
 #: A token: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
-SLICE_DIGITS = 4
+#: Hexadecimal digits of the order's key in a coarse slice; a fine one has twice as many.
+SLICE_DIGITS = 2
+#: Into so many parts a leaf's rows are dealt where they meet its plan, as one leaf may hold a third of all rows.
+SALTS = 64
+FILES = 8
 
 #: Fixed values of the production mix: weights of the children by name; any other child counts 1.
 WEIGHTS = {"domain": {"d0": 3, "d1": 3, "d2": 2, "d3": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
@@ -78,7 +82,7 @@ def leaf_budgets(leaves: DataFrame, share: tuple[int, int], max_epochs: int, wei
         own = [*done, level]
         nodes = leaves.groupBy(*own).agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens")).withColumn("weight", _weight(level, weights))
         nodes = nodes.join(given, done) if k else nodes.join(F.broadcast(given))  # one row
-        dealt = written(deal(nodes, done, level), "mixing-level")
+        dealt = written(deal(nodes, done, level), "mixing-level", FILES)
         given, done = dealt.select(*own, F.col("budget").alias("given")), own
     return dealt
 
@@ -88,28 +92,46 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def slice_of(key: Column) -> Column:
-    return F.substring(key, 1, SLICE_DIGITS)
+    """The fine slice of a key."""
+    return F.substring(key, 1, 2 * SLICE_DIGITS)
 
 
 def mix_plan(rows: DataFrame, share: tuple[int, int], max_epochs: int, seed: int, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> DataFrame:
     """Per leaf: epochs read whole, the rest of the budget, and the slice of the next epoch in which it runs out. ``rows``: doc_id, the keys, n_tokens."""
     keys = list(LEVELS)
-    leaves = written(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves")
+    leaves = written(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves", FILES)
     plan = leaf_budgets(leaves, share, max_epochs, weights).select(*keys, "budget", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(max_epochs)).alias("epochs"), F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("rest"))
-    plan = written(plan, "mixing-plan")
-    slices = rows.join(plan, keys).withColumn("slice", slice_of(order_key(seed, F.col("epochs") + 1, F.col("doc_id")))).groupBy(*keys, "rest", "slice").agg(F.sum("n_tokens").alias("tokens"))
-    up_to = Window.partitionBy(*keys).orderBy("slice")
-    crossed = slices.withColumn("until", F.sum("tokens").over(up_to)).where("until > rest").groupBy(*keys).agg(F.min(F.struct("slice", (F.col("until") - F.col("tokens")).alias("before"))).alias("cut"))
-    crossed = crossed.select(*keys, F.col("cut.slice").alias("cut_slice"), F.col("cut.before").alias("cut_before"))
-    return written(plan.join(crossed, keys, "left"), "mixing-cuts")
+    plan = written(plan, "mixing-plan", FILES)
+    keyed = _by_leaf(rows, plan, keys).select(*keys, "doc_id", "n_tokens", order_key(seed, F.col("epochs") + 1, F.col("doc_id")).alias("key"))
+    keyed = written(keyed, "mixing-keyed")
+    cut = written(_crossing(keyed, plan.select(*keys, "rest", F.lit("").alias("cut_slice"), F.lit(0).cast("long").alias("cut_before")), 1), "mixing-cuts", FILES)
+    cut = written(_crossing(keyed, cut, 2), "mixing-cuts", FILES)
+    return written(plan.join(cut.drop("rest"), keys, "left"), "mixing-cuts", FILES)
+
+
+def _by_leaf(rows: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their leaf's row, joined on the leaf and a salt."""
+    (salt,) = free_name(rows, "salt")
+    dealt = leaves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(dealt, [*keys, salt]).drop(salt)
+
+
+def _crossing(keyed: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
+    """The slice, ``SLICE_DIGITS`` finer than that of ``cuts``, in which each leaf's rest runs out, and the tokens before it. A leaf has at most 256 slices in a slice."""
+    keys = list(LEVELS)
+    inside = _by_leaf(keyed, cuts, keys).where(F.col("key").startswith(F.col("cut_slice")))
+    slices = inside.groupBy(*keys, "rest", "cut_before", F.substring("key", 1, SLICE_DIGITS * depth).alias("slice")).agg(F.sum("n_tokens").alias("tokens"))
+    until = F.col("cut_before") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("slice"))
+    crossed = slices.withColumn("until", until).where("until > rest").groupBy(*keys, "rest").agg(F.min(F.struct("slice", (F.col("until") - F.col("tokens")).alias("before"))).alias("cut"))
+    return crossed.select(*keys, "rest", F.col("cut.slice").alias("cut_slice"), F.col("cut.before").alias("cut_before"))
 
 
 def draw(docs: DataFrame, plan: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out: str = "n_draws") -> DataFrame:
     """``docs`` with how often each row is drawn. Only the rows of the slices that are cut are sorted."""
     cols = leaf_columns(text_col, lang_col, source_col)
-    d, g, s, t, p, k, until = free_name(docs, "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_plan", "mix_key", "mix_until")
-    packed = plan.select(F.col("domain").alias(d), F.col("lang").alias(g), F.col("source").alias(s), F.struct("epochs", "rest", "cut_slice", "cut_before").alias(p))
-    rows = docs.withColumns({d: cols["domain"], g: cols["lang"], s: cols["source"], t: cols["n_tokens"]}).join(packed, [d, g, s])
+    d, g, s, t, p, k, until, salt = free_name(docs, "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_plan", "mix_key", "mix_until", "mix_salt")
+    packed = plan.select(F.col("domain").alias(d), F.col("lang").alias(g), F.col("source").alias(s), F.struct("epochs", "rest", "cut_slice", "cut_before").alias(p), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    rows = docs.withColumns({d: cols["domain"], g: cols["lang"], s: cols["source"], t: cols["n_tokens"], salt: F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")}).join(packed, [d, g, s, salt])
     rows = rows.withColumn(k, order_key(seed, F.col(f"{p}.epochs") + 1, F.col(id_col)))
     whole, at, cut = F.col(f"{p}.epochs").cast("int"), slice_of(F.col(k)), F.col(f"{p}.cut_slice")
     clear = rows.where(cut.isNull() | (at != cut)).withColumn(out, whole + F.when((F.col(f"{p}.rest") > 0) & (cut.isNull() | (at < cut)), 1).otherwise(0))

@@ -28,11 +28,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: its lineage ends there, and its size is known to the planner."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its lineage ends there, and its size is known to the planner.
+
+    ``files`` bounds the files of a table that is small beside its input, so that many tasks don't leave many of them.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
