@@ -129,3 +129,16 @@ def lost_tens(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
     nearest = F.array_min(F.transform(options, lambda x: F.struct(F.abs(x * 2 - before - after).alias("far"), x.alias("day"))))
     lost = (F.col(day) < 10) & (F.abs(F.col(day) - before) > gap) & (F.abs(F.col(day) - after) > gap) & (before <= after)
     return df.withColumn("completed", F.coalesce(F.when(lost, nearest.day), F.col(day)))
+
+
+def strided_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 8) -> DataFrame:
+    """Batches of at most ``size`` rows, each spread over the whole group: row i goes to batch i modulo the number of batches."""
+    group = Window.partitionBy(*keys)
+    rows = df.withColumns({"i": F.row_number().over(group.orderBy(*order)) - 1, "n": F.ceil(F.count("*").over(group) / size)})
+    return rows.withColumn("batch", (F.col("i") % F.col("n")).cast("int")).drop("i", "n")
+
+
+def delivery_order(df: DataFrame, keys: Sequence[str], number: str, tie: str, last: Column) -> DataFrame:
+    """Each row's place in its delivery: by number, those without one after the others, and rows of the last section at the end."""
+    w = Window.partitionBy(*keys).orderBy(last.cast("int"), F.coalesce(F.col(number), F.lit(1 << 30)), tie)
+    return df.withColumns({"place": F.row_number().over(w), "section": F.when(last, "review").otherwise("main")})

@@ -73,3 +73,16 @@ def by_priority(found: Column, priority: Sequence[str]) -> Column:
 def missing_required(values: Mapping[str, Column]) -> Column:
     """The names whose value is null or empty, sorted."""
     return F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit("")) == "", F.lit(n)) for n, c in values.items()])))
+
+
+def date_policy(day: Column, month_end_only: bool, as_of: Column) -> tuple[Column, Column]:
+    """The date to deliver and why: a valid read day, or its month's end; none for months that are not possible."""
+    possible = (day >= F.make_date(F.lit(2000), F.lit(1), F.lit(1))) & (F.trunc(day, "MM") <= F.trunc(as_of, "MM"))
+    exact = possible & (day <= as_of) & F.lit(not month_end_only)
+    return F.when(exact, day).when(possible, F.last_day(day)), F.when(exact, "specific_day").when(possible, "month_end").otherwise("none")
+
+
+def upload_decision(found: Column, missed: Column, share: int = 90, enough: int = 10, few: int = 4) -> Column:
+    """Skip what was mostly found before, upload what was mostly missed, else wait for more samples."""
+    total = found + missed
+    return F.when((found >= enough) & (found * 100 >= total * share), "skip").when(missed >= few, "upload").otherwise("wait")

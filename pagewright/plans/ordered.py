@@ -161,3 +161,19 @@ def smoothed_pace(spark: SparkSession, d: str) -> DataFrame:
 """)
 def overtaken_events(spark: SparkSession, d: str) -> DataFrame:
     return sequences.overtaken(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], "ts", F.col("event_type") == "view").select("event_id", "overtaken")
+
+
+@query("""
+    WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, ceil(count(*) OVER (PARTITION BY user_id) / 8.0)::BIGINT AS n FROM events)
+    SELECT event_id, (i % n)::INT AS batch FROM r
+""")
+def strided_batches(spark: SparkSession, d: str) -> DataFrame:
+    return order.strided_batches(table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"]).select("event_id", "batch")
+
+
+@query("""
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'P')::INT, CASE WHEN o_orderkey % 6 = 0 THEN 1073741824 ELSE o_orderkey END, o_orderkey)::INT AS place, CASE WHEN o_orderstatus = 'P' THEN 'review' ELSE 'main' END AS section FROM orders
+""")
+def delivery_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderkey")).alias("number"))
+    return order.delivery_order(rows, ["o_custkey"], "number", "o_orderkey", F.col("o_orderstatus") == "P").select("o_orderkey", "place", "section")

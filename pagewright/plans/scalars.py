@@ -208,3 +208,22 @@ def handwritten_dates(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         "o_orderkey", fh.month_value(F.concat(F.upper(F.date_format(day, "MMM")), F.lit(" month"))).alias("named"), fh.month_value(F.date_format(day, "M")).alias("numbered"), fh.day_value(written_day).alias("day"), fh.year_value(F.concat(F.lit("Year YR "), F.date_format(day, "yy")), as_of).alias("year")
     )
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderdate::DATE + INTERVAL 30 YEAR AS t FROM orders), p AS (SELECT o_orderkey, t::DATE AS day, DATE '2026-01-15' AS now FROM o),
+    q AS (SELECT *, day >= DATE '2000-01-01' AND date_trunc('month', day) <= date_trunc('month', now) AS possible FROM p)
+    SELECT o_orderkey, CASE WHEN possible AND day <= now THEN day WHEN possible THEN last_day(day) END AS delivered, CASE WHEN possible AND day <= now THEN 'specific_day' WHEN possible THEN 'month_end' ELSE 'none' END AS policy FROM q
+""")
+def date_policies(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date(F.add_months(F.to_date("o_orderdate"), 360))
+    delivered, policy = status.date_policy(day, False, F.to_date(F.lit("2026-01-15")))
+    return table(spark, d, "orders").select("o_orderkey", delivered.alias("delivered"), policy.alias("policy"))
+
+
+@query("""
+    SELECT user_id, CASE WHEN f >= 10 AND f * 100 >= (f + m) * 90 THEN 'skip' WHEN m >= 4 THEN 'upload' ELSE 'wait' END AS decision FROM (SELECT user_id, count(*) FILTER (value < 95) AS f, count(*) FILTER (value >= 95) AS m FROM events GROUP BY 1)
+""")
+def upload_decisions(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") < 95).alias("f"), F.count_if(F.col("value") >= 95).alias("m"))
+    return counts.select("user_id", status.upload_decision(F.col("f"), F.col("m")).alias("decision"))
