@@ -141,3 +141,26 @@ def pending_with_headers(rows: DataFrame, done: DataFrame, key: str, section: st
     left = rows.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left").withColumn("_open", F.col("_done").isNull() & ~header)
     keep = F.col("_open") | (header & F.max("_open").over(Window.partitionBy(section)))
     return left.withColumn("_keep", keep).where("_keep").drop("_done", "_open", "_keep")
+
+
+def remote_plan(local: DataFrame, remote: DataFrame, key: str, fields: Sequence[str], valid: str) -> DataFrame:
+    """What to do with each local row: write it, leave it (the same already), skip it (valid remotely), or report it missing; and the fields that differ."""
+    there = remote.select(F.col(key), F.col(valid).alias("_valid"), *[F.col(f).alias(f"_{f}") for f in fields], F.lit(True).alias("_there"))
+    rows = local.join(there, key, "left")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]))
+    action = F.when(F.col("_there").isNull(), "missing").when(F.size(changed) == 0, "same").when(F.col("_valid"), "skip").otherwise("write")
+    return rows.withColumns({"action": action, "changed": F.when(F.col("_there").isNull(), "").otherwise(F.array_join(changed, ","))}).drop("_there", "_valid", *[f"_{f}" for f in fields])
+
+
+def correction_plan(exceptions: DataFrame, key: str, kind: str, copies: str) -> DataFrame:
+    """Per number: delete all but one copy of duplicates; reindex what is misfiled, unless it is a duplicate too."""
+    rows = exceptions.groupBy(key).agg(F.max(F.when(F.col(kind) == "duplicate", F.col(copies))).alias("n"), F.bool_or(F.col(kind) == "misfiled").alias("misfiled"))
+    action = F.when(F.col("n") > 1, "delete").when(F.col("misfiled"), "reindex").otherwise("none")
+    return rows.select(key, action.alias("action"), F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0).cast("long").alias("rows"))
+
+
+def same_content(left: DataFrame, right: DataFrame, key: str, position: str, value: str, least: int = 2) -> DataFrame:
+    """Whether two copies of a title hold the same: yes with enough agreeing samples and no other, no with more differing than agreeing, else unclear."""
+    met = left.select(key, position, F.col(value).alias("a")).join(right.select(key, position, F.col(value).alias("b")), [key, position])
+    counts = met.groupBy(key).agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
+    return counts.withColumn("verdict", F.when((F.col("agree") >= least) & (F.col("differ") == 0), "same").when(F.col("differ") > F.col("agree"), "other").otherwise("unclear"))

@@ -166,3 +166,35 @@ def text_search_ranked(spark: SparkSession, d: str) -> DataFrame:
 def book_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = with_book(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey").groupBy(*BOOK).agg(F.max("o_custkey").alias("control"), F.count_distinct("o_orderstatus").alias("kinds"))
     return rows.select(*BOOK, "control", (F.col("kinds") == 1).alias("agreed"), F.when(F.col("kinds") == 1, "confirm").when(F.col("control") % 2 == 0, "wait").otherwise("conflict").alias("verdict"))
+
+
+@query("""
+    WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'X' ELSE c_mktsegment END AS s, CASE WHEN c_custkey % 6 = 0 THEN -1 ELSE c_nationkey END AS n, c_custkey % 8 = 0 AS valid FROM customer WHERE c_custkey % 9 <> 0),
+    j AS (SELECT c.c_custkey, r.c_custkey IS NULL AS missing, r.s IS DISTINCT FROM c.c_mktsegment AS ds, r.n IS DISTINCT FROM c.c_nationkey AS dn, valid FROM customer c LEFT JOIN r USING (c_custkey))
+    SELECT c_custkey, CASE WHEN missing THEN 'missing' WHEN NOT ds AND NOT dn THEN 'same' WHEN valid THEN 'skip' ELSE 'write' END AS action, CASE WHEN missing THEN '' ELSE concat_ws(',', CASE WHEN ds THEN 'c_mktsegment' END, CASE WHEN dn THEN 'c_nationkey' END) END AS changed FROM j
+""")
+def remote_plan(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    changed = lambda n, column, x: F.when(F.col("c_custkey") % n == 0, x).otherwise(F.col(column))
+    remote = c.where("c_custkey % 9 <> 0").withColumns({"c_mktsegment": changed(4, "c_mktsegment", "X"), "c_nationkey": changed(6, "c_nationkey", -1), "valid": F.col("c_custkey") % 8 == 0})
+    return joins.remote_plan(c, remote, "c_custkey", ["c_mktsegment", "c_nationkey"], "valid").select("c_custkey", "action", "changed")
+
+
+@query("""
+    WITH k AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS n, bool_or(l_returnflag = 'A') AS misfiled FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN n > 1 THEN 'delete' WHEN misfiled THEN 'reindex' ELSE 'none' END AS action, (CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS rows FROM k
+""")
+def correction_plan(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "duplicate").when(F.col("l_returnflag") == "A", "misfiled").otherwise("other")
+    return joins.correction_plan(table(spark, d, "lineitem").select("l_orderkey", kind.alias("kind"), "l_linenumber"), "l_orderkey", "kind", "l_linenumber")
+
+
+@query("""
+    WITH a AS (SELECT l_suppkey, l_linenumber, min(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT l_suppkey, l_linenumber, min(l_returnflag) AS v FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY ALL),
+    c AS (SELECT l_suppkey, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v <> b.v) AS differ FROM a JOIN b USING (l_suppkey, l_linenumber) GROUP BY 1)
+    SELECT *, CASE WHEN agree >= 2 AND differ = 0 THEN 'same' WHEN differ > agree THEN 'other' ELSE 'unclear' END AS verdict FROM c
+""")
+def content_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    side = lambda k: lines.where(F.col("l_orderkey") % 2 == k).groupBy("l_suppkey", "l_linenumber").agg(F.min("l_returnflag").alias("v"))
+    return joins.same_content(side(0), side(1), "l_suppkey", "l_linenumber", "v")
