@@ -61,7 +61,8 @@ def preferred_files(spark: SparkSession, root: str, ending: str = "_completo.csv
 
 
 def slice_files(files: DataFrame, order: str, count: str, first: int, last: int) -> DataFrame:
-    """The part of each file in a range of pages counted over all files: from and to, both from 1. Files are few; their pages are not read."""
+    """The part of each file in a range of pages counted over all files: from and to, both from 1. Pages are not read. A file with pages takes up one at least, so those that reach into the range are among the first ``last`` of them."""
+    files = files.where(F.col(count) > 0).orderBy(order).limit(last)
     before = F.coalesce(F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = files.withColumn("before", before).withColumns({"page_from": F.greatest(F.lit(first) - F.col("before"), F.lit(1)), "page_to": F.least(F.lit(last) - F.col("before"), F.col(count))})
     return rows.where("page_from <= page_to").drop("before")

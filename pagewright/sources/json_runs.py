@@ -20,11 +20,12 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def consolidated(pages: DataFrame, run: str, report: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One JSON text per run: its reports in name order, their pages in order. A report holds the pages of one file."""
+    """One JSON text per run and report, with the run's count of pages beside it; the pages are in order. A report holds the pages of one file, so no row grows with its run."""
     page = F.struct(*order, *[c for c in columns if c not in order])
     reports = pages.groupBy(run, report).agg(F.sort_array(F.collect_list(page)).alias("pages"))
-    runs = reports.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(report).alias("pdf_path"), "pages"))).alias("reportes"), F.sum(F.size("pages")).alias("total_bitacoras"))
-    return runs.select(run, F.to_json(F.struct("total_bitacoras", "reportes")).alias("json"))
+    totals = pages.groupBy(F.col(run).alias("_run")).agg(F.count("*").alias("total_bitacoras"))
+    texts = reports.select(run, F.col(report).alias("pdf_path"), F.to_json(F.struct(F.col(report).alias("pdf_path"), "pages")).alias("json"))
+    return texts.join(totals, F.col(run).eqNullSafe(F.col("_run"))).select(run, "pdf_path", "total_bitacoras", "json")
 
 
 def registry_json(df: DataFrame, key: str, value: str | Column) -> DataFrame:
