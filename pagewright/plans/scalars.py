@@ -200,12 +200,24 @@ def rule_checks(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders WHERE year(o_orderdate) < 1999
 """)
 def handwritten_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the orders before 1999; ``handwritten_dates_whole`` takes all."""
+    return _handwritten(table(spark, d, "orders").where(F.year("o_orderdate") < 1999))
+
+
+@query("""
+    SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders
+""")
+def handwritten_dates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of all orders, 99, 00 and 01 among the years."""
+    return _handwritten(table(spark, d, "orders"))
+
+
+def _handwritten(orders: DataFrame) -> DataFrame:
     """Printed labels around the parts, a letter for a zero before a digit, and names in English."""
     day = F.to_date("o_orderdate")
-    o = table(spark, d, "orders").where(F.year("o_orderdate") < 1999)
     written_day = F.regexp_replace(F.date_format(day, "dd"), "^0", "O")
     as_of = F.make_date(F.lit(2099), F.lit(12), F.lit(31))
-    return o.select(
+    return orders.select(
         "o_orderkey", fh.month_value(F.concat(F.upper(F.date_format(day, "MMM")), F.lit(" month"))).alias("named"), fh.month_value(F.date_format(day, "M")).alias("numbered"), fh.day_value(written_day).alias("day"), fh.year_value(F.concat(F.lit("Year YR "), F.date_format(day, "yy")), as_of).alias("year")
     )
 

@@ -27,3 +27,10 @@ def test_files_beyond_the_200th_are_sliced(spark, tmp_path):
     spark.range(1, 251).select(F.col("id").alias("l_suppkey"), F.explode(F.sequence(F.lit(1), F.lit(2)))).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_suppkey: (r.n, r.page_from, r.page_to) for r in QUERIES["page_slices"](spark, str(tmp_path)).collect()}
     assert got == {50: (2, 2, 2)} | {k: (2, 1, 2) for k in range(51, 251)}
+
+
+def test_years_around_2000_are_read(spark, tmp_path):
+    days = ["1998-12-31", "1999-01-02", "2000-02-29", "2001-08-01"]
+    spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.named, r.numbered, r.day, r.year) for r in QUERIES["handwritten_dates_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: (12, 12, "31", "98"), 1: (1, 1, "02", "99"), 2: (2, 2, "29", "00"), 3: (8, 8, "01", "01")}
