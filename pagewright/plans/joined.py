@@ -159,6 +159,21 @@ def text_search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("rank", "doc_id")))
 
 
+@query("""
+    WITH c AS (SELECT doc_id, lower(trim(lang, E' \\t\\n\\r')) AS lang, lower(trim(source, E' \\t\\n\\r')) AS source, lower(trim(text, E' \\t\\n\\r')) AS text FROM documents),
+    r AS (SELECT doc_id, CASE WHEN contains(lang, 'de') THEN (lang <> 'de')::INT WHEN contains(source, 'de') THEN (source <> 'de')::INT WHEN contains(text, 'de') THEN (text <> 'de')::INT END AS rank, CASE WHEN contains(lang, 'de') THEN 'lang' WHEN contains(source, 'de') THEN 'source' ELSE 'text' END AS found FROM c)
+    SELECT doc_id, rank, found FROM r WHERE rank IS NOT NULL
+""")
+def text_search_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All matches: the first column that has the text says whether the cell is it (0) or holds it (1); exact ones first, then in the table's order."""
+    match = F.lit(None)
+    for c in ["text", "source", "lang"]:
+        cell = F.lower(F.trim(c, F.lit(" \t\n\r")))
+        match = F.when(cell.contains("de"), F.struct((cell != "de").cast("int").alias("rank"), F.lit(c).alias("found"))).otherwise(match)
+    rows = table(spark, d, "documents").select("doc_id", match.alias("m")).where("m IS NOT NULL")
+    return rows.select("doc_id", "m.rank", "m.found").orderBy("rank", "doc_id")
+
+
 @query(f"""
     WITH b AS (SELECT series, half, max(o_custkey) AS control, count(DISTINCT o_orderstatus) AS kinds FROM (SELECT o_custkey, o_orderstatus, {BOOK_SQL} FROM orders) GROUP BY ALL)
     SELECT series, half, control, kinds = 1 AS agreed, CASE WHEN kinds = 1 THEN 'confirm' WHEN control % 2 = 0 THEN 'wait' ELSE 'conflict' END AS verdict FROM b

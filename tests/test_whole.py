@@ -34,3 +34,10 @@ def test_years_around_2000_are_read(spark, tmp_path):
     spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: (r.named, r.numbered, r.day, r.year) for r in QUERIES["handwritten_dates_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: (12, 12, "31", "98"), 1: (1, 1, "02", "99"), 2: (2, 2, "29", "00"), 3: (8, 8, "01", "01")}
+
+
+def test_all_matches_are_returned(spark, tmp_path):
+    rows = [(k, "x", "a", "made") for k in range(100)] + [(200, "xde", "de", ""), (201, " DE ", "a", ""), (202, None, "a", "de\n"), (203, "x", None, "none")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["text_search_matches"](spark, str(tmp_path)).collect()]
+    assert got == [(201, 0, "lang"), (202, 0, "text"), *[(k, 1, "text") for k in range(100)], (200, 1, "lang")]
