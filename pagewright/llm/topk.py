@@ -8,8 +8,11 @@ at most t and its own highest impact; rows below the k-th best exact score found
 when few rows are left, or at impact zero, where no segment can add any more. All rows left are scored exactly, so the result is
 exact whatever was skipped. Queries meet blocks of rows as blocks; a task returns k rows for each query and block.
 
-Defined cases: null vectors, those with null or non-finite components, and those with a component of 2^18 or more in size
-take no part; null ids are no queries and no candidates; vectors of other lengths are filled up with zeros; rows with the
+Rows with an integer of ``FAR`` or more in size stay out of a block's postings and are all scored exactly, in Python integers
+where 64 bits may not hold a sum.
+
+Defined cases: null vectors, those with null or non-finite components, and those with a component whose integer doesn't fit
+a long (2^57 or more in size) take no part; a score beyond a long counts as the nearest long; null ids are no queries and no candidates; vectors of other lengths are filled up with zeros; rows with the
 query's id are its own, copies too; repeated rows are candidates of their own; a query id with different vectors gets a
 list for each; an empty table gives an empty result; other columns are not read.
 """
@@ -32,19 +35,29 @@ STEPS = (0.6,)
 FEW = 0.02
 #: An accumulator holds the sum of a row's impacts times this, plus the number of dimensions it was met in.
 PLACE = 4096
+FAR = 2**24
 SCHEMA = "query_id long, query_key long, vec_id long, score long"
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of int) of the rows that take part."""
-    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**18))
-    return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    """vec_id and v (array of long) of the rows that take part."""
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < 2.0**63))
+    return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+
+
+def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact scores, clipped to longs."""
+    if vectors.shape[1] * int(np.abs(vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) < 2**63:
+        return vectors @ query
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in vectors.astype(object) @ query.astype(object)], np.int64)
 
 
 class Index:
     """The posting segments of a block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        far = np.abs(vectors).max(axis=1, initial=0) >= FAR
+        self.far_ids, self.far, ids, vectors = ids[far], vectors[far], ids[~far], vectors[~far]
         self.ids, self.vectors, self.floats = ids, vectors, vectors.astype(float)
         n, dims = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
@@ -53,7 +66,7 @@ class Index:
         new[:, 1:] = levels.T[:, 1:] != levels.T[:, :-1]
         start = np.flatnonzero(new.ravel())
         self.size = np.diff(np.append(start, n * dims))
-        self.dim = start // n
+        self.dim = start // max(n, 1)
         self.level = levels.T.ravel()[start]
         self.postings = np.split(np.ascontiguousarray(order.T).ravel(), start[1:])
         self.largest = int(np.abs(vectors).max(initial=0))
@@ -64,16 +77,17 @@ class Index:
         left = np.flatnonzero(self.ids != query_id)
         if n > 4 * k:
             left = self._possible(query_id, query, k)
-        score = self.exact(left, query)
-        best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best]
+        far = np.flatnonzero(self.far_ids != query_id)
+        ids, score = np.append(self.ids[left], self.far_ids[far]), np.append(self.exact(left, query), _scores(self.far[far], query))
+        best = np.lexsort((ids, ~score))[:k]
+        return ids[best], score[best]
 
     def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """The rows' scores; in floating point where that holds every partial sum exactly."""
         if self._small(query):
             scores = self.floats @ query.astype(float) if 4 * len(rows) > len(self.ids) else self.floats[rows] @ query.astype(float)
             return (scores[rows] if len(scores) != len(rows) else scores).astype(np.int64)
-        return self.vectors[rows] @ query
+        return _scores(self.vectors[rows], query)
 
     def _small(self, query: np.ndarray) -> bool:
         dims = self.vectors.shape[1]

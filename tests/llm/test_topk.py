@@ -43,3 +43,27 @@ def test_odd_rows(spark):
     got = top_k(df.where("vec_id % 20 = 0"), df, 3).collect()
     assert sorted(map(tuple, got)) == sorted([(0, 1, 1, 64 * 32 + 128 * 32), (0, 2, 1, 64 * 32 + 128 * 32), (0, 3, 20, 64 * 64), (20, 1, 0, 64 * 64), (20, 2, 1, 64 * 32), (20, 3, 1, 64 * 32)])
     assert top_k(df.where("false"), df).count() == top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_large_components_take_part(spark):
+    big = 2.0**18
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [big, 0.0]), (20, [big, -1.0]), (3, [2.0**40, 1.0]), (40, [-(2.0**50), 0.25])]
+    df = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    long = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for q, v in ints[0], ints[3], ints[5]:
+        scores = sorted((-long(sum(a * b for a, b in zip(v, w, strict=True))), c) for c, w in ints if c != q)[:4]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scores, 1)]
+    assert sorted(map(tuple, top_k(df.where("vec_id % 20 = 0"), df, 4).collect())) == sorted(want)
+    assert df.count() == len(rows)
+
+
+def test_far_rows_beside_an_index():
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-3, 4, (600, 8))
+    vectors[::100] *= 2**30
+    index = Index(np.arange(600), vectors)
+    for q in (vectors[1], vectors[0], vectors[100] * 2**30):
+        scores = sorted((-min(max(sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in enumerate(vectors) if i != 1)[:20]
+        assert list(zip(*[x.tolist() for x in index.top(1, q, 20)], strict=True)) == [(i, -s) for s, i in scores]
