@@ -3,7 +3,8 @@
 The automaton holds every run of words of every template. A text's words stream through it: at each word it knows the
 longest run ending there that some template holds (the matching statistics), and a phrase ends at a word exactly when the
 phrase's state is an ancestor of the current one in the suffix-link tree. Long maximal matches are then chained, template by
-template, into spans in the template's order; a label is given when a chain covers enough of its template. A word that no
+template, into spans in the template's order; a label is given when a chain covers enough of its template, and each further
+chain beside it that does is a span too. A word that no
 template holds resets the automaton, so only runs of known words are walked.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score zero; texts are read whole; repeated
@@ -12,8 +13,10 @@ rows give repeated results; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,8 +150,8 @@ def maximal(stats: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
     return [s for s, n in zip(stats, follows, strict=True) if s[2] >= least and not (n[0] == s[0] + 1 and n[2] == s[2] + 1)]
 
 
-def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[int, int, int]:
-    """The best chain of matches (text start, template start, length) that advance in the text and the template: covered words, first and last position in the text."""
+def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """For each match the best chain that ends with it, of matches (text start, template start, length) that advance in the text and the template: covered words, first and last position in the text."""
     best: list[tuple[int, int]] = []
     for k, (x, y, n) in enumerate(matches):
         covered, start = n, x
@@ -160,8 +163,48 @@ def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[int
             if yj + nj <= y + n and new > 0 and yj < y and best[j][0] + new > covered:
                 covered, start = best[j][0] + new, best[j][1]
         best.append((covered, start))
-    k = max(range(len(best)), key=lambda i: best[i][0])
-    return min(best[k][0], size), best[k][1], matches[k][0] + matches[k][2] - 1
+    return [(covered, start, x + n - 1) for (covered, start), (x, _, n) in zip(best, matches, strict=True)]
+
+
+def outside(matches: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The matches' parts outside the taken ranges of the text (first and last word), by their ends."""
+    out = []
+    for x, y, n in matches:
+        stop = x + n
+        k = max(0, bisect(taken, (x,)) - 1)
+        while k < len(taken) and taken[k][0] < stop:
+            first, last, _ = taken[k]
+            if last >= x:
+                if first > x:
+                    out.append((x, y, first - x))
+                x, y = last + 1, y + last + 1 - x
+            k += 1
+        if x < stop:
+            out.append((x, y, stop - x))
+    return sorted(out, key=lambda m: (m[0] + m[2], m))
+
+
+def chains(matches: list[tuple[int, int, int]], size: int, gap: int, least: float) -> list[tuple[int, int, int]]:
+    """The best chain, then the best beside it as long as one covers ``least`` of the template: first and last word, covered words; in the text's order."""
+    taken: list[tuple[int, int, int]] = []
+    again = True
+    while again and matches:
+        again = False
+        between = [list(part) for _, part in groupby(matches, key=lambda m: bisect(taken, (m[0],)))]
+        for covered, start, end in sorted((c for part in between for c in chain(part, gap)), key=lambda c: -c[0]):
+            covered = min(covered, size)
+            if taken and covered / size < least:
+                break
+            k = bisect(taken, (start + 1,))
+            if k and taken[k - 1][1] >= end:
+                continue
+            if (k and taken[k - 1][1] >= start) or (k < len(taken) and taken[k][0] <= end):
+                again = True
+                break
+            taken.insert(k, (start, end, covered))
+        if again:
+            matches = outside(matches, taken)
+    return taken
 
 
 class Scanner:
@@ -192,11 +235,11 @@ class Scanner:
                 by.setdefault(t, []).append((at - length + 1, end - length + 1, length))
         spans, score = [], 1.0 if base else 0.0
         for t, matches in sorted(by.items()):
-            covered, start, end = chain(matches, self.sizes[t], self.gap)
-            share = covered / self.sizes[t]
-            score = max(score, share)
-            if share >= self.covered:
-                spans.append({"label": self.template_labels[t], "start": start, "end": end, "covered": share})
+            for start, end, covered in chains(matches, self.sizes[t], self.gap, self.covered):
+                share = covered / self.sizes[t]
+                score = max(score, share)
+                if share >= self.covered:
+                    spans.append({"label": self.template_labels[t], "start": start, "end": end, "covered": share})
         labels = base | {s["label"] for s in spans}
         return len(run), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 

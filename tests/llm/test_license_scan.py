@@ -63,3 +63,29 @@ def test_odd_rows(docs, no_docs):
     assert got[7].n_words == 50_000
     assert scan_documents(no_docs).count() == 0
     assert words("Ä-b_C\x7f9".encode()) == ["Ä".encode(), b"b", b"c", b"9"]
+
+
+def test_each_copy_is_a_span():
+    scanner = Scanner(TEMPLATES, PHRASES)
+    text = TEMPLATES["bsd"][0]
+    n = len(text.split())
+    for other, apart in (("some words of code", 4), ("", 0)):
+        spans = scanner.scan(f"{text} {other} {text} {other} {text}".encode())[-1]
+        assert [(s["label"], s["start"], s["end"], s["covered"]) for s in spans] == [("bsd", k * (n + apart), k * (n + apart) + n - 1, 1.0) for k in range(3)]
+    changed = text.replace("binary forms", "binaries")
+    assert [s["covered"] < 1 for s in scanner.scan(f"{changed} {text} {changed}".encode())[-1]] == [True, False, True]
+    short = TEMPLATES["unlicense"][0]
+    assert len(scanner.scan(" ".join([short] * 2000).encode())[-1]) == 2000
+
+
+def test_spans_of_a_template_do_not_cross():
+    scanner = Scanner(TEMPLATES, PHRASES)
+    run = TEMPLATES["bsd"][0].split()
+    half = len(run) // 2
+    spans = scanner.scan(" ".join([*run[:half], *run, *run[half:]]).encode())[-1]
+    assert [(s["start"], s["end"]) for s in spans] == [(half, half + len(run) - 1)]
+    rng = random.Random(1)
+    for _ in range(200):
+        parts = [run[a : a + rng.randint(5, len(run))] for a in (rng.choice([0, 0, 3, half]) for _ in range(12))]
+        spans = [s for s in scanner.scan(" ".join(w for p in parts for w in p).encode())[-1] if s["label"] == "bsd"]
+        assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:], strict=False))
