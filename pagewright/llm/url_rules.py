@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules, and token combinations mined from labels by FP-growth.
 
-A URL's tokens are its scheme, its host's last one and two labels and each label before them, path segments, extension and query keys. Spark's FP-growth
+A URL's tokens are its scheme, its host's last one and two labels and each label before them, path segments and query keys. Spark's FP-growth
 finds the combinations that labelled URLs share; those that imply the label with enough support and confidence become rules.
 Each rule is filed in an inverted index under its rarest token; a URL looks up its tokens and is matched by the rules of
 which it has all tokens. Everything is DataFrame functions; the index is broadcast only if Spark finds its table small.
