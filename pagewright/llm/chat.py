@@ -1,13 +1,15 @@
 """Chat formatting with loss masks aligned by offsets.
 
-A conversation is rendered once as a whole, encoded once with offsets, and its mask found by intersecting the sorted spans
-of the assistant's texts with the sorted spans of the tokens by binary search. A token that reaches over the end of a turn
-is clipped to the turn, so the masked text is the assistants' texts and nothing else. Control strings inside texts and
-roles get a backslash after their first character, however many stand there already, and lose one when read back.
+A conversation is rendered once as a whole, encoded once, and its mask found by intersecting the sorted spans of the
+assistant's texts with the sorted spans of the tokens by binary search. The template's marks are special tokens, so that no
+token reaches over the end of a turn: the masked tokens are the assistants' texts and nothing else. Control strings inside
+texts and roles get a backslash after their first character, however many stand there already, and lose one when read back,
+so no text can hold a mark. Spans and offsets count UTF-8 bytes. The digests are rebuilt from the token ids, the offsets and
+the mask alone.
 
 Defined cases: null texts and roles are empty; rows of one conversation go by turn (null first), then role and text;
-repeated rows are turns of their own; rows with a null id form one conversation; an empty table gives an empty result;
-other columns are not read.
+repeated rows are turns of their own; a row with a null id is a conversation of its own; an empty table gives an empty
+result; other columns are not read. A conversation is one group of one task.
 """
 
 from __future__ import annotations
@@ -15,21 +17,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-START, END = "<|im_start|>", "<|im_end|>"
+from pagewright.llm import tokens
+
+START, SAID, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+MARKS = (START, SAID, END)
 #: The strings that steer chat models.
-CONTROL = (START, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROL = (*MARKS, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _PLAIN = re.compile("|".join(rf"({re.escape(c[0])}\\*)(?={re.escape(c[1:])})" for c in CONTROL))
 _MARKED = re.compile("|".join(rf"({re.escape(c[0])}\\*)\\(?={re.escape(c[1:])})" for c in CONTROL))
-_TURN = re.compile(rf"{re.escape(START)}(.*?)\n(.*?){re.escape(END)}\n", re.DOTALL)
-SCHEMA = "conv_id long, formatted string, token_ids array<int>, loss_mask array<boolean>, loss_from array<int>, loss_to array<int>"
+_TURN = re.compile("(.*?)".join([*map(re.escape, MARKS)]), re.DOTALL)
+SCHEMA = "conv_id long, formatted string, token_ids array<int>, token_ends array<int>, loss_mask array<boolean>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -42,103 +45,100 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]], loss_role: str = "assistant") -> tuple[str, np.ndarray, np.ndarray]:
-    """The formatted conversation, and starts and ends of the texts that bear loss."""
+    """The formatted conversation, and starts and ends in bytes of the texts that bear loss."""
     parts, starts, ends, at = [], [], [], 0
     for role, text in turns:
-        head = START + escape(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n"
-        body = escape(text)
+        head, body = START + escape(role) + SAID, escape(text)
+        at += len(head.encode())
+        size = len(body.encode())
         if role == loss_role and body:
-            starts.append(at + len(head))
-            ends.append(at + len(head) + len(body))
-        parts += (head, body, END, "\n")
-        at += len(head) + len(body) + len(END) + 1
+            starts.append(at)
+            ends.append(at + size)
+        parts += (head, body, END)
+        at += size + len(END)
     return "".join(parts), np.array(starts, np.int64), np.array(ends, np.int64)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
-    role = lambda x: re.sub(r"\\(\\|n)", lambda m: "\\" if m[1] == "\\" else "\n", unescape(x))
-    return [(role(a), unescape(b)) for a, b in _TURN.findall(formatted)]
-
+    return [(unescape(a), unescape(b)) for a, b in _TURN.findall(formatted)]
 
-def token_spans(offsets: list[tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of tokens, made to meet: a token takes what its tokenizer trimmed before it."""
-    ends = np.maximum.accumulate(np.array([b for _, b in offsets], np.int64)) if offsets else np.zeros(0, np.int64)
-    if len(ends):
-        ends[-1] = size
-    return np.concatenate((np.zeros(1, np.int64), ends[:-1]))[: len(ends)], ends
 
-
-def loss_mask(starts: np.ndarray, ends: np.ndarray, span_starts: np.ndarray, span_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which tokens bear loss, and the pieces of text under the mask: one for each span, clipped to it."""
-    mask = np.zeros(len(starts), bool)
-    if len(span_starts) and len(starts):
+def loss_mask(ends: np.ndarray, span_starts: np.ndarray, span_ends: np.ndarray) -> np.ndarray:
+    """Which tokens bear loss. ``ends``: where the tokens end; they meet, the first at 0. Spans are sorted and apart."""
+    mask = np.zeros(len(ends), bool)
+    if len(span_ends) and len(ends):
+        starts = np.append(0, ends[:-1])
         k = np.searchsorted(span_ends, starts, "right")
         mask = (k < len(span_ends)) & (span_starts[np.minimum(k, len(span_ends) - 1)] < ends)
-    first, last = np.searchsorted(ends, span_starts, "right"), np.searchsorted(starts, span_ends, "left") - 1
-    return mask, np.maximum(starts[first], span_starts) if len(first) else span_starts, np.minimum(ends[last], span_ends) if len(last) else span_ends
-
+    return mask
 
-@lru_cache(2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer, pre_tokenizers, processors
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    if isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel):
-        t.post_processor = processors.ByteLevel(trim_offsets=False)
-    return t
+def masked_texts(formatted: bytes, ends: np.ndarray, mask: np.ndarray) -> list[str]:
+    """The texts under the mask, one for each run of masked tokens."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False]))))
+    at = np.append(0, ends)
+    return [unescape(formatted[a:b].decode("utf-8", "replace")) for a, b in zip(at[edge[::2]].tolist(), at[edge[1::2]].tolist(), strict=True)]
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
     """Sorted rows as conversations."""
-    now, turns = object(), []
+    now, turns = None, []
     for batch in batches:
-        for conv, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if conv != now and turns:
-                yield now, turns
+        for conv, alone, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (conv, alone) != now and turns:
+                yield now[0], turns
                 turns = []
-            now = conv
+            now = conv, alone
             turns.append((role, text))
     if turns:
-        yield now, turns
+        yield now[0], turns
 
 
-def format_conversations(rows: DataFrame, tokenizer_path: str = TOKENIZER, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation, by ``SCHEMA``: the text, its tokens, their mask, and the masked pieces of text."""
+def format_conversations(rows: DataFrame, vocabulary: str = tokens.VOCABULARY, loss_role: str = "assistant") -> DataFrame:
+    """One row per conversation, by ``SCHEMA``: the text, its tokens, where they end, and their mask."""
+    get = tokens.shipped(rows.sparkSession, vocabulary, MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, out, size = tokenizer(tokenizer_path), [], 0
+        v, out, size = get(), [], 0
         for conv, turns in _conversations(batches):
             text, a, b = render(turns, loss_role)
-            got = t.encode(text, add_special_tokens=False)
-            mask, loss_from, loss_to = loss_mask(*token_spans(got.offsets, len(text)), a, b)
-            out.append((conv, text, got.ids, mask.tolist(), loss_from.tolist(), loss_to.tolist()))
+            ids = v.encode_marked(text)
+            ends = v.ends(ids)
+            out.append((conv, text, ids, ends, loss_mask(ends, a, b)))
             size += len(text)
             if size > 1 << 22:
                 yield _batch(out)
                 out, size = [], 0
         yield _batch(out)
 
-    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["conv_id", "formatted", "token_ids", "loss_mask", "loss_from", "loss_to"]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    names = ["conv_id", "formatted", "token_ids", "token_ends", "loss_mask"]
     _batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    turns = turns.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    return turns.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text").select("conv_id", "alone", "role", "text").mapInArrow(run, SCHEMA)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from each formatted conversation, by ``DIGESTS``."""
+def digests(formatted: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """What can be read back from each conversation's tokens and mask, by ``DIGESTS``."""
+    get = tokens.shipped(formatted.sparkSession, vocabulary, MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = get()
         for batch in batches:
             out = []
-            for conv, text, starts, ends in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            lists = [c.values.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            cuts = [c.offsets.to_numpy() for c in batch.columns[1:]]
+            for k, conv in enumerate(batch.column(0).to_pylist()):
+                ids, ends, mask = (x[at[k] : at[k + 1]] for x, at in zip(lists, cuts, strict=True))
+                data = v.decode(ids.tolist())
+                text = data.decode("utf-8", "replace")
                 turns = parse(text)
-                loss = "".join(unescape(text[a:b]) for a, b in zip(starts, ends, strict=True))
+                loss = "".join(masked_texts(data, ends, mask))
                 whole = "".join(f"{role}\n{said}\n" for role, said in turns)
                 out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, DIGESTS)
+    return formatted.select("conv_id", "token_ids", "token_ends", "loss_mask").mapInArrow(run, DIGESTS)

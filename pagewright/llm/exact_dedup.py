@@ -3,8 +3,8 @@
 Pass one sets cells of a counting Bloom filter (never, once, twice or more) with each text's hash; a hash of which all
 cells are set twice or more may be a repeated one. Pass two lets all other rows straight through, and only the possibly
 repeated ones are shuffled and grouped by their whole SHA-256. The filter's size follows the row count up to a fixed bound
-(``max_cells``), which bounds what is merged and broadcast. Beyond the bound more unrepeated rows are shuffled; results
-stay exact.
+(``max_cells``), which bounds what is merged and broadcast. More rows are split by hash into ranges, each with a filter of
+that size, taken one after the other, so that the filter is as sharp at any number of rows.
 
 Defined cases: a null text counts as empty; a null id is smaller than any other; of rows equal in text and id one stays;
 an empty table gives an empty result; other columns pass through untouched, whatever their names.
@@ -13,25 +13,28 @@ an empty table gives an empty result; other columns pass through untouched, what
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import free_name, utf8, written
+from pagewright.llm.shared import free_name, scratch, utf8, written
 
 BLOCK = 1 << 16
 CELLS_PER_ROW = 8
 MAX_CELLS = 1 << 27
+#: Tasks that fill a filter; each holds two bits a cell and hands its filled blocks on.
+TASKS = 16
 BLOCK_SCHEMA = "block int, salt int, once binary, twice binary"
 
 
 def filter_cells(rows: int, max_cells: int = MAX_CELLS) -> int:
-    """A power of two: eight cells for each row, at least one block, at most ``max_cells``."""
-    return min(max_cells, max(BLOCK, 1 << math.ceil(math.log2(max(1, rows) * CELLS_PER_ROW))))
+    """A power of two: eight cells for each row, at most ``max_cells``, at least one block."""
+    return max(BLOCK, min(max_cells, 1 << math.ceil(math.log2(max(1, rows) * CELLS_PER_ROW))))
 
 
 def cells_of(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,24 +43,37 @@ def cells_of(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(cells - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.int64)
 
 
+def ranges(rows: int, max_cells: int = MAX_CELLS) -> int:
+    """Into how many hash ranges the rows are split, so that each row has its eight cells."""
+    return max(1, -(-rows * CELLS_PER_ROW // max_cells))
+
+
+def add(once: np.ndarray, twice: np.ndarray, cells: np.ndarray) -> None:
+    """Counts cells into two bit arrays: hit once or more, and twice or more."""
+    at, n = np.unique(cells, return_counts=True)
+    place, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    own = place[first]
+    hit, more = np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), first)
+    twice[own] |= more | (once[own] & hit)
+    once[own] |= hit
+
+
 def _count(cells: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, salt = None, 0
+        once, twice, salt = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8), None
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(h):
-                continue
-            if seen is None:
-                seen, salt = np.zeros(cells, np.uint8), int(h[0] % salts)
-            for own in cells_of(h, cells):
-                at, n = np.unique(own, return_counts=True)
-                seen[at] = np.minimum(2, seen[at] + np.minimum(n, 2))
-        if seen is None:
+            if len(h):
+                salt = int(h[0] % salts) if salt is None else salt
+                for own in cells_of(h, cells):
+                    add(once, twice, own)
+        if salt is None:
             return
-        for k in range(0, cells, BLOCK):
-            part = seen[k : k + BLOCK]
-            if part.any():
-                row = [[k // BLOCK], [salt], [np.packbits(part > 0).tobytes()], [np.packbits(part > 1).tobytes()]]
+        step = BLOCK // 8
+        for k in range(0, cells // 8, step):
+            if once[k : k + step].any():
+                row = [[k // step], [salt], [once[k : k + step].tobytes()], [twice[k : k + step].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2], pa.binary()), pa.array(row[3], pa.binary())], names=["block", "salt", "once", "twice"])
 
     return run
@@ -78,8 +94,8 @@ def repeated_filter(hashes: DataFrame, cells: int) -> np.ndarray:
 
     Tasks' blocks meet in two steps, about the square root of their number in each group.
     """
-    salts = max(1, math.isqrt(hashes.rdd.getNumPartitions()))
-    parts = hashes.mapInArrow(_count(cells, salts), BLOCK_SCHEMA)
+    salts = max(1, math.isqrt(TASKS))
+    parts = hashes.coalesce(TASKS).mapInArrow(_count(cells, salts), BLOCK_SCHEMA)
     merged = parts.groupBy("block", "salt").applyInPandas(_merge, BLOCK_SCHEMA).groupBy("block").applyInPandas(_merge, BLOCK_SCHEMA)
     bits = np.zeros(cells // 8, np.uint8)
     for row in merged.select("block", "twice").toLocalIterator():
@@ -87,9 +103,8 @@ def repeated_filter(hashes: DataFrame, cells: int) -> np.ndarray:
     return bits
 
 
-def with_maybe(df: DataFrame, hash_col: str, out: str, cells: int, bits: np.ndarray) -> DataFrame:
-    """``df`` with a boolean column: whether the filter can't rule out that the hash is repeated."""
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+def with_maybe(df: DataFrame, hash_col: str, out: str, cells: int, shared: Broadcast) -> DataFrame:
+    """``df`` with a boolean column: whether the filter (its bits, broadcast) can't rule out that the hash is repeated."""
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
@@ -101,14 +116,34 @@ def with_maybe(df: DataFrame, hash_col: str, out: str, cells: int, bits: np.ndar
     return df.withColumn(out, maybe(hash_col))
 
 
+def in_ranges(rows: DataFrame, n: int, hash_col: str, max_cells: int, name: str, then: Callable[[DataFrame, int, Broadcast], DataFrame]) -> DataFrame:
+    """What ``then`` makes of each hash range's rows, its cells and its filter.
+
+    More than one range: the rows are written by range, so that each range reads its own, and the results are one table.
+    """
+    spark, count, cells = rows.sparkSession, ranges(n, max_cells), filter_cells(n, max_cells)
+    if count == 1:
+        hashes = written(rows.select(hash_col), f"{name}-hashes")
+        return then(rows, cells, spark.sparkContext.broadcast(repeated_filter(hashes, cells)))
+    (part,) = free_name(rows, "hash_range")
+    rows = written(rows.withColumn(part, F.pmod(F.xxhash64(hash_col), F.lit(count))), f"{name}-ranges", by=part)
+    path = scratch(spark, name)
+    for k in range(count):
+        own = rows.where(F.col(part) == k).drop(part)
+        shared = spark.sparkContext.broadcast(repeated_filter(own.select(hash_col), cells))
+        out = then(own, cells, shared)
+        out.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def dedup_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
     """One row per document: doc_id, keep_id (the largest id of its text), group_size, kept, text_sha256."""
     rows = written(
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(utf8(text_col), 256).alias("text_sha256")).withColumns({"uid": F.monotonically_increasing_id(), "h": F.xxhash64("text_sha256")}),
         "dedup-hashes",
     )
-    cells = filter_cells(rows.count(), max_cells)
-    marked = with_maybe(rows, "h", "maybe", cells, repeated_filter(rows.select("h"), cells))
+    marked = in_ranges(rows, rows.count(), "h", max_cells, "dedup-marked", lambda own, cells, bits: with_maybe(own, "h", "maybe", cells, bits))
     straight = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     repeated = marked.where("maybe").select("doc_id", "uid", "text_sha256")
     groups = written(repeated.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size")), "dedup-groups")
@@ -117,13 +152,14 @@ def dedup_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` with the row of the largest id for each text. Rows that can't be repeated pass without a shuffle."""
+    """``docs`` with the row of the largest id for each text. Of the rows that may be repeated only hashes and ids are compared; the others aren't shuffled."""
     sha, h, maybe, top = free_name(docs, "sha", "h", "maybe", "top")
-    hashed = docs.withColumn(sha, F.sha2(utf8(text_col), 256)).withColumn(h, F.xxhash64(sha))
-    hashes = written(hashed.select(h), "dedup-hashes")
-    cells = filter_cells(hashes.count(), max_cells)
-    marked = with_maybe(hashed, h, maybe, cells, repeated_filter(hashes, cells))
-    repeated = marked.where(maybe)
-    tops = written(repeated.groupBy(sha).agg(F.max(id_col).alias(top)), "dedup-groups")
-    stays = repeated.join(tops, sha).where(F.col(id_col).eqNullSafe(F.col(top))).dropDuplicates([sha])
-    return marked.where(~F.col(maybe)).select(docs.columns).unionByName(stays.select(docs.columns))
+
+    def once(own: DataFrame, cells: int, bits: Broadcast) -> DataFrame:
+        marked = with_maybe(own, h, maybe, cells, bits)
+        repeated = marked.where(maybe)
+        tops = written(repeated.groupBy(sha).agg(F.max(id_col).alias(top)), "dedup-groups")
+        stays = repeated.join(tops, sha).where(F.col(id_col).eqNullSafe(F.col(top))).dropDuplicates([sha])
+        return marked.where(~F.col(maybe)).select(docs.columns).unionByName(stays.select(docs.columns))
+
+    return in_ranges(docs.withColumn(sha, F.sha2(utf8(text_col), 256)).withColumn(h, F.xxhash64(sha)), docs.count(), h, max_cells, "dedup-once", once)

@@ -1,32 +1,37 @@
-"""Best-fit packing of documents into sequences, with conflicts.
+"""Best-fit packing of documents into token sequences, with conflicts.
 
-Documents are dealt by hash into shards of about ``SHARD`` rows, whatever their number or sources; each shard packs its own
-bins, longest pieces first. Bins stand in the order of their room; a bin carries a bitmap of its sources and one of its
-duplicate clusters. The search begins at the least room that holds the piece and goes on to the next larger until a bin has
-neither the piece's source nor its cluster; without one, a bin is opened. A text longer than a bin is cut into full pieces,
-each a bin of its own, and a rest that is packed.
+Each text is encoded once. Documents are dealt by hash into shards of about ``SHARD`` rows and at most about ``SHARD_BYTES``
+of text, whatever their number or sources; each shard packs its own bins, longest pieces first. Bins stand in the order of
+their room; a bin carries a bitmap of its sources and one of its duplicate clusters. The search begins at the least room that
+holds the piece and goes on to the next larger until a bin has neither the piece's source nor its cluster; without one, a bin
+is opened. A text longer than a bin is cut into full pieces, each a bin of its own, and a rest that is packed. Every piece
+carries its token ids and its place, so that a bin's pieces in order are its sequence.
 
 Defined cases: null and empty texts have no tokens and get a row without a bin; a null source or cluster conflicts with
-nothing; ties in length go by id, null ids first, then by source and cluster; repeated rows are packed one by one; an empty
-table gives an empty result; other columns are not read.
+nothing; ties in length go by id, null ids first, then by source and cluster; repeated rows are packed one by one; rows of one
+source only make bins of one piece each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.mixing import n_tokens
-from pagewright.llm.shared import written
+from pagewright.llm import tokens
+from pagewright.llm.shared import utf8
 
 CAPACITY = 2048
 SHARD = 4096
-SCHEMA = "doc_id long, piece int, n_tokens long, bin_id string, bin_offset long, source string, cluster long"
+SHARD_BYTES = 1 << 26
+ROWS = "doc_id long, source string, cluster long, token_ids binary"
+SCHEMA = "doc_id long, piece int, n_tokens long, bin_id string, bin_offset long, source string, cluster long, token_ids array<int>"
 
 
 def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capacity: int) -> list[int]:
@@ -58,21 +63,21 @@ def _pack_shard(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = lambda x: None if pd.isna(x) else x
         pieces = []
-        for doc_id, n, source, cluster in rows[["doc_id", "n_tokens", "source", "cluster"]].astype(object).itertuples(index=False):
-            full, rest = divmod(n, capacity)
-            pieces += [(none(doc_id), k, capacity, none(source), none(cluster)) for k in range(full)] + ([(none(doc_id), full, rest, none(source), none(cluster))] if rest or not n else [])
-        order = lambda x: (-x[2], x[0] is not None, x[0] or 0, x[1], str(x[3]), x[4] or 0)
-        pieces.sort(key=order)
-        full = [x for x in pieces if x[2] == capacity]
-        part = [x for x in pieces if 0 < x[2] < capacity]
-        bins = [*range(len(full)), *(len(full) + b for b in best_fit([x[2] for x in part], [x[3] for x in part], [x[4] for x in part], capacity))]
-        used: dict[int, int] = {}
+        for doc_id, source, cluster, ids in rows[["doc_id", "source", "cluster", "token_ids"]].astype(object).itertuples(index=False):
+            ids = np.frombuffer(ids, np.int32)
+            cuts = range(0, max(1, len(ids)), capacity)
+            pieces += [(none(doc_id), k, none(source), none(cluster), ids[at : at + capacity]) for k, at in enumerate(cuts)]
+        pieces.sort(key=lambda x: (-len(x[4]), x[0] is not None, x[0] or 0, x[1], str(x[2]), x[3] or 0))
+        full = [x for x in pieces if len(x[4]) == capacity]
+        part = [x for x in pieces if 0 < len(x[4]) < capacity]
+        found = best_fit([len(x[4]) for x in part], [x[2] for x in part], [x[3] for x in part], capacity)
+        used: Counter[int] = Counter()
         out = []
-        for (doc_id, piece, n, source, cluster), b in zip(full + part, bins, strict=True):
-            out.append((doc_id, piece, n, f"{key[0]}-{b}", used.get(b, 0), source, cluster))
-            used[b] = used.get(b, 0) + n
-        out += [(doc_id, 0, 0, None, None, source, cluster) for doc_id, _, n, source, cluster in pieces if n == 0]
-        frame = pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster"])
+        for (doc_id, piece, source, cluster, ids), b in zip(full + part, [*range(len(full)), *(len(full) + b for b in found)], strict=True):
+            out.append((doc_id, piece, len(ids), f"{key[0]}-{b}", used[b], source, cluster, ids))
+            used[b] += len(ids)
+        out += [(doc_id, piece, 0, None, None, source, cluster, ids) for doc_id, piece, source, cluster, ids in pieces if not len(ids)]
+        frame = pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster", "token_ids"])
         return frame.astype({"doc_id": "Int64", "piece": "int32", "n_tokens": "int64", "bin_offset": "Int64", "cluster": "Int64"})
 
     return run
@@ -84,14 +89,32 @@ def text_cluster(text: str | Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
+def encoded(rows: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """``rows`` (doc_id, source, cluster, text in bytes) with their token ids, by ``ROWS``."""
+    get = tokens.shipped(rows.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = get()
+        for batch in batches:
+            ids = pa.array([v.encode(x.as_py().decode("utf-8", "replace")).tobytes() for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["doc_id", "source", "cluster", "token_ids"])
+
+    return rows.select("doc_id", "source", "cluster", "text").mapInArrow(run, ROWS)
+
+
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, vocabulary: str = tokens.VOCABULARY
+) -> DataFrame:
     """One row per piece, by ``SCHEMA``: the document, the piece's number and tokens, its bin and place in it."""
     cluster = text_cluster(text_col) if cluster is None else cluster
-    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), n_tokens(text_col).alias("n_tokens"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster")), "packing-rows")
-    shards = max(1, -(-rows.count() // shard_rows))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(utf8(text_col))).alias("bytes")).first()
+    shards = max(1, -(-size.n // shard_rows), -(-(size.bytes or 0) // SHARD_BYTES))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), utf8(text_col).alias("text"))
+    return encoded(rows, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """One row per bin: its pieces in order and its tokens. A bin holds at most its capacity of pieces."""
-    return packed.where("bin_id IS NOT NULL").groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "piece", "n_tokens"))).alias("pieces"), F.sum("n_tokens").alias("n_tokens"))
+    """One row per bin: its token ids in order, its pieces with their documents and places, and its tokens. A bin holds at most its capacity of pieces."""
+    pieces = F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "piece", "n_tokens", "token_ids")))
+    bins = packed.where("bin_id IS NOT NULL").groupBy("bin_id").agg(pieces.alias("own"), F.sum("n_tokens").alias("n_tokens"))
+    return bins.select("bin_id", F.flatten("own.token_ids").alias("token_ids"), F.transform("own", lambda p: p.dropFields("token_ids")).alias("pieces"), "n_tokens")

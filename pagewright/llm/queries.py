@@ -32,7 +32,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(table(spark, sf_dir, "documents"), share=(3, 4), max_epochs=2, seed=7)
-    return drawn.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns().items()], "n_draws")
+    return drawn.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns().items()], "n_draws", "prefix_tokens")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,10 @@ ORACLE_SQL = {
             FROM d_nodes WINDOW w AS ( ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, domain)),
         d_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM d_order),
         d_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER () AS open_weight FROM d_full),
-        d_given AS (SELECT domain, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM d_rest),
+        d_floor AS (SELECT *, CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END AS floored, CASE WHEN NOT full_up THEN left_over * weight % nullif(open_weight, 0) END AS part FROM d_rest),
+        d_given AS (
+            SELECT domain, tokens, (floored + CASE WHEN part > 0 AND row_number() OVER ( ORDER BY part DESC NULLS LAST, domain) <= left_over - sum(floored) FILTER (NOT full_up) OVER () THEN 1 ELSE 0 END)::BIGINT AS given
+            FROM d_floor),
         l_nodes AS (
             SELECT n.domain, n.lang, n.supply, n.tokens, n.weight, g.given
             FROM (SELECT domain, lang, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY domain, lang) n JOIN d_given g ON n.domain = g.domain),
@@ -113,7 +116,10 @@ ORACLE_SQL = {
             FROM l_nodes WINDOW w AS (PARTITION BY domain ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, lang)),
         l_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM l_order),
         l_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (PARTITION BY domain), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER (PARTITION BY domain) AS open_weight FROM l_full),
-        l_given AS (SELECT domain, lang, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM l_rest),
+        l_floor AS (SELECT *, CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END AS floored, CASE WHEN NOT full_up THEN left_over * weight % nullif(open_weight, 0) END AS part FROM l_rest),
+        l_given AS (
+            SELECT domain, lang, tokens, (floored + CASE WHEN part > 0 AND row_number() OVER (PARTITION BY domain ORDER BY part DESC NULLS LAST, lang) <= left_over - sum(floored) FILTER (NOT full_up) OVER (PARTITION BY domain) THEN 1 ELSE 0 END)::BIGINT AS given
+            FROM l_floor),
         s_nodes AS (
             SELECT n.domain, n.lang, n.source, n.supply, n.tokens, n.weight, g.given
             FROM (SELECT domain, lang, source, sum(supply)::BIGINT AS supply, sum(tokens)::BIGINT AS tokens, 1 AS weight FROM leaves GROUP BY domain, lang, source) n JOIN l_given g ON n.domain = g.domain AND n.lang = g.lang),
@@ -122,11 +128,16 @@ ORACLE_SQL = {
             FROM s_nodes WINDOW w AS (PARTITION BY domain, lang ORDER BY CASE WHEN weight > 0 THEN supply / weight ELSE 'inf'::DOUBLE END, source)),
         s_full AS (SELECT *, supply * after <= (given - before) * weight AS full_up FROM s_order),
         s_rest AS (SELECT *, given - coalesce(sum(supply) FILTER (full_up) OVER (PARTITION BY domain, lang), 0) AS left_over, sum(weight) FILTER (NOT full_up) OVER (PARTITION BY domain, lang) AS open_weight FROM s_full),
-        s_given AS (SELECT domain, lang, source, tokens, (CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END)::BIGINT AS given FROM s_rest),
+        s_floor AS (SELECT *, CASE WHEN full_up THEN supply ELSE coalesce(left_over * weight // nullif(open_weight, 0), 0) END AS floored, CASE WHEN NOT full_up THEN left_over * weight % nullif(open_weight, 0) END AS part FROM s_rest),
+        s_given AS (
+            SELECT domain, lang, source, tokens, (floored + CASE WHEN part > 0 AND row_number() OVER (PARTITION BY domain, lang ORDER BY part DESC NULLS LAST, source) <= left_over - sum(floored) FILTER (NOT full_up) OVER (PARTITION BY domain, lang) THEN 1 ELSE 0 END)::BIGINT AS given
+            FROM s_floor),
         plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 2 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM s_given),
         keyed AS (SELECT r.*, p.epochs, p.rest, md5('7:' || (p.epochs + 1) || ':' || coalesce(r.doc_id::VARCHAR, 'none')) AS k FROM rows r JOIN plan p USING (domain, lang, source)),
         until AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM keyed)
-        SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INT AS n_draws FROM until
+        SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN rest > 0 AND (upto <= rest OR upto - n_tokens < rest) THEN 1 ELSE 0 END)::INT AS n_draws,
+               CASE WHEN upto > rest AND upto - n_tokens < rest THEN (rest - (upto - n_tokens))::BIGINT END AS prefix_tokens
+        FROM until
     """,
     "op10_exact_topk": """
         WITH ints AS (

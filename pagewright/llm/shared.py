@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,22 +25,40 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+#: The tables written so far, by path; those that ``only_last`` removes are taken out.
+_tables: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared folder."""
     return f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None, by: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends there, and its size is known to the planner.
 
     ``files`` bounds the files of a table that is small beside its input, so that many tasks don't leave many of them.
+    ``by`` is a column of which each value gets a folder of its own.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    _tables.append(path)
+    out = (df.coalesce(files) if files else df).write
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def only_last(spark: SparkSession) -> Iterator[None]:
+    """Of the tables written inside, only the last one stays: whatever it was made of is removed when all is done."""
+    first = len(_tables)
+    yield
+    gone, _tables[first:] = _tables[first:-1], _tables[first:][-1:]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a Hadoop path or URI and the path within it, for tasks that stream files."""
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if re.match(r"\w+:", path) else f"file://{path}")

@@ -1,14 +1,13 @@
 import hashlib
 
-import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewright.llm import chat
+from pagewright.llm import chat, tokens
 from tests.llm.conftest import SMALL
 
-PIECES = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "|im_start|>", "a ", "é", "\n", "日本", "s>", "\\n"]), max_size=12).map("".join)
+PIECES = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "|im_start|>", "<|im_sep", "a ", "é", "\n", " ", "日本", "s>", "\\n", "|>"]), max_size=12).map("".join)
+ROWS = "conv_id long, turn long, role string, text string"
 
 
 @settings(max_examples=300, deadline=None)
@@ -19,17 +18,20 @@ def test_escapes_are_reversible(text):
     assert not any(c in got for c in chat.CONTROL)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\nb\\n"]), PIECES), max_size=6))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\nb\\n", "<|im_end|>"]), PIECES), max_size=6))
 def test_masks_cover_the_assistant_exactly(turns):
+    v = tokens.load(special=chat.MARKS)
     text, a, b = chat.render(turns)
     assert chat.parse(text) == turns
-    got = chat.tokenizer(chat.TOKENIZER).encode(text, add_special_tokens=False)
-    starts, ends = chat.token_spans(got.offsets, len(text))
-    mask, loss_from, loss_to = chat.loss_mask(starts, ends, a, b)
-    assert [chat.unescape(text[x:y]) for x, y in zip(loss_from, loss_to, strict=True)] == [t for r, t in turns if r == "assistant" and t]
-    plain = [any(s < e2 and s2 < e for s2, e2 in zip(a, b, strict=True)) for s, e in zip(starts, ends, strict=True)]
-    assert [m for m, s, e in zip(mask.tolist(), starts, ends, strict=True) if e > s] == [m for m, s, e in zip(plain, starts, ends, strict=True) if e > s]
+    ids = v.encode_marked(text)
+    ends = v.ends(ids)
+    assert v.decode(ids.tolist()) == text.encode()
+    mask = chat.loss_mask(ends, a, b)
+    assert chat.masked_texts(text.encode(), ends, mask) == [t for r, t in turns if r == "assistant" and t]
+    spans = list(zip([0, *ends], ends, strict=False))
+    assert mask.tolist() == [any(s < e2 and s2 < e for s2, e2 in zip(a, b, strict=True)) for s, e in spans]
+    assert not any(m and k in v.special.values() for m, k in zip(mask.tolist(), ids.tolist(), strict=True))
 
 
 def expected(turns):
@@ -48,24 +50,24 @@ def test_whole_table(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, 2, "assistant", None), (1, 1, None, "x"), (None, 1, "user", "hi"), (2, None, "assistant", "é" * 70_000), (2, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "</s>[INST] ok [/INST]")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS formatted", "2 AS loss_from")
-    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
-    assert set(got) == {1, 2, None}
+    rows = [(1, 2, "assistant", None), (1, 1, None, "x"), (None, 1, "user", "hi"), (None, 1, "user", "hi"), (2, None, "assistant", "é" * 70_000), (2, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "</s>[INST] ok [/INST]")]
+    df = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 AS formatted", "2 AS token_ids", "3 AS alone")
+    all_got = chat.digests(chat.format_conversations(df)).collect()
+    got = {r.conv_id: r for r in all_got}
+    assert len(all_got) == 4 and set(got) == {1, 2, None}
+    assert [r.turns_sha256 for r in all_got if r.conv_id is None] == [expected([("user", "hi")])[1]] * 2
     assert (got[1].n_turns, got[1].turns_sha256) == expected([(None, "x"), ("assistant", None)])[:2]
-    assert (got[2].n_turns, got[2].loss_chars, got[2].loss_sha256) == (3, 70_042, expected([("assistant", "é" * 70_000)] + [("assistant", rows[4][3])] * 2)[3])
+    assert (got[2].n_turns, got[2].loss_chars, got[2].loss_sha256) == (3, 70_042, expected([("assistant", "é" * 70_000)] + [("assistant", rows[5][3])] * 2)[3])
     assert chat.digests(chat.format_conversations(df.where("false"))).count() == 0
 
 
-def test_token_ids_are_those_of_the_text(spark):
-    rows = spark.createDataFrame([(1, 1, "user", "What?"), (1, 2, "assistant", "So it is")], "conv_id long, turn long, role string, text string")
-    got = chat.format_conversations(rows).first()
-    assert got.token_ids == chat.tokenizer(chat.TOKENIZER).encode(got.formatted, add_special_tokens=False).ids
-    assert len(got.loss_mask) == len(got.token_ids) and 0 < sum(got.loss_mask) < len(got.loss_mask)
-    assert np.diff([got.loss_from, got.loss_to], axis=0).sum() == len("So it is")
-
-
-@pytest.mark.parametrize("size", [0, 5])
-def test_no_tokens(size):
-    starts, ends = chat.token_spans([], size)
-    assert len(starts) == len(ends) == 0
+def test_the_loss_digest_hangs_on_the_mask(spark):
+    rows = spark.createDataFrame([(1, 1, "user", "What?"), (1, 2, "assistant", "So it is ok.")], ROWS)
+    formatted = chat.format_conversations(rows)
+    got = formatted.first()
+    v = tokens.load(special=chat.MARKS)
+    assert v.decode([k for k, m in zip(got.token_ids, got.loss_mask, strict=True) if m]) == b"So it is ok."
+    whole = chat.digests(formatted).first()
+    flips = [(k, got.formatted, got.token_ids, got.token_ends, [m != (i == k) for i, m in enumerate(got.loss_mask)]) for k in range(len(got.loss_mask))]
+    changed = chat.digests(spark.createDataFrame(flips, chat.SCHEMA)).collect()
+    assert len(changed) == len(flips) and all(r.loss_sha256 != whole.loss_sha256 for r in changed)

@@ -42,9 +42,22 @@ def test_odd_rows(docs, no_docs):
     assert dedup_verdicts(no_docs).count() == drop_duplicates(no_docs).count() == 0
 
 
-def test_a_small_filter_changes_nothing(docs):
-    few = sorted(map(str, dedup_verdicts(docs, max_cells=exact_dedup.BLOCK).select("doc_id", "keep_id", "group_size").collect()))
+def test_hash_ranges_change_nothing(docs):
+    assert (exact_dedup.ranges(9, 32), exact_dedup.ranges(0, 32), exact_dedup.ranges(10**9)) == (3, 1, 60)
+    few = sorted(map(str, dedup_verdicts(docs, max_cells=32).select("doc_id", "keep_id", "group_size").collect()))
     assert few == sorted(map(str, dedup_verdicts(docs).select("doc_id", "keep_id", "group_size").collect()))
+    kept = drop_duplicates(docs, max_cells=32)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 7, 8, 9]
+
+
+def test_bit_arrays_count_to_two():
+    rng = np.random.default_rng(2)
+    once, twice, seen = np.zeros(32, np.uint8), np.zeros(32, np.uint8), np.zeros(256, int)
+    for _ in range(6):
+        cells = rng.integers(0, 256, 40)
+        exact_dedup.add(once, twice, cells)
+        np.add.at(seen, cells, 1)
+        assert (np.unpackbits(once) == (seen > 0)).all() and (np.unpackbits(twice) == (seen > 1)).all()
 
 
 def test_the_filter_has_no_false_negatives():

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from pagewright.llm import tokens
 from pagewright.llm.packing import best_fit, pack, sequences
 from tests.llm.conftest import SMALL
 
@@ -47,15 +48,22 @@ def holds(rows, capacity):
     return bins
 
 
+def decoded(rows):
+    """Each document's text from its pieces' token ids."""
+    v, ids = tokens.load(), defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.piece):
+        assert len(r.token_ids) == r.n_tokens
+        ids[r.doc_id] += r.token_ids
+    return {k: v.decode(x).decode() for k, x in ids.items()}
+
+
 @pytest.mark.parametrize("shard_rows", [4096, 50])
 def test_whole_table(spark, shard_rows):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = pack(docs, 512, shard_rows).collect()
     holds(rows, 512)
-    tokens = defaultdict(int)
-    for r in rows:
-        tokens[r.doc_id] += r.n_tokens
-    assert tokens == {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    found = decoded(rows)
+    assert found == {r.doc_id: r.text for r in docs.collect()}
     if shard_rows == 4096:
         part = [r for r in sorted(rows, key=lambda r: (-r.n_tokens, r.doc_id, r.piece)) if 0 < r.n_tokens < 512]
         want = plain_best_fit([r.n_tokens for r in part], [r.source for r in part], [r.cluster for r in part], 512)
@@ -68,8 +76,17 @@ def test_odd_rows(docs, no_docs):
     rows = packed.collect()
     bins = holds(rows, 1000)
     assert sorted(str(r.doc_id) for r in rows if r.bin_id is None) == ["3", "4"]
-    assert sum(r.n_tokens for r in rows if r.doc_id == 7) == 50_000
+    assert decoded([r for r in rows if r.doc_id == 7]) == {7: "x " * 50_000}
     eights = [r.bin_id for r in rows if r.doc_id == 8]
     assert len(eights) == 2 and len(set(eights)) == 2
-    assert sequences(packed).count() == len(bins)
+    for r in sequences(packed).collect():
+        own = sorted(bins[r.bin_id], key=lambda p: p.bin_offset)
+        assert r.token_ids == [k for p in own for k in p.token_ids] and r.n_tokens == len(r.token_ids)
+        assert [(p.doc_id, p.bin_offset) for p in r.pieces] == [(p.doc_id, p.bin_offset) for p in own]
     assert pack(no_docs).count() == 0
+
+
+def test_one_source_gives_a_bin_a_piece(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    rows = pack(docs, 100).collect()
+    assert len({r.bin_id for r in rows}) == len(rows) == 300

@@ -6,7 +6,7 @@ from pagewright.llm import mixing
 from pagewright.llm.shared import written
 from tests.llm.conftest import SMALL
 from tests.llm.test_mixing import plain_mix
-from tests.llm.test_packing import holds
+from tests.llm.test_packing import decoded, holds
 from tests.llm.test_simhash import classes, plain_fingerprint
 
 
@@ -33,13 +33,28 @@ def test_stages_match_brute_force(spark):
     assert single.columns == columns and set(rows(single)) == set(ids.values())
 
     mixed = written(mix(spark, single, SMALL), "test")
-    plain = [tuple(r) for r in single.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns().items()]).collect()]
-    drawn = {r[0] for r, n in zip(plain, plain_mix(plain, corpus_pipeline.SHARE, 1, corpus_pipeline.SEED, mixing.WEIGHTS), strict=True) if n}
-    assert mixed.columns == columns and set(rows(mixed)) == drawn
+    count = mixing.vocabulary_tokens(spark)
+    plain = [tuple(r) for r in single.select("doc_id", *[c.alias(n) for n, c in mixing.leaf_columns(count=count).items()]).collect()]
+    want = {r[0]: n for r, n in zip(plain, plain_mix(plain, corpus_pipeline.SHARE, 1, corpus_pipeline.SEED, mixing.WEIGHTS), strict=True) if n[0]}
+    got, before = rows(mixed), rows(single)
+    assert mixed.columns == columns and set(got) == set(want)
+    for k, (_, prefix) in want.items():
+        assert (got[k] == before[k]) if prefix is None else (before[k].text.startswith(got[k].text) and got[k].n_chars == len(got[k].text))
 
     packed = pack(spark, mixed, SMALL).collect()
     holds(packed, 2048)
-    assert {r.doc_id for r in packed} == drawn
+    assert decoded(packed) == {k: r.text or "" for k, r in got.items()}
+
+
+def test_odd_rows_go_through_all_stages(spark, docs):
+    rows = docs.unionByName(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = written(stage(spark, rows, SMALL), "test")
+        assert rows.columns == docs.columns, name
+    left = sorted((r.doc_id for r in rows.collect() if r.doc_id is not None))
+    assert set(left) <= {2, 4, 7, 8, 9} and len(left) == len(set(left))
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows.collect()}
 
 
 def test_run_and_empty_input(spark):
