@@ -2,10 +2,12 @@
 
 Only distinct fingerprints are compared. Two that differ in at most three of 64 bits agree on all bits of b - 3 out of b
 blocks, so equal bits of such blocks deal the fingerprints into buckets (b follows their number, so that a bucket stays
-small at any size). Within a bucket, sorted by population count, runs are compared exactly with numpy's exclusive-or and
-bit counts; rows whose population counts differ beyond the radius are never met. Buckets over ``HOT`` rows are cut into
-tiles by population count and hash; each pair of tiles within the radius is a group of its own, others are skipped. A task
-returns a spanning forest of the links it found, never all pairs; star contractions join the forests into components.
+small at any size). Every bucket is compared by tiles: a bucket of at most ``TILE`` rows is one tile; a larger one is cut by
+population count and hash, and each pair of its tiles that lie within the radius is a group of its own, others are skipped. A
+bucket has at most ``CUTS`` tiles in a band of population counts, so that its rows are multiplied by a fixed number at most
+and the tiles grow instead. Within a group, rows sorted by population count are compared ``STEP`` by ``STEP`` with numpy's
+exclusive-or and bit counts, and pairs of steps whose population counts differ beyond the radius are skipped. A task returns
+a spanning forest of the links it found, never all pairs; star contractions join the forests into components.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; null ids are no smallest id (a
 component of null ids has a null one); repeated rows are rows of one class; an empty table gives an empty result; other
@@ -24,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import free_name, utf8, written
+from pagewright.llm.shared import free_name, only_last, utf8, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-HOT = 2048
 TILE = 2048
+STEP = 1024
+CUTS = 64
 BUCKET = 128
 LANES = np.uint64(0x0101010101010101)
 EDGE_SCHEMA = "u long, v long"
@@ -99,34 +102,21 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def run_links(bucket: np.ndarray, pc: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of links within buckets; rows sorted by bucket and population count."""
-    x, at, d = fp.view(np.uint64), np.arange(len(fp)), 1
-    us, vs, held = [], [], 0
-    while len(at):
-        at = at[at + d < len(fp)]
-        at = at[(bucket[at] == bucket[at + d]) & (pc[at + d] - pc[at] <= RADIUS)]
-        hit = at[np.bitwise_count(x[at] ^ x[at + d]) <= RADIUS]
-        us, vs, held, d = [*us, fp[hit]], [*vs, fp[hit + d]], held + len(hit), d + 1
-        if held > 1 << 19:
-            u, v = forest(np.concatenate(us), np.concatenate(vs))
-            us, vs, held = [u], [v], len(u)
-    return forest(np.concatenate(us), np.concatenate(vs)) if us else (fp[:0], fp[:0])
-
-
-def tile_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of links within a pair of tiles: searched breadth first, so that what is reached is not compared again."""
-    left, us, vs = np.unique(fp).view(np.uint64), [], []
-    while len(left):
-        root, left, front = left[0], left[1:], left[:1]
-        while len(front) and len(left):
-            near = np.zeros(len(left), bool)
-            for k in range(0, len(front), 64):
-                near |= (np.bitwise_count(front[k : k + 64, None] ^ left[None, :]) <= RADIUS).any(axis=0)
-            front, left = left[near], left[~near]
-            us.append(front.view(np.int64))
-            vs.append(np.full(len(front), root, np.uint64).view(np.int64))
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fp[:0], fp[:0])
+def tile_links(pc: np.ndarray, fp: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of links among rows sorted by population count."""
+    x, us, vs, held = fp.view(np.uint64), [], [], 0
+    for a in range(0, len(x), step):
+        last = pc[min(a + step, len(x)) - 1]
+        for b in range(a, len(x), step):
+            if pc[b] - last > RADIUS:
+                break
+            near = np.bitwise_count(x[a : a + step, None] ^ x[None, b : b + step]) <= RADIUS
+            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+            us, vs, held = [*us, fp[a + i]], [*vs, fp[b + j]], held + len(i)
+            if held > 1 << 19:
+                u, v = forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [u], [v], len(u)
+    return forest(np.concatenate(us), np.concatenate(vs)) if held else (fp[:0], fp[:0])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
@@ -152,27 +142,24 @@ def _batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _run_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, pc, fp in _whole_groups(batches):
-        yield _batch(*run_links(bucket, pc, fp))
-
-
 def _tile_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group, fp in _whole_groups(batches, 1):
+    for group, pc, fp in _whole_groups(batches):
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
-            yield _batch(*tile_links(fp[a:b]))
+        ends = np.append(starts[1:], len(group))
+        met = ends - starts > 1
+        found = [tile_links(pc[a:b], fp[a:b]) for a, b in zip(starts[met].tolist(), ends[met].tolist(), strict=True)]
+        if found:
+            yield _batch(np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found]))
 
 
-def links(nodes: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, tile: int = TILE, most: int = CUTS) -> DataFrame:
     """A forest of all links between distinct fingerprints (column fp): u and v, u's component holding v."""
     masks = bucket_masks(nodes.count())
     # a bucket's name is the hash of its table and bits: two that share one only meet in it, and every link is tested
     dealt = nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])).alias("bucket"))
-    large = written(dealt.groupBy("bucket").count().where(F.col("count") > hot), "simhash-large")
+    large = written(dealt.groupBy("bucket").count().where(F.col("count") > tile), "simhash-large")
     marked = dealt.join(large, "bucket", "left").withColumn("pc", F.bit_count("fp").cast("int"))
-    runs = marked.where("count IS NULL").select("bucket", "pc", "fp").repartition("bucket").sortWithinPartitions("bucket", "pc").mapInArrow(_run_edges, EDGE_SCHEMA)
-    band, cuts = F.floor(F.col("pc") / (RADIUS + 1)), F.ceil(F.col("count") / tile).cast("int")
+    band, cuts = F.floor(F.col("pc") / (RADIUS + 1)), F.least(F.ceil(F.col("count") / tile), F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("fp"), cuts).cast("int")
     others = F.sequence(F.lit(0), cuts - 1)
     pairs = F.concat(
@@ -180,8 +167,9 @@ def links(nodes: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
         F.transform(others, lambda k: F.xxhash64("bucket", "band", F.col("band") + 1, "own", k)),
         F.transform(others, lambda k: F.xxhash64("bucket", F.col("band") - 1, "band", k, "own")),
     )
-    tiles = marked.where("count IS NOT NULL").withColumns({"band": band, "own": own}).select(F.explode(pairs).alias("pair"), "fp").repartition("pair").sortWithinPartitions("pair").mapInArrow(_tile_edges, EDGE_SCHEMA)
-    return runs.unionByName(tiles)
+    whole = marked.where("count IS NULL").select(F.col("bucket").alias("tiles"), "pc", "fp")
+    cut = marked.where("count IS NOT NULL").withColumns({"band": band, "own": own}).select(F.explode(pairs).alias("tiles"), "pc", "fp")
+    return whole.unionByName(cut).repartition("tiles").sortWithinPartitions("tiles", "pc").mapInArrow(_tile_edges, EDGE_SCHEMA)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,11 +194,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, tile: int = TILE) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, most: int = CUTS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest id reachable by links)."""
     rows = written(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    roots = written(components(links(nodes.select("fp"), hot, tile)), "simhash-roots")
+    with only_last(docs.sparkSession):
+        roots = written(components(links(nodes.select("fp"), tile, most)), "simhash-roots")
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named.select("fp", "root", "least_id"), "simhash-named")
     ids = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-ids")

@@ -1,25 +1,29 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
 Components become integers, floor(64 x). Candidates are dealt into blocks of about ``BLOCK`` rows; a block's index has a
-posting segment for each dimension and integer level: the rows at that level. A query's impact on a segment is its own
-component times the level. Segments are processed by descending impact, adding to accumulators. Once all segments with an
-impact above t are done, a row's score is at most its accumulator plus what dimensions it was not yet met in can add, each
-at most t and its own highest impact; rows below the k-th best exact score found so far are out, by proof. Processing stops
-when few rows are left, or at impact zero, where no segment can add any more. All rows left are scored exactly, so the result is
-exact whatever was skipped. Queries meet blocks of rows as blocks; a task returns k rows for each query and block.
+posting segment for each dimension and integer level: the rows at that level, so a query's impact on a segment is its own
+component times the level, positive or negative. Segments are processed in bands of descending impact, adding to
+accumulators. Once all segments with an impact above t are done, a row's score is at most its accumulator plus t for each
+dimension it was not yet met in; negative impacts count too, so this bound falls below the accumulators. Rows whose bound is
+below the k-th best exact score found so far are out, by proof. Processing stops when at most ``FEW`` of the rows are left,
+and those are scored exactly, so the result is exact whatever was skipped.
+
+The first block is searched for all queries before the others, which begin with its k-th best scores. A group of a task is
+one block and at most ``QUERY_BLOCK`` queries; it returns k rows for each query.
 
 Rows with an integer of ``FAR`` or more in size stay out of a block's postings and are all scored exactly, in Python integers
 where 64 bits may not hold a sum.
 
-Defined cases: null vectors, those with null or non-finite components, and those with a component whose integer doesn't fit
-a long (2^57 or more in size) take no part; a score beyond a long counts as the nearest long; null ids are no queries and no candidates; vectors of other lengths are filled up with zeros; rows with the
-query's id are its own, copies too; repeated rows are candidates of their own; a query id with different vectors gets a
-list for each; an empty table gives an empty result; other columns are not read.
+Defined cases: null vectors and those with null or non-finite components take no part; a score beyond a long counts as the
+nearest long, and a component whose 64-fold is beyond a double as the nearest double; null ids are no queries and no
+candidates; vectors of other lengths are filled up with zeros; rows with the query's id are its own, copies too; repeated
+rows are candidates of their own; a query id with different vectors gets a list for each; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -31,142 +35,149 @@ from pagewright.llm.shared import written
 SCALE = 64
 BLOCK = 16384
 QUERY_BLOCK = 1024
-STEPS = (0.6,)
-FEW = 0.02
+#: Shares of a block's postings after which rows are ruled out.
+SHARES = (0.1, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+FEW = 0.08
 #: An accumulator holds the sum of a row's impacts times this, plus the number of dimensions it was met in.
 PLACE = 4096
 FAR = 2**24
-SCHEMA = "query_id long, query_key long, vec_id long, score long"
+FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of long) of the rows that take part."""
-    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < 2.0**63))
-    return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    """vec_id and v (integers, as doubles so that any finite component fits) of the rows that take part."""
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    most = F.lit(sys.float_info.max)
+
+    def whole(x):
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, most), -most))
+
+    return embeddings.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), whole).alias("v"))
 
 
 def _scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact scores, clipped to longs."""
-    if vectors.shape[1] * int(np.abs(vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) < 2**63:
-        return vectors @ query
-    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in vectors.astype(object) @ query.astype(object)], np.int64)
+    if vectors.shape[1] * np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) < 2**53:
+        return (vectors @ query).astype(np.int64)
+    q = [int(x) for x in query]
+    return np.array([min(max(sum(a * int(b) for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1) for v in vectors.tolist()], np.int64)
 
 
 class Index:
-    """The posting segments of a block of vectors."""
+    """The posting segments of a block of integer vectors (held as doubles)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        vectors = vectors.astype(float)
         far = np.abs(vectors).max(axis=1, initial=0) >= FAR
-        self.far_ids, self.far, ids, vectors = ids[far], vectors[far], ids[~far], vectors[~far]
-        self.ids, self.vectors, self.floats = ids, vectors, vectors.astype(float)
-        n, dims = vectors.shape
-        order = np.argsort(vectors, axis=0, kind="stable")
-        levels = np.take_along_axis(vectors, order, axis=0)
+        self.far_ids, self.far, self.ids, self.vectors = ids[far], vectors[far], ids[~far], np.ascontiguousarray(vectors[~far])
+        n, dims = self.vectors.shape
+        self.order = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)
+        self.levels = np.take_along_axis(self.vectors.T, self.order, axis=1)
         new = np.ones((dims, n), bool)
-        new[:, 1:] = levels.T[:, 1:] != levels.T[:, :-1]
+        new[:, 1:] = self.levels[:, 1:] != self.levels[:, :-1]
         start = np.flatnonzero(new.ravel())
         self.size = np.diff(np.append(start, n * dims))
         self.dim = start // max(n, 1)
-        self.level = levels.T.ravel()[start]
-        self.postings = np.split(np.ascontiguousarray(order.T).ravel(), start[1:])
-        self.largest = int(np.abs(vectors).max(initial=0))
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, ties to smaller ids."""
-        n = len(self.ids)
-        left = np.flatnonzero(self.ids != query_id)
-        if n > 4 * k:
-            left = self._possible(query_id, query, k)
+        self.level = self.levels.ravel()[start]
+        self.first = np.searchsorted(self.dim, np.arange(dims))
+        self.largest = float(np.abs(self.vectors).max(initial=0))
+        self.rescored = self.seen = 0
+
+    def top(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, ties to smaller ids. With ``least``, rows that score lower may be left out."""
+        query = query.astype(float)
+        left = self.possible(query_id, query, k, least)
+        self.rescored, self.seen = self.rescored + len(left), self.seen + len(self.ids)
         far = np.flatnonzero(self.far_ids != query_id)
-        ids, score = np.append(self.ids[left], self.far_ids[far]), np.append(self.exact(left, query), _scores(self.far[far], query))
+        ids, score = np.append(self.ids[left], self.far_ids[far]), np.append(_scores(self.vectors[left], query), _scores(self.far[far], query))
         best = np.lexsort((ids, ~score))[:k]
         return ids[best], score[best]
 
-    def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """The rows' scores; in floating point where that holds every partial sum exactly."""
-        if self._small(query):
-            scores = self.floats @ query.astype(float) if 4 * len(rows) > len(self.ids) else self.floats[rows] @ query.astype(float)
-            return (scores[rows] if len(scores) != len(rows) else scores).astype(np.int64)
-        return _scores(self.vectors[rows], query)
-
-    def _small(self, query: np.ndarray) -> bool:
-        dims = self.vectors.shape[1]
-        return dims < PLACE and dims * PLACE * self.largest * int(np.abs(query).max(initial=0)) < 2**53
-
-    def _possible(self, query_id: int, query: np.ndarray, k: int) -> np.ndarray:
+    def possible(self, query_id: int, query: np.ndarray, k: int, least: int | None) -> np.ndarray:
         """The rows that may be among the k best."""
         n, dims = self.vectors.shape
         other = self.ids != query_id
-        if not self._small(query):
+        if not n or dims >= PLACE or dims * PLACE * self.largest * np.abs(query).max(initial=0) >= 2**53:
             return np.flatnonzero(other)  # accumulators would not be exact
         impact = query[self.dim] * self.level
-        highest = np.zeros(dims, np.int64)
-        np.maximum.at(highest, self.dim, impact)
-        gains = np.flatnonzero(impact > 0)
-        order = gains[np.argsort(-impact[gains], kind="stable")]
+        order = np.argsort(-impact, kind="stable")
         done = np.cumsum(self.size[order])
-        both, at, least = np.zeros(n), 0, None
-        for share in (*STEPS, 1.0):
-            to = int(np.searchsorted(done, share * done[-1], "left")) + 1 if share < 1 and len(done) else len(order)
-            if to > at:
-                part = order[at:to]
-                both += np.bincount(np.concatenate([self.postings[k] for k in part.tolist()]), np.repeat(impact[part] * float(PLACE) + 1, self.size[part]), n)
-                at = to
-            t = int(impact[order[at]]) if at < len(order) else 0
+        both, met = np.zeros(n), np.zeros(dims, np.int64)
+        for share in SHARES:
+            at = int(np.searchsorted(done, share * done[-1], "left"))
+            t = impact[order[min(at, len(order) - 1)]]
+            now = np.add.reduceat(np.where(impact >= t, self.size, 0), self.first)
+            rows, adds = [], []
+            for d in np.flatnonzero(now > met).tolist():
+                band = slice(n - now[d], n - met[d]) if query[d] > 0 else slice(met[d], now[d])
+                rows.append(self.order[d, band])
+                adds.append(self.levels[d, band] * (query[d] * PLACE) + 1)
+            if rows:
+                both += np.bincount(np.concatenate(rows), np.concatenate(adds), n)
+            met = now
             sums = np.floor(both / PLACE)
-            if least is None or share == 1.0:
+            below = impact[impact < t].max(initial=-np.inf)
+            if share == SHARES[0] or below == -np.inf:
                 seeds = np.flatnonzero(other)
                 seeds = seeds[np.argpartition(-sums[seeds], 4 * k)[: 4 * k]] if len(seeds) > 4 * k else seeds
-                found = np.sort(self.exact(seeds, query))[::-1][:k]
-                if len(found) < k:
-                    return np.flatnonzero(other)
-                least = found[-1] if least is None else max(least, found[-1])
-            bound = sums - (both - sums * PLACE) * t + np.minimum(highest, t).sum() if t else sums
+                found = np.sort(_scores(self.vectors[seeds], query))[::-1][:k]
+                if len(found) == k:
+                    least = int(found[-1]) if least is None else max(least, int(found[-1]))
+            if least is None:
+                continue
+            unmet = dims - (both - sums * PLACE)
+            bound = sums + unmet * below if below > -np.inf else sums
             left = np.flatnonzero(other & (bound >= least))
             if len(left) <= max(4 * k, FEW * n):
-                break
-        return left
+                return left
+        return np.flatnonzero(other) if least is None else left
 
 
-def _vectors(lists: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and a matrix from a list of structs."""
-    rows = lists.flatten()
-    ids, v = rows.field(0).to_numpy(), rows.field(1)
-    sizes = np.diff(v.offsets.to_numpy())
-    out = np.zeros((len(ids), dims), np.int64)
-    out[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)] = v.flatten().to_numpy()
-    return ids, out
+def _vectors(v: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """A matrix from lists of doubles, filled up with zeros."""
+    lists = v.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), dims))
+    out[np.repeat(np.arange(len(lists)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
+    return out
 
 
 def _search(k: int, dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = index = None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block = batch.column(0)[r].as_py()
-                if block != name:
-                    name, index = block, Index(*_vectors(batch.column(1).slice(r, 1), dims))
-                ids, vectors = _vectors(batch.column(2).slice(r, 1), dims)
-                keys = batch.column(2).slice(r, 1).flatten().field(2).to_numpy()
-                found = [index.top(q, v, k) for q, v in zip(ids.tolist(), vectors, strict=True)]
-                sizes = [len(a) for a, _ in found]
-                cols = [np.repeat(ids, sizes), np.repeat(keys, sizes), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_key", "vec_id", "score"])
+    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        ids, keys, least = asks.column("query_id").to_numpy(), asks.column("query_key").to_numpy(), asks.column("least").to_pylist()
+        index = Index(rows.column("vec_id").to_numpy(), _vectors(rows.column("v"), dims)) if rows.num_rows else None
+        found = [index.top(q, v, k, b) for q, v, b in zip(ids.tolist(), _vectors(asks.column("v"), dims), least, strict=True)] if index else []
+        sizes = [len(a) for a, _ in found]
+        none = np.zeros(0, np.int64)
+        cols = [np.repeat(ids[: len(sizes)], sizes), np.repeat(keys[: len(sizes)], sizes), np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b for _, b in found]])]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_key", "vec_id", "score"])
 
     return run
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of each query. Both sides: vec_id and v."""
-    candidates = written(candidates.select("vec_id", "v"), "topk-rows")
-    queries = written(queries.select("vec_id", "v").distinct(), "topk-queries")
+    asks = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_key"), "v").distinct()
+    asks = written(asks, "topk-queries")
     seen = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks, query_blocks, dims = max(1, -(-seen.n // block)), max(1, -(-asked.n // query_block)), max(1, seen.d or 1, asked.d or 1)
-    key = F.xxhash64("vec_id", "v")
-    packed = candidates.groupBy(F.pmod(key, F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    asking = queries.groupBy(F.pmod(key, F.lit(query_blocks)).alias("part")).agg(F.collect_list(F.struct("vec_id", "v", F.xxhash64("v").alias("key"))).alias("asks"))
-    pairs = asking.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "asks").join(packed, "block").select("block", "rows", "asks")
-    found = pairs.mapInArrow(_search(k, dims), SCHEMA)
+    asked = asks.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks, dims = max(1, -(-seen.n // block)), max(1, seen.d or 1, asked.d or 1)
+    busy = 2 * candidates.sparkSession.sparkContext.defaultParallelism  # fewer queries a group while there are few groups
+    dealt = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
+    rows = written(candidates.select("vec_id", "v", dealt.alias("block")), "topk-rows")
+
+    def search(own: DataFrame, asking: DataFrame, first: int, last: int) -> DataFrame:
+        """The ``k`` best of each query in each of the blocks from ``first`` to ``last``."""
+        parts = max(1, -(-asked.n // query_block), min(-(-asked.n // 32), busy // (last - first + 1)))
+        each = own.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        met = asking.select("query_id", "query_key", "v", "least", F.pmod(F.xxhash64("query_id", "query_key"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<long>")).alias("block"))
+        return each.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInArrow(_search(k, dims), FOUND)
+
+    found = written(search(rows.where("block = 0"), asks.withColumn("least", F.lit(None).cast("long")), 0, 0), "topk-first")
+    if blocks > 1:
+        least = found.groupBy("query_id", "query_key").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+        rest = search(rows.where("block > 0"), asks.join(least, ["query_id", "query_key"], "left"), 1, blocks - 1)
+        found = found.unionByName(rest)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -39,17 +39,29 @@ def test_fingerprint(text):
     assert fingerprint(text.encode()) & (1 << 64) - 1 == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize(("hot", "tile"), [(2048, 2048), (3, 4)])
-def test_classes_match_all_pairs(spark, hot, tile):
+@pytest.mark.parametrize(("tile", "most"), [(2048, 64), (3, 64), (2, 2)])
+def test_classes_match_all_pairs(spark, tile, most):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     fps = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
-    got = {r.doc_id: r for r in near_duplicate_classes(docs, hot=hot, tile=tile).collect()}
+    got = {r.doc_id: r for r in near_duplicate_classes(docs, tile=tile, most=most).collect()}
     assert {k: r.fp & (1 << 64) - 1 for k, r in got.items()} == fps
     assert {k: r.component_id for k, r in got.items()} == classes(fps)
 
 
-@pytest.mark.parametrize(("hot", "tile"), [(2048, 2048), (8, 16)])
-def test_links_among_close_fingerprints(spark, hot, tile):
+@pytest.mark.parametrize("step", [1, 7, 1024])
+def test_tiles_skip_no_link(step):
+    rng = np.random.default_rng(8)
+    fp = np.unique(np.concatenate([np.bitwise_xor(x, np.left_shift(1, rng.integers(0, 63, 40))) for x in rng.integers(0, 2**63, 5)]))
+    pc = np.bitwise_count(fp)
+    order = np.argsort(pc, kind="stable")
+    u, v = simhash.tile_links(pc[order].astype(np.int32), fp[order], step)
+    want = classes({int(x): int(x) for x in fp})
+    root = dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert {int(x): root.get(int(x), int(x)) for x in fp} == want
+
+
+@pytest.mark.parametrize(("tile", "most"), [(2048, 64), (8, 64), (8, 2)])
+def test_links_among_close_fingerprints(spark, tile, most):
     rng = np.random.default_rng(3)
     near = [int(rng.integers(2**63))] * 60
     for k in range(60):
@@ -57,7 +69,7 @@ def test_links_among_close_fingerprints(spark, hot, tile):
             near[k] ^= 1 << int(rng.integers(64))
     fps = {k: x for k, x in enumerate(dict.fromkeys(near + [int(x) for x in rng.integers(2**63, size=40)]))}
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps.values()]
-    got = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(spark.createDataFrame(signed, "fp long"), hot, tile)).collect()}
+    got = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(spark.createDataFrame(signed, "fp long"), tile, most)).collect()}
     want = classes(fps)
     for a in fps:
         for b in fps:

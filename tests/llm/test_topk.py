@@ -38,13 +38,47 @@ def test_index_with_ties_and_copies(seed):
 
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (None, [1.0, 1.0]), (20, [1.0]), (40, [-1e30, 1.0])]
-    df = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS rank"))
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (None, [1.0, 1.0]), (20, [1.0])]
+    df = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS rank", "3 AS least"))
     got = top_k(df.where("vec_id % 20 = 0"), df, 3).collect()
     assert sorted(map(tuple, got)) == sorted([(0, 1, 1, 64 * 32 + 128 * 32), (0, 2, 1, 64 * 32 + 128 * 32), (0, 3, 20, 64 * 64), (20, 1, 0, 64 * 64), (20, 2, 1, 64 * 32), (20, 3, 1, 64 * 32)])
     assert top_k(df.where("false"), df).count() == top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_any_finite_component_takes_part(spark):
+    rows = [(0, [-1e30, 1.0]), (1, [-1e30, 0.0]), (2, [1.0, 1.0]), (3, [1.7e308, 0.0])]
+    df = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.vec_id, r.score) for r in top_k(df.where("vec_id = 0"), df, 4).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (2, -(2**63)), (3, -(2**63))]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_few_rows_are_rescored(clustered):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(0, 8, (8000, 64))
+    if clustered:
+        vectors = rng.normal(0, 8, (40, 64))[rng.integers(0, 40, 8000)] + rng.normal(0, 2, (8000, 64))
+    vectors = np.floor(vectors)
+    index = Index(np.arange(8000), vectors)
+    for q in range(0, 400, 10):
+        scores = vectors @ vectors[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:20]
+        assert list(zip(*[x.tolist() for x in index.top(q, vectors[q], 20)], strict=True)) == [(i, -s) for s, i in want]
+    assert 0 < index.rescored < 0.1 * index.seen
+
+
+def test_a_known_bound_loses_nothing_above_it():
+    rng = np.random.default_rng(12)
+    vectors = rng.integers(-9, 10, (3000, 16))
+    index = Index(np.arange(3000), vectors)
+    for q in range(20):
+        want = index.top(q, vectors[q], 20)
+        for least in (int(want[1][-1]), int(want[1][5])):
+            got = index.top(q, vectors[q], 20, least)
+            keep = want[1] >= least
+            assert [x[: keep.sum()].tolist() for x in got] == [x[keep].tolist() for x in want]
+
+
 def test_large_components_take_part(spark):
     big = 2.0**18
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [big, 0.0]), (20, [big, -1.0]), (3, [2.0**40, 1.0]), (40, [-(2.0**50), 0.25])]
