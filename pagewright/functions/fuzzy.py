@@ -15,28 +15,44 @@ LETTER_DIGIT = {"O": "0", "o": "0", "Q": "0", "D": "0", "U": "0", "I": "1", "i":
 MAX_COST, MARGIN = 9, 3
 
 
-def digit_cost(left: Column, right: Column) -> Column:
-    pair = F.concat(F.least(left, right), F.greatest(left, right))
-    return F.when(left == right, SAME).when(pair.isin(*CONFUSABLE), CONFUSED).otherwise(DIFFERENT)
+def digit_table() -> list[int]:
+    """The costs of all pairs of digits, row by row."""
+    pairs = {frozenset(map(int, p)) for p in CONFUSABLE}
+    return [SAME if a == b else CONFUSED if frozenset((a, b)) in pairs else DIFFERENT for a in range(10) for b in range(10)]
+
+
+def misread_cost(left: Column, right: Column) -> Column:
+    """What it costs to take one digit for another; both are texts of one digit."""
+    return F.element_at(F.array(*map(F.lit, digit_table())), left.cast("int") * 10 + right.cast("int") + 1)
 
 
 def char_cost(char: Column, digit: Column) -> Column:
     """What it costs to have read ``char`` where ``digit`` is written."""
-    mapped = F.translate(char, "".join(LETTER_DIGIT), "".join(LETTER_DIGIT.values()))
-    return F.when(char.rlike("^[0-9]$"), digit_cost(char, digit)).when(mapped.rlike("^[0-9]$"), digit_cost(mapped, digit) + LETTER).otherwise(OTHER)
+    mapped = as_digits(char)
+    return F.when(char.rlike("^[0-9]$"), misread_cost(char, digit)).when(mapped.rlike("^[0-9]$"), misread_cost(mapped, digit) + LETTER).otherwise(OTHER)
 
 
 def weighted_hamming(left: str | Column, right: str | Column, size: int = 4) -> Column:
     """The digit costs of two numbers of ``size`` digits, summed."""
     out = F.lit(0)
     for k in range(1, size + 1):
-        out = out + digit_cost(F.substring(col(left), k, 1), F.substring(col(right), k, 1))
+        out = out + misread_cost(F.substring(col(left), k, 1), F.substring(col(right), k, 1))
     return out
 
 
-def reading_cost(text: str | Column, number: str | Column, size: int = 4) -> Column:
+def compacted(text: str | Column) -> Column:
+    """The characters of a reading that can stand for a digit or a letter."""
+    return F.regexp_replace(F.coalesce(col(text), F.lit("")), "[^A-Za-z0-9!|]", "")
+
+
+def as_digits(text: Column) -> Column:
+    """Letters as the digits they look like."""
+    return F.translate(text, "".join(LETTER_DIGIT), "".join(LETTER_DIGIT.values()))
+
+
+def best_window_cost(text: str | Column, number: str | Column, size: int = 4) -> Column:
     """The least cost of finding ``number`` in any ``size`` characters of ``text``; null for shorter texts."""
-    compact = F.regexp_replace(F.coalesce(col(text), F.lit("")), "[^A-Za-z0-9!|]", "")
+    compact = compacted(text)
 
     def at(k: Column) -> Column:
         out = F.lit(0)

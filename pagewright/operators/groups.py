@@ -72,8 +72,8 @@ def supported_values(df: DataFrame, keys: Sequence[str], value: str, evidence: s
 
 def rollup_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:
     """Counts by both, by either, and of all, in one pass of grouping sets."""
-    df.createOrReplaceTempView("pagewright_rollup")
-    return df.sparkSession.sql(f"SELECT {outer}, {inner}, CAST(grouping_id() AS INT) AS level, count(*) AS n FROM pagewright_rollup GROUP BY GROUPING SETS (({outer}, {inner}), ({outer}), ({inner}), ())")
+    sets = [[F.col(outer), F.col(inner)], [F.col(outer)], [F.col(inner)], []]
+    return df.groupingSets(sets, F.col(outer), F.col(inner)).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
 def run_wall(df: DataFrame, keys: Sequence[str], start: str, seconds: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.fuzzy import MARGIN, MAX_COST, reading_cost, weighted_hamming
+from pagewright.functions.fuzzy import CONFUSED, MARGIN, MAX_COST, as_digits, best_window_cost, compacted, weighted_hamming
 
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -32,26 +33,47 @@ def asof_nearest(df: DataFrame, keys: Sequence[str], number: str, date: str) ->
     return rows.withColumns({"dated": value, "method": method}).drop("known", "same", "left_known", "right_known")
 
 
-def blocked_nearest(df: DataFrame, reading: str, known: DataFrame, number: str, size: int = 4) -> DataFrame:
+def nearest_numbers(df: DataFrame, reading: str, known: DataFrame, number: str, size: int = 4) -> DataFrame:
     """The nearest known number of each distinct reading by ``weighted_hamming``, how many tie, and its cost.
 
-    ``known`` is a small dimension (Spark broadcasts it by its size); readings are compared once each, however often they occur.
+    Readings and numbers that aren't ``size`` digits don't take part, so there are at most 10 to that power of either. They
+    meet where they agree in all but two places. A number that differs in more costs at least three confusions, so a
+    reading with a cheaper match is settled; only the others are compared with all numbers.
     """
-    distinct = df.select(reading).where(F.col(reading).isNotNull()).distinct()
-    costs = distinct.join(known.select(number).distinct(), how="cross").withColumn("cost", weighted_hamming(reading, number, size))
-    best = costs.groupBy(reading).agg(F.min(F.struct("cost", number)).alias("best"), F.sort_array(F.collect_list("cost")).alias("costs"))
-    ties = F.size(F.filter("costs", lambda c: c == F.col("best.cost")))
-    return best.select(reading, F.col(f"best.{number}").alias(number), F.col("best.cost").alias("cost"), ties.alias("ties"))
+    digits = f"^[0-9]{{{size}}}$"
+    readings, numbers = df.select(reading).where(F.col(reading).rlike(digits)).distinct(), known.select(number).where(F.col(number).rlike(digits)).distinct()
+    kept = list(combinations(range(1, size + 1), max(size - 2, 0)))
+    keys = lambda c: F.array(*[F.concat(F.lit(f"{k}:"), *[F.substring(c, p, 1) for p in places]) for k, places in enumerate(kept)])
+    split = lambda rows, c: rows.select(c, F.explode(keys(c)).alias("_key"))
+    met = split(readings, reading).join(split(numbers, number), "_key").select(reading, number).distinct()
 
+    def nearest(pairs: DataFrame) -> DataFrame:
+        costs = pairs.withColumn("cost", weighted_hamming(reading, number, size)).groupBy(reading, "cost").agg(F.count("*").alias("ties"), F.min(number).alias(number))
+        best = costs.groupBy(reading).agg(F.min(F.struct("cost", number, "ties")).alias("best"))
+        return best.select(reading, F.col(f"best.{number}").alias(number), F.col("best.cost").alias("cost"), F.col("best.ties").cast("int").alias("ties"))
 
-def confident_match(df: DataFrame, text: str, known: DataFrame, number: str) -> DataFrame:
-    """The known number a reading points to without rival: cost within bounds and clearly below the next; null otherwise."""
+    close = nearest(met).where(F.col("cost") < 3 * CONFUSED)
+    far = readings.join(close, reading, "left_anti")
+    return close.unionByName(nearest(far.join(F.broadcast(numbers))))  # at most 10 to the power of size short texts
+
+
+def confident_match(df: DataFrame, text: str, known: DataFrame, number: str, size: int = 4) -> DataFrame:
+    """The known number a reading points to without rival: cost within bounds and clearly below the next; null otherwise.
+
+    What can match, or come near enough to a match to rival it, differs from some window of the reading in one place at
+    most, as two confusions cost more than both bounds together. So windows and numbers meet where all but one place agree.
+    """
     distinct = df.select(text).distinct()
-    costs = distinct.join(known.select(number).distinct(), how="cross").withColumn("cost", reading_cost(text, number))
-    ranked = costs.where(F.col("cost").isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(text).orderBy("cost", number))).where("r <= 2")
-    best = ranked.groupBy(text).agg(F.min(F.struct("cost", number)).alias("best"), F.max(F.when(F.col("r") == 2, F.col("cost"))).alias("second"))
-    ok = (F.col("best.cost") <= MAX_COST) & F.coalesce(F.col("second") - F.col("best.cost") >= MARGIN, F.lit(True))
-    return distinct.join(best, text, "left").select(text, F.when(ok, F.col(f"best.{number}")).alias("match"), F.when(ok, F.col("best.cost")).alias("match_cost"))
+    window = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_compact") - size + 1, F.lit(1))), lambda k: F.substr(F.col("_compact"), k, F.lit(size)))
+    windows = distinct.withColumn("_compact", compacted(text)).select(text, F.explode(window).alias("_window")).where(F.length("_window") == size).distinct()
+    keys = lambda c: F.array(*[F.concat(F.lit(f"{k}:"), F.substring(c, 1, k), F.substr(c, F.lit(k + 2), F.lit(size))) for k in range(size)])
+    left = windows.select(text, "_window", F.explode(keys(as_digits(F.col("_window")))).alias("_key"))
+    right = known.select(number).distinct().select(number, F.explode(keys(F.col(number))).alias("_key"))
+    costs = left.join(right, "_key").withColumn("cost", best_window_cost("_window", number, size)).groupBy(text, number).agg(F.min("cost").alias("cost"))
+    best = costs.groupBy(text).agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", number))), 1, 2).alias("best"))
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    ok = (first.cost <= MAX_COST) & F.coalesce(second.cost - first.cost >= MARGIN, F.lit(True))
+    return distinct.join(best, text, "left").select(text, F.when(ok, first[number]).alias("match"), F.when(ok, first.cost).alias("match_cost"))
 
 
 def fallback_join(left: DataFrame, right: DataFrame, steps: Sequence[tuple[str, Sequence[tuple[str, str]]]], payload: str) -> DataFrame:
@@ -164,3 +186,10 @@ def same_content(left: DataFrame, right: DataFrame, key: str, position: str, val
     met = left.select(key, position, F.col(value).alias("a")).join(right.select(key, position, F.col(value).alias("b")), [key, position])
     counts = met.groupBy(key).agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
     return counts.withColumn("verdict", F.when((F.col("agree") >= least) & (F.col("differ") == 0), "same").when(F.col("differ") > F.col("agree"), "other").otherwise("unclear"))
+
+
+def exact_or_partial(rows: DataFrame, cell: Column, text: str) -> DataFrame:
+    """Rows whose cell is ``text``; only if there are none, those whose cell holds it. ``exact`` says which."""
+    hits = rows.withColumns({"exact": cell == text, "_in": cell.contains(text)}).where("_in").drop("_in")
+    any_exact = hits.agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("_any"))
+    return hits.join(F.broadcast(any_exact)).where(F.col("exact") | ~F.col("_any")).drop("_any")  # one row

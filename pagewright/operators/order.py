@@ -131,6 +131,27 @@ def lost_tens(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str
     return df.withColumn("completed", F.coalesce(F.when(lost, nearest.day), F.col(day)))
 
 
+def fill_days_to_month_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], month: str, day: str) -> DataFrame:
+    """``df`` with ``filled_day``: a row with a month (its first day) but no day takes the last day that fits.
+
+    That is not after the next dated row's, if it is in the same month, and not before the last day read or filled since
+    the month began. What is filled counts for the rows after it; as all of them look at the same next dated row, the last
+    day read in the month's unbroken run of rows is all that they need.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    read = F.when(F.col(month).isNotNull(), F.col(day))
+    last_month = F.last(month, ignorenulls=True).over(w.rowsBetween(START, -1))
+    opens = (F.col(month).isNotNull() & ~F.col(month).eqNullSafe(last_month)).cast("int")
+    rows = df.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w.rowsBetween(START, 0)))
+    after = F.first(F.when(read.isNotNull(), F.struct(F.col(month).alias("m"), F.col(day).alias("d"))), ignorenulls=True).over(w.rowsBetween(1, END))
+    before = F.last(read, ignorenulls=True).over(Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(START, -1))
+    rows = rows.withColumns({"_after": after, "_before": before})
+    length = F.dayofmonth(F.last_day(month))
+    latest = F.least(length, F.when(F.col("_after.m") == F.col(month), F.col("_after.d")))
+    filled = F.coalesce(F.col(day), F.when(F.col(month).isNotNull(), F.least(length, F.greatest(latest, F.col("_before")))))
+    return rows.withColumn("filled_day", filled).drop("_opens", "_run", "_after", "_before")
+
+
 def strided_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 8) -> DataFrame:
     """Batches of at most ``size`` rows, each spread over the whole group: row i goes to batch i modulo the number of batches."""
     group = Window.partitionBy(*keys)

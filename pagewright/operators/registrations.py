@@ -51,10 +51,14 @@ def impose(pages: DataFrame, winners: DataFrame, book: str, number: str, confide
 
 
 def ranked_names(wanted: DataFrame, names: DataFrame, name: str, base: str, size: str) -> DataFrame:
-    """For each wanted name the one row that fits best: its exact name before its base name, then an equal size; null if several fit alike."""
-    want = wanted.select(F.col(name).alias("wanted"), F.col(base).alias("wanted_base"), F.col(size).alias("wanted_size"))
-    met = want.join(names, want.wanted_base == names[base])
-    met = met.withColumn("rank", F.when(F.col(name) == F.col("wanted"), 0).otherwise(2) + F.when(F.col(size) == F.col("wanted_size"), 0).otherwise(1))
-    best = met.groupBy("wanted", "rank").agg(F.count("*").alias("n"), F.min(name).alias("found"))
-    first = best.groupBy("wanted").agg(F.min_by(F.struct("n", "found"), "rank").alias("b"))
-    return want.select("wanted").distinct().join(first, "wanted", "left").select("wanted", F.when(F.col("b.n") == 1, F.col("b.found")).alias("found"))
+    """For each wanted name the one row that fits best: its exact name before its base name, then an equal size; null if several fit alike.
+
+    Candidates are counted by name and by base, with and without their size, so that no pairs are made.
+    """
+    want = wanted.select(F.col(name).alias("wanted"), F.col(base).alias("_base"), F.col(size).alias("_size")).distinct()
+    for k, (own, sized) in enumerate((("wanted", True), ("wanted", False), ("_base", True), ("_base", False))):
+        keys = {own: F.col(name if own == "wanted" else base)} | ({"_size": F.col(size)} if sized else {})
+        counts = names.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.struct(F.count("*").alias("n"), F.min(name).alias("found")).alias(f"_fit{k}"))
+        want = want.join(counts, list(keys), "left")
+    best = F.coalesce(*[F.col(f"_fit{k}") for k in range(4)])
+    return want.select("wanted", F.when(best.n == 1, best.found).alias("found"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import joins
@@ -39,7 +39,7 @@ def asof_date(spark: SparkSession, d: str) -> DataFrame:
     SELECT n AS reading, max(m) FILTER (rn = 1) AS number, max(cost) FILTER (rn = 1) AS cost, count(*)::INT AS ties FROM r WHERE k = 1 GROUP BY n
 """)
 def nearest_dim(spark: SparkSession, d: str) -> DataFrame:
-    return joins.blocked_nearest(readings(spark, d), "reading", fleet(spark, d), "number")
+    return joins.nearest_numbers(readings(spark, d), "reading", fleet(spark, d), "number")
 
 
 @query(f"""
@@ -147,16 +147,25 @@ def pending_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH r AS (SELECT doc_id, CASE WHEN lower(lang) = 'de' OR lower(source) = 'de' THEN 0 WHEN contains(lower(lang), 'de') OR contains(lower(source), 'de') OR contains(lower(text), 'de') THEN 1 END AS rank, CASE WHEN contains(lower(lang), 'de') THEN 'lang' WHEN contains(lower(source), 'de') THEN 'source' ELSE 'text' END AS found FROM documents)
-    SELECT doc_id, rank, found, row_number() OVER (ORDER BY rank, doc_id)::INT AS place FROM r WHERE rank IS NOT NULL ORDER BY rank, doc_id LIMIT 50
+    SELECT doc_id, rank, found FROM r WHERE rank IS NOT NULL
 """)
 def text_search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 best matches: exact cells before parts of cells, the first column that has them, in the table's order."""
+    """All matches: whole cells (0) before parts of cells (1), and the first column that has them."""
     cols = ["lang", "source", "text"]
     exact = (F.lower("lang") == "de") | (F.lower("source") == "de")
     inside = [F.lower(c).contains("de") for c in cols]
     rows = table(spark, d, "documents").select("doc_id", F.when(exact, 0).when(inside[0] | inside[1] | inside[2], 1).alias("rank"), F.when(inside[0], "lang").when(inside[1], "source").otherwise("text").alias("found"))
-    top = rows.where("rank IS NOT NULL").orderBy("rank", "doc_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("rank", "doc_id")))
+    return rows.where("rank IS NOT NULL").orderBy("rank", "doc_id")
+
+
+@query("""
+    WITH h AS (SELECT l_suppkey AS batch, l_orderkey::VARCHAR = '101' AS exact, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE contains(l_orderkey::VARCHAR, '101'))
+    SELECT batch, l_orderkey, l_linenumber, l_partkey, exact FROM h WHERE exact OR NOT EXISTS (SELECT 1 FROM h WHERE exact)
+""")
+def queue_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of all batches: the exact ones, or the partial ones if no batch has an exact one."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("batch"), "l_orderkey", "l_linenumber", "l_partkey")
+    return joins.exact_or_partial(rows, F.col("l_orderkey").cast("string"), "101")
 
 
 @query("""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.dates import years_outside_usual
 from pagewright.operators import order, sequences
 from pagewright.plans.grouped import BOOK_SQL, with_book
-from pagewright.plans.registry import query, table
+from pagewright.plans.registry import AS_OF, query, table
 
 BOOK = ["series", "half"]
 
@@ -132,27 +133,129 @@ def lost_tens(spark: SparkSession, d: str) -> DataFrame:
     return order.lost_tens(rows, BOOK, ["o_orderkey"], "dd").select("o_orderkey", "dd", "completed")
 
 
-@query()
+SAME = "{0}.series = {1}.series AND {0}.half = {1}.half"
+
+
+@query(f"""
+    WITH RECURSIVE r AS (
+        SELECT o_orderkey, series, half, row_number() OVER (PARTITION BY series, half ORDER BY o_orderkey) AS i, day(o_orderdate)::INT AS dd, date_trunc('month', o_orderdate)::DATE AS first, o_orderkey % 28 + 1 AS other, o_orderkey % 10 * 100000 AS strength
+        FROM (SELECT *, {BOOK_SQL} FROM orders)),
+    o AS MATERIALIZED (
+        SELECT series, half, i, first + (d - 1)::INT AS v, CASE WHEN d = dd THEN 0 ELSE strength + 10000 * abs(d - dd) + CASE WHEN d = other OR (dd < 10 AND d IN (dd + 10, dd + 20, dd + 30)) THEN 0 ELSE 500000 END END AS cost
+        FROM r, range(1, 32) t(d) WHERE d <= day(last_day(first))),
+    dp AS (
+        SELECT series, half, i, v, cost::HUGEINT AS total, NULL::DATE AS back FROM o WHERE i = 1
+        UNION ALL
+        SELECT series, half, i, v, CASE WHEN fits THEN cost + least ELSE cost END, CASE WHEN fits THEN back END
+        FROM (SELECT *, bool_or(least IS NOT NULL) OVER (PARTITION BY series, half) AS fits
+              FROM (SELECT o.series, o.half, o.i, o.v, o.cost, min(dp.total) FILTER (dp.v <= o.v) AS least, arg_min(dp.v, dp.total * 100000 + (dp.v - DATE '1970-01-01')) FILTER (dp.v <= o.v) AS back
+                    FROM dp JOIN o ON {SAME.format("o", "dp")} AND o.i = dp.i + 1 GROUP BY ALL))
+        WHERE NOT fits OR least IS NOT NULL),
+    best AS MATERIALIZED (SELECT series, half, i, arg_min(v, total * 100000 + (v - DATE '1970-01-01')) AS v FROM dp GROUP BY ALL),
+    chosen AS (
+        SELECT b.* FROM best b JOIN (SELECT series, half, max(i) AS i FROM r GROUP BY ALL) e ON {SAME.format("b", "e")} AND b.i = e.i
+        UNION ALL
+        SELECT c.series, c.half, c.i - 1, coalesce(d.back, b.v) FROM chosen c JOIN dp d ON {SAME.format("c", "d")} AND c.i = d.i AND c.v = d.v JOIN best b ON {SAME.format("c", "b")} AND b.i = c.i - 1)
+    SELECT o_orderkey, dd AS day, day(c.v)::INT AS repaired_day FROM r JOIN chosen c ON {SAME.format("r", "c")} AND r.i = c.i
+""")
 def day_repair_dp(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_book(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 10 / 10).alias("strength")), "o_orderkey")
-    return sequences.repair_days_by_book(rows, BOOK, ["o_orderkey"], "day", "strength")
+    """Dates that fall within a book repaired at the least cost; a row names one other day, and its day's tens if it has one digit."""
+    day = F.dayofmonth("day")
+    named = F.array_union(F.array((F.col("o_orderkey") % 28 + 1).cast("int")), F.when(day < 10, F.array(day + 10, day + 20, day + 30)).otherwise(F.array().cast("array<int>")))
+    rows = with_book(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 10 / 10).alias("strength")), "o_orderkey").withColumn("named", named)
+    return sequences.repair_days_by_book(rows, BOOK, ["o_orderkey"], "day", "strength", "named").select("o_orderkey", day.alias("day"), "repaired_day")
+
+
+@query(f"""
+    WITH RECURSIVE r AS (
+        SELECT o_orderkey, series, half, row_number() OVER (PARTITION BY series, half ORDER BY o_orderkey) AS i, o_orderdate::DATE AS day FROM (SELECT *, {BOOK_SQL} FROM orders)),
+    x AS MATERIALIZED (
+        SELECT series, half, i, k, v, c, greatest(DATE '1998-07-01' - v, v - DATE '{AS_OF}', 0) // 365 AS o
+        FROM (SELECT series, half, i, 0 AS k, day AS v, 0 AS c FROM r
+              UNION ALL SELECT series, half, i, 1, make_date(year(day), day(day), month(day)), 2 FROM r WHERE day(day) <= 12 AND day(day) <> month(day)
+              UNION ALL SELECT series, half, i, 2, make_date(year(day) - 1, month(day), day(day)), 1 FROM r WHERE o_orderkey % 3 = 0 AND strftime(day, '%m%d') <> '0229')),
+    dp AS (
+        SELECT series, half, i, k, v, [o, 0, c, 0, -1]::BIGINT[] AS m FROM x WHERE i = 1
+        UNION ALL
+        SELECT x.series, x.half, x.i, x.k, x.v, min([dp.m[1] + x.o, dp.m[2] + (x.v < dp.v)::INT, dp.m[3] + x.c, dp.m[4] + abs(x.v - dp.v), dp.k]::BIGINT[]) FROM dp JOIN x ON {SAME.format("x", "dp")} AND x.i = dp.i + 1 GROUP BY ALL),
+    read AS (SELECT series, half, count(*) AS n, sum(fall) AS falls, sum(o) AS outside FROM (SELECT *, (v < lag(v) OVER (PARTITION BY series, half ORDER BY i))::INT AS fall FROM x WHERE k = 0) GROUP BY ALL),
+    won AS (SELECT series, half, i, min([m[1], m[2], m[3], m[4], k]::BIGINT[]) AS m FROM dp GROUP BY ALL),
+    chosen AS (
+        SELECT w.series, w.half, w.i, w.m[5] AS k FROM won w JOIN read ON {SAME.format("w", "read")} AND w.i = read.n WHERE falls > 0 AND w.m[2] < falls AND (w.m[1] < outside OR (w.m[1] = outside AND w.m[2] < falls))
+        UNION ALL
+        SELECT c.series, c.half, c.i - 1, dp.m[5] FROM chosen c JOIN dp ON {SAME.format("c", "dp")} AND c.i = dp.i AND c.k = dp.k WHERE c.i > 1),
+    named AS (SELECT *, row_number() OVER (PARTITION BY series, half, i ORDER BY k) - 1 AS place FROM x)
+    SELECT o_orderkey, r.day, coalesce(x.v, r.day) AS chosen_day, coalesce(x.place, 0)::INT AS chosen FROM r LEFT JOIN chosen c ON {SAME.format("r", "c")} AND r.i = c.i LEFT JOIN named x ON {SAME.format("c", "x")} AND c.i = x.i AND c.k = x.k
+""")
+def sequence_dp(spark: SparkSession, d: str) -> DataFrame:
+    """A book's dates chosen among each row's readings: day and month the other way round, or the year before."""
+    day, as_of = F.col("day"), F.to_date(F.lit(AS_OF))
+    swapped = F.when((F.dayofmonth(day) <= 12) & (F.dayofmonth(day) != F.month(day)), F.make_date(F.year(day), F.dayofmonth(day), F.month(day)))
+    year_before = F.when((F.col("o_orderkey") % 3 == 0) & (F.date_format(day, "MMdd") != "0229"), F.add_months(day, -12))
+    options = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(v.alias("v"), F.lit(c).alias("c"))) for v, c in ((day, 0), (swapped, 2), (year_before, 1))]))
+    rows = with_book(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "o_orderkey").withColumn("x", options)
+    rows = rows.select("o_orderkey", *BOOK, "day", F.col("x.v").alias("options"), F.col("x.c").alias("changes"), F.transform("x.v", lambda v: years_outside_usual(v, as_of)).alias("outside"))
+    got = sequences.best_dates_by_book(rows, BOOK, ["o_orderkey"], "options", "changes", "outside")
+    return got.select("o_orderkey", "day", F.get("options", F.col("chosen")).alias("chosen_day"), "chosen")
+
+
+@query(f"""
+    WITH r AS (SELECT o_orderkey, series, half, date_trunc('month', CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END)::DATE AS m, CASE WHEN o_orderkey % 4 <> 1 THEN day(o_orderdate)::INT END AS d, o_orderkey // 3 AS n FROM (SELECT *, {BOOK_SQL} FROM orders)),
+    s AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY series, half ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT * REPLACE (make_date(1997, (1 + n % 12)::INT, 1) AS m) FROM r WHERE m IS NOT NULL UNION ALL SELECT * FROM r WHERE m IS NULL)),
+    t AS (SELECT *, sum((m IS NOT NULL AND m IS DISTINCT FROM p)::INT) OVER (PARTITION BY series, half ORDER BY o_orderkey) AS run,
+                 first_value(CASE WHEN m IS NOT NULL AND d IS NOT NULL THEN {{'m': m, 'd': d}} END IGNORE NULLS) OVER (PARTITION BY series, half ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM s),
+    u AS (SELECT *, last_value(CASE WHEN m IS NOT NULL THEN d END IGNORE NULLS) OVER (PARTITION BY series, half, run ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t)
+    SELECT o_orderkey, d AS day, CASE WHEN d IS NOT NULL OR m IS NULL THEN d ELSE least(day(last_day(m)), greatest(least(day(last_day(m)), CASE WHEN a.m = m THEN a.d ELSE 31 END), coalesce(b, 0)))::INT END AS filled_day FROM u
+""")
+def month_end_days(spark: SparkSession, d: str) -> DataFrame:
+    """Unread days filled with the last one that fits; three numbers in a row share a month."""
+    month = F.when(F.col("o_orderkey") % 13 != 0, F.make_date(F.lit(1997), (1 + F.floor(F.col("o_orderkey") / 3) % 12).cast("int"), F.lit(1)))
+    rows = with_book(table(spark, d, "orders").select("o_orderkey", month.alias("month"), F.when(F.col("o_orderkey") % 4 != 1, F.dayofmonth("o_orderdate")).alias("day")), "o_orderkey")
+    return order.fill_days_to_month_end(rows, BOOK, ["o_orderkey"], "month", "day").select("o_orderkey", "day", "filled_day")
 
 
-@query()
+@query("""
+    WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY series, half ORDER BY l_orderkey) AS i FROM (SELECT l_orderkey // 100 AS series, CASE WHEN l_orderkey % 100 < 50 THEN 'A' ELSE 'B' END AS half, l_orderkey, count(*) AS n_pages FROM lineitem GROUP BY ALL)),
+    p AS (
+        SELECT series, half, l_orderkey, i, 0::BIGINT AS part, n_pages // 20 AS after, CASE WHEN n_pages >= 20 THEN 0 ELSE n_pages END AS used FROM (SELECT * REPLACE (CASE WHEN n_pages >= 20 THEN n_pages + 19 ELSE n_pages END AS n_pages) FROM s) WHERE i = 1
+        UNION ALL
+        SELECT series, half, l_orderkey, i, part, CASE WHEN filled >= 20 THEN part + (filled + 19) // 20 ELSE part END, CASE WHEN filled >= 20 THEN 0 ELSE filled END
+        FROM (SELECT s.series, s.half, s.l_orderkey, s.i, p.after + (p.used > 0 AND p.used + s.n_pages > 20)::INT AS part, CASE WHEN p.used > 0 AND p.used + s.n_pages > 20 THEN 0 ELSE p.used END + s.n_pages AS filled
+              FROM p JOIN s ON p.series = s.series AND p.half = s.half AND s.i = p.i + 1))
+    SELECT p.series, p.half, p.l_orderkey, s.n_pages, part::INT AS part FROM p JOIN s USING (series, half, i)
+""")
 def pack_next_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("g"), "l_orderkey").agg(F.count("*").alias("n_pages"))
-    return sequences.pack_sections(rows, ["g"], ["l_orderkey"], "n_pages", 20)
+    """The sections of a book packed in order into parts of twenty pages."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_pages"))
+    return sequences.pack_sections(with_book(rows, "l_orderkey").select(*BOOK, "l_orderkey", "n_pages"), BOOK, ["l_orderkey"], "n_pages", 20)
 
 
-@query()
+@query("""
+    WITH r AS (SELECT o_orderkey // 200 AS file, o_orderkey + 3 * (o_orderkey // 20) AS page, o_orderkey % 11 = 0 AS blank,
+                      CASE WHEN o_orderkey % 6 > 1 AND o_orderkey % 11 <> 0 THEN o_orderkey - CASE WHEN o_orderkey % 400 >= 350 THEN 200 ELSE 0 END END AS number, CASE WHEN o_orderkey % 35 = 6 THEN '9999999' WHEN o_orderkey % 2 = 0 THEN '12' END AS reading FROM orders),
+    s AS (SELECT *, sum((page <> p + 1)::INT) OVER (PARTITION BY file ORDER BY page) AS seg FROM (SELECT *, lag(page) OVER (PARTITION BY file ORDER BY page) AS p FROM r)),
+    g AS (SELECT *, count(number) OVER (PARTITION BY file, seg ORDER BY page) AS grp FROM s WHERE NOT blank),
+    t AS (SELECT *, max(number) OVER (PARTITION BY file, seg, grp) AS before, max(CASE WHEN number IS NOT NULL THEN page END) OVER (PARTITION BY file, seg, grp) AS at_page, count(*) FILTER (number IS NULL) OVER (PARTITION BY file, seg, grp) AS n,
+                 row_number() OVER (PARTITION BY file, seg, grp ORDER BY page) - 1 AS k FROM g),
+    u AS (SELECT t.*, before + k AS new, first_value(number IGNORE NULLS) OVER (PARTITION BY file, seg ORDER BY page ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM t),
+    v AS (SELECT *, bool_and(new NOT IN (SELECT number FROM r WHERE number IS NOT NULL) AND coalesce(reading, '') <> '9999999') OVER (PARTITION BY file, at_page) AS ok FROM u WHERE number IS NULL AND before IS NOT NULL AND after - before = n + 1 AND before // 50 = after // 50),
+    w AS (SELECT *, dense_rank() OVER (PARTITION BY before ORDER BY file, at_page) AS first FROM v WHERE ok)
+    SELECT r.file, r.page, coalesce(r.number, w.new) AS filled FROM r LEFT JOIN w ON r.file = w.file AND r.page = w.page AND w.first = 1
+""")
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 200).cast("long").alias("file"), F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 6 > 1, F.col("o_orderkey")).alias("number"), F.col("o_orderkey").cast("string").alias("reading"))
-    return sequences.fill_gaps_by_book(rows, ["file"], "page", "number", "reading")
+    """Unread numbers between read ones: with blank pages, jumps, numbers that other files have, and readings of sevenfold nines that fit no number."""
+    n = F.col("o_orderkey")
+    number = F.when((n % 6 > 1) & (n % 11 != 0), n - F.when(n % 400 >= 350, 200).otherwise(0))
+    reading = F.when(n % 35 == 6, "9999999").when(n % 2 == 0, "12")
+    rows = table(spark, d, "orders").select(F.floor(n / 200).cast("long").alias("file"), (n + 3 * F.floor(n / 20)).cast("long").alias("page"), (n % 11 == 0).alias("blank"), number.alias("number"), reading.alias("reading"))
+    return sequences.fill_gaps(rows, ["file"], "page", "number", "reading", "blank").select("file", "page", "filled")
 
 
-@query()
+@query("""
+    SELECT user_id, list_reduce(list(value::DOUBLE ORDER BY event_id), lambda a, x: CASE WHEN x < a THEN x * 0.8::DOUBLE + a * (1 - 0.8::DOUBLE) ELSE x * 0.5::DOUBLE + a * (1 - 0.5::DOUBLE) END) AS pace FROM events WHERE value IS NOT NULL GROUP BY user_id
+""")
 def smoothed_pace(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.smoothed_pace(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    return sequences.smoothed_pace(table(spark, d, "events").select("user_id", "event_id", "value").where("value IS NOT NULL"), ["user_id"], "event_id", "value")
 
 
 @query("""

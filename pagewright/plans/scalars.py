@@ -52,7 +52,11 @@ def registrations_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", value.alias("registration"), quality.alias("quality"))
 
 
-@query()
+@query("""
+    WITH r AS (SELECT o_orderkey, lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS n FROM orders)
+    SELECT o_orderkey, 'HP' || translate(substr(n, 1, 2), '1507', 'ISOF') || substr(n, 3, 2) || 'CMP' AS reading, 'HP-' || n || CASE WHEN n = '1990' THEN 'WWP' ELSE 'CMP' END AS registration,
+           CASE WHEN regexp_matches(substr(n, 1, 2), '[1507]') THEN 'ambiguous' ELSE 'clean' END AS quality FROM r
+""")
 def registrations_noisy(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of which some digits were read as look-alike letters."""
     n = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
@@ -138,10 +142,18 @@ def name_distances(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.levenshtein(words[0], words[1]).cast("long").alias("edits"), conf.alias("confidence"), F.length(F.regexp_replace("p_name", "[^a-z]", "")).cast("long").alias("letters"))
 
 
-@query()
+@query("""
+    WITH subs AS (SELECT list_aggregate(list_transform(list_filter([1, 2, 3, 4, 5], lambda k: (m >> (k - 1)) & 1 = 1), lambda k: substr('SMALL', k, 1)), 'string_agg', '.*') AS pattern, bit_count(m)::INT AS n FROM range(0, 32) t(m)),
+    p AS (SELECT p_partkey, substr(p_type, 1, 5) AS t, 'HP' || p_partkey AS c FROM part),
+    l AS (SELECT p_partkey, max(n) AS lcs FROM p JOIN subs ON n = 0 OR regexp_matches(t, pattern) GROUP BY 1)
+    SELECT p_partkey, lcs, CASE WHEN length(c) >= 4 THEN list_min([list_sum([
+        CASE WHEN NOT regexp_matches(substr(c, k + i, 1), '[0-9]') THEN 14 WHEN substr(c, k + i, 1) = substr('1717', i, 1) THEN 0
+             WHEN least(substr(c, k + i, 1), substr('1717', i, 1)) || greatest(substr(c, k + i, 1), substr('1717', i, 1)) IN ('17', '27', '12', '14', '47', '49', '07', '38', '35', '58', '56', '68', '08', '06', '09') THEN 6 ELSE 10 END
+        FOR i IN [1, 2, 3, 4]]) FOR k IN range(0, length(c) - 3)])::INT END AS cost FROM p JOIN l USING (p_partkey)
+""")
 def common_subsequences(spark: SparkSession, d: str) -> DataFrame:
-    """Longest common subsequences of part types and months' names: no SQL function for it."""
-    return table(spark, d, "part").select("p_partkey", ff.lcs_length(F.substring("p_type", 1, 5), F.lit("SMALL")).alias("lcs"), ff.reading_cost(F.concat(F.lit("HP-"), F.col("p_partkey")), F.lit("1717")).alias("cost"))
+    """Longest common subsequences of part types and a word, and the cheapest windows of noisy numbers."""
+    return table(spark, d, "part").select("p_partkey", ff.lcs_length(F.substring("p_type", 1, 5), F.lit("SMALL")).alias("lcs"), ff.best_window_cost(F.concat(F.lit("HP-"), F.col("p_partkey")), F.lit("1717")).alias("cost"))
 
 
 @query("""
@@ -197,11 +209,11 @@ def rule_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders WHERE year(o_orderdate) < 1999
+    SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders
 """)
 def handwritten_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of the orders before 1999; ``handwritten_dates_whole`` takes all."""
-    return _handwritten(table(spark, d, "orders").where(F.year("o_orderdate") < 1999))
+    """Readings of all orders, 99, 00 and 01 among the years."""
+    return _handwritten(table(spark, d, "orders"))
 
 
 @query("""

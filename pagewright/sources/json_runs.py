@@ -29,9 +29,9 @@ def consolidated(pages: DataFrame, run: str, report: str, order: Sequence[str],
 
 
 def registry_json(df: DataFrame, key: str, value: str | Column) -> DataFrame:
-    """A registry as one sorted compact JSON map; one row per key."""
+    """A registry as compact JSON maps, one entry a row: no row grows with the registry, and a reader takes one map or many."""
     value = F.col(value) if isinstance(value, str) else value
-    return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value.alias("value")))))).alias("json"))
+    return df.where(F.col(key).isNotNull()).select(F.to_json(F.create_map(F.col(key), value)).alias("json"))
 
 
 def registry_rows(df: DataFrame, json: str, key_pattern: str, value_pattern: str) -> DataFrame:

@@ -69,9 +69,9 @@ def test_csv_reports(spark, tmp_path):
 
 
 def test_json_registries(spark):
-    df = spark.createDataFrame([('{"23159B":{"52":"2025-05-14","97":"2025-06-02"},"23159A":{"52":"2025-05-14"},"1A":{"3":"2999-01-01"},"2A":{"4":"2025-02-02","9":"2025-01-01"}}',), ("broken",)], "j string")
+    df = spark.createDataFrame([('{"70412B":{"61":"2024-03-09","88":"2024-04-17"},"70412A":{"61":"2024-03-09"},"3A":{"7":"2999-01-01"},"4A":{"2":"2024-08-08","6":"2024-07-07"}}',), ("broken",)], "j string")
     got = json_runs.date_registry_rows(df, "j", F.to_date(F.lit("2026-01-01"))).collect()
-    assert [(r.book, r.number) for r in got] == [("23159B", 52), ("23159B", 97)]
+    assert [(r.book, r.number) for r in got] == [("70412B", 61), ("70412B", 88)]
     index = spark.createDataFrame([('{"pdf":"a","paginas":[3,1]}',), ('{"partes":[{"pdf":"b","paginas":[2]}]}',)], "j string")
     assert sorted((r.pdf, r.place, r.page) for r in json_runs.page_index(index, "j").collect()) == [("a", 0, 3), ("a", 1, 1), ("b", 0, 2)]
 
