@@ -3,9 +3,10 @@
 The automaton holds every run of words of every template. A text's words stream through it: at each word it knows the
 longest run ending there that some template holds (the matching statistics), and a phrase ends at a word exactly when the
 phrase's state is an ancestor of the current one in the suffix-link tree. Long maximal matches are then chained, template by
-template, into spans in the template's order; a label is given when a chain covers enough of its template, and each further
-chain beside it that does is a span too. A word that no
-template holds resets the automaton, so only runs of known words are walked.
+template, into spans in the template's order, from every place of the template that a match may stand for; a label is given
+when a chain covers enough of its template, and each further chain beside it that does is a span too. Short notices are
+phrases, found like those that always count. A word that no template holds resets the automaton, so only runs of known words are
+walked.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score zero; texts are read whole; repeated
 rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -27,30 +28,73 @@ from pagewright.llm.shared import utf8
 #: The phrases that always count, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Well-known sentences of public licences, with their labels.
+#: Texts of public licences, or the notices that stand for long ones, with their labels.
 TEMPLATES = {
     "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ],
     "apache": [
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ],
     "gpl": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution"],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+    ],
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+    ],
 }
 
+#: Names of licences and their labels, the sentences that name one, and licence ids.
+NAMES = {
+    "MIT License": "mit", "Apache License": "apache", "GNU General Public License": "gpl", "GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl",
+    "Mozilla Public License": "mpl", "Eclipse Public License": "epl", "BSD License": "bsd", "ISC License": "isc", "Boost Software License": "boost", "zlib License": "zlib",
+}
+SENTENCES = ("licensed under the {}", "released under the {}", "distributed under the {}", "under the terms of the {}")
+IDS = {"MIT": "mit", "Apache-2.0": "apache", "GPL-2.0": "gpl", "GPL-3.0": "gpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "MPL-2.0": "mpl", "EPL-2.0": "epl", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "ISC": "isc", "BSL-1.0": "boost", "Zlib": "zlib", "Unlicense": "unlicense", "CC0-1.0": "cc0"}
+TERMS = {"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+VARIANTS = ((), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND"))
+VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+
+
+def notices() -> dict[str, list[str]]:
+    """Short notices by label: sentences that name a licence, SPDX lines, and the Creative Commons family by its terms and versions."""
+    out: dict[str, list[str]] = {}
+    for name, label in NAMES.items():
+        out.setdefault(label, []).extend(sentence.format(name) for sentence in SENTENCES)
+    for name, label in IDS.items():
+        out.setdefault(label, []).append(f"SPDX-License-Identifier: {name}")
+    for variant in VARIANTS:
+        label = "-".join(["cc-by", *(x.lower() for x in variant)])
+        short, long = "-".join(["BY", *variant]), "-".join(["Attribution", *(TERMS[x] for x in variant)])
+        for version in VERSIONS:
+            out.setdefault(label, []).extend([f"CC {short} {version}", f"Creative Commons {long} {version}"])
+    return out
+
+
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LONG = 5
 COVERED = 0.6
@@ -65,12 +109,12 @@ def words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """A generalised suffix automaton over words; state 0 is the root. ``places``: template and last word's position of some occurrence, one for each template that holds the state."""
+    """A generalised suffix automaton over words; state 0 is the root. ``places``: for each template that holds the state, the last word's position of all its occurrences."""
 
     step: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    places: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    places: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
     phrases: list[list[tuple[int, int]]] = field(default_factory=list)
 
     def _new(self, length: int, step: dict[bytes, int], link: int) -> int:
@@ -115,7 +159,7 @@ def build(templates: list[list[bytes]], phrases: list[list[bytes]]) -> Automaton
         for at, word in enumerate(run):
             state = up = a.step[state][word]
             while up > 0:
-                a.places[up].setdefault(t, at)
+                a.places[up].setdefault(t, []).append(at)
                 up = a.link[up]
     ends: dict[int, list[tuple[int, int]]] = {}
     for number, run in enumerate(phrases):
@@ -208,13 +252,18 @@ def chains(matches: list[tuple[int, int, int]], size: int, gap: int, least: floa
 
 
 class Scanner:
-    """Scans texts for templates and phrases. ``long``: least length of a match that is chained; ``covered``: share of a template that gives its label."""
+    """Scans texts for templates, phrases and notices. ``long``: least length of a match that is chained; ``covered``: share of a template that gives its label.
+
+    Notices are phrases too, found wherever they stand whole; they give spans and labels, but don't count as base.
+    """
 
-    def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str], long: int = LONG, covered: float = COVERED, gap: int = GAP):
+    def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str], short: dict[str, list[str]] | None = None, long: int = LONG, covered: float = COVERED, gap: int = GAP):
         runs = [(label, words(text.encode())) for label, texts in templates.items() for text in texts]
         self.template_labels, self.sizes = [x for x, _ in runs], [len(x) for _, x in runs]
-        self.phrase_labels = list(phrases.values())
-        self.a = build([x for _, x in runs], [words(x.encode()) for x in phrases])
+        also = [(label, text) for label, texts in (short or {}).items() for text in texts]
+        self.n_phrases = len(phrases)
+        self.phrase_labels = [*phrases.values(), *(label for label, _ in also)]
+        self.a = build([x for _, x in runs], [words(x.encode()) for x in [*phrases, *(text for _, text in also)]])
         self.known = frozenset(self.a.step[0])
         self.long, self.covered, self.gap = long, covered, gap
 
@@ -222,18 +271,22 @@ class Scanner:
         """n_words, n_base, first_word, last_word, base_labels, labels, score and spans."""
         run = words(text)
         stats = list(statistics(self.a, run, self.known))
-        n, first, last, base = 0, None, None, set()
+        n, first, last, base, spans = 0, None, None, set(), []
         for at, state, length in stats:
             for number, size in self.a.phrases[state]:
-                if size <= length:
-                    start = at - size + 1
+                if size > length:
+                    continue
+                start = at - size + 1
+                if number >= self.n_phrases:
+                    spans.append({"label": self.phrase_labels[number], "start": start, "end": at, "covered": 1.0})
+                else:
                     n, first, last = n + 1, start if first is None else min(first, start), start if last is None else max(last, start)
                     base.add(self.phrase_labels[number])
         by: dict[int, list[tuple[int, int, int]]] = {}
         for at, state, length in maximal(stats, self.long):
-            for t, end in self.a.places[state].items():
-                by.setdefault(t, []).append((at - length + 1, end - length + 1, length))
-        spans, score = [], 1.0 if base else 0.0
+            for t, ends in self.a.places[state].items():
+                by.setdefault(t, []).extend((at - length + 1, end - length + 1, length) for end in ends)
+        score = 1.0 if base or spans else 0.0
         for t, matches in sorted(by.items()):
             for start, end, covered in chains(matches, self.sizes[t], self.gap, self.covered):
                 share = covered / self.sizes[t]
@@ -244,12 +297,12 @@ class Scanner:
         return len(run), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, short: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per document, by ``SCHEMA``. Positions count words from 0; spans are inclusive."""
-    templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
+    templates, phrases, short = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, notices() if short is None else short
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = Scanner(templates, phrases, short)
         for batch in batches:
             found = [scanner.scan(x.as_py()) for x in batch.column(1)]
             cols = list(zip(*found, strict=True)) if found else [[] for _ in range(8)]

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into token sequences, with conflicts.
 
 Each text is encoded once. Documents are dealt by hash into shards of about ``SHARD`` rows and at most about ``SHARD_BYTES``
-of text, whatever their number or sources; each shard packs its own bins, longest pieces first. Bins stand in the order of
+of text, whatever their number or sources; each shard packs its own bins, longest pieces first. Ids cross the shuffle in two bytes if the vocabulary allows it. Bins stand in the order of
 their room; a bin carries a bitmap of its sources and one of its duplicate clusters. The search begins at the least room that
 holds the piece and goes on to the next larger until a bin has neither the piece's source nor its cluster; without one, a bin
 is opened. A text longer than a bin is cut into full pieces, each a bin of its own, and a rest that is packed. Every piece
@@ -29,7 +29,9 @@ from pagewright.llm.shared import utf8
 
 CAPACITY = 2048
 SHARD = 4096
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 25
+#: Shards of larger tables share partitions.
+MOST_PARTITIONS = 1 << 14
 ROWS = "doc_id long, source string, cluster long, token_ids binary"
 SCHEMA = "doc_id long, piece int, n_tokens long, bin_id string, bin_offset long, source string, cluster long, token_ids array<int>"
 
@@ -59,12 +61,12 @@ def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capa
     return out
 
 
-def _pack_shard(capacity: int):
+def _pack_shard(capacity: int, kind: type):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = lambda x: None if pd.isna(x) else x
         pieces = []
         for doc_id, source, cluster, ids in rows[["doc_id", "source", "cluster", "token_ids"]].astype(object).itertuples(index=False):
-            ids = np.frombuffer(ids, np.int32)
+            ids = np.frombuffer(ids, kind)
             cuts = range(0, max(1, len(ids)), capacity)
             pieces += [(none(doc_id), k, none(source), none(cluster), ids[at : at + capacity]) for k, at in enumerate(cuts)]
         pieces.sort(key=lambda x: (-len(x[4]), x[0] is not None, x[0] or 0, x[1], str(x[2]), x[3] or 0))
@@ -89,14 +91,18 @@ def text_cluster(text: str | Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))))
 
 
+def id_kind(vocabulary: str) -> type:
+    return np.uint16 if len(tokens.load(vocabulary).sizes) <= 1 << 16 else np.int32
+
+
 def encoded(rows: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """``rows`` (doc_id, source, cluster, text in bytes) with their token ids, by ``ROWS``."""
-    get = tokens.shipped(rows.sparkSession, vocabulary)
+    """``rows`` (doc_id, source, cluster, text in bytes) with their token ids in bytes, by ``ROWS``."""
+    get, kind = tokens.shipped(rows.sparkSession, vocabulary), id_kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = get()
         for batch in batches:
-            ids = pa.array([v.encode(x.as_py().decode("utf-8", "replace")).tobytes() for x in batch.column(3)], pa.binary())
+            ids = pa.array([v.encode(x.as_py().decode("utf-8", "replace")).astype(kind).tobytes() for x in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["doc_id", "source", "cluster", "token_ids"])
 
     return rows.select("doc_id", "source", "cluster", "text").mapInArrow(run, ROWS)
@@ -110,7 +116,8 @@ def pack(
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(utf8(text_col))).alias("bytes")).first()
     shards = max(1, -(-size.n // shard_rows), -(-(size.bytes or 0) // SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), utf8(text_col).alias("text"))
-    return encoded(rows, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
+    dealt = encoded(rows, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))).repartition(min(shards, MOST_PARTITIONS), "shard")
+    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, id_kind(vocabulary)), SCHEMA)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

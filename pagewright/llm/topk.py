@@ -4,8 +4,9 @@ Components become integers, floor(64 x). Candidates are dealt into blocks of abo
 posting segment for each dimension and integer level: the rows at that level, so a query's impact on a segment is its own
 component times the level, positive or negative. Segments are processed in bands of descending impact, adding to
 accumulators. Once all segments with an impact above t are done, a row's score is at most its accumulator plus t for each
-dimension it was not yet met in; negative impacts count too, so this bound falls below the accumulators. Rows whose bound is
-below the k-th best exact score found so far are out, by proof. Processing stops when at most ``FEW`` of the rows are left,
+dimension it was not yet met in; negative impacts count too, so this bound falls below the accumulators. The first band's
+short segments are read from posting lists, and the rows they put first give the k-th best exact score so far; a later band
+holds much of every dimension and is read from columns. Rows whose bound is below the k-th best exact score are out, by proof. Processing stops when at most ``FEW`` of the rows are left,
 and those are scored exactly, so the result is exact whatever was skipped.
 
 The first block is searched for all queries before the others, which begin with its k-th best scores. A group of a task is
@@ -36,8 +37,8 @@ SCALE = 64
 BLOCK = 16384
 QUERY_BLOCK = 1024
 #: Shares of a block's postings after which rows are ruled out.
-SHARES = (0.1, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-FEW = 0.08
+SHARES = (0.05, 0.45, 0.55, 0.65, 1.0)
+FEW = 0.1
 #: An accumulator holds the sum of a row's impacts times this, plus the number of dimensions it was met in.
 PLACE = 4096
 FAR = 2**24
@@ -82,6 +83,7 @@ class Index:
         self.level = self.levels.ravel()[start]
         self.first = np.searchsorted(self.dim, np.arange(dims))
         self.largest = float(np.abs(self.vectors).max(initial=0))
+        self.columns = np.ascontiguousarray(self.vectors.T, np.float32)
         self.rescored = self.seen = 0
 
     def top(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,35 +105,46 @@ class Index:
         impact = query[self.dim] * self.level
         order = np.argsort(-impact, kind="stable")
         done = np.cumsum(self.size[order])
-        both, met = np.zeros(n), np.zeros(dims, np.int64)
-        for share in SHARES:
-            at = int(np.searchsorted(done, share * done[-1], "left"))
-            t = impact[order[min(at, len(order) - 1)]]
-            now = np.add.reduceat(np.where(impact >= t, self.size, 0), self.first)
-            rows, adds = [], []
-            for d in np.flatnonzero(now > met).tolist():
-                band = slice(n - now[d], n - met[d]) if query[d] > 0 else slice(met[d], now[d])
-                rows.append(self.order[d, band])
-                adds.append(self.levels[d, band] * (query[d] * PLACE) + 1)
-            if rows:
-                both += np.bincount(np.concatenate(rows), np.concatenate(adds), n)
-            met = now
-            sums = np.floor(both / PLACE)
-            below = impact[impact < t].max(initial=-np.inf)
-            if share == SHARES[0] or below == -np.inf:
-                seeds = np.flatnonzero(other)
-                seeds = seeds[np.argpartition(-sums[seeds], 4 * k)[: 4 * k]] if len(seeds) > 4 * k else seeds
-                found = np.sort(_scores(self.vectors[seeds], query))[::-1][:k]
-                if len(found) == k:
-                    least = int(found[-1]) if least is None else max(least, int(found[-1]))
-            if least is None:
-                continue
-            unmet = dims - (both - sums * PLACE)
-            bound = sums + unmet * below if below > -np.inf else sums
-            left = np.flatnonzero(other & (bound >= least))
+        ends = [impact[order[min(int(np.searchsorted(done, share * done[-1], "left")), len(order) - 1)]] for share in SHARES]
+        below = [impact[impact < t].max(initial=-np.inf) for t in ends]
+        sums, met = self._accumulate(query, np.where(impact >= ends[0], self.size, 0))
+        seeds = np.flatnonzero(other)
+        seeds = seeds[np.argpartition(-sums[seeds], 4 * k)[: 4 * k]] if len(seeds) > 4 * k else seeds
+        found = np.sort(_scores(self.vectors[seeds], query))[::-1][:k]
+        if len(found) < k and least is None:
+            return np.flatnonzero(other)
+        least = max((int(x) for x in (found[-1] if len(found) == k else None, least) if x is not None))
+        left = np.flatnonzero(other & (sums + (dims - met) * max(below[0], -1e300) >= least))
+        impacts = None
+        for t in below[1:]:
             if len(left) <= max(4 * k, FEW * n):
-                return left
-        return np.flatnonzero(other) if least is None else left
+                break
+            impacts = self._impacts(query) if impacts is None else impacts
+            left = np.flatnonzero(other & (_bounds(impacts, t) >= least))
+        return left
+
+    def _accumulate(self, query: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the impacts that the first segments (by size) have for each row, and in how many dimensions a row was met."""
+        n, dims = self.vectors.shape
+        rows, adds = [], []
+        for d, x, m in zip(range(dims), query.tolist(), np.add.reduceat(sizes, self.first).tolist(), strict=True):
+            if m:
+                part = slice(n - m, n) if x > 0 else slice(0, m)
+                rows.append(self.order[d, part])
+                adds.append(self.levels[d, part] * (x * PLACE) + 1)
+        both = np.bincount(np.concatenate(rows), np.concatenate(adds), n)
+        sums = np.floor(both / PLACE)
+        return sums, both - sums * PLACE
+
+    def _impacts(self, query: np.ndarray) -> np.ndarray:
+        """The impact of each dimension on each row, from the columns."""
+        small = len(query) * self.largest * np.abs(query).max(initial=0) < 2**24  # exact in either kind
+        return self.columns * query.astype(np.float32)[:, None] if small else self.vectors.T * query[:, None]
+
+
+def _bounds(impacts: np.ndarray, t: float) -> np.ndarray:
+    """What each row can score at most once all segments above ``t`` are done: the bands down to ``t`` are added for all rows at once."""
+    return np.ones(len(impacts), impacts.dtype) @ (np.maximum(impacts, impacts.dtype.type(t)) if t > -np.inf else impacts)
 
 
 def _vectors(v: pa.ChunkedArray, dims: int) -> np.ndarray:

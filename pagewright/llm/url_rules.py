@@ -1,7 +1,8 @@
 """URL filters: fixed host and path rules, and token combinations mined from labels by FP-growth.
 
-A URL's tokens are its scheme, its host's last one and two labels and each label before them, path segments and query keys. Spark's FP-growth
-finds the combinations that labelled URLs share; those that imply the label with enough support and confidence become rules.
+A URL's tokens are its scheme, its host's last one and two labels, each label before them whole and in its parts between
+hyphens, path segments with their digits blotted out, the path's extension and query keys. Spark's FP-growth finds the
+combinations that labelled URLs share; those that imply the label with enough support and confidence become rules.
 Each rule is filed in an inverted index under its rarest token; a URL looks up its tokens and is matched by the rules of
 which it has all tokens. Everything is DataFrame functions; the index is broadcast only if Spark finds its table small.
 
@@ -56,10 +57,12 @@ def url_tokens(url: str | Column) -> Column:
     host, path = host_of(url), path_of(url)
     names = F.split(host, r"\.")
     labels = F.slice(names, F.lit(1), F.greatest(F.size(names) - 2, F.lit(0)))
+    parts = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
+    extension = F.array(F.regexp_extract(path, r"(?s)[^/]\.([^./]*)$", 1))
     segments = F.transform(F.split(path, "/"), lambda x: F.regexp_replace(x, r"[0-9]+", "#"))
     keys = F.transform(F.split(url_part(url, 4), "&"), lambda x: F.split(x, "=")[0])
     suffixes = F.array(F.substring_index(host, ".", -1), F.substring_index(host, ".", -2))
-    tokens = F.concat(F.array(F.concat(F.lit("scheme:"), url_part(url, 1))), marked("suffix:", suffixes), marked("label:", labels), marked("path:", segments), marked("key:", keys))
+    tokens = F.concat(F.array(F.concat(F.lit("scheme:"), url_part(url, 1))), marked("suffix:", suffixes), marked("label:", labels), marked("part:", parts), marked("path:", segments), marked("extension:", extension), marked("key:", keys))
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 

@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 import pytest
 
-from pagewright.llm.license_scan import PHRASES, TEMPLATES, Scanner, build, maximal, scan_documents, statistics, words
+from pagewright.llm.license_scan import PHRASES, TEMPLATES, Scanner, build, chain, maximal, notices, scan_documents, statistics, words
 from tests.llm.conftest import SMALL
 
 
@@ -41,8 +42,8 @@ def test_matching_statistics(seed):
             state = got[at][0]
             ends = {k for k, n in a.phrases[state] if n <= want}
             assert ends == {k for k, p in enumerate(phrases) if text[max(0, at + 1 - len(p)) : at + 1] == p}
-            for t, end in a.places[state].items():
-                assert templates[t][end + 1 - want : end + 1] == text[at + 1 - want : at + 1]
+            run = text[at + 1 - want : at + 1]
+            assert a.places[state] == {t: ends for t, x in enumerate(templates) if (ends := [k + want - 1 for k in range(len(x)) if x[k : k + want] == run])}
 
 
 def test_spans_bridge_small_changes():
@@ -89,3 +90,46 @@ def test_spans_of_a_template_do_not_cross():
         parts = [run[a : a + rng.randint(5, len(run))] for a in (rng.choice([0, 0, 3, half]) for _ in range(12))]
         spans = [s for s in scanner.scan(" ".join(w for p in parts for w in p).encode())[-1] if s["label"] == "bsd"]
         assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def best_subset(matches, end, gap):
+    """The most covered words of any rising run of matches that ends with ``matches[end]``, by trying all."""
+    best = 0
+    for bits in range(1 << end):
+        own = [m for k, m in enumerate(matches[:end]) if bits >> k & 1] + [matches[end]]
+        covered, ok = own[0][2], True
+        for (xj, yj, nj), (x, y, n) in zip(own, own[1:], strict=False):
+            new = min(n, x + n - xj - nj, y + n - yj - nj)
+            ok = ok and x - xj - nj <= gap and new > 0 and yj < y
+            covered += new
+        best = max(best, covered if ok else 0)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_are_the_best_of_all_subsets(seed):
+    rng = random.Random(seed)
+    matches = sorted(((rng.randint(0, 40), rng.randint(0, 30), rng.randint(1, 8)) for _ in range(9)), key=lambda m: (m[0] + m[2], m))
+    assert [c for c, _, _ in chain(matches, 5)] == [best_subset(matches, k, 5) for k in range(len(matches))]
+
+
+def test_notices_and_ids():
+    scanner = Scanner(TEMPLATES, PHRASES, notices())
+    for text, label in (
+        ("some prose. Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("Released under the ISC License", "isc"),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 work", "cc-by-nc-sa"), ("CC BY 4.0", "cc-by"), ("under the terms of the Eclipse Public License", "epl"),
+    ):
+        n, n_base, *_, base, labels, score, spans = scanner.scan(text.encode())
+        assert (labels, score, {s["label"] for s in spans}) == (label, 1.0, {label}) and n_base == 0
+    assert scanner.scan(b"Released under the GNU Lesser General Public License")[4:6] == ("gpl", "gpl,lgpl")
+    assert scanner.scan(b"by the way, 4.0 of the public license")[5:7] == ("", 0.0)
+    whole = scanner.scan(f"x {TEMPLATES['mit'][0]} y".encode())
+    assert [(s["label"], s["start"], s["covered"]) for s in whole[-1]] == [("mit", 1, 1.0)]
+
+
+def test_a_text_of_broken_phrases_is_scanned_in_linear_time():
+    scanner = Scanner(TEMPLATES, PHRASES, notices())
+    part = "permission is hereby granted free of charge the software is furnished to do so "
+    began = time.time()
+    assert scanner.scan((part * 100_000).encode())[0] == 1_400_000
+    assert time.time() - began < 60

@@ -62,3 +62,10 @@ def test_odd_rows(spark):
     assert got[None, ""].rule is None and got[7, "/de/"].rule is None
     assert url_rules.filter_pages(pages, labels.where("false")).count() == len(rows)
     assert url_rules.filter_pages(pages.where("false"), labels).count() == 0
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([("https://www.cheap-pills.example.com/de/6652.html?a=1&b#top",), ("a://b",), ("none",), (None,)], "url string")
+    got = [r[0] for r in df.select(url_rules.url_tokens("url")).collect()]
+    assert got[0] == sorted(["scheme:https", "suffix:com", "suffix:example.com", "label:www", "label:cheap-pills", "part:cheap", "part:pills", "path:de", "path:#.html", "extension:html", "key:a", "key:b"])
+    assert got[1:] == [["scheme:a", "suffix:b"], [], []]
