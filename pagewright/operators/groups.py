@@ -96,3 +96,26 @@ def dominant_month_cascade(df: DataFrame, keys: Sequence[str], date: str) -> Dat
 def distinct_summary(df: DataFrame, keys: Sequence[str], flags: dict[str, Column]) -> DataFrame:
     """Counts of rows and of each flag for each group."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+
+
+def run_consensus(df: DataFrame, book: str, value: str, least_votes: int = 12, least_books: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
+    """The value of a whole run, if it has votes, books and share enough and beats every other; one row or none."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("votes"), F.count_distinct(book).alias("books"))
+    best = counts.agg(F.sum("votes").alias("readings"), F.min(F.struct(-F.col("votes"), F.col(value), F.col("books"))).alias("b"), F.max("votes").alias("most"), F.count("*").alias("kinds"))
+    tops = counts.groupBy("votes").agg(F.count("*").alias("alike")).withColumnRenamed("votes", "most")
+    rows = best.join(tops, "most").select(F.col(f"b.{value}").alias(value), F.col("most").alias("votes"), F.col("b.books").alias("books"), "readings", "alike")
+    enough = (F.col("alike") == 1) & (F.col("votes") >= least_votes) & (F.col("books") >= least_books) & (F.col("votes") * share[1] >= F.col("readings") * share[0])
+    return rows.where(enough).drop("alike")
+
+
+def adopt_run_value(df: DataFrame, book: str, value: str, alternatives: str, consensus: DataFrame, distance: int = 2) -> DataFrame:
+    """Readings far from the run's value take it if they have it among their alternatives; others that far are for review. A reading that its book has twice is left alone.
+
+    Adds adopted and method: kept, adopted or review.
+    """
+    twice = df.where(F.col(value).isNotNull()).groupBy(F.col(book).alias("_b"), F.col(value).alias("_v")).agg((F.count("*") >= 2).alias("_twice"))
+    rows = df.join(twice, (F.col(book) == F.col("_b")) & (F.col(value) == F.col("_v")), "left").join(F.broadcast(consensus.select(F.col(value).alias("_run"))), how="left")  # one row at most
+    far = F.coalesce((F.abs(F.col(value) - F.col("_run")) >= distance) & ~F.col("_twice"), F.lit(False))
+    has = F.array_contains(alternatives, F.col("_run"))
+    method = F.when(far & has, "adopted").when(far, "review").otherwise("kept")
+    return rows.withColumns({"method": method, "adopted": F.when(far & has, F.col("_run")).otherwise(F.col(value))}).drop("_b", "_v", "_twice", "_run")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.fuzzy import best_window_cost, weighted_hamming
 from pagewright.operators.groups import digit_vote
+from pagewright.operators.joins import confident_match, nearest_numbers
 
 #: How much a reading counts by its quality, the least confidence that counts, and what confirms a weak one.
 QUALITY = {"clean": 1.0, "ambiguous": 0.8, "weak": 0.25}
@@ -62,3 +64,82 @@ def ranked_names(wanted: DataFrame, names: DataFrame, name: str, base: str, size
         want = want.join(counts, list(keys), "left")
     best = F.coalesce(*[F.col(f"_fit{k}") for k in range(4)])
     return want.select("wanted", F.when(best.n == 1, best.found).alias("found"))
+
+
+def claims(plans: DataFrame, book: str) -> DataFrame:
+    """What books hold for their own: value, how many books claim it, and the first of them. ``plans``: book, stored, winner, strong."""
+    own = plans.select(book, F.explode(F.array_distinct(F.array_compact(F.array("stored", F.when(F.col("strong"), F.col("winner")))))).alias("claimed"))
+    return own.groupBy("claimed").agg(F.count_distinct(book).alias("claimants"), F.min(book).alias("claimant"))
+
+
+def misread(reading: Column, value: Column, foreign: Column, known: Column | None) -> Column:
+    """Whether a reading can be ``value`` misread: not another book's, and no known number or at most one digit apart. ``known`` is null without a list."""
+    apart = sum(((F.substring(reading, k, 1) != F.substring(value, k, 1)).cast("int") for k in range(1, 5)), F.lit(0))
+    return ~foreign & ((apart <= 1) if known is None else (~known | (apart <= 1)))
+
+
+def correct_by_book(pages: DataFrame, book: str, log: str, page: str, number: str, confidence: str, quality: str, status: str, registry: DataFrame, fleet: DataFrame | None = None) -> DataFrame:
+    """One registration for each book's pages, from the votes of this run and what earlier runs stored (``registry``: book, stored).
+
+    A strong vote against the stored number is imposed and marks the whole book; otherwise a stored number is imposed, else
+    the vote's winner. A reading that differs is only taken for a misreading if no other book claims it and it is near
+    enough (or, with a ``fleet``, no number of it); else its page is a discrepancy. Adds value, new_status, method, votes
+    and conflict.
+    """
+    evidence = unique_evidence(pages, book, log, number, confidence, quality, page)
+    winners = book_winners(evidence, book, number, fleet)
+    matched = evidence.join(winners.select(book, F.col("winner").alias(number)), [book, number]).groupBy(book).agg(F.bround(F.avg("weight") / 1_000_000, 3).alias("vote_confidence"))
+    voted = winners.join(matched, book).withColumn("strong", (F.col("support") >= CONFIRM_VOTES) & (F.col("vote_confidence") >= CONFIRM_CONFIDENCE))
+    plans = voted.join(registry.select(book, "stored"), book, "full").withColumn("strong", F.coalesce("strong", F.lit(False)))
+    rows = pages.join(plans, book, "left").join(claims(plans, book), F.col(number) == F.col("claimed"), "left")
+    known = None
+    if fleet is not None:
+        rows = rows.join(fleet.select(F.col("number").alias("_fleet")).distinct(), F.col(number) == F.col("_fleet"), "left")
+        known = F.col("_fleet").isNotNull()
+    against = F.col("stored").isNotNull() & F.col("winner").isNotNull() & (F.col("winner") != F.col("stored")) & F.col("strong")
+    foreign = F.coalesce((F.col("claimants") > 1) | (F.col("claimant") != F.col(book)), F.lit(False))
+    rows = rows.withColumns({"_read": F.coalesce(F.col(number), F.lit("")), "_against": F.coalesce(against, F.lit(False)), "_foreign": foreign, "_listed": F.lit(None).cast("boolean") if known is None else known})
+    rows = rows.withColumn("_stored", F.col("stored").isNotNull() & ~F.col("_against")).withColumn("_value", F.when(F.col("_stored"), F.col("stored")).otherwise(F.col("winner")))
+    read, value, by_registry, strong = F.col("_read"), F.col("_value"), F.col("_stored"), F.coalesce(F.col("strong"), F.lit(False))
+    near = misread(read, value, F.col("_foreign"), None if known is None else F.col("_listed"))
+    rows = rows.withColumns({"_same": read == value, "_canonical": read.rlike("^[0-9]{4}$"), "_near": near})
+    same, canonical = F.col("_same"), F.col("_canonical")
+    differs, confirms = canonical & ~same, same & (F.col(status) != "OK") & strong
+    vote_status = F.when(same, F.when(confirms, "OK").otherwise(F.col(status))).otherwise(F.when(~canonical & strong, "OK").otherwise("WARNING"))
+    new_status = F.when(value.isNull(), F.col(status)).when(F.col("_against"), "WARNING").when(by_registry, F.when(differs, "WARNING").otherwise("OK")).otherwise(vote_status)
+    method = F.when(value.isNull(), "no_vote").when(by_registry, "stored").when(confirms, "confirmed").when(same, "kept").otherwise("digit_vote")
+    votes = F.when(by_registry, F.lit(CONFIRM_VOTES)).when(value.isNotNull() & (confirms | ~same), F.col("support")).cast("int")
+    conflict = F.col("_against") | (differs & ~(F.col("_near") & (by_registry | strong)))
+    out = {"value": F.coalesce(value, F.col(number)), "new_status": new_status, "method": method, "votes": votes, "conflict": F.coalesce(conflict, F.lit(False))}
+    return rows.select(*pages.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def against_fleet(pages: DataFrame, book: str, value: str, reading: str, fleet: DataFrame, number: str) -> DataFrame:
+    """Values that are no known number become the nearest one; ties go to the number that the book's readings cost least, if just one does; else there is none.
+
+    Adds fleet_value and fleet_method: known, nearest, by_readings or unconfirmed.
+    """
+    known = fleet.select(F.col(number).alias(value)).distinct().withColumn("_known", F.lit(True))
+    rows = pages.join(known, value, "left")
+    odd = rows.where("_known IS NULL").select(value)
+    near = nearest_numbers(odd, value, fleet, number)
+    tied = near.where("ties > 1").select(value, F.col("cost").alias("_least"))
+    numbers = fleet.select(number).where(F.col(number).rlike("^[0-9]{4}$")).distinct()
+    options = tied.join(F.broadcast(numbers)).where(weighted_hamming(value, number) == F.col("_least")).select(value, F.col(number).alias("_option"))  # at most 10,000 short texts
+    asked = rows.where("_known IS NULL").select(book, value).distinct().join(options, value)
+    costs = asked.join(pages.select(book, reading), book).withColumn("_cost", best_window_cost(reading, "_option")).groupBy(book, value, "_option").agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("_cost"))
+    least = costs.groupBy(book, value).agg(F.min("_cost").alias("_c"))
+    alone = costs.join(least, [book, value]).where(F.col("_cost") == F.col("_c")).groupBy(book, value).agg(F.count("*").alias("_n"), F.min("_option").alias("_chosen")).where("_n = 1").drop("_n")
+    rows = rows.join(near.where("ties = 1").select(value, F.col(number).alias("_near")), value, "left").join(alone, [book, value], "left")
+    method = F.when(F.col("_known"), "known").when(F.col("_near").isNotNull(), "nearest").when(F.col("_chosen").isNotNull(), "by_readings").otherwise("unconfirmed")
+    return rows.select(*pages.columns, F.when(F.col("_known"), F.col(value)).otherwise(F.coalesce("_near", "_chosen")).alias("fleet_value"), method.alias("fleet_method"))
+
+
+def snap_to_fleet(pages: DataFrame, value: str, reading: str, fleet: DataFrame, number: str) -> DataFrame:
+    """Before a vote: a value that is no known number takes the one that its raw reading points to without rival. Adds snapped and snap_cost."""
+    known = fleet.select(F.col(number).alias(value)).distinct().withColumn("_known", F.lit(True))
+    rows = pages.join(known, value, "left")
+    match = confident_match(rows.where(F.col("_known").isNull() & (F.col(reading) != "")), reading, fleet, number)
+    rows = rows.join(match, reading, "left")
+    hit = F.col("_known").isNull() & F.col("match").isNotNull()
+    return rows.select(*pages.columns, F.when(hit, F.col("match")).otherwise(F.col(value)).alias("snapped"), F.when(hit, F.col("match_cost")).alias("snap_cost"))
