@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,25 +61,28 @@ def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capa
 
 
 def _pack_shard(capacity: int, kind: type):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        none = lambda x: None if pd.isna(x) else x
-        pieces = []
-        for doc_id, source, cluster, ids in rows[["doc_id", "source", "cluster", "token_ids"]].astype(object).itertuples(index=False):
-            ids = np.frombuffer(ids, kind)
-            cuts = range(0, max(1, len(ids)), capacity)
-            pieces += [(none(doc_id), k, none(source), none(cluster), ids[at : at + capacity]) for k, at in enumerate(cuts)]
-        pieces.sort(key=lambda x: (-len(x[4]), x[0] is not None, x[0] or 0, x[1], str(x[2]), x[3] or 0))
-        full = [x for x in pieces if len(x[4]) == capacity]
-        part = [x for x in pieces if 0 < len(x[4]) < capacity]
-        found = best_fit([len(x[4]) for x in part], [x[2] for x in part], [x[3] for x in part], capacity)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        docs, sources, clusters = (rows.column(c).to_pylist() for c in ("doc_id", "source", "cluster"))
+        ids = [np.frombuffer(x.as_buffer(), kind) for chunk in rows.column("token_ids").chunks for x in chunk]
+        pieces = [(min(capacity, len(x) - at), r, k, at) for r, x in enumerate(ids) for k, at in enumerate(range(0, max(1, len(x)), capacity))]
+        pieces.sort(key=lambda p: (-p[0], docs[p[1]] is not None, docs[p[1]] or 0, p[2], str(sources[p[1]]), clusters[p[1]] or 0))
+        full = sum(p[0] == capacity for p in pieces)
+        part = [p for p in pieces[full:] if p[0]]
+        found = best_fit([p[0] for p in part], [sources[p[1]] for p in part], [clusters[p[1]] for p in part], capacity)
+        bins = [*range(full), *(full + b for b in found)]
         used: Counter[int] = Counter()
-        out = []
-        for (doc_id, piece, source, cluster, ids), b in zip(full + part, [*range(len(full)), *(len(full) + b for b in found)], strict=True):
-            out.append((doc_id, piece, len(ids), f"{key[0]}-{b}", used[b], source, cluster, ids))
-            used[b] += len(ids)
-        out += [(doc_id, piece, 0, None, None, source, cluster, ids) for doc_id, piece, source, cluster, ids in pieces if not len(ids)]
-        frame = pd.DataFrame(out, columns=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster", "token_ids"])
-        return frame.astype({"doc_id": "Int64", "piece": "int32", "n_tokens": "int64", "bin_offset": "Int64", "cluster": "Int64"})
+        offsets = []
+        for (n, *_), b in zip(pieces, bins, strict=False):
+            offsets.append(used[b])
+            used[b] += n
+        none = [None] * (len(pieces) - len(bins))
+        values = np.concatenate([np.zeros(0, kind), *[ids[r][at : at + n] for n, r, _, at in pieces]]).astype(np.int32)
+        ends = np.cumsum([0, *(p[0] for p in pieces)])
+        columns = [
+            pa.array([docs[p[1]] for p in pieces], pa.int64()), pa.array([p[2] for p in pieces], pa.int32()), pa.array([p[0] for p in pieces], pa.int64()), pa.array([*(f"{key[0].as_py()}-{b}" for b in bins), *none], pa.string()), pa.array([*offsets, *none], pa.int64()),
+            pa.array([sources[p[1]] for p in pieces], pa.string()), pa.array([clusters[p[1]] for p in pieces], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())),
+        ]
+        return pa.Table.from_arrays(columns, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster", "token_ids"])
 
     return run
 
@@ -117,7 +119,7 @@ def pack(
     shards = max(1, -(-size.n // shard_rows), -(-(size.bytes or 0) // SHARD_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), utf8(text_col).alias("text"))
     dealt = encoded(rows, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))).repartition(min(shards, MOST_PARTITIONS), "shard")
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, id_kind(vocabulary)), SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, id_kind(vocabulary)), SCHEMA)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
