@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions.dates import MONTHS, year_is_possible
-from pagewright.functions.text import col
+from pagewright.functions.text import col, first_char, log_number, only_digits, squeeze, upper_trim
 
 #: Accented letters without their accents; reasons of missing signatures by field, in order of priority.
 ACCENTS, PLAIN = "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun"
@@ -173,3 +173,34 @@ def number_ranges(numbers: Column, most: int) -> Column:
 def job_state(stage: Column, errors: Column, sent: Column, pages: Column) -> Column:
     """What to show for a job: failed, done, sending, waiting or new."""
     return F.when(errors > 0, "failed").when((sent >= pages) & (pages > 0), "done").when(sent > 0, "sending").when(stage == "ready", "waiting").otherwise("new")
+
+
+#: How each field's reading is normalised, by the name of its rule.
+RULES = {"digits": only_digits, "upper": upper_trim, "log_number": log_number, "first_char": first_char, "squeeze": squeeze, "day": two_digit_day}
+
+
+def postprocessed(value: str | Column, rule: str) -> tuple[Column, Column]:
+    """A reading by its rule, and a note where that changed it; an unknown rule leaves it."""
+    raw = F.coalesce(col(value), F.lit(""))
+    out = F.coalesce(RULES[rule](raw), F.lit("")) if rule in RULES else raw
+    return out, F.when(out != raw, F.concat(F.lit("changed by "), F.lit(rule))).otherwise("")
+
+
+def content_fingerprint(endpoint: str, content: str | Column) -> Column:
+    """The hash that names a content sent to a place."""
+    return F.sha2(F.concat(F.lit(endpoint).cast("binary"), F.coalesce(col(content).cast("binary"), F.lit(b""))), 256)
+
+
+def unread_fields(fields: str | Column) -> Column:
+    """The names of the fields without a value or in error."""
+    return F.transform(F.filter(fields, lambda f: (F.coalesce(f.value, F.lit("")) == "") | (f.status == "ERROR")), lambda f: f.field_id)
+
+
+def is_blank_row(values: Sequence[Column]) -> Column:
+    """Whether a row has no value at all."""
+    return F.coalesce(*[F.nullif(F.trim(v.cast("string")), F.lit("")) for v in values]).isNull()
+
+
+def may_overwrite(state: Column, valid: int, asked: bool) -> Column:
+    """Whether a page may be written: a valid one only when asked."""
+    return F.lit(asked) | ~F.coalesce(state == valid, F.lit(False))

@@ -81,3 +81,42 @@ def global_positions(rows: DataFrame, report: str, order: Sequence[str]) -> Data
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows drawn by a hash of the seed and the key."""
     return rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
+
+
+def first_of_each(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The first row of each key in the given order, with its place: a distinct that keeps the order."""
+    first = rows.groupBy(*keys).agg(F.min(order).alias(order))
+    return first.select(*keys, order)
+
+
+def unanimous_value(rows: DataFrame, key: str, values: Column, out: str) -> DataFrame:
+    """The value of each key that all its elements agree on, or null."""
+    each = rows.select(key, F.explode_outer(values).alias("_v")).groupBy(key).agg(F.count_distinct("_v").alias("_n"), F.min("_v").alias("_v"))
+    return each.select(key, F.when(F.col("_n") == 1, F.col("_v")).alias(out))
+
+
+def marked_for_review(pages: DataFrame, final: DataFrame, keys: Sequence[str], required: Sequence[str], out: str = "review") -> DataFrame:
+    """Pages with a flag: their final row lacks a required value, or there is none."""
+    whole = F.lit(True)
+    for c in required:
+        whole = whole & (F.coalesce(F.col(c), F.lit("")) != "")
+    good = final.where(whole).select(*keys).distinct().withColumn("_good", F.lit(True))
+    return pages.join(good, list(keys), "left").withColumn(out, F.col("_good").isNull()).drop("_good")
+
+
+def index_values(fields: Mapping[str, Column], controlled: Sequence[str], discrepancy: Column, status: str, other_status: str) -> Column:
+    """A record as a map of the controlled fields that have a value, and its status."""
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("v")) for k, c in fields.items() if k in controlled])
+    pairs = F.filter(entries, lambda p: F.coalesce(p.v, F.lit("")) != "")
+    return F.map_concat(F.map_from_entries(pairs), F.create_map(F.lit("status"), F.when(discrepancy, other_status).otherwise(status)))
+
+
+def run_summary(parts: DataFrame, run: str, counts: Sequence[str]) -> DataFrame:
+    """A run's summary: the sums of its parts' counts, as JSON."""
+    sums = parts.groupBy(run).agg(F.count("*").alias("parts"), *[F.sum(c).alias(c) for c in counts])
+    return sums.select(run, F.to_json(F.struct("parts", *counts)).alias("json"))
+
+
+def match_paths(rows: DataFrame, path: str, by: str) -> DataFrame:
+    """How many rows each way of matching found."""
+    return rows.groupBy(by, path).agg(F.count("*").alias("n"))

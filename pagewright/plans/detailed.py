@@ -211,3 +211,74 @@ def page_positions(spark: SparkSession, d: str) -> DataFrame:
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred rows drawn by a seed (a sampling operator)."""
     return jobs.sample(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query("""
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'Order 12-34' ELSE '' END = '' AND o_orderkey % 4 > 0 AS blank, o_orderstatus <> 'F' AS writable, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' END) AS unread,
+           CASE o_orderkey % 4 WHEN 0 THEN '123' WHEN 1 THEN 'ABC 1' WHEN 2 THEN '0001234' ELSE 'as it is' END AS value, CASE WHEN o_orderkey % 4 < 3 THEN 'changed by ' || ['digits', 'upper', 'log_number'][o_orderkey % 4 + 1] ELSE '' END AS note, sha256('https://x' || o_orderkey) AS fingerprint FROM orders
+""")
+def page_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Blank rows, rows that may be written, unread fields, readings by their field's rule, and content names."""
+    k = F.col("o_orderkey")
+    part = lambda name, bad: F.struct(F.lit(name).alias("field_id"), F.when(bad, "").otherwise("x").alias("value"), F.lit("OK").alias("status"))
+    fields = F.array(part("a", k % 3 == 0), part("b", k % 5 == 0))
+    value, note = F.lit("as it is"), F.lit("")
+    for n, (text, rule) in enumerate((("no. 1-23", "digits"), (" abc 1", "upper"), ("0001-234", "log_number"))):
+        v, m = fd.postprocessed(F.lit(text), rule)
+        value, note = F.when(k % 4 == n, v).otherwise(value), F.when(k % 4 == n, m).otherwise(note)
+    blank = fd.is_blank_row([F.when(k % 6 == 0, "Order 12-34").otherwise(" "), F.when(k % 4 == 0, k)])
+    return table(spark, d, "orders").select(
+        k.alias("k"), blank.alias("blank"), fd.may_overwrite(F.when(F.col("o_orderstatus") == "F", 4).otherwise(1), 4, False).alias("writable"), F.array_join(fd.unread_fields(fields), ",").alias("unread"), value.alias("value"), note.alias("note"), fd.content_fingerprint("https://x", k.cast("string")).alias("fingerprint")
+    )
+
+
+@query("""
+    SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'log=' || c_custkey || ',' END || 'reg=' || c_mktsegment || ',status=' || CASE WHEN c_nationkey % 4 = 0 THEN 'Discrepancy' ELSE 'Valid' END AS vals FROM customer
+""")
+def index_values(spark: SparkSession, d: str) -> DataFrame:
+    """Records as maps of the controlled fields, whose status depends on discrepancies."""
+    k = F.col("c_custkey")
+    values = jobs.index_values({"log": F.when(k % 3 > 0, k), "reg": F.col("c_mktsegment"), "note": F.col("c_name")}, ("log", "reg"), F.col("c_nationkey") % 4 == 0, "Valid", "Discrepancy")
+    pairs = F.transform(F.map_entries(values), lambda e: F.concat_ws("=", e.key, e.value))
+    return table(spark, d, "customer").select(k.alias("k"), F.array_join(pairs, ",").alias("vals"))
+
+
+@query("""
+    WITH p AS (SELECT l_returnflag AS run, l_suppkey, count(*) AS pages, count(*) FILTER (l_quantity > 45) AS flagged FROM lineitem GROUP BY ALL) SELECT run, count(*) AS parts, sum(pages)::BIGINT AS pages, sum(flagged)::BIGINT AS flagged FROM p GROUP BY 1
+""")
+def run_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Runs' summaries summed from their parts, written as JSON and read."""
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run"), "l_suppkey").agg(F.count("*").alias("pages"), F.count_if(F.col("l_quantity") > 45).alias("flagged"))
+    return jobs.run_summary(parts, "run", ["pages", "flagged"]).select("run", F.from_json("json", "parts long, pages long, flagged long").alias("s")).select("run", "s.*")
+
+
+@query("SELECT user_id, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS value FROM (SELECT user_id, event_type AS v FROM events WHERE user_id % 3 > 0 UNION ALL SELECT user_id, 'same' FROM events WHERE user_id % 3 = 0) GROUP BY 1")
+def unanimous_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """A value found in a job's answers if all of them agree."""
+    values = F.array(F.when(F.col("user_id") % 3 == 0, "same").otherwise(F.col("event_type")))
+    return jobs.unanimous_value(table(spark, d, "events").select("user_id", "event_type"), "user_id", values, "value")
+
+
+@query("SELECT l_partkey, l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Exceptions without repeats, each with the first place it had."""
+    return jobs.first_of_each(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey")
+
+
+@query("""
+    SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N' AND l_linenumber > 2) AS review FROM orders
+""")
+def review_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose final rows lack a required value."""
+    final = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("a"), F.when(F.col("l_linenumber") > 2, "x").otherwise("").alias("b"))
+    return jobs.marked_for_review(table(spark, d, "orders").select("o_orderkey"), final, ["o_orderkey"], ["a", "b"])
+
+
+@query("""
+    WITH r AS (SELECT l_suppkey, CASE WHEN o_orderkey IS NOT NULL THEN 'exact' ELSE 'missing' END AS path FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F') SELECT l_suppkey, path, count(*) AS n FROM r GROUP BY ALL
+""")
+def path_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each batch each way of matching found."""
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("exact").alias("found"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(done, "l_orderkey", "left").withColumn("path", F.coalesce("found", F.lit("missing")))
+    return jobs.match_paths(rows, "path", "l_suppkey")

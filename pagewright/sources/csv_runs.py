@@ -76,3 +76,19 @@ def parse_range(text: str, count: int) -> tuple[int, int]:
     if low < 1 or high < low:
         raise ValueError(f"no page range: {text!r}")
     return min(low, count), min(high, count)
+
+
+def template_fields(columns: Sequence[str], known: Sequence[str]) -> list[str]:
+    """The fields of a template that a report's columns show, in the template's order."""
+    shown = {column_field(c, columns) for c in columns}
+    return [f for f in known if f in shown]
+
+
+def important_fields(columns: Sequence[str]) -> list[str]:
+    """Without a template: the columns that have metadata of their own."""
+    return [c for c in columns if any(c + s in columns for s in SUFFIXES)]
+
+
+def important_columns(columns: Sequence[str], fields: Sequence[str]) -> list[str]:
+    """The summary's columns: file, page and the fields, in the report's order."""
+    return [c for c in columns if c in ALWAYS or c in fields]

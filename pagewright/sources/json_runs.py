@@ -12,9 +12,9 @@ PAGE = f"struct<page_number:int,status:string,blank:boolean,fields:array<{FIELD}
 RUN = f"corrida string, generado string, total_bitacoras int, reportes array<struct<pdf_path:string,pages:array<{PAGE}>>>"
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Consolidated runs as one row per page with its place; unreadable files give no rows."""
-    runs = spark.read.schema(RUN).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+def read_reports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Consolidated runs as one row per page with its place; unreadable files (or lines) give no rows."""
+    runs = spark.read.schema(RUN).option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE").json(path)
     reports = runs.select("corrida", F.posexplode("reportes").alias("report_no", "r"))
     return reports.select("corrida", "report_no", "r.pdf_path", F.posexplode("r.pages").alias("position", "p")).select("corrida", "report_no", "pdf_path", "position", "p.*")
 
@@ -50,14 +50,60 @@ def date_registry_rows(df: DataFrame, json: str, as_of: Column, most: int = 2) -
     return books.where((F.size("a") <= most) & F.forall("a", fits) & rising).select("book", F.inline("a"))
 
 
-def page_index(df: DataFrame, json: str) -> DataFrame:
-    """Part, place and page of a delivery's page index, in either of its versions."""
+def page_index(df: DataFrame, json: str, *keys: str) -> DataFrame:
+    """Part, place and page of a delivery's page index, in either of its versions; ``keys`` are columns to keep."""
     parsed = F.from_json(json, "partes array<struct<pdf:string,paginas:array<int>>>, pdf string, paginas array<int>")
     parts = F.coalesce(parsed.partes, F.array(F.struct(parsed.pdf.alias("pdf"), parsed.paginas.alias("paginas"))))
-    rows = df.select(F.posexplode(parts).alias("part", "p"))
-    return rows.select("part", "p.pdf", F.posexplode("p.paginas").alias("place", "page"))
+    rows = df.select(*keys, F.posexplode(parts).alias("part", "p"))
+    return rows.select(*keys, "part", "p.pdf", F.posexplode("p.paginas").alias("place", "page"))
 
 
 def append_audit(df: DataFrame, path: str, content: str) -> None:
     """Appends rows as JSON lines, each with the hash that names its content."""
     df.withColumn("content_id", F.sha2(F.col(content), 256)).write.mode("append").json(path)
+
+
+def write_reports(pages: DataFrame, path: str, run: str, report: str, page: Column, order: str) -> None:
+    """Runs as JSON lines, one report a line, in the form that ``read_reports`` takes; a run's lines hold its count of pages."""
+    reports = pages.groupBy(run, report).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), page.alias("p")))).alias("own"))
+    totals = pages.groupBy(F.col(run).alias("_run")).agg(F.count("*").cast("int").alias("total_bitacoras"))
+    own = F.array(F.struct(F.col(report).alias("pdf_path"), F.transform("own", lambda x: x.p).alias("pages")))
+    rows = reports.join(totals, F.col(run).eqNullSafe(F.col("_run"))).select(F.col(run).alias("corrida"), "total_bitacoras", own.alias("reportes"))
+    rows.write.mode("overwrite").json(path)
+
+
+def relocated(rows: DataFrame, moved: DataFrame, path: str) -> DataFrame:
+    """Rows with the new places of files that were moved (``moved``: path, new_path)."""
+    return rows.join(moved.select(F.col(path).alias("_p"), "new_path"), F.col(path) == F.col("_p"), "left").withColumn(path, F.coalesce("new_path", path)).drop("_p", "new_path")
+
+
+def date_registry_json(rows: DataFrame, book: str, number: str, day: str) -> DataFrame:
+    """Books' date anchors as compact JSON maps, one book a row (a book keeps two)."""
+    anchors = rows.groupBy(book).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lpad(F.col(number).cast("string"), 2, "0"), F.date_format(day, "yyyy-MM-dd"))))).alias("a"))
+    return anchors.select(F.to_json(F.create_map(book, "a")).alias("json"))
+
+
+def page_index_json(parts: DataFrame, delivery: str, part: str, pdf: str, page: str, order: str) -> DataFrame:
+    """Each delivery's parts with their pages in order, as one JSON text a delivery."""
+    pages = parts.groupBy(delivery, part, pdf).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, page))), lambda x: x[page]).alias("paginas"))
+    whole = pages.groupBy(delivery).agg(F.transform(F.array_sort(F.collect_list(F.struct(part, pdf, "paginas"))), lambda x: F.struct(x[pdf].alias("pdf"), x.paginas.alias("paginas"))).alias("partes"))
+    return whole.select(delivery, F.to_json(F.struct("partes")).alias("json"))
+
+
+def read_with_quarantine(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of JSON lines, and the lines that aren't."""
+    lines = spark.read.text(path)
+    parsed = lines.withColumn("_x", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.where("_x._bad IS NULL").select("_x.*").drop("_bad"), parsed.where("_x._bad IS NOT NULL").select("value")
+
+
+def load_list(spark: SparkSession, path: str, normal) -> DataFrame:
+    """A dimension kept as JSON lines of text arrays: distinct normalised values. ``normal`` maps a column."""
+    texts = spark.read.text(path).select(F.explode(F.from_json("value", "array<string>")).alias("v"))
+    return texts.select(normal(F.col("v")).alias("value")).where("value <> ''").distinct()
+
+
+def merged_manifest(old: DataFrame, new: DataFrame, key: str, confirmed: str) -> DataFrame:
+    """A rewritten manifest: new rows, with the confirmations that earlier ones of the same key had."""
+    kept = old.where(confirmed).select(F.col(key).alias("_k")).distinct()
+    return new.join(kept, F.col(key) == F.col("_k"), "left").withColumn(confirmed, F.col(confirmed) | F.col("_k").isNotNull()).drop("_k")
