@@ -39,18 +39,20 @@ def mode_by(df: DataFrame, keys: Sequence[str], value: str, ties: str = "least")
 
 
 def digit_vote(df: DataFrame, key: str, number: str, weight: str, size: int) -> DataFrame:
-    """A weighted vote by position: each digit is the heaviest at its place, ties to the smallest.
+    """A weighted vote by position over numbers of ``size`` digits: each digit is the heaviest at its place, ties to the smallest.
 
-    A result that nobody observed gives way to the heaviest observed number. Votes are counted for what is returned.
+    A result that nobody observed gives way to the heaviest observed number. Votes are counted for what is returned. All
+    sums of a key are taken in one aggregate; it keeps the key's different numbers, of which there are at most 10 to the
+    power of ``size``.
     """
     rows = df.groupBy(key, number).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    places = rows.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.substr(F.col(number), k, F.lit(1)))).alias("place", "digit"), "w")
-    heaviest = places.groupBy(key, "place", "digit").agg(F.sum("w").alias("w"))
-    best = heaviest.groupBy(key, "place").agg(F.min_by("digit", F.struct(-F.col("w"), F.col("digit"))).alias("digit"))
-    voted = best.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "digit"))), lambda x: x.digit), "").alias("voted"))
-    observed = rows.groupBy(key).agg(F.min_by(number, F.struct(-F.col("w"), F.col(number))).alias("heaviest"), F.collect_set(number).alias("seen"))
-    winner = F.when(F.array_contains("seen", F.col("voted")), F.col("voted")).otherwise(F.col("heaviest"))
-    return voted.join(observed, key).withColumn("winner", winner).join(rows.select(F.col(key), F.col(number).alias("winner"), F.col("n").alias("support")), [key, "winner"]).select(key, "winner", "support")
+    sums = [F.sum(F.when(F.substring(number, k, 1) == str(d), F.col("w"))).alias(f"_{k}_{d}") for k in range(1, size + 1) for d in range(10)]
+    heaviest, seen = F.min_by(number, F.struct(-F.col("w"), F.col(number))).alias("heaviest"), F.map_from_entries(F.collect_list(F.struct(number, "n"))).alias("seen")
+    books = rows.groupBy(key).agg(*sums, heaviest, seen)
+    first = lambda k: F.array_max(F.array(*[F.when(F.col(f"_{k}_{d}").isNotNull(), F.struct(F.col(f"_{k}_{d}").alias("w"), F.lit(-d).alias("o"), F.lit(str(d)).alias("digit"))) for d in range(10)])).digit
+    books = books.select(key, "heaviest", "seen", F.concat(*[first(k) for k in range(1, size + 1)]).alias("voted"))
+    winner = F.when(F.map_contains_key("seen", F.col("voted")), F.col("voted")).otherwise(F.col("heaviest"))
+    return books.withColumn("winner", winner).select(key, "winner", F.element_at("seen", F.col("winner")).alias("support"))
 
 
 def unanimous(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
