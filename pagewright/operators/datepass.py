@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators.order import END, START, fill_days_to_month_end
 from pagewright.operators.sequences import best_dates_by_book, repair_days_by_book
+from pagewright.session import stored
 
 PARTS = ("day", "month", "year")
 ORDER = ("number", "page")
@@ -228,19 +229,23 @@ def _month_ends(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def date_pass(pages: DataFrame, keys: Sequence[str], as_of: Column, strength: str = "strength", registry: DataFrame | None = None) -> DataFrame:
     """All steps over each book: ``pages`` with repaired parts, their origins, ``date``, ``regressed`` and ``unresolved``.
 
-    A number may stand on several pages; keys, number and page name a row.
+    A number may stand on several pages; keys, number and page name a row. Between steps the pages are written to the
+    shared folder, so that no step works out the ones before it again.
     """
     rows = pages.withColumns({f"{p}_how": F.when(F.col(p).isNotNull(), "read").otherwise("none") for p in PARTS})
-    rows = year_consensus(set_aside(rows, as_of), keys)
-    rows = bracketed_months(ambiguous_months(rows, keys), keys)
+    rows = stored(set_aside(rows, as_of), "dates-read")
+    rows = stored(ambiguous_months(year_consensus(rows, keys), keys), "dates-years")
+    rows = stored(bracketed_months(rows, keys), "dates-months")
     for part in ("year", "month"):
         sole = sole_anchor_value(rows, keys, part)
-        rows = fill_sole(beyond_anchors(between_anchors(rows, keys, part), keys, part), keys, part, sole)
+        between = stored(between_anchors(rows, keys, part), f"dates-{part}-between")
+        rows = stored(fill_sole(beyond_anchors(between, keys, part), keys, part, sole), f"dates-{part}")
     if registry is not None:
-        rows = fill_from_registry(rows, keys, registry)
-    rows = _repaired(_sequence(rows, keys, as_of), keys, strength)
-    rows = _month_ends(lost_tens(rows, keys), keys)
-    rows = year_consensus(rows, keys, outliers=True)
+        rows = stored(fill_from_registry(rows, keys, registry), "dates-registry")
+    rows = stored(_sequence(rows, keys, as_of), "dates-sequence")
+    rows = stored(_repaired(rows, keys, strength), "dates-repaired")
+    rows = stored(_month_ends(lost_tens(rows, keys), keys), "dates-filled")
+    rows = stored(year_consensus(rows, keys, outliers=True), "dates-outliers")
     rows = _month_ends(set_aside(rows, as_of), keys)
     before = F.last("_date", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(START, -1))
     rows = rows.withColumn("date", F.when(~F.col("blank"), full_date())).withColumn("_date", F.when(F.col("number").isNotNull(), F.col("date")))
