@@ -37,7 +37,9 @@ def page_status(fields: str, blank: Column, date_review: Column, keep: Column) -
     asked = sum((has(fields, k).cast("int") for k in wanted), F.lit(0))
     read = sum((legible(fields, k, p).cast("int") for k, p in wanted.items()), F.lit(0))
     flawed = F.exists(decisive(fields), lambda f: f.status != "OK")
-    return F.when(blank, "ERROR").when(F.size(fields) == 0, keep).when(read == 0, "ERROR").when(read < asked, "WARNING").when(date_review | flawed, "WARNING").otherwise("OK")
+    counts = F.array(F.struct(asked.alias("asked"), read.alias("read"), flawed.alias("flawed")))  # bound once, used in several branches
+    status = lambda c: F.when(blank, "ERROR").when(F.size(fields) == 0, keep).when(c.read == 0, "ERROR").when(c.read < c.asked, "WARNING").when(date_review | c.flawed, "WARNING").otherwise("OK")
+    return F.transform(counts, status)[0]
 
 
 def first_failed_rule(value: Column, rule: Column, confidence: Column, least: float) -> Column:

@@ -42,7 +42,7 @@ def test_costs_match_plain(spark):
     digit = lambda a, b: 0 if a == b else 6 if "".join(sorted(a + b)) in ff.CONFUSABLE else 10
     char = lambda c, d: digit(c, d) if c.isdigit() else 3 + digit(ff.LETTER_DIGIT[c], d) if c in ff.LETTER_DIGIT else 14
     rows = [("".join(rng.choice("0123456789OISZxg-") for _ in range(rng.randint(0, 9))), f"{rng.randrange(10000):04d}") for _ in range(60)]
-    got = spark.createDataFrame(rows, "t string, n string").select("t", "n", ff.reading_cost("t", "n"), ff.weighted_hamming("n", F.lit("1717"))).collect()
+    got = spark.createDataFrame(rows, "t string, n string").select("t", "n", ff.best_window_cost("t", "n"), ff.weighted_hamming("n", F.lit("1717"))).collect()
     for t, n, cost, flat in got:
         compact = t.replace("-", "")
         want = min((sum(map(char, compact[k : k + 4], n)) for k in range(len(compact) - 3)), default=None)
