@@ -25,13 +25,14 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
-#: The tables written so far, by path; those that ``only_last`` removes are taken out.
+#: The folders named so far; those that ``only_last`` removes are taken out.
 _tables: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared folder."""
-    return f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    _tables.append(f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
 
 
 def written(df: DataFrame, name: str, files: int | None = None, by: str | None = None) -> DataFrame:
@@ -42,7 +43,6 @@ def written(df: DataFrame, name: str, files: int | None = None, by: str | None =
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    _tables.append(path)
     out = (df.coalesce(files) if files else df).write
     (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str, files: int | None = None, by: str | None =
 
 @contextmanager
 def only_last(spark: SparkSession) -> Iterator[None]:
-    """Of the tables written inside, only the last one stays: whatever it was made of is removed when all is done."""
+    """Of the folders written inside, only the last one stays: whatever it was made of is removed when all is done."""
     first = len(_tables)
     yield
     gone, _tables[first:] = _tables[first:-1], _tables[first:][-1:]

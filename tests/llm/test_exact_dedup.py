@@ -1,4 +1,5 @@
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -79,3 +80,14 @@ def _frame(batches):
     import pyarrow as pa
 
     return pa.Table.from_batches(batches).to_pandas()
+
+
+def test_only_the_last_table_stays(spark):
+    from pagewright.llm.shared import only_last, written
+
+    with only_last(spark):
+        first = written(spark.range(5), "test")
+        second = written(first.selectExpr("id + 1 AS id"), "test")
+    assert second.count() == 5
+    place = first.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert not os.path.exists(place)

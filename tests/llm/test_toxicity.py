@@ -1,8 +1,12 @@
+import math
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
-from pagewright.llm.toxicity import FEATURES, drop_toxic, features, fit, fold, scores
+from pagewright.llm.toxicity import FEATURES, FOLDS, SECOND, drop_toxic, feature_column, features, fit, fold, learn_lexicon, scores, undone
 
 CHECK = "/root/testdata/sf0.01"
 
@@ -56,3 +60,100 @@ def test_features():
 
 def test_the_sample_is_bounded(spark, tables):
     assert fit(*tables, max_rows=3).trees is None
+
+
+def plain_words(text):
+    out, word = [], ""
+    for c in text + " ":
+        if c.isalnum():
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def plain_features(text, strength):
+    """The features from their definitions; for texts whose tokens stand between single spaces."""
+    low = text.lower()
+    words = plain_words(low)
+    n, hits = max(1, len(words)), []
+    for k, w in enumerate(words):
+        if w in strength:
+            hits.append((k, strength[w], w, False))
+        elif len(w) > 5:
+            found = [s for s in (w[:5] + "~", w[:4] + "~") if strength.get(s)]
+            if found:
+                hits.append((k, strength[found[0]], w[:4], True))
+    you = [k for k, w in enumerate(words) if w in SECOND]
+    near = sum(any(abs(k - y) <= 5 for y in you) for k, *_ in hits)
+    upper = lambda c: "A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "Þ"
+    lower = lambda c: "a" <= c <= "z" or "ß" <= c <= "ö" or "ø" <= c <= "ÿ"
+    runs_of = "".join(c if c.isalnum() or c == "_" else " " for c in text).split()
+    loud = sum(len(w) > 2 and all(c.isalpha() and not lower(c) for c in w) for w in runs_of)
+    threes, k = 0, 0
+    while k + 2 < len(low):
+        same = low[k] == low[k + 1] == low[k + 2] and (low[k].isalnum() or low[k] == "_")
+        threes, k = threes + same, k + (3 if same else 1)
+    signs = "0123456789@$!*+._-"
+    odd = []
+    for token in low.split(" "):
+        inner = [k for k in range(1, len(token) - 1) if token[k] in signs]
+        if any(token[k - 1].isalpha() and next((c for c in token[k:] if c not in signs), "").isalpha() for k in inner):
+            odd.append(token)
+    hidden = sum(any(x in strength for x in (w, *((w[:4] + "~", w[:5] + "~") if len(w) > 5 else ()))) for w in map(undone, odd))
+    chars, letters = max(1, len(text)), max(1, sum(map(len, words)))
+    n_word, n_stem = sum(not s for *_, s in hits), sum(s for *_, s in hits)
+    values = [v for _, v, _, _ in hits]
+    return [
+        math.log(1 + len(words)), n_word / n, math.log(1 + n_word), n_stem / n, math.log(1 + n_stem), sum(values) / n, max([0.0, *values]), len(you) / n, near / (len(hits) + 1), sum(map(upper, text)) / letters, loud / n, text.count("!") / chars, text.count("?") / chars,
+        sum(c in ".,;:|" for c in text) / chars, threes / n, len(odd) / n, math.log(1 + hidden), math.log(1 + len({w for _, _, w, _ in hits})),
+    ]
+
+
+TOKENS = st.lists(st.sampled_from(["you", "YOU", "Loser", "l0ser", "lo$er", "abcdefgh", "abcdxyz", "so", "sooo!!", "WHY?", "ÄRGER", "a.b", "e-mail", "x_y", "1234", "end.", "du,", "A1B", "---", "!", "naïve"]), max_size=25).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TOKENS)
+def test_features_match_their_definitions(text):
+    strength = {"loser": 5.0, "abcde~": 4.0, "abcd~": 3.5, "so": 3.0}
+    assert features(text, strength) == pytest.approx(plain_features(text, strength))
+
+
+def test_the_lexicon_is_counted_plainly(spark):
+    rows = [("bad words here", 1)] * 5 + [("bad things", 1)] * 3 + [("good words", 0)] * 40 + [("Terribly bad", 1)] * 4 + [(None, 1)]
+    got = learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 13, 40)
+    counts = {}
+    for text, toxic in rows:
+        words = set(plain_words((text or "").lower()))
+        for t in words | {w[:k] + "~" for w in words if len(w) > 5 for k in (4, 5)}:
+            counts.setdefault(t, [0, 0])[1 - toxic] += 1
+    odds = {t: math.log((a + 0.5) / 14) - math.log((b + 0.5) / 41) for t, (a, b) in counts.items() if a >= 4}
+    want = {t: o for t, o in odds.items() if o >= 3.0}
+    assert got == pytest.approx(want) and set(got) >= {"bad", "terri~"}
+    best = sorted(want, key=lambda t: (-want[t], t))[:2]
+    assert set(learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 13, 40, terms=2)) == set(best)
+
+
+def pooled(pairs):
+    """Isotonic regression by pooling neighbours that fall: mean and size of each block, in the order of x."""
+    blocks = []
+    for x in sorted({x for x, _ in pairs}):
+        own = [y for a, y in pairs if a == x]
+        blocks.append([sum(own), len(own), [x]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: total / n for total, n, xs in blocks for x in xs}
+
+
+def test_calibration_is_isotonic(tables):
+    docs, labels = tables
+    model = fit(docs, labels, trees=5)
+    calibrates = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(fold("doc_id") == FOLDS - 1)
+    bare = model.trees.copy().setFeaturesCol("v").setProbabilityCol("p")
+    rows = bare.transform(calibrates.withColumn("v", array_to_vector(feature_column("text", model.strength)))).select("doc_id", "toxic", vector_to_array("p")[1].alias("x")).collect()
+    want = pooled([(r.x, r.toxic) for r in rows])
+    got = {r.doc_id: r.score for r in model.score(calibrates.select("doc_id", "text")).collect()}
+    assert len(rows) > 30 and all(got[r.doc_id] == pytest.approx(want[r.x], abs=1e-6) for r in rows)

@@ -53,6 +53,12 @@ def test_least_payload(pages, tmp_path):
     assert (got[2], got[4]) == ("revisit", "response")
 
 
+def test_rows_that_repeat_the_smallest_id_are_responses(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "v", "x"), (2, "w", "x"), (2, "w", "x")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_records(warc.archive_pages(pages, f"file://{tmp_path}/a")).collect())
+    assert got == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2
+
+
 def test_many_members_and_padding_are_inflated():
     data = gzip.compress(b"a" * 3_000_000) + b"\0\0" + gzip.compress(b"b") + gzip.compress(b"")
     assert b"".join(warc.inflated(io.BytesIO(data))) == b"a" * 3_000_000 + b"b"
