@@ -41,18 +41,19 @@ def mode_by(df: DataFrame, keys: Sequence[str], value: str, ties: str = "least")
 def digit_vote(df: DataFrame, key: str, number: str, weight: str, size: int) -> DataFrame:
     """A weighted vote by position over numbers of ``size`` digits: each digit is the heaviest at its place, ties to the smallest.
 
-    A result that nobody observed gives way to the heaviest observed number. Votes are counted for what is returned. All
-    sums of a key are taken in one aggregate; it keeps the key's different numbers, of which there are at most 10 to the
-    power of ``size``.
+    A result that nobody observed gives way to the heaviest observed number. Votes are counted for what is returned. Weights
+    are whole. All sums of a key are taken in one aggregate of numbers alone; the heaviest number (the smallest of equals) is
+    the largest of weight and complement in one number.
     """
-    rows = df.groupBy(key, number).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    rows, most = df.groupBy(key, number).agg(F.sum(weight).cast("long").alias("w"), F.count("*").alias("n")), 10**size
     sums = [F.sum(F.when(F.substring(number, k, 1) == str(d), F.col("w"))).alias(f"_{k}_{d}") for k in range(1, size + 1) for d in range(10)]
-    heaviest, seen = F.min_by(number, F.struct(-F.col("w"), F.col(number))).alias("heaviest"), F.map_from_entries(F.collect_list(F.struct(number, "n"))).alias("seen")
-    books = rows.groupBy(key).agg(*sums, heaviest, seen)
+    books = rows.groupBy(key).agg(*sums, F.max(F.col("w") * most + (most - 1 - F.col(number).cast("long"))).alias("_top"))
     first = lambda k: F.array_max(F.array(*[F.when(F.col(f"_{k}_{d}").isNotNull(), F.struct(F.col(f"_{k}_{d}").alias("w"), F.lit(-d).alias("o"), F.lit(str(d)).alias("digit"))) for d in range(10)])).digit
-    books = books.select(key, "heaviest", "seen", F.concat(*[first(k) for k in range(1, size + 1)]).alias("voted"))
-    winner = F.when(F.map_contains_key("seen", F.col("voted")), F.col("voted")).otherwise(F.col("heaviest"))
-    return books.withColumn("winner", winner).select(key, "winner", F.element_at("seen", F.col("winner")).alias("support"))
+    voted, heaviest = F.concat(*[first(k) for k in range(1, size + 1)]), F.lpad((most - 1 - F.col("_top") % most).cast("string"), size, "0")
+    books = books.select(key, voted.alias("_voted"), heaviest.alias("_heaviest"))
+    met = rows.select(key, number, "n").join(books, key).where((F.col(number) == F.col("_voted")) | (F.col(number) == F.col("_heaviest")))
+    own = F.struct((F.col(number) == F.col("_voted")).alias("voted"), F.col(number).alias("winner"), F.col("n").alias("support"))
+    return met.groupBy(key).agg(F.max(own).alias("b")).select(key, "b.winner", "b.support")
 
 
 def unanimous(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
