@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,14 +26,22 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
-#: The folders named so far; those that ``only_last`` removes are taken out.
-_tables: list[str] = []
+#: The folders named within the innermost ``only_last`` of this thread; None outside of any.
+_named: ContextVar[list[str] | None] = ContextVar("named", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared folder."""
-    _tables.append(f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}")
-    return _tables[-1]
+    path = f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    if (named := _named.get()) is not None:
+        named.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file of the shared folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str, files: int | None = None, by: str | None = None) -> DataFrame:
@@ -50,13 +59,22 @@ def written(df: DataFrame, name: str, files: int | None = None, by: str | None =
 
 @contextmanager
 def only_last(spark: SparkSession) -> Iterator[None]:
-    """Of the folders written inside, only the last one stays: whatever it was made of is removed when all is done."""
-    first = len(_tables)
-    yield
-    gone, _tables[first:] = _tables[first:-1], _tables[first:][-1:]
-    for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    """Of the folders named inside, by this thread, only the last one stays: whatever it was made of is removed when all is done.
+
+    If what runs inside fails, all of them are removed. Other threads' folders are their own.
+    """
+    outer, own = _named.get(), []
+    token, kept = _named.set(own), 0
+    try:
+        yield
+        kept = 1
+    finally:
+        _named.reset(token)
+        gone, stays = (own[:-1], own[-1:]) if kept else (own, [])
+        if outer is not None:
+            outer.extend(stays)
+        for path in gone:
+            remove(spark, path)
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -65,11 +83,17 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def utf8(text: str | Column) -> Column:
-    """A text column's UTF-8 bytes; null counts as empty."""
+    """A text column's bytes as they stand, well-formed or not; null counts as empty."""
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
 
+def valid(text: str | Column) -> Column:
+    """A text column in which replacement characters stand for bytes that are no UTF-8; null counts as empty."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.make_valid_utf8(F.coalesce(text, F.lit("")))
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, whatever its capitals."""
     taken, out = {c.lower() for c in df.columns}, []
