@@ -7,7 +7,7 @@ texts and roles get a backslash after their first character, however many stand
 so no text can hold a mark. Spans and offsets count UTF-8 bytes. The digests are rebuilt from the token ids, the offsets and
 the mask alone.
 
-Defined cases: null texts and roles are empty; rows of one conversation go by turn (null first), then role and text;
+Defined cases: null texts and roles are empty; replacement characters stand for bytes that are no UTF-8; rows of one conversation go by turn (null first), then role and text;
 repeated rows are turns of their own; a row with a null id is a conversation of its own; an empty table gives an empty
 result; other columns are not read. A conversation is one group of one task.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import tokens
+from pagewright.llm.shared import valid
 
 START, SAID, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 MARKS = (START, SAID, END)
@@ -115,7 +116,7 @@ def format_conversations(rows: DataFrame, vocabulary: str = tokens.VOCABULARY, l
     kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
     names = ["conv_id", "formatted", "token_ids", "token_ends", "loss_mask"]
     _batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
-    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), valid("role").alias("role"), valid("text").alias("text"), "turn")
     turns = turns.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     return turns.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text").select("conv_id", "alone", "role", "text").mapInArrow(run, SCHEMA)
 

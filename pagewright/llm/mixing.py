@@ -56,7 +56,7 @@ def first_words(text: str, n: str) -> Column:
         ends = lambda x: [m.end() for m in re.finditer(WORD, x)]
         return pd.Series([x and x[: (ends(x)[: int(k)] or [0])[-1]] for x, k in zip(texts, sizes, strict=True)], dtype=object)
 
-    return cut(text, n)
+    return cut(F.make_valid_utf8(text), n)
 
 
 WORDS: Tokens = (n_words, first_words)

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_records(warc.archive_pages(table(spark, sf_dir, "pages")), with_payload=False)
+    records = warc.read_records(warc.archive_pages(table(spark, sf_dir, "pages"), keep_monolithic=False), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -42,6 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
+    # rows that have the id -1 already are further turns of the added conversation
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 

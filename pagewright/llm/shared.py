@@ -58,15 +58,17 @@ def written(df: DataFrame, name: str, files: int | None = None, by: str | None =
 
 
 @contextmanager
-def only_last(spark: SparkSession) -> Iterator[None]:
+def only_last(spark: SparkSession) -> Iterator[list[str]]:
     """Of the folders named inside, by this thread, only the last one stays: whatever it was made of is removed when all is done.
 
+    Gives the list of the folders; its last one is that which stays.
+
     If what runs inside fails, all of them are removed. Other threads' folders are their own.
     """
     outer, own = _named.get(), []
     token, kept = _named.set(own), 0
     try:
-        yield
+        yield own
         kept = 1
     finally:
         _named.reset(token)

@@ -9,6 +9,16 @@ and the tiles grow instead. Within a group, rows sorted by population count are
 exclusive-or and bit counts, and pairs of steps whose population counts differ beyond the radius are skipped. A task returns
 a spanning forest of the links it found, never all pairs; star contractions join the forests into components.
 
+Three of 64 bits is a tight radius: it finds texts that differ in a word or two. ``drop_near_duplicates`` therefore has a second
+pass over the classes' leaders, with 256 bits over distinct five-word shingles and a radius of ``WIDE_RADIUS``, that of
+texts which share four fifths of their shingles and a little more (see README for its recall). So wide a radius leaves no
+blocks to agree on; leaders meet in the buckets of anchors instead: of a text's ``ANCHORS`` smallest shingle hashes the
+``CHOSEN`` that fewest leaders have. Two texts that share four fifths of their shingles share none of these about once in ten
+thousand times, and a passage that many texts quote is nobody's rare anchor. Each bucket is compared by tiles; one of more
+than a tile's rows goes through all pairs of its tiles, which is exact; one of more than ``PAIRED`` tiles (33,000 rows that
+share an anchor) first goes through rounds in which every tile keeps one row of each class it finds, as long as that halves
+the bucket. What a round drops is linked to the row that stands for it; a text which only a dropped row is near to may stay.
+
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; null ids are no smallest id (a
 component of null ids has a null one); repeated rows are rows of one class; an empty table gives an empty result; other
 columns are not read, whatever their names. ``drop_near_duplicates`` keeps one row of each class and every row without an
@@ -37,6 +47,18 @@ CUTS = 64
 BUCKET = 128
 LANES = np.uint64(0x0101010101010101)
 EDGE_SCHEMA = "u long, v long"
+#: The second pass: words of a shingle, lanes of 64 bits, bits that may differ, smallest hashes of a text, and how many of them make buckets.
+WIDE_SHINGLE, LANES_WIDE, WIDE_RADIUS, ANCHORS, CHOSEN = 5, 4, 48, 16, 8
+#: Tiles of a bucket of which all pairs are compared at once.
+PAIRED = 16
+#: Multipliers of the words' places, and those of the splitmix64 finaliser.
+PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: What tells the lanes apart.
+STARTS = np.arange(LANES_WIDE, dtype=np.uint64) * PLACES[0]
+SKETCHES = "doc_id long, fp long, wide binary, anchors array<long>"
+MEMBERS = "bucket long, doc_id long, wide binary"
+FOUND = "bucket long, doc_id long, wide binary, root long"
 
 
 def bit_totals(h: np.ndarray) -> np.ndarray:
@@ -64,6 +86,55 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each number's bits spread over all of its 64."""
+    x = (x ^ (x >> np.uint64(30))) * MIX_1
+    x = (x ^ (x >> np.uint64(27))) * MIX_2
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_sketch(text: bytes, known: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """The wide fingerprint of a text in UTF-8, and its smallest distinct shingle hashes. ``known`` holds words' hashes."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * LANES_WIDE), np.empty(0, np.int64)
+    digest, out = xxhash.xxh64_intdigest, []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = digest(w, SEED)
+        out.append(h)
+    at = np.array(out, np.uint64)
+    n = max(1, len(at) - WIDE_SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(WIDE_SHINGLE, len(at))):
+        h += mixed(at[k : k + n] * PLACES[k])
+    h = np.unique(mixed(h))
+    bits = [(bit_totals(mixed(h + start)) * 2 > len(h)).astype(np.uint8) for start in STARTS]
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes(), h[:ANCHORS].view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Both fingerprints and the anchors of each row, by ``SKETCHES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            fps, wides, anchors = [], [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                wide, own = wide_sketch(text, known)
+                fps.append(fingerprint(text))
+                wides.append(wide)
+                anchors.append(own)
+                if len(known) > 1 << 18:
+                    known.clear()
+            kinds = pa.int64(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((fps, wides, anchors), kinds, strict=True))], names=["doc_id", "fp", "wide", "anchors"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(run, SKETCHES)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp of each row."""
 
@@ -194,11 +265,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, most: int = CUTS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest id reachable by links)."""
-    rows = written(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+def classes_of(rows: DataFrame, tile: int = TILE, most: int = CUTS) -> DataFrame:
+    """doc_id, fp and component_id of rows with their fingerprints, read from a written table."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    with only_last(docs.sparkSession):
+    with only_last(rows.sparkSession):
         roots = written(components(links(nodes.select("fp"), tile, most)), "simhash-roots")
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     named = written(named.select("fp", "root", "least_id"), "simhash-named")
@@ -207,9 +277,131 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, most: int = CUTS) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest id reachable by links)."""
+    return classes_of(written(fingerprints(docs, id_col, text_col), "simhash-fingerprints"), tile, most)
+
+
+def wide_links(ids: np.ndarray, wide: np.ndarray, other_ids: np.ndarray | None = None, other: np.ndarray | None = None, radius: int = WIDE_RADIUS, step: int = STEP // 2) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of links among rows (``wide``: lanes by rows, sorted by population count), or between them and other such rows."""
+    alone = other is None
+    other_ids, other = (ids, wide) if alone else (other_ids, other)
+    total, totals = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (wide, other))
+    us, vs, held = [], [], 0
+    for a in range(0, len(ids), step):
+        low, high = total[a], total[min(a + step, len(ids)) - 1]
+        for b in range(a if alone else 0, len(other_ids), step):
+            if totals[b] - high > radius:
+                break
+            if low - totals[min(b + step, len(other_ids)) - 1] > radius:
+                continue
+            apart = np.zeros((min(step, len(ids) - a), min(step, len(other_ids) - b)), np.uint16)
+            for x, y in zip(wide, other, strict=True):
+                apart += np.bitwise_count(x[a : a + step, None] ^ y[None, b : b + step])
+            i, j = np.nonzero(np.triu(apart <= radius, 1) if alone and a == b else apart <= radius)
+            us, vs, held = [*us, ids[a + i]], [*vs, other_ids[b + j]], held + len(i)
+            if held > 1 << 19:
+                u, v = forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [u], [v], len(u)
+    return forest(np.concatenate(us), np.concatenate(vs)) if held else (ids[:0], ids[:0])
+
+
+def _lanes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints in bytes as lanes by rows, and the order of their population counts."""
+    wide = np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(-1, LANES_WIDE).T
+    return wide, np.argsort(np.bitwise_count(wide).sum(axis=0, dtype=np.int64), kind="stable")
+
+
+def _tile_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of a bucket (rows by bucket and tile): each row with the row of its class that stays, or null if it is that row."""
+    for keys, ids, values in _groups(batches):
+        wide, order = _lanes(values)
+        ids = ids[order]
+        u, v = wide_links(ids, np.ascontiguousarray(wide[:, order]))
+        at = np.searchsorted(u, ids)
+        known = (at < len(u)) & (u[np.minimum(at, max(0, len(u) - 1))] == ids) if len(u) else np.zeros(len(ids), bool)
+        root = pa.array(v[np.minimum(at, max(0, len(v) - 1))] if len(v) else ids, pa.int64(), mask=~known)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), keys[0])), pa.array(ids), values.take(pa.array(order)), root], names=["bucket", "doc_id", "wide", "root"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n: int = 2) -> Iterator[tuple[tuple, np.ndarray, pa.Array]]:
+    """Sorted rows as groups that agree in their first ``n`` columns: those, the ids and the fingerprints."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:n]]
+        edges = [0, *np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]) if batch.num_rows > 1 else np.zeros(0, bool)) + 1, batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = tuple(int(k[a]) for k in keys)
+            if own != now and held:
+                yield _group(now, held, n)
+                held = []
+            now = own
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield _group(now, held, n)
+
+
+def _group(keys: tuple, held: list[pa.RecordBatch], n: int) -> tuple[tuple, np.ndarray, pa.Array]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    return keys, table.column(n).combine_chunks().to_numpy(zero_copy_only=False), table.column(n + 1).combine_chunks()
+
+
+def _pair_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tiles (rows by pair and side) as links between their sides."""
+    left = None
+    for (pair, side), ids, values in _groups(batches):
+        wide, order = _lanes(values)
+        own = pair, ids[order], np.ascontiguousarray(wide[:, order])
+        if side == 0:
+            left = own
+        elif left is not None and left[0] == pair:
+            yield _batch(*wide_links(left[1], left[2], own[1], own[2]))
+
+
+def second_links(leaders: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (u, v) between leaders (doc_id, wide, anchors) whose wide fingerprints lie within the radius; written tables."""
+    anchors = written(leaders.select("doc_id", F.explode("anchors").alias("bucket")), "simhash-anchors")
+    known = written(anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
+    # an anchor that nobody shares counts as one of the rarest, but makes no bucket
+    ranked = anchors.join(known, "bucket", "left").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "bucket"))), 1, CHOSEN).alias("own"))
+    chosen = ranked.select("doc_id", F.explode("own").alias("x")).where("x.n > 1").select("doc_id", "x.bucket")
+    rows = written(chosen.join(leaders.select("doc_id", "wide"), "doc_id").select("bucket", "doc_id", "wide").distinct(), "simhash-members")
+    edges = None
+    while True:
+        sizes = written(rows.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "simhash-sizes")
+        spread = rows.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+        found = written(spread.select("bucket", "tile", "doc_id", "wide").repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_tile_roots, FOUND), "simhash-found")
+        own = found.where("root IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+        edges = own if edges is None else edges.unionByName(own)
+        left = found.where("root IS NULL").join(sizes.where("tiles > 1"), "bucket").select("bucket", "doc_id", "wide")
+        left = written(left, "simhash-left")
+        before, largest, after = *sizes.where("tiles > 1").agg(F.sum("tiles"), F.max("tiles")).first(), left.count()
+        if not after:
+            return edges
+        few = largest <= PAIRED
+        if few or 2 * after > before * tile:  # or tiles no longer find enough of their rows alike
+            left = rows.join(sizes.where("tiles > 1"), "bucket", "left_semi") if few else left
+            sizes = written(left.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "simhash-sizes")
+            spread = left.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("tiles")).cast("int"))
+            pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.xxhash64("bucket", F.least("tile", k), F.greatest("tile", k)).alias("pair"), (F.col("tile") > k).cast("int").alias("side"), (F.col("tile") == k).alias("same"))))
+            pairs = spread.select(pairs.alias("p"), "doc_id", "wide")
+            within = pairs.where("p.same").select(F.col("p.pair").alias("bucket"), F.lit(0).alias("tile"), "doc_id", "wide").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tile_roots, FOUND)
+            across = pairs.where("NOT p.same").select("p.pair", "p.side", "doc_id", "wide").repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_pair_edges, EDGE_SCHEMA)
+            within = within.where("root IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+            return edges.unionByName(written(within.unionByName(across), "simhash-pairs"))
+        rows = left
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each class: that with the class's smallest id. Rows that share an id stay or go together; they stay if one of them leads its class."""
     (gone,) = free_name(docs, "gone")
-    leads = near_duplicate_classes(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"))
-    drop = written(leads.where("NOT leads").select(F.col("doc_id").alias(gone)), "simhash-drop")
+    rows = written(sketches(docs, id_col, text_col), "simhash-sketches")
+    leads = classes_of(rows.select("doc_id", "fp")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"))
+    leads = written(leads, "simhash-leads")
+    with only_last(docs.sparkSession):
+        edges = second_links(written(rows.join(leads.where("leads"), "doc_id").select("doc_id", "wide", "anchors"), "simhash-leaders"), tile)
+        roots = written(components(edges), "simhash-roots")
+    drop = written(leads.where("NOT leads").select("doc_id").unionByName(roots.where("node != root").select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", gone), "simhash-drop")
     return docs.join(drop, F.col(id_col) == F.col(gone), "left_anti")

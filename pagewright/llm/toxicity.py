@@ -6,7 +6,7 @@ calibration are fitted on at most ``max_rows`` labelled rows (chosen by hash, a
 crc32(id as text) is divisible by five are never among them. Of the others, remainder four calibrates and the rest grow
 the lexicons and trees. Every row's whole text is scored; labels, languages, sources and ids are not inputs of a score.
 
-Defined cases: a null text scores as an empty one; a null id is not held out; labels without an id or a value are left out,
+Defined cases: a null text scores as an empty one; replacement characters stand for bytes that are no UTF-8; a null id is not held out; labels without an id or a value are left out,
 and of several labels of an id the largest counts; with labels of less than two classes in either part every score is the
 labels' mean (0 without labels); an empty table gives an empty result; other columns pass through, whatever their names.
 """
@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import free_name, scratch, utf8, written
+from pagewright.llm.shared import free_name, scratch, utf8, valid, written
 
 MAX_ROWS = 20_000
 TERMS = 2_000
@@ -109,9 +109,9 @@ def features(text: str, strength: dict[str, float]) -> list[float]:
 def feature_column(text: str | Column, strength: dict[str, float]) -> Column:
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(features(x or "", strength)) for x in texts])
+        return pd.Series([np.array(features(x, strength)) for x in texts])
 
-    return run(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return run(valid(text))
 
 
 def fold(id_col: str | Column) -> Column:

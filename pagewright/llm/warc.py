@@ -4,10 +4,12 @@
 can be read alone. ``normalise`` inflates every such file once, as a stream in bounded memory, rewrites each record as a
 gzip member of its own and writes a sidecar (``<archive>.idx.json``, a JSON object per record with file, offset and
 length) beside it. Archives and sidecars appear under their names only when whole, so a task that is lost and run again
-leaves no half file. ``read_records`` fetches single members by offset and checks their digests.
+leaves no half file. ``read_records`` fetches single members by offset and checks their digests. Payloads are hashed where
+they are read; only those whose digest a Bloom filter takes for a repeated one meet the groups of equal digests.
 
-Defined cases: a null payload is empty; a null URL gives no WARC-Target-URI line, and control characters in URLs are
-percent-encoded; of records with equal payloads the smallest id is the response and all others, null ids included, revisit
+Defined cases: a null payload is empty, and payloads are archived byte by byte, well-formed UTF-8 or not; ids are exact up to
+64 bits; a null URL gives no WARC-Target-URI line, control characters in URLs are percent-encoded, and replacement characters
+stand for malformed bytes; of records with equal payloads the smallest id is the response and all others, null ids included, revisit
 it; rows that repeat the smallest id, and groups with null ids only, are responses; an empty table gives no archives and
 no records; other columns are not read.
 """
@@ -20,12 +22,14 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import file_system, scratch, utf8, written
+from pagewright.llm import exact_dedup
+from pagewright.llm.shared import file_system, remove, scratch, utf8, written
 
 CHUNK = 1 << 20
 #: RFC 4648's base32 digits against those of numbers in base 32.
@@ -45,14 +49,23 @@ def base32_sha1(payload: Column) -> Column:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type and refers_to of each page, repeated payloads decided on digests alone."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), utf8(text_col).alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    firsts = written(
-        rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"),
-        "warc-firsts",
-    )
+    rows = rows.withColumn("h", F.when(F.octet_length("payload") >= min_bytes, F.xxhash64("payload_digest")))
+    narrow = written(rows.where("h IS NOT NULL").select("page_id", "payload_digest", "h"), "warc-digests")
+    n, straight, met = narrow.count(), rows.where("false"), rows
+    if exact_dedup.ranges(n) == 1:  # one filter, small enough to broadcast, tells which payloads needn't move
+        cells = exact_dedup.filter_cells(n)
+        bits = pages.sparkSession.sparkContext.broadcast(exact_dedup.repeated_filter(narrow.select("h"), cells))
+        narrow = exact_dedup.with_maybe(narrow, "h", "maybe", cells, bits)
+        met = exact_dedup.with_maybe(rows.withColumn("long_enough", F.col("h").isNotNull()).na.fill(0, ["h"]), "h", "maybe", cells, bits)
+        straight, met = met.where("NOT (maybe AND long_enough)"), met.where("maybe AND long_enough")
+    else:
+        narrow = exact_dedup.by_ranges(narrow, n, "h", exact_dedup.MAX_CELLS)
+    firsts = written(narrow.where("maybe").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     revisits = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull() & (F.octet_length("payload") >= min_bytes)
-    return rows.join(firsts, "payload_digest", "left").select(
+    met = met.join(firsts, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first_id")).alias("refers_to")
     )
+    return met.unionByName(straight.select("page_id", "url", "payload", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def record_text(captured_at: str = "1970-01-01T00:00:00Z") -> Column:
@@ -60,8 +73,8 @@ def record_text(captured_at: str = "1970-01-01T00:00:00Z") -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, head).otherwise(F.concat(head, F.decode("payload", "UTF-8")))
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload").cast("string")))  # bytes as they stand
+    uri = F.regexp_replace(F.make_valid_utf8("url"), r"[\x00-\x20\x7F]", "%20")
     urn = lambda value: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(value.cast("string"), F.lit("none")), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -97,31 +110,33 @@ def inflated(handle) -> Iterator[bytes]:
 
 
 class _Bytes:
-    """Reads exact lengths and heads from chunks."""
+    """Reads exact lengths and heads from chunks; a cursor moves through what is held, which is cut once a chunk."""
 
     def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.left = chunks, b""
+        self.chunks, self.held, self.at = chunks, b"", 0
+
+    def more(self) -> bool:
+        part = next(self.chunks, None)
+        if part is not None:
+            self.held, self.at = self.held[self.at :] + part, 0
+        return part is not None
 
     def head(self) -> bytes | None:
         """Up to and with the next empty line; None at the end."""
-        while b"\r\n\r\n" not in self.left:
-            more = next(self.chunks, None)
-            if more is None:
-                if self.left.strip():
+        while (end := self.held.find(b"\r\n\r\n", self.at)) < 0:
+            if not self.more():
+                if self.held[self.at :].strip():
                     raise ValueError("a WARC record's head is cut off")
                 return None
-            self.left += more
-        at = self.left.index(b"\r\n\r\n") + 4
-        found, self.left = self.left[:at], self.left[at:]
+        found, self.at = self.held[self.at : end + 4], end + 4
         return found
 
-    def body(self, n: int) -> Iterator[bytes]:
+    def body(self, n: int) -> Iterator[memoryview]:
         while n:
-            if not self.left:
-                self.left = next(self.chunks, None)
-                if self.left is None:
-                    raise ValueError("a WARC record's block is cut off")
-            part, self.left = self.left[:n], self.left[n:]
+            if self.at == len(self.held) and not self.more():
+                raise ValueError("a WARC record's block is cut off")
+            part = memoryview(self.held)[self.at : self.at + n]
+            self.at += len(part)
             n -= len(part)
             yield part
 
@@ -132,7 +147,7 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
-def _record(head: bytes, stream: _Bytes, n: int) -> Iterator[bytes]:
+def _record(head: bytes, stream: _Bytes, n: int) -> Iterator[bytes | memoryview]:
     yield head
     yield from stream.body(n)
     yield from stream.body(4)
@@ -145,18 +160,25 @@ def _rewrite(source: str, folder: str) -> tuple[str, int, int]:
     name = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt").removesuffix(".warc") + ".warc.gz"
     own = f"{out}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     offset = count = 0
-    with fs.open_input_stream(path, compression=None) as raw, out_fs.open_output_stream(own, compression=None) as to, out_fs.open_output_stream(f"{own}.idx", compression=None) as index:
-        stream = _Bytes(inflated(raw))
-        while (head := stream.head()) is not None:
-            got, member, length = fields(head), zlib.compressobj(6, zlib.DEFLATED, 31), 0
-            for part in _record(head, stream, int(got["content-length"])):
-                length += to.write(member.compress(part))
-            length += to.write(member.flush())
-            entry = {"file": f"{folder}/{name}", "offset": offset, "length": length, "record_id": got["warc-record-id"], "record_type": got["warc-type"], "payload_digest": got.get("warc-payload-digest", "").removeprefix("sha1:"), "target_uri": got.get("warc-target-uri")}
-            index.write(json.dumps(entry).encode() + b"\n")
-            offset, count = offset + length, count + 1
-    out_fs.move(f"{own}.idx", f"{out}/{name}.idx.json")
-    out_fs.move(own, f"{out}/{name}")
+    try:
+        with fs.open_input_stream(path, compression=None) as raw, out_fs.open_output_stream(own, compression=None) as to, out_fs.open_output_stream(f"{own}.idx", compression=None) as index:
+            stream = _Bytes(inflated(raw))
+            while (head := stream.head()) is not None:
+                got, member, length = fields(head), zlib.compressobj(6, zlib.DEFLATED, 31), 0
+                for part in _record(head, stream, int(got["content-length"])):
+                    length += to.write(member.compress(part))
+                length += to.write(member.flush())
+                entry = {"file": f"{folder}/{name}", "offset": offset, "length": length, "record_id": got["warc-record-id"], "record_type": got["warc-type"], "payload_digest": got.get("warc-payload-digest", "").removeprefix("sha1:"), "target_uri": got.get("warc-target-uri")}
+                index.write(json.dumps(entry).encode() + b"\n")
+                offset, count = offset + length, count + 1
+        for made, to in ((f"{own}.idx", f"{out}/{name}.idx.json"), (own, f"{out}/{name}")):
+            if out_fs.get_file_info(to).type != FileType.NotFound:  # an earlier attempt's, whose records are the same
+                out_fs.delete_file(to)
+            out_fs.move(made, to)
+    finally:
+        for left in (own, f"{own}.idx"):
+            if out_fs.get_file_info(left).type != FileType.NotFound:
+                out_fs.delete_file(left)
     return f"{folder}/{name}", count, offset
 
 
@@ -166,11 +188,12 @@ def normalise(spark: SparkSession, source: str, folder: str) -> DataFrame:
     fs.create_dir(path, recursive=True)
     sources = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([_rewrite(x, folder) for x in frame["path"]], columns=["file", "records", "bytes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes"), _rewrite(path, folder), strict=True))])
 
-    written(sources.mapInPandas(run, "file string, records long, bytes long"), "warc-files")
+    written(sources.mapInArrow(run, "file string, records long, bytes long"), "warc-files")
     return spark.read.schema(INDEX_SCHEMA).option("pathGlobFilter", "*.idx.json").json(folder)
 
 
@@ -192,30 +215,46 @@ def parse_member(data: bytes) -> dict:
     }
 
 
+RECORD_KINDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())])
+
+
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of an index, each read from its offset."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = handle = None
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                found = []
-                for file, offset, length in frame.iloc[at : at + 256][["file", "offset", "length"]].itertuples(index=False):
+        found, size = [], 0
+        try:
+            for batch in batches:
+                for file, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if file != name:
+                        if handle is not None:
+                            handle.close()
                         fs, path = file_system(file)
                         name, handle = file, fs.open_input_file(path)
-                    record = parse_member(handle.read_at(int(length), int(offset)))
+                    record = parse_member(handle.read_at(length, offset))
+                    size += record["payload_bytes"]
                     found.append(record if with_payload else record | {"payload": None})
-                out = pd.DataFrame(found)
-                out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
-                yield out
+                    if len(found) == 1024 or size > 1 << 22:
+                        yield pa.RecordBatch.from_pylist(found, RECORD_KINDS)
+                        found, size = [], 0
+            yield pa.RecordBatch.from_pylist(found, RECORD_KINDS)
+        finally:
+            if handle is not None:
+                handle.close()
+
+    return index.select("file", "offset", "length").mapInArrow(run, RECORD_SCHEMA)
 
-    return index.select("file", "offset", "length").mapInPandas(run, RECORD_SCHEMA)
 
+def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, keep_monolithic: bool = True) -> DataFrame:
+    """Writes ``pages`` as monolithic archives, normalises them, and returns the index of the normalised ones.
 
-def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` as monolithic archives, normalises them, and returns the index of the normalised ones."""
+    The monolithic ones can be removed once they are rewritten. ``folder``: without one, a scratch folder that ``only_last`` removes.
+    """
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     write_monolithic(with_revisits(pages, min_bytes=min_bytes), f"{folder}/monolithic")
-    return normalise(spark, f"{folder}/monolithic", f"{folder}/members")
+    index = normalise(spark, f"{folder}/monolithic", f"{folder}/members")
+    if not keep_monolithic:
+        remove(spark, f"{folder}/monolithic")
+    return index

@@ -71,3 +71,9 @@ def test_the_loss_digest_hangs_on_the_mask(spark):
     flips = [(k, got.formatted, got.token_ids, got.token_ends, [m != (i == k) for i, m in enumerate(got.loss_mask)]) for k in range(len(got.loss_mask))]
     changed = chat.digests(spark.createDataFrame(flips, chat.SCHEMA)).collect()
     assert len(changed) == len(flips) and all(r.loss_sha256 != whole.loss_sha256 for r in changed)
+
+
+def test_malformed_bytes_are_replaced(spark):
+    df = spark.sql("SELECT 1L AS conv_id, 0L AS turn, cast(unhex('FF') AS string) AS role, cast(unhex('61FF') AS string) AS text UNION ALL SELECT 1L, 1L, 'assistant', cast(unhex('C328') AS string)")
+    got = chat.digests(chat.format_conversations(df)).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == expected([("�", "a�"), ("assistant", "�(")])

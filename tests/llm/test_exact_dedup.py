@@ -73,7 +73,8 @@ def test_the_filter_has_no_false_negatives():
 def _batch(h):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+    at = pa.array(np.zeros(len(h), np.int32))
+    return pa.RecordBatch.from_arrays([at, at, pa.array(h)], names=["part", "piece", "h"])
 
 
 def _frame(batches):
@@ -82,6 +83,57 @@ def _frame(batches):
     return pa.Table.from_batches(batches).to_pandas()
 
 
+def test_many_ranges_and_a_hot_text_in_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PIECE", 100)  # a third of all rows share a text: its range has many pieces
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' WHEN id % 50 < 2 THEN concat('t', id DIV 50) ELSE concat('own', id) END AS text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = sorted(max(d for d, t in rows if t == text) for text in {t for _, t in rows})
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for cells in (1 << 20, 1600, 400):
+        spark.sparkContext.setJobGroup(f"ranges-{cells}", "")
+        got = dedup_verdicts(docs, max_cells=cells)
+        assert sorted(r.doc_id for r in got.where("kept").collect()) == want
+        jobs.append(len(tracker.getJobIdsForGroup(f"ranges-{cells}")))
+        assert sorted(r.doc_id for r in drop_duplicates(docs, max_cells=cells).collect()) == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert exact_dedup.ranges(3000, 1600) == 15 and exact_dedup.ranges(3000, 400) == 60 and jobs[1] == jobs[2]
+
+
+def test_failures_and_threads_leave_no_tables_of_their_own(spark):
+    import threading
+
+    from pagewright.llm.shared import only_last, written
+
+    place = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    made, ready, go = {}, threading.Event(), threading.Event()
+
+    def other():
+        with only_last(spark):
+            made["a"] = place(written(spark.range(3), "test"))
+            ready.set()
+            go.wait(60)
+            made["b"] = place(written(spark.range(4), "test"))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    ready.wait(60)
+    try:
+        with only_last(spark):
+            made["c"] = place(written(spark.range(5), "test"))
+            raise KeyError
+    except KeyError:
+        pass
+    assert os.path.exists(made["a"]) and not os.path.exists(made["c"])
+    go.set()
+    thread.join(60)
+    assert not os.path.exists(made["a"]) and os.path.exists(made["b"])
+    with only_last(spark):
+        with only_last(spark):
+            made["d"] = place(written(spark.range(1), "test"))
+        made["e"] = place(written(spark.range(2), "test"))
+    assert not os.path.exists(made["d"]) and os.path.exists(made["e"])
+
+
 def test_only_the_last_table_stays(spark):
     from pagewright.llm.shared import only_last, written
 

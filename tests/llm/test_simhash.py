@@ -100,3 +100,123 @@ def test_masks_cover_radius(rows):
         for b in rng.choice(64, 3, replace=False):
             diff |= 1 << int(b)
         assert any(diff & m & (1 << 64) - 1 == 0 for m in masks)
+
+
+FULL = (1 << 64) - 1
+
+
+def plain_mixed(x):
+    x = (x ^ x >> 30) * int(simhash.MIX_1) & FULL
+    x = (x ^ x >> 27) * int(simhash.MIX_2) & FULL
+    return x ^ x >> 31
+
+
+def plain_wide(text):
+    """256 bits over distinct five-word shingles, and the smallest shingle hashes, word by word."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0, []
+    at = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    hashes = set()
+    for k in range(max(1, len(words) - 4)):
+        hashes.add(plain_mixed(sum(plain_mixed(h * int(p) & FULL) for h, p in zip(at[k : k + 5], simhash.PLACES, strict=False)) & FULL))
+    bits = 0
+    for lane in range(4):
+        own = [plain_mixed(h + int(simhash.STARTS[lane]) & FULL) for h in hashes]
+        bits |= sum(1 << b for b in range(64) if sum(x >> b & 1 for x in own) * 2 > len(own)) << 64 * lane
+    return bits, sorted(hashes)[: simhash.ANCHORS]
+
+
+def second_pass(texts, chosen=simhash.CHOSEN):
+    """The ids that stay among texts by id: smallest of each component of texts that share a chosen anchor and lie within the radius."""
+    got = {k: plain_wide(t) for k, t in texts.items()}
+    df = {}
+    for _, anchors in got.values():
+        for a in anchors:
+            df[a] = df.get(a, 0) + 1
+    signed = lambda a: a - (1 << 64) if a >> 63 else a
+    buckets = {}
+    for k, (_, anchors) in got.items():
+        for a in sorted(anchors, key=lambda a: (df[a], signed(a)))[:chosen]:
+            if df[a] > 1:
+                buckets.setdefault(a, []).append(k)
+    root = {k: k for k in texts}
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for v in buckets.values():
+        for i, a in enumerate(v):
+            for b in v[:i]:
+                if (got[a][0] ^ got[b][0]).bit_count() <= simhash.WIDE_RADIUS:
+                    ra, rb = sorted((up(a), up(b)))
+                    root[rb] = ra
+    return {up(k) for k in texts}
+
+
+def first_pass(texts):
+    ids = classes({k: plain_fingerprint(t) for k, t in texts.items()})
+    return {k: t for k, t in texts.items() if ids[k] == k}
+
+
+@pytest.mark.parametrize("text", ["", "One", "two Words", "ÄÖ a\tb\nc d e f g h", "a b c d e f g " * 300])
+def test_wide_sketch(text):
+    bits, anchors = plain_wide(text)
+    got, own = simhash.wide_sketch(text.encode(), {})
+    assert (int.from_bytes(got, "little"), [a & FULL for a in own.tolist()]) == (bits, anchors)
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_both_passes_match_brute_force(spark, tile):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in drop_near_duplicates(docs, tile=tile).collect()} == second_pass(first_pass(texts))
+
+
+def near_copies(n, words, changed, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    out = [" ".join(base)]
+    for k in range(n - 1):
+        own = list(base)
+        for at in rng.choice(words, changed, replace=False):
+            own[at] = f"x{k}y{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_recall_of_near_copies_and_clean_texts(spark):
+    # a copy with 2 of 100 words changed shares 0.8 of its shingles with the original
+    rows, clean, n = [], [], 0
+    for seed in range(60):
+        for text in near_copies(2, 100, 2, seed):
+            rows.append((n, text))
+            n += 1
+    rng = np.random.default_rng(99)
+    passage = " ".join(f"p{k}" for k in range(25))
+    for _ in range(60):  # clean texts that quote a passage
+        clean.append(n)
+        rows.append((n, " ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) + " " + passage))
+        n += 1
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(clean) <= kept
+    caught = sum(2 * k + 1 not in kept for k in range(60))
+    assert caught >= 54 and all(2 * k in kept for k in range(60))
+
+
+def test_large_buckets_go_through_rounds_and_pairs(spark, monkeypatch):
+    texts = dict(enumerate(near_copies(120, 150, 3, 1)))
+    df = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    assert {r.doc_id for r in drop_near_duplicates(df(texts), tile=8).collect()} == second_pass(first_pass(texts)) == {0}
+    monkeypatch.setattr(simhash, "PAIRED", 1)
+    kept = {r.doc_id for r in drop_near_duplicates(df(texts), tile=8).collect()}
+    assert 0 in kept and len(kept) <= 4  # a text that is near to dropped ones only may stay
+    # texts that meet in one bucket without being alike: rounds don't help, all pairs of tiles are compared
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{k}" for k in range(60))
+    other = {k: " ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) + " " + passage for k in range(40)}
+    other |= {k + 100: other[k] + " end" for k in range(0, 40, 4)}
+    monkeypatch.setattr(simhash, "CHOSEN", 16)
+    assert {r.doc_id for r in drop_near_duplicates(df(other), tile=4).collect()} == second_pass(first_pass(other), 16)

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.functions import array_to_vector, vector_to_array
 
+from pagewright.llm import toxicity
 from pagewright.llm.toxicity import FEATURES, FOLDS, SECOND, drop_toxic, feature_column, features, fit, fold, learn_lexicon, scores, undone
 
 CHECK = "/root/testdata/sf0.01"
@@ -157,3 +158,9 @@ def test_calibration_is_isotonic(tables):
     want = pooled([(r.x, r.toxic) for r in rows])
     got = {r.doc_id: r.score for r in model.score(calibrates.select("doc_id", "text")).collect()}
     assert len(rows) > 30 and all(got[r.doc_id] == pytest.approx(want[r.x], abs=1e-6) for r in rows)
+
+
+def test_malformed_bytes_are_replaced(spark):
+    df = spark.sql("SELECT cast(unhex('61FF2062') AS string) AS text UNION ALL SELECT CAST(NULL AS string)")
+    got = [list(r[0]) for r in df.select(toxicity.feature_column("text", {})).collect()]
+    assert got == [toxicity.features("a� b", {}), toxicity.features("", {})]

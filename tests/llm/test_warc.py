@@ -72,3 +72,35 @@ def test_whole_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: bytes(r.payload) for r in warc.read_records(warc.archive_pages(pages)).collect()}
     assert got == {r.page_id: (r.html or "").encode() for r in pages.collect()}
+
+
+def test_ids_beyond_2_to_the_53_and_malformed_bytes(spark, tmp_path):
+    big = 1152921504606846977
+    rows = ", ".join(f"({k}L, cast(unhex('{h}') AS string), cast(unhex('{u}') AS string))" for k, h, u in ((big, "61FF62", "68FF"), (big + 2, "61FF62", "68"), (big + 4, "61EFBFBD62", "68"), (7, "", "FE")))
+    pages = spark.sql(f"SELECT * FROM VALUES {rows}, (NULL, cast(unhex('61FF62') AS string), 'x') AS t(page_id, html, url)")
+    got = {r.page_id: r for r in warc.read_records(warc.archive_pages(pages, f"file://{tmp_path}/a")).collect()}
+    assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in got.items()} == {
+        big: ("response", None, 3), big + 2: ("revisit", big, 3), None: ("revisit", big, 3), big + 4: ("response", None, 5), 7: ("response", None, 0)
+    }
+    assert bytes(got[big].payload) == b"a\xffb" and got[big].payload_digest == base64.b32encode(hashlib.sha1(b"a\xffb").digest()).decode()
+    assert got[big].target_uri == "h�"
+
+
+def test_records_across_chunks():
+    record = lambda k: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % k + b"x" * k + b"\r\n\r\n"
+    data = b"".join(map(record, [0, 1, 5, 1000, 3]))
+    for size in (1, 7, 64, 10_000):
+        stream, seen = warc._Bytes(iter([data[k : k + size] for k in range(0, len(data), size)])), []
+        while (head := stream.head()) is not None:
+            n = int(warc.fields(head)["content-length"])
+            seen.append(b"".join(warc._record(head, stream, n)))
+        assert b"".join(seen) == data and len(seen) == 5
+
+
+def test_many_pages_by_ranges(pages, tmp_path, monkeypatch):
+    from pagewright.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 16)
+    monkeypatch.setattr(exact_dedup.ranges, "__defaults__", (16,))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_records(warc.archive_pages(pages, f"file://{tmp_path}/a", keep_monolithic=False)).collect()}
+    assert (got[2], got[4], got[None], got[5]) == (("revisit", 1), ("revisit", 3), ("revisit", 1), ("response", None)) and not os.path.exists(tmp_path / "a/monolithic")
