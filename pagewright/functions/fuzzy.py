@@ -78,3 +78,33 @@ def lcs_length(left: str | Column, right: str | Column) -> Column:
         return F.aggregate(chars(right), F.array(F.lit(0)), cell)
 
     return F.element_at(F.aggregate(chars(left), zeros, step), -1)
+
+
+def matched_length(left: Column, right: Column, steps: int = 7) -> Column:
+    """How many characters two texts share in longest common blocks, found left and right of each other (Ratcliff and Obershelp).
+
+    Of equally long blocks the first in the left text counts, then the first in the right one. ``steps``: the greatest length
+    of the shorter text, as each step takes a character of it at least.
+    """
+
+    def block(p: Column) -> Column:
+        size = F.length(p["b"])
+        every = F.transform(F.sequence(F.lit(1), size), lambda j: F.transform(F.sequence(F.lit(1), size - j + 1), lambda n: F.struct(n.alias("n"), (-F.position(F.substr(p["b"], j, n), p["a"])).alias("i"), (-j).alias("j"))))
+        return F.array_max(F.filter(F.flatten(every), lambda x: x["i"] < 0))
+
+    def step(now: Column, _: Column) -> Column:
+        cut = F.filter(F.transform(now["parts"], lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), block(p).alias("m"))), lambda c: c["m"].isNotNull())
+        before = lambda c: F.struct(F.substr(c["a"], F.lit(1), -c["m"]["i"] - 1).alias("a"), F.substr(c["b"], F.lit(1), -c["m"]["j"] - 1).alias("b"))
+        after = lambda c: F.struct(F.substr(c["a"], c["m"]["n"] - c["m"]["i"]).alias("a"), F.substr(c["b"], c["m"]["n"] - c["m"]["j"]).alias("b"))
+        parts = F.filter(F.flatten(F.transform(cut, lambda c: F.array(before(c), after(c)))), whole)
+        return F.struct(parts.alias("parts"), (now["total"] + F.aggregate(cut, F.lit(0), lambda x, c: x + c["m"]["n"])).alias("total"))
+
+    whole = lambda p: (p["a"] != "") & (p["b"] != "")
+    start = F.struct(F.filter(F.array(F.struct(left.alias("a"), right.alias("b"))), whole).alias("parts"), F.lit(0).alias("total"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["total"]
+
+
+def agrees_with(reading: str | Column, number: str | Column) -> Column:
+    """Whether the digits of a reading (four at least say something) don't contradict a number of up to seven digits: three fifths alike."""
+    digits, known = F.regexp_replace(F.coalesce(col(reading), F.lit("")), "[^0-9]", ""), F.format_string("%07d", col(number))
+    return (F.length(digits) < 4) | (matched_length(digits, known) * 20 >= (F.length(digits) + F.length(known)) * 6)

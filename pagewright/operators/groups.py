@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +53,8 @@ def digit_vote(df: DataFrame, key: str, number: str, weight: str, size: int) ->
     first = lambda k: F.array_max(F.array(*[F.when(F.col(f"_{k}_{d}").isNotNull(), F.struct(F.col(f"_{k}_{d}").alias("w"), F.lit(-d).alias("o"), F.lit(str(d)).alias("digit"))) for d in range(10)])).digit
     voted, heaviest = F.concat(*[first(k) for k in range(1, size + 1)]), F.lpad((most - 1 - F.col("_top") % most).cast("string"), size, "0")
     books = books.select(key, voted.alias("_voted"), heaviest.alias("_heaviest"))
-    met = rows.select(key, number, "n").join(books, key).where((F.col(number) == F.col("_voted")) | (F.col(number) == F.col("_heaviest")))
+    books = books.withColumnRenamed(key, "_key")
+    met = rows.select(key, number, "n").join(books, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").where((F.col(number) == F.col("_voted")) | (F.col(number) == F.col("_heaviest")))
     own = F.struct((F.col(number) == F.col("_voted")).alias("voted"), F.col(number).alias("winner"), F.col("n").alias("support"))
     return met.groupBy(key).agg(F.max(own).alias("b")).select(key, "b.winner", "b.support")
 
@@ -65,7 +68,9 @@ def consensus(df: DataFrame, keys: Sequence[str], value: str, least_rows: int =
     """The mode of each group with enough readings, votes and share."""
     totals = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("readings"))
     enough = (F.col("readings") >= least_rows) & (F.col("votes") >= least_votes) & (F.col("votes") * share[1] >= F.col("readings") * share[0])
-    return mode_by(df, keys, value).join(totals, list(keys)).where(enough)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    totals = totals.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return mode_by(df, keys, value).join(totals, same).drop(*[f"_{k}" for k in keys]).where(enough)
 
 
 def supported_values(df: DataFrame, keys: Sequence[str], value: str, evidence: str, least: int = 2) -> DataFrame:

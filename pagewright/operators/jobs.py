@@ -8,14 +8,16 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import stored
 
-def number_query(text: str) -> Callable[[Column], Column]:
-    """The predicate of a search: seven digits are that number, ``bit: x`` and anything else a part of it."""
-    wanted = text.strip()
-    if re.fullmatch("[0-9]{7}", wanted):
-        return lambda number: number == wanted
-    part = re.sub(r"^bit:\s*", "", wanted)
-    return lambda number: number.contains(part) & F.lit(part != "")
+
+def number_query(text: str) -> Callable[[Column], Column] | None:
+    """The predicate of a search: seven digits are that number, and one to six digits behind ``bit:`` or ``bitácora:`` a part of it; anything else is no query."""
+    found = re.fullmatch(r"([0-9]{7})|(?:bit|bit[aá]cora)\s*:\s*([0-9]{1,7})", text.strip(), re.IGNORECASE)
+    if found is None:
+        return None
+    wanted = found[1] or found[2]
+    return lambda number: number == wanted if len(wanted) == 7 else number.contains(wanted)
 
 
 def new_batch(now: DataFrame, before: DataFrame, key: str, name: str, pages: str, expected: Column) -> DataFrame:
@@ -71,11 +73,19 @@ def unchanged(rows: DataFrame, remote: DataFrame, key: str, values: Sequence[str
 
 
 def global_positions(rows: DataFrame, report: str, order: Sequence[str]) -> DataFrame:
-    """Each row's place among all rows, reports in their order; only the reports' sizes are summed in one window."""
-    sizes = rows.groupBy(report).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(report)) - F.col("_n")).drop("_n")
+    """Each row's place among all rows, reports in their order (null first).
+
+    The reports' sizes are dealt by ranges of reports; each range sums its own, and a small table of the ranges' totals says
+    what comes before it. No window holds all reports.
+    """
+    sizes = rows.groupBy(F.col(report).alias("_report")).agg(F.count("*").alias("_n"))
+    dealt = stored(sizes.repartitionByRange("_report").withColumn("_range", F.spark_partition_id()), "report-sizes")
+    totals = dealt.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    earlier = totals.withColumn("_earlier", F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).drop("_total")  # a row for each range
+    within = dealt.withColumn("_within", F.sum("_n").over(Window.partitionBy("_range").orderBy("_report").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
+    before = within.join(F.broadcast(earlier), "_range").select("_report", (F.col("_earlier") + F.col("_within")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(report).orderBy(*order))
-    return rows.withColumn("_own", own).join(before, report).withColumn("position", F.col("_before") + F.col("_own")).drop("_own", "_before")
+    return rows.withColumn("_own", own).join(before, F.col(report).eqNullSafe(F.col("_report"))).withColumn("position", F.col("_before") + F.col("_own")).drop("_own", "_before", "_report")
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

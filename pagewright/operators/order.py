@@ -99,6 +99,13 @@ def spread_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
     return rows.where((F.col("n") <= k) | F.array_contains(wanted, F.col("i").cast("long"))).drop("i", "n")
 
 
+def spread_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, k: int) -> DataFrame:
+    """``k`` different values of each group, spread evenly over their first places: keys and value. Values are trimmed; empty ones and nulls don't count."""
+    rows = df.withColumn(value, F.trim(F.col(value))).where(F.col(value) != "")
+    first = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
+    return spread_sample(first, keys, ["_first"], k).drop("_first")
+
+
 def numeric_text_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, descending: bool = False) -> DataFrame:
     """The place of each text: numbers by value before other texts without regard to case, blanks last in both directions."""
     text = F.coalesce(F.trim(value), F.lit(""))

@@ -6,7 +6,6 @@ neither a call nor a group is spent on one book. Rows without a key don't take p
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import fuzzy
+
 #: Fixed values, in millionths: what it costs to give a row a day that it doesn't name itself, and each day of distance.
 UNSEEN, FAR = 500_000, 10_000
 
@@ -87,28 +88,24 @@ def same_book(left: int, right: int) -> bool:
     return left // 50 == right // 50
 
 
-def compatible(reading: str | None, number: int) -> bool:
-    """Whether the digits of a reading (four at least say something) don't contradict a number."""
-    digits = "".join(c for c in reading or "" if c.isascii() and c.isdigit())
-    return len(digits) < 4 or difflib.SequenceMatcher(None, digits, f"{number:07d}").ratio() >= 0.6
-
-
-def gaps_that_fit(pages: Sequence[int], numbers: Sequence[int | None], blank: Sequence[bool]) -> list[list[int] | None]:
+def gaps_that_fit(pages: Sequence[int], numbers: Sequence[int | None], blank: Sequence[bool], fields: Sequence[bool]) -> list[list[int] | None]:
     """For each unread row its gap and number, if its run of unread rows fits exactly between two read numbers of one book.
 
-    A gap is named by the page and the number before it. Blank rows are passed over; a jump in the page numbers ends a run.
-    Rows are in page order.
+    A gap is named by the page and the number before it. Blank rows are passed over; a jump in the page numbers ends a
+    run, and so does a row that has no field for a number. Rows are in page order.
     """
     out: list[list[int] | None] = [None] * len(pages)
     before, at, run = None, 0, []
-    for k, (page, number, empty) in enumerate(zip(pages, numbers, blank, strict=True)):
+    for k, (page, number, empty, field) in enumerate(zip(pages, numbers, blank, fields, strict=True)):
         if k and page != pages[k - 1] + 1:
             before, run = None, []
         if empty:
             continue
         if number is None:
-            if before is not None:
+            if before is not None and field:
                 run.append(k)
+            else:
+                before, run = None, []
             continue
         if before is not None and run and number - before == len(run) + 1 and same_book(before, number):
             for i, row in enumerate(run, 1):
@@ -130,18 +127,6 @@ def next_fit(sizes: Sequence[int], limit: int) -> list[int]:
     return out
 
 
-def tile(sequence: Sequence, manifests: dict[str, Sequence]) -> list[str]:
-    """The manifests that, one after the other, make up a sequence; empty unless each step has just one that fits."""
-    out, at = [], 0
-    while at < len(sequence):
-        fits = [name for name, rows in sorted(manifests.items()) if rows and list(sequence[at : at + len(rows)]) == list(rows)]
-        if len(fits) != 1:
-            return []
-        out.append(fits[0])
-        at += len(manifests[fits[0]])
-    return out
-
-
 def by_book(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], out: str, kernel: Callable[..., list], least: int = 1 << 14) -> DataFrame:
     """``df`` with a new last column: ``kernel`` takes each group's input columns as lists, in order, and gives its values.
 
@@ -171,7 +156,7 @@ def by_book(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Se
             held = table.slice(stop).to_batches() if stop < table.num_rows else []
 
     name, kind = out.split(" ", 1)
-    arrow = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}[kind]
+    arrow = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[kind]
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
@@ -189,17 +174,17 @@ def best_dates_by_book(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return by_book(df.where(F.size(options) > 0).withColumn("_numbers", numbers), keys, order, ["_numbers", changes, outside], "chosen int", best_dates).drop("_numbers")
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str], page: str, number: str, reading: str, blank: str) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], page: str, number: str, reading: str, blank: str, field: str | None = None) -> DataFrame:
     """``df`` with ``filled``: unread numbers that fit exactly between two read ones of a file.
 
     A run is filled if none of its numbers is read anywhere in the run of files, no earlier gap takes one of them, and each
-    row's reading doesn't contradict its number.
+    row's reading doesn't contradict its number. ``field``: whether a row has a field for a number at all (by default each has).
     """
-    gap = by_book(df, keys, [page], [page, number, blank], "_gap array<long>", gaps_that_fit).where("_gap IS NOT NULL")
+    rows = df.withColumn("_field", F.coalesce(F.col(field), F.lit(False)) if field else F.lit(True))
+    gap = by_book(rows, keys, [page], [page, number, blank, "_field"], "_gap array<long>", gaps_that_fit).where("_gap IS NOT NULL")
     gap = gap.select(*keys, page, reading, F.col("_gap")[0].alias("_at"), F.col("_gap")[1].alias("_before"), F.col("_gap")[2].alias("_new"))
     known = df.where(F.col(number).isNotNull()).select(F.col(number).alias("_new")).distinct().withColumn("_known", F.lit(True))
-    agree = F.udf(compatible, "boolean", useArrow=True)
-    marked = gap.join(known, "_new", "left").withColumn("_ok", F.col("_known").isNull() & agree(F.col(reading), F.col("_new")))
+    marked = gap.join(known, "_new", "left").withColumn("_ok", F.col("_known").isNull() & fuzzy.agrees_with(reading, "_new"))
     # two gaps that share a number lie between the same read numbers, which no gap holds: they are the same gap twice
     good = marked.groupBy(*keys, "_at", "_before").agg(F.bool_and("_ok").alias("_ok")).where("_ok")
     first = good.groupBy("_before").agg(F.min(F.struct(*keys, "_at")).alias("_first"))

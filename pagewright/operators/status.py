@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fields that never decide a page's status, and what legible identifiers look like.
-NEVER_DECIDE = r"signature|_cell|^flight_number$"
-LOG_NUMBER, REGISTRATION = "^[0-9]{7}$", "^HP-[0-9]{4}(CMP|WWP)$"
+#: Fields that never decide a page's status, and what legible identifiers and parts of dates look like.
+NEVER_DECIDE = r"signature|_cell|^(day|month|year)_[0-9]$|^flight_number$"
+LOG_NUMBER, REGISTRATION, DATE = "^[0-9]{7}$", "^HP-[0-9]{4}(CMP|WWP)$", "^[0-9]{4}/[0-9]{2}/[0-9]{2}$"
+DATE_PARTS = {"day": "^(0?[1-9]|[12][0-9]|3[01])$", "month": "^([A-Z]{3}|[0-9]{1,2})$", "year": "^[0-9]{2}([0-9]{2})?$"}
 
 
 def decisive(fields: str) -> Column:
@@ -25,33 +26,57 @@ def has(fields: str, field_id: str) -> Column:
 
 
 def legible(fields: str, field_id: str, pattern: str) -> Column:
-    return F.coalesce(F.get(F.filter(fields, lambda f: f.field_id == field_id), F.lit(0)).value.rlike(pattern), F.lit(False))
+    """Whether the first such field's value, without white space around it, is of a form."""
+    value = F.get(F.filter(fields, lambda f: f.field_id == field_id), F.lit(0)).value
+    return F.coalesce(F.regexp_replace(value, r"^\s+|\s+$", "").rlike(pattern), F.lit(False))
 
 
-def page_status(fields: str, blank: Column, date_review: Column, keep: Column) -> Column:
-    """ERROR for blank pages and those without any legible identifier; WARNING if one lacks or a decisive field isn't OK; else OK.
+def has_date(fields: str, date: Column) -> Column:
+    """Whether the page has a date: the whole one, or else all of day, month and year that it has fields for, one at least."""
+    upper = F.transform(fields, lambda f: F.struct(f.field_id.alias("field_id"), F.upper(f.value).alias("value")))
+    parts = [(has(fields, k), legible(upper, k, p)) for k, p in DATE_PARTS.items()]
+    anything, whole = F.lit(False), F.lit(True)
+    for there, good in parts:
+        anything, whole = anything | there, whole & (~there | good)
+    return F.coalesce(date.rlike(DATE), F.lit(False)) | (anything & whole)
 
-    Only identifiers that the page has are asked for; a page without fields keeps its status.
+
+def page_status(fields: str, blank: Column, date_review: Column, keep: Column, date: Column | None = None) -> Column:
+    """ERROR for blank pages and those of which no identifier is legible; WARNING if one isn't or a decisive field isn't OK; else OK.
+
+    Only identifiers that the page has fields for are asked for (a date by its parts; ``date`` is the page's whole one); a page
+    that has none of them is judged by its fields, and a page without fields keeps its status.
     """
-    wanted = {"log_number": LOG_NUMBER, "matricula": REGISTRATION, "date": "^[0-9]{4}/[0-9]{2}/[0-9]{2}$"}
-    asked = sum((has(fields, k).cast("int") for k in wanted), F.lit(0))
-    read = sum((legible(fields, k, p).cast("int") for k, p in wanted.items()), F.lit(0))
+    date = F.lit(None).cast("string") if date is None else date
+    dated = F.exists(fields, lambda f: f.field_id.isin(*DATE_PARTS))
+    asked = has(fields, "log_number").cast("int") + has(fields, "matricula").cast("int") + dated.cast("int")
+    read = legible(fields, "log_number", LOG_NUMBER).cast("int") + legible(fields, "matricula", REGISTRATION).cast("int") + (dated & has_date(fields, date)).cast("int")
     flawed = F.exists(decisive(fields), lambda f: f.status != "OK")
-    return F.when(blank, "ERROR").when(F.size(fields) == 0, keep).when(read == 0, "ERROR").when(read < asked, "WARNING").when(date_review | flawed, "WARNING").otherwise("OK")
+    return F.when(blank, "ERROR").when(F.size(fields) == 0, keep).when((asked > 0) & (read == 0), "ERROR").when(read < asked, "WARNING").when(date_review | flawed, "WARNING").otherwise("OK")
+
 
+def first_failed_rule(value: Column, rule: Column, confidence: Column, least: float, signature: Column | None = None) -> Column:
+    """The first rule that a value breaks (rule: required, regex, min_length, max_length); null if none.
 
-def first_failed_rule(value: Column, rule: Column, confidence: Column, least: float) -> Column:
-    """The first rule that a value breaks (rule: required, regex, min_length, max_length); null if none."""
-    empty = F.coalesce(value, F.lit("")) == ""
+    White space alone is no value. A pattern must match the whole value. Signatures may be unsure.
+    """
+    empty = F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", "") == ""
+    whole = F.regexp_like(value, F.concat(F.lit(r"\A(?:"), rule.regex, F.lit(r")\z")))
+    unsure = (confidence < least) & (F.lit(True) if signature is None else ~signature)
     return F.coalesce(
-        F.when(empty & rule.required, "required"),
-        F.when(~empty & rule.regex.isNotNull() & ~F.regexp_like(value, rule.regex), "regex"),
-        F.when(~empty & (F.length(value) < rule.min_length), "too_short"),
-        F.when(~empty & (F.length(value) > rule.max_length), "too_long"),
-        F.when(~empty & (confidence < least), "low_confidence"),
+        F.when(empty, F.when(rule.required, "required").otherwise("optional_empty")),
+        F.when(rule.regex.isNotNull() & ~whole, "regex"),
+        F.when(F.length(value) < rule.min_length, "too_short"),
+        F.when(F.length(value) > rule.max_length, "too_long"),
+        F.when(unsure, "low_confidence"),
     )
 
 
+def rule_status(broken: Column) -> Column:
+    """The status that the first broken rule gives: an empty optional field and a low confidence only warn."""
+    return F.when(broken.isNull(), "OK").when(broken.isin("optional_empty", "low_confidence"), "WARNING").otherwise("ERROR")
+
+
 def presence(value: Column, confidence: Column, sure: float = 0.8, clear: float = 0.2) -> Column:
     """True, false or null (unclear) from a value and its confidence."""
     return F.when((value == "true") & (confidence >= sure), True).when((value == "false") & (confidence >= clear), False)

@@ -68,16 +68,16 @@ def fleet_check(spark: SparkSession, d: str) -> DataFrame:
     return registrations.against_fleet(pages, "book", "n", "text", fleet, "number").select("o_orderkey", "fleet_value", "fleet_method")
 
 
-ANCHORS_SQL = "SELECT series || half AS book, o_orderkey // 2 AS log, (o_orderkey % 100 // 2)::INT AS number, CASE WHEN o_orderkey % 16 = 5 THEN o_orderdate::DATE ELSE DATE '1996-01-01' + (o_orderkey % 100)::INT // 2 END AS day FROM (SELECT *, {0} FROM orders) WHERE o_orderkey // 100 % 2 = 0 OR o_orderkey % 16 <> 5".format(BOOK_SQL)
+ANCHORS_SQL = "SELECT series || half AS book, o_orderkey // 2 AS log, (o_orderkey % 100 // 2)::INT AS number, CASE WHEN o_orderkey % 16 = 5 AND o_orderkey // 100 % 2 = 0 THEN o_orderdate::DATE ELSE DATE '1996-01-01' + (o_orderkey % 100)::INT // 2 END AS day FROM (SELECT *, {0} FROM orders)".format(BOOK_SQL)
 FALLS = "list_bool_or([{0}[k].day < {0}[k - 1].day FOR k IN range(2, len({0}) + 1)])"
 EXTREMES = "CASE WHEN len({0}) > 1 THEN [{0}[1], {0}[-1]] ELSE {0} END"
 
 
 def _anchor_rows(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = with_book(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").where((F.floor(k / 100) % 2 == 0) | (k % 16 != 5))
+    rows = with_book(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     half = F.floor(k % 100 / 2).cast("int")
-    day = F.when(k % 16 == 5, F.to_date("o_orderdate")).otherwise(F.date_add(F.to_date(F.lit("1996-01-01")), half))
+    day = F.when((k % 16 == 5) & (F.floor(k / 100) % 2 == 0), F.to_date("o_orderdate")).otherwise(F.date_add(F.to_date(F.lit("1996-01-01")), half))
     return rows.select(F.concat(F.col("series").cast("string"), "half").alias("book"), F.floor(k / 2).alias("log"), half.alias("number"), day.alias("day"))
 
 

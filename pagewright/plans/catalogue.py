@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.plans import booked, dated, detailed, files, grouped, joined, ordered, reviewed, scalars  # noqa: F401  they register their queries
+from pagewright.plans import booked, dated, detailed, files, grouped, joined, ordered, reviewed, scalars, settled  # noqa: F401  they register their queries
 from pagewright.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

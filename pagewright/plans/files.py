@@ -20,14 +20,6 @@ def consolidated_reports(spark: SparkSession, d: str) -> DataFrame:
     return _report_counts(table(spark, d, "lineitem"))
 
 
-@query("""
-    SELECT l_returnflag, count(*) AS total, count(DISTINCT l_suppkey) AS reports, count(*) AS pages FROM lineitem GROUP BY 1
-""")
-def consolidated_reports_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Reports of the whole table, written as JSON and counted from it."""
-    return _report_counts(table(spark, d, "lineitem"))
-
-
 def _report_counts(lines: DataFrame) -> DataFrame:
     pages = lines.withColumn("pdf", F.format_string("%06d.pdf", "l_suppkey"))
     texts = json_runs.consolidated(pages, "l_returnflag", "pdf", ["l_orderkey", "l_linenumber"], ["l_quantity"])
@@ -67,6 +59,27 @@ def wide_report(spark: SparkSession, d: str) -> DataFrame:
     return csv_runs.pivot_fields(rows, ["l_orderkey"], ["log_number", "matricula"])
 
 
+@query("""
+    WITH p AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(l_discount) AS conf, max(l_linestatus) AS status, max(l_suppkey) AS supplier FROM lineitem GROUP BY ALL),
+    w AS (SELECT l_orderkey::VARCHAR AS page, (max(CASE WHEN l_linenumber = 1 THEN supplier END) % 9)::VARCHAR AS file, {0} FROM p GROUP BY l_orderkey)
+    SELECT coalesce(file, '') AS file, page, {1}, '' AS review, '' AS dup, '' AS disc, '' AS disc_reason, '' AS date, '' AS time_ms FROM w
+""".format(
+    ", ".join(f"max(CASE WHEN l_linenumber = {k} THEN {v} END) AS {n}{s}" for k, n in enumerate(("log_number", "matricula", "captain_signature"), 1) for v, s in (("flag", ""), ("conf", "_conf"), ("status", "_status")) if (n, s) != ("captain_signature", "_status")),
+    ", ".join(f"coalesce({n}{s}::VARCHAR, '') AS {n}{s}" if s in ("", "_conf", "_status") else f"'' AS {n}{s}" for n in ("log_number", "matricula", "captain_signature") for s in ("", *csv_runs.SUFFIXES) if not (n == "captain_signature" and s in ("_status", "_comment"))),
+))
+def wide_form(spark: SparkSession, d: str) -> DataFrame:
+    """The wide form of pages with three fields, one of them a signature, written as CSV and read again."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("value"), F.max("l_discount").alias("confidence"), F.max("l_linestatus").alias("status"), F.max("l_suppkey").alias("supplier"))
+    names = ("log_number", "matricula", "captain_signature")
+    field = F.when(F.col("l_linenumber") == 1, names[0]).when(F.col("l_linenumber") == 2, names[1]).when(F.col("l_linenumber") == 3, names[2])
+    pages = csv_runs.pivot_fields(lines.withColumn("field_id", field), ["l_orderkey"], names)
+    files = lines.where("l_linenumber = 1").select("l_orderkey", (F.col("supplier") % 9).alias("file"))
+    rows = pages.join(files, "l_orderkey", "left").withColumnRenamed("l_orderkey", "page")
+    path = shared_folder(spark, "wide")
+    csv_runs.write_run(csv_runs.wide_form(rows, names, names[2:]), path)
+    return csv_runs.read_run(spark, path)
+
+
 @query(f"""
     SELECT user_id, max(ts)::TIMESTAMP AS last_seen, epoch(TIMESTAMP '{AS_OF} 00:00:00' - max(ts)) > 86400 AS stalled FROM events GROUP BY 1
 """)

@@ -87,10 +87,10 @@ def book_unanimous(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH c AS (SELECT o_custkey, year(o_orderdate)::INT AS year, count(*) AS votes FROM orders GROUP BY ALL),
     m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY votes DESC, year) AS rn, (sum(votes) OVER (PARTITION BY o_custkey))::BIGINT AS readings FROM c)
-    SELECT o_custkey, year, votes, readings FROM m WHERE rn = 1 AND readings >= 3 AND votes >= 2 AND votes * 5 >= readings * 2
+    SELECT o_custkey, year, votes, readings FROM m WHERE rn = 1 AND readings >= 3 AND votes >= 2 AND votes * 5 >= readings * 3
 """)
 def year_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return groups.consensus(table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year")), ["o_custkey"], "year", share=(2, 5))
+    return groups.consensus(table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year")), ["o_custkey"], "year")
 
 
 @query(f"""

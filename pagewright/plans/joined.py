@@ -99,17 +99,17 @@ def anti_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'OTHER' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 4 <> 0)
+    WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'OTHER' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 3 = 0)
     SELECT c_custkey, a.v AS observed, b.v AS stored, CASE WHEN b.v IS NULL THEN 'learn' WHEN a.v IS NULL THEN 'keep' WHEN a.v = b.v THEN 'confirm' ELSE 'conflict' END AS action FROM a FULL JOIN b USING (c_custkey)
 """)
 def registry_audit(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
-    stored = c.where("c_custkey % 4 <> 0").withColumn("v", F.when(F.col("c_custkey") % 5 == 0, "OTHER").otherwise(F.col("v")))
+    stored = c.where("c_custkey % 4 <> 0 OR c_custkey % 3 = 0").withColumn("v", F.when(F.col("c_custkey") % 5 == 0, "OTHER").otherwise(F.col("v")))
     return joins.full_compare(c.where("c_custkey % 3 <> 0"), stored, "c_custkey", "v")
 
 
 @query("""
-    WITH b AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 11 <> 0), l AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'L' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0),
+    WITH b AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 35 = 0), l AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'L' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 0),
     s AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'S' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0),
     j AS (SELECT c_custkey, l.v AS l, s.v AS s, b.v AS b FROM l FULL JOIN s USING (c_custkey) FULL JOIN b USING (c_custkey)),
     k AS (SELECT *, CASE WHEN l IS NOT NULL AND s IS NULL THEN 'push' WHEN l IS NULL AND s IS NOT NULL AND b IS NOT NULL AND s = b THEN 'skip' WHEN l IS NULL AND s IS NOT NULL THEN 'pull' WHEN l IS NULL AND s IS NULL THEN 'gone'
@@ -120,13 +120,13 @@ def three_way_merge(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
     changed = lambda n, mark: F.when(F.col("c_custkey") % n == 0, mark).otherwise(F.col("v"))
     local, server = c.where("c_custkey % 5 <> 0").withColumn("v", changed(4, "L")), c.where("c_custkey % 7 <> 0").withColumn("v", changed(6, "S"))
-    return joins.three_way_merge(c.where("c_custkey % 11 <> 0"), local, server, "c_custkey", "v")
+    return joins.three_way_merge(c.where("c_custkey % 11 <> 0 OR c_custkey % 35 = 0"), local, server, "c_custkey", "v")
 
 
-@query("SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'NEW' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+@query("SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'NEW' FROM customer WHERE c_custkey % 3 <> 0")
 def insert_only_merge(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
-    return joins.insert_only(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("v", F.lit("NEW")), "c_custkey")
+    return joins.insert_only(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0 OR c_custkey % 3 <> 0").withColumn("v", F.lit("NEW")), "c_custkey")
 
 
 @query("SELECT user_id, event_type, bool_or(value > 90) AS done, min(ts) AS at, count(*) AS events FROM events GROUP BY ALL")
@@ -145,19 +145,6 @@ def pending_pages(spark: SparkSession, d: str) -> DataFrame:
     return joins.pending_with_headers(rows, done, "key", "l_orderkey", F.col("l_linenumber") == 1).drop("key")
 
 
-@query("""
-    WITH r AS (SELECT doc_id, CASE WHEN lower(lang) = 'de' OR lower(source) = 'de' THEN 0 WHEN contains(lower(lang), 'de') OR contains(lower(source), 'de') OR contains(lower(text), 'de') THEN 1 END AS rank, CASE WHEN contains(lower(lang), 'de') THEN 'lang' WHEN contains(lower(source), 'de') THEN 'source' ELSE 'text' END AS found FROM documents)
-    SELECT doc_id, rank, found FROM r WHERE rank IS NOT NULL
-""")
-def text_search_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """All matches: whole cells (0) before parts of cells (1), and the first column that has them."""
-    cols = ["lang", "source", "text"]
-    exact = (F.lower("lang") == "de") | (F.lower("source") == "de")
-    inside = [F.lower(c).contains("de") for c in cols]
-    rows = table(spark, d, "documents").select("doc_id", F.when(exact, 0).when(inside[0] | inside[1] | inside[2], 1).alias("rank"), F.when(inside[0], "lang").when(inside[1], "source").otherwise("text").alias("found"))
-    return rows.where("rank IS NOT NULL").orderBy("rank", "doc_id")
-
-
 @query("""
     WITH h AS (SELECT l_suppkey AS batch, l_orderkey::VARCHAR = '101' AS exact, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE contains(l_orderkey::VARCHAR, '101'))
     SELECT batch, l_orderkey, l_linenumber, l_partkey, exact FROM h WHERE exact OR NOT EXISTS (SELECT 1 FROM h WHERE exact)

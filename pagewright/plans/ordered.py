@@ -100,6 +100,18 @@ def spread_sample(spark: SparkSession, d: str) -> DataFrame:
     return order.spread_sample(with_book(table(spark, d, "orders").select("o_orderkey"), "o_orderkey"), BOOK, ["o_orderkey"], 7).select("o_orderkey")
 
 
+@query("""
+    WITH v AS (SELECT l_suppkey, trim(CASE WHEN l_linenumber = 7 THEN ' ' WHEN l_linenumber = 6 THEN NULL ELSE ' ' || (l_partkey % 40) END) AS seen, min((l_orderkey, l_linenumber, l_partkey)) AS first FROM lineitem GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY first) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM v WHERE seen <> '')
+    SELECT l_suppkey, seen FROM r WHERE n <= 5 OR i IN (SELECT round_even(j * (n - 1) / 4.0, 0)::BIGINT FROM range(5) t(j))
+""")
+def spread_values(spark: SparkSession, d: str) -> DataFrame:
+    """Five different values of each supplier, spread over their first places."""
+    seen = F.when(F.col("l_linenumber") == 7, " ").when(F.col("l_linenumber") != 6, F.concat(F.lit(" "), (F.col("l_partkey") % 40).cast("string")))
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", seen.alias("seen"))
+    return order.spread_values(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "seen", 5)
+
+
 @query("""
     WITH r AS (SELECT event_id, user_id % 10 AS g, CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN event_type ELSE (event_id % 37)::VARCHAR END AS t FROM events)
     SELECT event_id, row_number() OVER (PARTITION BY g ORDER BY (trim(t) = '')::INT, try_cast(t AS DOUBLE) IS NULL, coalesce(try_cast(t AS DOUBLE), 0), CASE WHEN try_cast(t AS DOUBLE) IS NULL THEN lower(trim(t)) ELSE '' END, event_id)::INT AS place FROM r
@@ -232,8 +244,9 @@ def pack_next_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH r AS (SELECT o_orderkey // 200 AS file, o_orderkey + 3 * (o_orderkey // 20) AS page, o_orderkey % 11 = 0 AS blank,
-                      CASE WHEN o_orderkey % 6 > 1 AND o_orderkey % 11 <> 0 THEN o_orderkey - CASE WHEN o_orderkey % 400 >= 350 THEN 200 ELSE 0 END END AS number, CASE WHEN o_orderkey % 35 = 6 THEN '9999999' WHEN o_orderkey % 2 = 0 THEN '12' END AS reading FROM orders),
-    s AS (SELECT *, sum((page <> p + 1)::INT) OVER (PARTITION BY file ORDER BY page) AS seg FROM (SELECT *, lag(page) OVER (PARTITION BY file ORDER BY page) AS p FROM r)),
+                      CASE WHEN o_orderkey % 6 > 1 AND o_orderkey % 11 <> 0 THEN o_orderkey - CASE WHEN o_orderkey % 400 >= 350 THEN 200 ELSE 0 END END AS number, CASE WHEN o_orderkey % 35 = 6 THEN '9999999' WHEN o_orderkey % 2 = 0 THEN '12' END AS reading,
+                      o_orderkey % 53 = 9 AND o_orderkey % 6 <= 1 AND o_orderkey % 11 <> 0 AS fieldless FROM orders),
+    s AS (SELECT *, sum((page <> p + 1 OR fieldless OR f)::INT) OVER (PARTITION BY file ORDER BY page) AS seg FROM (SELECT *, lag(page) OVER (PARTITION BY file ORDER BY page) AS p, lag(fieldless) OVER (PARTITION BY file ORDER BY page) AS f FROM r)),
     g AS (SELECT *, count(number) OVER (PARTITION BY file, seg ORDER BY page) AS grp FROM s WHERE NOT blank),
     t AS (SELECT *, max(number) OVER (PARTITION BY file, seg, grp) AS before, max(CASE WHEN number IS NOT NULL THEN page END) OVER (PARTITION BY file, seg, grp) AS at_page, count(*) FILTER (number IS NULL) OVER (PARTITION BY file, seg, grp) AS n,
                  row_number() OVER (PARTITION BY file, seg, grp ORDER BY page) - 1 AS k FROM g),
@@ -243,12 +256,12 @@ def pack_next_fit(spark: SparkSession, d: str) -> DataFrame:
     SELECT r.file, r.page, coalesce(r.number, w.new) AS filled FROM r LEFT JOIN w ON r.file = w.file AND r.page = w.page AND w.first = 1
 """)
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Unread numbers between read ones: with blank pages, jumps, numbers that other files have, and readings of sevenfold nines that fit no number."""
+    """Unread numbers between read ones: with blank pages, pages without the field, jumps, numbers that other files have, and readings of sevenfold nines that fit no number."""
     n = F.col("o_orderkey")
     number = F.when((n % 6 > 1) & (n % 11 != 0), n - F.when(n % 400 >= 350, 200).otherwise(0))
     reading = F.when(n % 35 == 6, "9999999").when(n % 2 == 0, "12")
-    rows = table(spark, d, "orders").select(F.floor(n / 200).cast("long").alias("file"), (n + 3 * F.floor(n / 20)).cast("long").alias("page"), (n % 11 == 0).alias("blank"), number.alias("number"), reading.alias("reading"))
-    return sequences.fill_gaps(rows, ["file"], "page", "number", "reading", "blank").select("file", "page", "filled")
+    rows = table(spark, d, "orders").select(F.floor(n / 200).cast("long").alias("file"), (n + 3 * F.floor(n / 20)).cast("long").alias("page"), (n % 11 == 0).alias("blank"), number.alias("number"), reading.alias("reading"), (n % 53 != 9).alias("field"))
+    return sequences.fill_gaps(rows, ["file"], "page", "number", "reading", "blank", "field").select("file", "page", "filled")
 
 
 @query("""

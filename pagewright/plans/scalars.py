@@ -176,36 +176,46 @@ def encoded_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_discount,
-                      l_linenumber = 7 AS blank, l_quantity > 45 AS review FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN blank THEN 'ERROR'
-             WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount < 0.05 THEN 'ERROR'
-             WHEN l_returnflag = 'A' OR l_linestatus = 'F' OR l_discount < 0.05 THEN 'WARNING'
-             WHEN review OR l_discount > 0.08 THEN 'WARNING' ELSE 'OK' END AS status FROM r
+    WITH r AS (
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber = 7 AS blank, l_quantity > 45 AS review, l_partkey % 13 = 0 AS note_only, l_partkey % 13 = 1 AS bare, l_discount > 0.08 AS doubtful,
+               CASE WHEN l_partkey % 13 > 1 AND l_suppkey % 6 > 0 THEN (l_returnflag <> 'A')::INT END AS number_read, CASE WHEN l_partkey % 13 > 1 AND l_suppkey % 10 > 0 THEN (l_linestatus <> 'F')::INT END AS plane_read,
+               CASE WHEN l_partkey % 13 > 1 AND l_suppkey % 14 > 0 THEN (l_suppkey % 4 = 3 OR l_partkey % 40 BETWEEN 1 AND 31 AND l_discount >= 0.05)::INT END AS date_read FROM lineitem),
+    e AS (SELECT *, (number_read IS NOT NULL)::INT + (plane_read IS NOT NULL)::INT + (date_read IS NOT NULL)::INT AS asked, coalesce(number_read, 0) + coalesce(plane_read, 0) + coalesce(date_read, 0) AS n_read FROM r)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           CASE WHEN blank THEN 'ERROR' WHEN bare THEN 'WARNING' WHEN asked > 0 AND n_read = 0 THEN 'ERROR' WHEN n_read < asked THEN 'WARNING' WHEN review OR (doubtful AND date_read IS NOT NULL) THEN 'WARNING' ELSE 'OK' END AS status FROM e
 """)
 def page_statuses(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda name, value, state: F.struct(F.lit(name).alias("field_id"), value.alias("value"), F.lit(state).alias("status") if isinstance(state, str) else state.alias("status"))
-    fields = F.array(
-        one("log_number", F.when(F.col("l_returnflag") == "A", "12").otherwise("0012345"), "OK"),
-        one("matricula", F.when(F.col("l_linestatus") == "F", "?").otherwise("HP-1717CMP"), "OK"),
-        one("date", F.when(F.col("l_discount") < 0.05, "").otherwise("2025/01/31"), F.when(F.col("l_discount") > 0.08, "WARNING").otherwise("OK")),
-        one("signature_1", F.lit("x"), "ERROR"),
+    """Pages with all identifiers, with some, with a note only and with no field; dates come whole or in parts."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    one = lambda name, value, state="OK": F.struct(F.lit(name).alias("field_id"), (F.lit(value) if isinstance(value, str) else value).alias("value"), (F.lit(state) if isinstance(state, str) else state).alias("status"))
+    doubtful = F.when(F.col("l_discount") > 0.08, "WARNING").otherwise("OK")
+    kept = lambda condition, *fields: F.when(condition, F.array(*fields)).otherwise(F.array().cast("array<struct<field_id:string,value:string,status:string>>"))
+    named = part % 13 > 1
+    fields = F.concat(
+        kept(named & (supplier % 6 > 0), one("log_number", F.when(F.col("l_returnflag") == "A", "12").otherwise(" 0012345 "))),
+        kept(named & (supplier % 10 > 0), one("matricula", F.when(F.col("l_linestatus") == "F", "?").otherwise("HP-1717CMP\t"))),
+        kept(named & (supplier % 14 > 0), one("day", (part % 40).cast("string"), doubtful), one("month", F.when(F.col("l_discount") < 0.05, "?").when(part % 2 == 0, "Jan").otherwise("1"))),
+        kept((part % 13 != 1), one("note", "x"), one("captain_signature", "x", "ERROR"), one("day_1", "", "ERROR"), one("flight_number", "", "ERROR")),
     )
     rows = table(spark, d, "lineitem").withColumn("fields", fields)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", status.page_status("fields", F.col("l_linenumber") == 7, F.col("l_quantity") > 45, F.lit("OK")).alias("status"))
+    whole = F.when(supplier % 4 == 3, "2025/01/31").otherwise("2025-01")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", status.page_status("fields", F.col("l_linenumber") == 7, F.col("l_quantity") > 45, F.lit("WARNING"), whole).alias("status"))
 
 
 @query("""
-    SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'required' WHEN NOT p_brand ~ '^Brand#[1-3]' THEN 'regex' WHEN length(p_brand) < 8 THEN 'too_short' WHEN length(p_brand) > 20 THEN 'too_long' WHEN p_size / 50.0 < 0.3 THEN 'low_confidence' END AS broken,
+    SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN CASE WHEN p_size % 4 = 0 THEN 'optional_empty' ELSE 'required' END WHEN NOT regexp_full_match(p_brand, 'Brand#[1-3]|Brand#[2-4].') THEN 'regex' WHEN length(p_brand) < 8 THEN 'too_short' WHEN length(p_brand) > 20 THEN 'too_long'
+                           WHEN p_size / 50.0 < 0.3 AND p_size % 7 <> 0 THEN 'low_confidence' END AS broken,
+           CASE WHEN p_size % 10 = 0 THEN CASE WHEN p_size % 4 = 0 THEN 'WARNING' ELSE 'ERROR' END WHEN NOT regexp_full_match(p_brand, 'Brand#[1-3]|Brand#[2-4].') OR length(p_brand) NOT BETWEEN 8 AND 20 THEN 'ERROR' WHEN p_size / 50.0 < 0.3 AND p_size % 7 <> 0 THEN 'WARNING' ELSE 'OK' END AS status,
            CASE WHEN p_size % 3 = 0 THEN 'name' || CASE WHEN p_size % 2 = 0 THEN ',type' ELSE '' END WHEN p_size % 2 = 0 THEN 'type' ELSE '' END AS missing,
            CASE WHEN p_size % 5 = 0 AND p_size >= 40 THEN true WHEN p_size % 5 <> 0 AND p_size >= 10 THEN false END AS present FROM part
 """)
 def rule_checks(spark: SparkSession, d: str) -> DataFrame:
-    rule = F.struct(F.lit(True).alias("required"), F.lit("^Brand#[1-3]").alias("regex"), F.lit(8).alias("min_length"), F.lit(20).alias("max_length"))
-    value = F.when(F.col("p_size") % 10 != 0, F.col("p_brand"))
+    rule = F.struct((F.col("p_size") % 4 != 0).alias("required"), F.lit("Brand#[1-3]|Brand#[2-4].").alias("regex"), F.lit(8).alias("min_length"), F.lit(20).alias("max_length"))
+    value = F.when(F.col("p_size") % 10 != 0, F.col("p_brand")).otherwise(F.when(F.col("p_size") % 20 == 0, " "))
     missing = status.missing_required({"name": F.when(F.col("p_size") % 3 != 0, F.col("p_name")), "type": F.when(F.col("p_size") % 2 != 0, F.col("p_type")).otherwise("")})
     presence = status.presence(F.when(F.col("p_size") % 5 == 0, "true").otherwise("false"), F.col("p_size") / 50)
-    return table(spark, d, "part").withColumn("rule", rule).select("p_partkey", status.first_failed_rule(value, F.col("rule"), F.col("p_size") / 50, 0.3).alias("broken"), F.array_join(missing, ",").alias("missing"), presence.alias("present"))
+    rows = table(spark, d, "part").withColumn("rule", rule).withColumn("broken", status.first_failed_rule(value, F.col("rule"), F.col("p_size") / 50, 0.3, F.col("p_size") % 7 == 0))
+    return rows.select("p_partkey", "broken", status.rule_status(F.col("broken")).alias("status"), F.array_join(missing, ",").alias("missing"), presence.alias("present"))
 
 
 @query("""
@@ -216,14 +226,6 @@ def handwritten_dates(spark: SparkSession, d: str) -> DataFrame:
     return _handwritten(table(spark, d, "orders"))
 
 
-@query("""
-    SELECT o_orderkey, month(o_orderdate)::INT AS named, month(o_orderdate)::INT AS numbered, strftime(o_orderdate, '%d') AS day, strftime(o_orderdate, '%y') AS year FROM orders
-""")
-def handwritten_dates_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of all orders, 99, 00 and 01 among the years."""
-    return _handwritten(table(spark, d, "orders"))
-
-
 def _handwritten(orders: DataFrame) -> DataFrame:
     """Printed labels around the parts, a letter for a zero before a digit, and names in English."""
     day = F.to_date("o_orderdate")

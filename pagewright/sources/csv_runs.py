@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A header's older name, and what the columns of one field add to its name.
+#: A header's older name, what the columns of one field add to its name, columns that belong to no field, and the fields a summary shows without a template.
 LEGACY = {"discrepancia": "disc_reason"}
 SUFFIXES = ("_conf", "_status", "_comment", "_source")
-ALWAYS = ("file", "page")
+ALWAYS, FLAGS = ("file", "page"), ("review", "dup", "disc", "disc_reason")
+OF_NO_FIELD = (*ALWAYS, *FLAGS, "date", "time_ms")
+DATE_PARTS = ("day", "month", "year")
+MAIN_FIELDS = ("log_number", "matricula", "flight_number", "captain_license")
 
 
 def read_run(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -25,13 +28,17 @@ def write_run(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def wide_columns(fields: Sequence[str], signatures: Sequence[str] = ()) -> list[str]:
-    """The wide form's columns: file, page, each field, flags after the number, then each field's metadata."""
-    out = ["file", "page"]
-    for f in fields:
-        out += [f, "review", "dup", "disc", "disc_reason"] if f == "log_number" else [f]
+    """The wide form's columns: file, page, each field with its metadata behind it, the page's flags after the number (without one, after all fields), date, time_ms."""
+    out = [*ALWAYS]
     for f in fields:
+        out += [f, *(FLAGS if f == "log_number" else ())]
         out += [f + s for s in SUFFIXES if not (f in signatures and s in ("_status", "_comment"))]
-    return [*out, "date", "time_ms"]
+    return [*out, *(() if "log_number" in fields else FLAGS), "date", "time_ms"]
+
+
+def wide_form(rows: DataFrame, fields: Sequence[str], signatures: Sequence[str] = ()) -> DataFrame:
+    """The wide form of pages with their fields' columns: all columns in order as text, those that are not there empty."""
+    return rows.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in wide_columns(fields, signatures)])
 
 
 def minimal_columns(columns: Sequence[str], selected: Sequence[str] | None = None) -> list[str]:
@@ -41,9 +48,10 @@ def minimal_columns(columns: Sequence[str], selected: Sequence[str] | None = Non
 
 
 def column_field(column: str, columns: Sequence[str]) -> str | None:
-    """The field that a metadata column belongs to, or the column itself."""
-    owner = next((column.removesuffix(s) for s in SUFFIXES if column.endswith(s)), column)
-    return owner if owner in columns else None
+    """The field that a column shows: its own name, or without a metadata suffix if there is such a column; None for the page's own columns."""
+    if column in OF_NO_FIELD:
+        return None
+    return next((column.removesuffix(s) for s in SUFFIXES if column.endswith(s) and column.removesuffix(s) in columns), column)
 
 
 def pivot_fields(fields: DataFrame, keys: Sequence[str], known: Sequence[str]) -> DataFrame:
@@ -69,26 +77,34 @@ def slice_files(files: DataFrame, order: str, count: str, first: int, last: int)
 
 
 def parse_range(text: str, count: int) -> tuple[int, int]:
-    """``N``, ``N-M``, ``N-`` or ``-M`` as a range from 1, clipped to ``count``."""
-    first, dash, last = text.strip().partition("-")
-    low = int(first) if first.strip() else 1
-    high = (int(last) if last.strip() else count) if dash else low
-    if low < 1 or high < low:
+    """``N``, ``N-M``, ``N-`` or ``-M`` (a colon or long dash will do) as a range from 1, its end clipped to ``count``.
+
+    A range beyond the pages is empty: its end lies before its start. Without pages it is 1 to 0. Anything else is an error.
+    """
+    raw = text.strip().replace(":", "-").replace("\u2013", "-")
+    first, dash, last = (x.strip() for x in raw.partition("-"))
+    if not raw or not all(x == "" or (x.isdecimal() and int(x) > 0) for x in (first, last)):
+        raise ValueError(f"no page range: {text!r}")
+    low = int(first) if first else 1
+    high = (int(last) if last else None) if dash else low
+    if high is not None and high < low:
         raise ValueError(f"no page range: {text!r}")
-    return min(low, count), min(high, count)
+    return (1, 0) if count <= 0 else (low, count if high is None else min(high, count))
 
 
-def template_fields(columns: Sequence[str], known: Sequence[str]) -> list[str]:
-    """The fields of a template that a report's columns show, in the template's order."""
-    shown = {column_field(c, columns) for c in columns}
+def template_fields(selected: Sequence[str], known: Sequence[str], columns: Sequence[str] = ()) -> list[str]:
+    """The fields of a template that selected columns show, in the template's order; ``date`` shows day, month and year."""
+    shown = {f for c in selected for f in (DATE_PARTS if c == "date" else (column_field(c, columns or selected),))}
     return [f for f in known if f in shown]
 
 
 def important_fields(columns: Sequence[str]) -> list[str]:
-    """Without a template: the columns that have metadata of their own."""
-    return [c for c in columns if any(c + s in columns for s in SUFFIXES)]
+    """Without a template: the main fields, signatures, and the parts of the date unless there is a whole one."""
+    values = [c for c in columns if c not in OF_NO_FIELD and not c.endswith(SUFFIXES)]
+    return [c for c in values if c in MAIN_FIELDS or c.endswith("_signature") or (c in DATE_PARTS and "date" not in columns)]
 
 
-def important_columns(columns: Sequence[str], fields: Sequence[str]) -> list[str]:
-    """The summary's columns: file, page and the fields, in the report's order."""
-    return [c for c in columns if c in ALWAYS or c in fields]
+def important_columns(columns: Sequence[str], fields: Sequence[str] = ()) -> list[str]:
+    """The summary's columns in the report's order: the page's own and the fields (by default the important ones); no parts of a date beside the whole one."""
+    wanted = set(fields or important_fields(columns)) - set(DATE_PARTS if "date" in columns else ())
+    return [c for c in columns if c in OF_NO_FIELD or c in wanted]

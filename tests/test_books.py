@@ -72,4 +72,18 @@ def test_the_runs_year_is_adopted_where_a_page_read_it(spark):
 def test_queries_for_numbers(spark):
     df = spark.createDataFrame([("0012345",), ("0012346",), (None,)], "n string")
     count = lambda text: df.where(jobs.number_query(text)(F.col("n"))).count()
-    assert [count(x) for x in ("0012345", "bit: 1234", " 345", "", "bit:")] == [1, 2, 1, 0, 0]
+    assert [count(x) for x in (" 0012345 ", "bit: 1234", "Bitácora:345", "BITACORA : 6", "bit:0012346")] == [1, 2, 1, 1, 1]
+    assert [jobs.number_query(x) for x in (" 345", "", "bit:", "bit: 12345678", "12345678")] == [None] * 5
+
+
+def test_places_among_all_reports(spark):
+    rows = [("b", 2), ("b", 1), (None, 5), (None, 4), ("a", 9), ("c", 1)]
+    df = spark.createDataFrame(rows, "report string, n int")
+    got = {(r.report, r.n): r.position for r in jobs.global_positions(df, "report", ["n"]).collect()}
+    assert got == {(None, 4): 1, (None, 5): 2, ("a", 9): 3, ("b", 1): 4, ("b", 2): 5, ("c", 1): 6}
+
+
+def test_groups_without_a_key_are_groups(spark):
+    df = spark.createDataFrame([(None, "12", 3), (None, "12", 1), (None, "13", 1), ("x", "40", 2)], "k string, number string, w int")
+    assert {(r.k, r.winner, r.support) for r in groups.digit_vote(df, "k", "number", "w", 2).collect()} == {(None, "12", 2), ("x", "40", 1)}
+    assert [tuple(r) for r in groups.consensus(df, ["k"], "number").select("k", "number", "votes").collect()] == [(None, "12", 2)]

@@ -50,6 +50,27 @@ def test_status_without_fields(spark):
     assert df.select(status.by_priority(F.array(F.lit("b"), F.lit("c")), ["a", "c", "b"]), status.reason(F.lit("Disk FULL"), {"full": "space", "disk": "drive"}, "other")).first()[:] == ("c", "space")
 
 
+def test_status_by_what_a_page_has(spark):
+    kind = "array<struct<field_id:string,value:string,status:string>>"
+    cases = [
+        ([("note", "x", "OK")], None, "OK"), ([("note", "x", "ERROR")], None, "WARNING"), ([("log_number", " 1234567 ", "OK")], None, "OK"), ([("log_number", "123", "OK")], None, "ERROR"),
+        ([("day", "3", "OK"), ("month", "jan ", "OK"), ("year", "2024", "OK")], None, "OK"), ([("day", "33", "OK"), ("month", "1", "OK")], None, "ERROR"), ([("day", None, "OK")], "2024/01/02", "OK"),
+        ([("log_number", "1234567", "OK"), ("day", "33", "OK")], None, "WARNING"), ([("log_number", "1234567", "OK"), ("x_signature", "", "ERROR"), ("day_1", "", "ERROR")], None, "OK"),
+    ]
+    df = spark.createDataFrame([(k, f, d) for k, (f, d, _) in enumerate(cases)], f"k int, fields {kind}, date string")
+    got = df.select("k", status.page_status("fields", F.lit(False), F.lit(False), F.lit("KEEP"), F.col("date")).alias("s")).orderBy("k").collect()
+    assert [r.s for r in got] == [s for _, _, s in cases]
+
+
+def test_rules_in_order(spark):
+    rule = F.struct(F.col("need").alias("required"), F.lit("Brand#1").alias("regex"), F.lit(1).alias("min_length"), F.lit(20).alias("max_length"))
+    rows = [("Brand#12xyz", True, 1.0, False, "regex"), (" \t", True, 1.0, False, "required"), (None, False, 1.0, False, "optional_empty"), ("Brand#1", True, 0.1, False, "low_confidence"), ("Brand#1", True, 0.1, True, None), ("Brand#1\n", True, 1.0, False, "regex")]
+    df = spark.createDataFrame([r[:4] for r in rows], "v string, need boolean, c double, s boolean")
+    broken = status.first_failed_rule(F.col("v"), rule, F.col("c"), 0.3, F.col("s"))
+    assert [r[0] for r in df.select(broken).collect()] == [r[4] for r in rows]
+    assert [r[0] for r in df.select(status.rule_status(broken)).collect()] == ["ERROR", "ERROR", "WARNING", "WARNING", "OK", "ERROR"]
+
+
 def test_csv_reports(spark, tmp_path):
     rows = spark.createDataFrame([("a.pdf", "1", "", "ñ"), ("b.pdf", "2", "x", "y")], "file string, page string, log_number string, discrepancia string")
     (tmp_path / "in").mkdir()
@@ -63,9 +84,18 @@ def test_csv_reports(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[-1] for r in csv_runs.preferred_files(spark, f"{tmp_path}/in").collect()} == {"a.csv", "r_completo.csv", "s.csv"}
     assert csv_runs.minimal_columns(csv_runs.wide_columns(["log_number", "sig"], ["sig"])) == ["file", "page", "log_number", "review", "dup", "disc", "disc_reason", "sig", "date", "time_ms"]
     assert csv_runs.column_field("a_conf", ["a", "a_conf"]) == "a"
-    assert [csv_runs.parse_range(x, 10) for x in ("3", "2-5", "7-", "-4", "9-99")] == [(3, 3), (2, 5), (7, 10), (1, 4), (9, 10)]
-    with pytest.raises(ValueError):
-        csv_runs.parse_range("5-2", 10)
+    assert csv_runs.wide_columns(["day", "log_number"])[:4] == ["file", "page", "day", "day_conf"] and csv_runs.wide_columns(["day"])[-6:] == ["review", "dup", "disc", "disc_reason", "date", "time_ms"]
+    assert [csv_runs.column_field(c, ["a", "a_conf", "b_conf", "date"]) for c in ("a_conf", "b_conf", "date", "page")] == ["a", "b_conf", None, None]
+    columns = csv_runs.wide_columns(["log_number", "day", "note", "captain_signature"])
+    assert csv_runs.important_fields(columns) == ["log_number", "captain_signature"]
+    assert csv_runs.important_fields([c for c in columns if c != "date"]) == ["log_number", "day", "captain_signature"]
+    assert csv_runs.important_columns(columns, ["day", "note"]) == ["file", "page", "review", "dup", "disc", "disc_reason", "note", "date", "time_ms"]
+    assert csv_runs.template_fields(["date", "note_conf"], ["note", "month", "year", "other"], columns) == ["note", "month", "year"]
+    assert [csv_runs.parse_range(x, 10) for x in ("3", "2-5", "7-", "-4", "9-99", "3:5", " 2 – 4 ", "-", "50-60", "12")] == [(3, 3), (2, 5), (7, 10), (1, 4), (9, 10), (3, 5), (2, 4), (1, 10), (50, 10), (12, 10)]
+    assert csv_runs.parse_range("2-3", 0) == (1, 0)
+    for text in ("5-2", "", " ", "0", "1-0", "x", "1-2-3", "-1-2"):
+        with pytest.raises(ValueError):
+            csv_runs.parse_range(text, 10)
 
 
 def test_json_registries(spark):

@@ -9,7 +9,7 @@ from pagewright.sources import json_runs
 def test_reports_of_all_orders_are_counted(spark, tmp_path):
     rows = [(k, 1, k % 5, "R" if k % 2 else "N", 1.0) for k in range(300, 500)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = QUERIES["consolidated_reports_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["consolidated_reports"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("N", 100, 5, 100), ("R", 100, 5, 100)]
 
 
@@ -32,7 +32,7 @@ def test_files_beyond_the_200th_are_sliced(spark, tmp_path):
 def test_years_around_2000_are_read(spark, tmp_path):
     days = ["1998-12-31", "1999-01-02", "2000-02-29", "2001-08-01"]
     spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r.o_orderkey: (r.named, r.numbered, r.day, r.year) for r in QUERIES["handwritten_dates_whole"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: (r.named, r.numbered, r.day, r.year) for r in QUERIES["handwritten_dates"](spark, str(tmp_path)).collect()}
     assert got == {0: (12, 12, "31", "98"), 1: (1, 1, "02", "99"), 2: (2, 2, "29", "00"), 3: (8, 8, "01", "01")}
 
 
