@@ -113,3 +113,20 @@ def best_thresholds(df: DataFrame, key: str, score: str, label: str, false_prese
     counts = [whole(2).alias("false_present"), whole(3).alias("false_absent"), whole(4).alias("unsure"), whole(5).alias("n_rows")]
     cost = (whole(2) * false_present + whole(3) * false_absent + whole(4) * unsure) / whole(5)
     return best.select(key, F.col("_best")[0].alias("absent"), F.col("_best")[1].alias("present"), *counts, cost.alias("cost"))
+
+
+def vector_medians(df: DataFrame, key: str, vector: str, least: int = 3) -> DataFrame:
+    """key and ``medians``: the median of each element over a key's vectors of whole numbers (the mean of the middle two).
+
+    Vectors may differ in length: an element is that of the vectors that have it, and null if fewer than ``least`` do. Null
+    vectors and elements take no part; a null key is a key. Each level of an element is counted, partly in each task, so what
+    meets is bounded by levels, not by rows.
+    """
+    elements = df.select(F.col(key).alias("_key"), F.posexplode(vector).alias("_place", "_level")).where("_level IS NOT NULL")
+    counts = elements.groupBy("_key", "_place", F.col("_level").cast("long").alias("_level")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_key", "_place").orderBy("_level")
+    upto = counts.withColumns({"_upto": F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum("_n").over(Window.partitionBy("_key", "_place"))})
+    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("_level")))
+    middle = upto.groupBy("_key", "_place").agg(F.when(F.max("_all") >= least, (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2).alias("_median"))
+    return middle.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_median"))), lambda x: x["_median"]).alias("medians")).select(F.col("_key").alias(key), "medians")

@@ -113,12 +113,12 @@ def spread_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT event_id, user_id % 10 AS g, CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN event_type ELSE (event_id % 37)::VARCHAR END AS t FROM events)
+    WITH r AS (SELECT event_id, user_id AS g, CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN event_type ELSE (event_id % 37)::VARCHAR END AS t FROM events)
     SELECT event_id, row_number() OVER (PARTITION BY g ORDER BY (trim(t) = '')::INT, try_cast(t AS DOUBLE) IS NULL, coalesce(try_cast(t AS DOUBLE), 0), CASE WHEN try_cast(t AS DOUBLE) IS NULL THEN lower(trim(t)) ELSE '' END, event_id)::INT AS place FROM r
 """)
 def numeric_text_sort_rank(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("event_id") % 9 == 0, " ").when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise((F.col("event_id") % 37).cast("string"))
-    return order.numeric_text_rank(table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("g"), text.alias("t")), ["g"], "t", "event_id").select("event_id", "place")
+    return order.numeric_text_rank(table(spark, d, "events").select("event_id", F.col("user_id").alias("g"), text.alias("t")), ["g"], "t", "event_id").select("event_id", "place")
 
 
 @query(f"SELECT series, half, arg_min(o_totalprice, o_orderkey) AS first_value, arg_max(o_totalprice, o_orderkey) AS last_value FROM (SELECT o_orderkey, o_totalprice, {BOOK_SQL} FROM orders) GROUP BY ALL")

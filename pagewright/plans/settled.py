@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import nested
+from pagewright.functions import nested, slots
 from pagewright.operators import arbitration, evaluate, fullbatches, tiling
 from pagewright.plans.registry import query, table
-from pagewright.session import shared_folder
+from pagewright.session import shared_folder, stored
+from pagewright.sources import guarded
 from pagewright.streaming import ledger
 
 
@@ -171,3 +172,62 @@ def full_batches(spark: SparkSession, d: str) -> DataFrame:
     own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     rows = table(spark, d, "lineitem").withColumn("page", F.row_number().over(own)).select("l_suppkey", "page", (F.col("l_linenumber") == 1).alias("head"))
     return fullbatches.full_batches(rows, ["l_suppkey"], "page", "head", 20)
+
+
+@query("""
+    WITH v AS (SELECT label, spot, floor(64 * embedding[spot]::DOUBLE)::BIGINT AS level FROM embeddings, LATERAL (SELECT unnest(range(1, (len(embedding) - vec_id % 3 + 1)::BIGINT)) AS spot) WHERE embedding IS NOT NULL)
+    SELECT label, (spot - 1)::INT AS place, CASE WHEN n >= 3 THEN m END AS median FROM (SELECT label, spot, count(*) AS n, median(level)::DOUBLE AS m FROM v WHERE level IS NOT NULL GROUP BY ALL)
+""")
+def vector_medians(spark: SparkSession, d: str) -> DataFrame:
+    """The median of each element of a label's vectors, some of them an element or two shorter."""
+    levels = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")))
+    rows = table(spark, d, "embeddings").select("label", F.slice(levels, F.lit(1), F.size("embedding") - (F.col("vec_id") % 3).cast("int")).alias("levels"))
+    return evaluate.vector_medians(rows, "label", "levels").select("label", F.posexplode("medians").alias("place", "median"))
+
+
+@query("""
+    WITH stands(c, d, w) AS (VALUES ('O', 0, 0.90::DOUBLE), ('I', 1, 0.85), ('Z', 2, 0.90), ('S', 5, 0.85), ('G', 6, 0.85), ('C', 6, 0.72), ('C', 0, 0.40), ('B', 8, 0.82), ('B', 6, 0.68)),
+    every AS (SELECT * FROM stands UNION ALL SELECT k::VARCHAR, k, 1.0 FROM range(10) t(k)),
+    r AS (SELECT o_orderkey, strftime(o_orderdate, '%d') AS dd, (5 + o_orderkey % 5) / 10 AS c1, (o_orderkey % 7) / 10 AS c2 FROM orders),
+    s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN translate(dd[1], '012', 'OIZ') ELSE dd[1] END AS x, CASE WHEN o_orderkey % 4 = 0 THEN translate(dd[2], '012568', 'CIZSGB') WHEN o_orderkey % 4 = 1 THEN '?' ELSE dd[2] END AS y, c1, c2 FROM r),
+    m AS (
+        SELECT s.o_orderkey, a.d * 10 + b.d AS n, (greatest(0.05, c1) * a.w) * (greatest(0.05, c2) * b.w) AS weight
+        FROM s JOIN every a ON a.c = s.x JOIN (SELECT * FROM every UNION ALL SELECT '7', 9, 0.35) b ON b.c = s.y WHERE a.d * 10 + b.d BETWEEN 1 AND 31),
+    best AS (SELECT o_orderkey, string_agg(lpad(n::VARCHAR, 2, '0'), ',' ORDER BY weight DESC, n) AS likely, max(weight) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY weight DESC, n) AS rn FROM m) WHERE rn <= 3 GROUP BY o_orderkey),
+    d AS (SELECT o_orderkey, x ~ '^[0-9]$' AS fx, y ~ '^[0-9]$' AS fy, x, y, round((c1 + CASE WHEN c2 > 0 THEN c2 ELSE 0 END) / (1 + (c2 > 0)::INT), 3) AS mean FROM s)
+    SELECT o_orderkey, CASE WHEN fx AND fy THEN x || y WHEN fy THEN y ELSE '' END AS day, CASE WHEN fy THEN mean ELSE 0 END AS confidence, coalesce(likely, '') AS likely, coalesce(round(weight, 9), 0) AS weight FROM d LEFT JOIN best USING (o_orderkey)
+""")
+def slot_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days read slot by slot, some of their digits as letters: the plain reading, and the three likeliest days."""
+    dd, k = F.date_format("o_orderdate", "dd"), F.col("o_orderkey")
+    x, y = F.substring(dd, 1, 1), F.substring(dd, 2, 1)
+    x = F.when(k % 3 == 0, F.translate(x, "012", "OIZ")).otherwise(x)
+    y = F.when(k % 4 == 0, F.translate(y, "012568", "CIZSGB")).when(k % 4 == 1, "?").otherwise(y)
+    c1, c2 = (5 + k % 5) / 10, (k % 7) / 10
+    read = slots.decoded("day", F.array(F.struct(x.alias("char"), c1.alias("confidence")), F.struct(y.alias("char"), c2.alias("confidence"))))
+    best = slots.best_products(slots.digit_weights(x, c1, "day", 0), slots.digit_weights(y, c2, "day", 1), 1, 31, 3)
+    rows = table(spark, d, "orders").select("o_orderkey", read.alias("r"), best.alias("b"))
+    return rows.select("o_orderkey", F.col("r.text").alias("day"), "r.confidence", F.array_join(F.transform("b", lambda p: p["text"]), ",").alias("likely"), F.coalesce(F.round(F.get("b", F.lit(0))["weight"], 9), F.lit(0.0)).alias("weight"))
+
+
+@query("""
+    WITH n AS (SELECT c_nationkey AS nation, count(*) AS n, sum(c_custkey) AS keys FROM customer GROUP BY 1)
+    SELECT nation, CASE WHEN nation % 3 = 0 THEN 'untouched' WHEN nation % 4 = 0 THEN 'refused' ELSE 'written' END AS change, CASE WHEN nation % 3 = 0 OR nation % 4 = 0 THEN 'none' WHEN nation % 5 = 0 THEN 'refused' ELSE 'restored' END AS undo,
+           CASE WHEN nation % 4 = 0 OR (nation % 3 > 0 AND nation % 5 = 0) THEN 2 * n ELSE n END AS n_rows, (CASE WHEN nation % 4 = 0 OR (nation % 3 > 0 AND nation % 5 = 0) THEN 2 ELSE 1 END * keys)::BIGINT AS keys
+    FROM n
+""")
+def guarded_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by nation: a change of two thirds of the nations, after somebody changed every fourth, is undone after somebody changed every fifth of them."""
+    schema = "c_custkey long, c_mktsegment string, nation int"
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("nation"))
+    path = shared_folder(spark, "guarded")
+    guarded.write_partitions(rows, path, "nation")
+    seen = stored(guarded.digests(guarded.read_partitions(spark, path, schema), "nation"), "seen")
+    twice = rows.unionByName(rows)
+    guarded.write_partitions(twice.where("nation % 4 = 0"), path, "nation")  # somebody else
+    journal, backup = guarded.overwritten(spark, path, schema, "nation", rows.where("nation % 3 > 0").withColumn("c_mktsegment", F.lit("NEW")), seen)
+    guarded.write_partitions(twice.where("nation % 3 > 0 AND nation % 4 > 0 AND nation % 5 = 0"), path, "nation")  # somebody else again
+    undone = guarded.restored(spark, path, schema, "nation", backup)
+    now = guarded.read_partitions(spark, path, schema).groupBy("nation").agg(F.count("*").alias("n_rows"), F.sum("c_custkey").alias("keys"))
+    met = now.join(journal.select("nation", F.col("action").alias("change")), "nation", "left").join(undone.select("nation", F.col("action").alias("undo")), "nation", "left")
+    return met.select("nation", F.coalesce("change", F.lit("untouched")).alias("change"), F.coalesce("undo", F.lit("none")).alias("undo"), "n_rows", "keys")

@@ -5,12 +5,14 @@ import itertools
 import json
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import nested
+from pagewright.functions import nested, slots
 from pagewright.operators import arbitration, evaluate, fullbatches, tiling
+from pagewright.sources import guarded
 from pagewright.streaming import ledger
 
 START = datetime.datetime(2025, 1, 1)
@@ -241,3 +243,52 @@ def test_batches_of_one_page_have_no_room(spark):
     with pytest.raises(Exception, match="two at least"):
         fullbatches.full_batches(df, ["g"], "page", "head", 1).collect()
     assert fullbatches.full_batches(df.where("head"), ["g"], "page", "head", 1).count() == 1
+
+
+def test_medians_of_ragged_vectors(spark):
+    rng = random.Random(8)
+    rows = [(k if k else None, [rng.choice([None, *range(-4, 5)]) for _ in range(rng.randrange(5))] if rng.random() < 0.9 else None) for k in range(12) for _ in range(rng.randrange(12))]
+    got = {r.k: r.medians for r in evaluate.vector_medians(spark.createDataFrame(rows, "k int, v array<int>"), "k", "v").collect()}
+    want = {}
+    for k, v in rows:
+        for place, x in enumerate(v or []):
+            if x is not None:
+                want.setdefault(k, {}).setdefault(place, []).append(x)
+    assert got == {k: [statistics.median(v[p]) if len(v[p]) >= 3 else None for p in sorted(v)] for k, v in want.items()}
+
+
+def test_slots(spark):
+    cases = [
+        ("day", [("2", 0.5), ("5", 0.7)], ("25", 0.6)), ("day", [("2", 0.5), ("", 0.7)], ("", 0.0)), ("day", [("?", 0.5), ("5", 0.0)], ("5", 0.5)), ("year", [("2", 0.5), ("x", 0.9)], ("", 0.0)), ("year", [("2", 0.4), ("4", 0.4)], ("24", 0.4)),
+        ("digits", [("x", 0.9), ("", 0.2)], ("", 0.0)), ("log_number", [("1", 0.0), ("2", 0.0)], ("", 0.0)), ("digits", [], ("", 0.0)), ("digits", [("٣", 0.5), ("12", 0.5), ("7", 0.5)], ("7", 0.5)),
+    ]
+    for rule, readings, want in cases:
+        df = spark.createDataFrame([(readings,)], "r array<struct<char:string,confidence:double>>")
+        assert tuple(df.select(slots.decoded(rule, F.col("r"))).first()[0]) == want, (rule, readings)
+    with pytest.raises(ValueError):
+        slots.decoded("month", F.col("r"))
+    row = spark.createDataFrame([(" c1", 0.5, None)], "seen string, c double, none string")
+    weights = lambda text, c, part, place: dict(row.select(slots.digit_weights(text, c, part, place)).first()[0])
+    assert weights(F.col("seen"), F.col("c"), "day", 0) == {"0": 0.2, "1": 0.5, "6": 0.36}
+    assert weights(F.lit("7"), F.lit(None), "day", 1) == {"7": 0.05, "9": 0.05 * 0.35} and weights(F.lit("7"), F.lit(1.0), "day", 0) == {"7": 1.0}
+    assert weights(F.lit("4"), F.lit(1.0), "year", 1) == {"4": 1.0, "0": 0.35} and weights(F.col("none"), F.lit(1.0), "day", 0) == weights(F.lit("?"), F.lit(1.0), "day", 0) == {}
+
+
+def test_guarded_partitions(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/t", "id int, v string, p int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    rows = [(1, "a", 0), (1, "a", 0), (2, None, 0), (3, "c", 1), (4, "d", 2)]
+    digest = lambda df: {r.p: r.digest for r in guarded.digests(df, "p").collect()}
+    assert digest(frame(rows)) == digest(frame(rows[::-1]).repartition(4)) and digest(frame(rows))[0] != digest(frame(rows[1:]))[0]
+    guarded.write_partitions(frame(rows), path, "p")
+    read = lambda: sorted(map(tuple, guarded.read_partitions(spark, path, schema).collect()), key=str)
+    seen = spark.createDataFrame(list(digest(frame(rows)).items()), "p int, digest string")
+    guarded.write_partitions(frame([(9, "other", 1)]), path, "p")
+    journal, backup = guarded.overwritten(spark, path, schema, "p", frame([(1, "new", 0), (3, "new", 1), (7, "new", 5)]), seen)
+    assert {(r.p, r.action) for r in journal.collect()} == {(0, "written"), (1, "refused"), (5, "written")}
+    assert read() == sorted([(1, "new", 0), (9, "other", 1), (4, "d", 2), (7, "new", 5)], key=str)
+    guarded.write_partitions(frame([(8, "foreign", 0)]), path, "p")
+    assert {(r.p, r.action) for r in guarded.restored(spark, path, schema, "p", backup).collect()} == {(0, "refused"), (5, "removed")}
+    assert read() == sorted([(8, "foreign", 0), (9, "other", 1), (4, "d", 2)], key=str)
+    journal, backup = guarded.overwritten(spark, path, schema, "p", frame([(6, "x", 2)]), spark.createDataFrame([(2, digest(frame(rows))[2])], "p int, digest string"))
+    assert guarded.restored(spark, path, schema, "p", backup).first().action == "restored" and (4, "d", 2) in read()
