@@ -130,3 +130,27 @@ def vector_medians(df: DataFrame, key: str, vector: str, least: int = 3) -> Data
     at = lambda rank: F.max(F.when(holds(rank), F.col("_level")))
     middle = upto.groupBy("_key", "_place").agg(F.when(F.max("_all") >= least, (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2).alias("_median"))
     return middle.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_median"))), lambda x: x["_median"]).alias("medians")).select(F.col("_key").alias(key), "medians")
+
+
+def tallies(df: DataFrame, keys: Sequence[str], label: str, said: str) -> DataFrame:
+    """Of each group's labelled rows (``label`` is a boolean), how often the verdict (``present``, ``absent`` or anything else) was right, wrong or unsure."""
+    yes, no = F.col(said) == "present", F.col(said) == "absent"
+    there = F.col(label)
+    unsure = ~F.coalesce(yes | no, F.lit(False))
+    counts = {"correct": (there & yes) | (~there & no), "false_present": ~there & yes, "false_absent": there & no, "unsure_present": there & unsure, "unsure_absent": ~there & unsure}
+    return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()])
+
+
+def reviewed_by_band(df: DataFrame, key: str, score: str, said: str, width: Column, may_be_absent: Column | None = None) -> DataFrame:
+    """``df`` with ``reviewed``: verdicts that are neither present nor absent, decided by the band that the key's other verdicts leave.
+
+    From the band's high end a score is present, up to its low end absent (where ``may_be_absent``); within it, or without a
+    band, the verdict stays.
+    """
+    known = F.when(F.col(said) == "present", True).when(F.col(said) == "absent", False)
+    bands = confident_bands(df.withColumn("_known", known), key, score, "_known", width).select(F.col(key).alias("_k"), "low", "high")
+    met = df.join(bands, F.col(key).eqNullSafe(F.col("_k")), "left")
+    absent = (F.col(score) <= F.col("low")) & (F.lit(True) if may_be_absent is None else may_be_absent)
+    open_ = ~F.coalesce(F.col(said).isin("present", "absent"), F.lit(False))
+    reviewed = F.when(open_ & (F.col(score) >= F.col("high")), "present").when(open_ & absent, "absent").otherwise(F.col(said))
+    return met.withColumn("reviewed", reviewed).drop("_k", "low", "high")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import nested, slots
-from pagewright.operators import arbitration, evaluate, fullbatches, tiling
+from pagewright.operators import arbitration, evaluate, fullbatches, records, tiling
 from pagewright.plans.registry import query, table
 from pagewright.session import shared_folder, stored
-from pagewright.sources import guarded
+from pagewright.sources import guarded, manifests
 from pagewright.streaming import ledger
 
 
@@ -231,3 +231,95 @@ def guarded_overwrite(spark: SparkSession, d: str) -> DataFrame:
     now = guarded.read_partitions(spark, path, schema).groupBy("nation").agg(F.count("*").alias("n_rows"), F.sum("c_custkey").alias("keys"))
     met = now.join(journal.select("nation", F.col("action").alias("change")), "nation", "left").join(undone.select("nation", F.col("action").alias("undo")), "nation", "left")
     return met.select("nation", F.coalesce("change", F.lit("untouched")).alias("change"), F.coalesce("undo", F.lit("none")).alias("undo"), "n_rows", "keys")
+
+
+@query("""
+    WITH r AS (
+        SELECT o_orderkey AS k, 'f' || o_custkey % 5 || '.pdf' AS file, o_orderkey::INT AS page, CASE o_orderkey % 6 WHEN 0 THEN 'HP-' || lpad((o_custkey % 40 + 1700)::VARCHAR, 4, '0') || 'CMP' WHEN 1 THEN 'HP-9' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || 'WWP' WHEN 2 THEN 'HP-1711CMP' WHEN 3 THEN '' ELSE 'HP-1500CMP' END AS plane,
+               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE lpad(o_orderkey::VARCHAR, 7, '0') END AS log_number, (o_orderdate + INTERVAL 30 YEAR)::DATE AS day, o_orderkey % 4 AS kind, o_orderkey % 10 = 3 AS doubtful, o_orderkey % 5 AS said FROM orders),
+    i AS (SELECT k, (SELECT max((o_orderdate + INTERVAL 30 YEAR)::DATE) FROM orders) AS last FROM r WHERE k % 3 > 0),
+    d AS (SELECT r.*, kind < 2 AND (day <= DATE '2027-06-15' OR day = DATE '2027-06-30') AS own, i.last FROM r LEFT JOIN i USING (k)),
+    f AS (SELECT *, CASE WHEN doubtful THEN NULL WHEN own THEN day ELSE last END AS taken, NOT doubtful AND NOT own AND last IS NOT NULL AS guessed FROM d)
+    SELECT k AS seq, file, page, CASE plane WHEN 'HP-1500CMP' THEN 'HP-1501CMP' ELSE plane END AS matricula, log_number, 'CM' || k % 100 AS flight_number,
+           coalesce(CASE WHEN date_trunc('month', taken) <= DATE '2027-06-01' THEN strftime(last_day(taken), '%Y/%m/%d') END, '') AS date, doubtful, CASE WHEN guessed THEN 'between' ELSE '' END AS inferred,
+           CASE WHEN plane = '' THEN '' WHEN plane = 'HP-1711CMP' THEN 'NG' WHEN plane LIKE 'HP-98%' OR plane LIKE 'HP-99%' THEN 'MAX' ELSE 'NG' END AS fleet, CASE WHEN plane = 'HP-1711CMP' THEN 'own' ELSE '' END AS lessor, plane NOT IN ('', 'HP-1711CMP') AS fleet_inferred,
+           k % 8 = 0 AS duplicate, said < 4 AS discrepancy, CASE said WHEN 1 THEN 'pilot_signature,technician_license' WHEN 2 THEN 'captain_signature' ELSE '' END AS fields, CASE said WHEN 0 THEN 'PILOT' WHEN 1 THEN 'PILOT' WHEN 2 THEN 'CAPTAIN' ELSE '' END AS reason
+    FROM f
+""")
+def index_records(spark: SparkSession, d: str) -> DataFrame:
+    """Report rows, all texts, as typed records: registrations, numbers, dates at their month's end, fleets, reasons."""
+    from pagewright.plans.detailed import SIGNATURES
+
+    k, c, orders = F.col("o_orderkey"), F.col("o_custkey"), table(spark, d, "orders")
+    case = lambda *values: F.get(F.array(*values), (k % 6).cast("int"))
+    first = F.concat(F.lit(" hp-"), F.lpad((c % 40 + 1700).cast("string"), 4, "0"), F.lit("cmp "))
+    plane = case(first, F.concat(F.lit("HP-9"), F.lpad((c % 1000).cast("string"), 3, "0"), F.lit(" WWP")), F.lit("HP-1711CMP"), F.lit("HP-171?"), F.lit("HP-1500CMP"), F.lit("HP-1500CMP"))
+    day = F.when(k % 4 < 2, F.date_format(F.add_months("o_orderdate", 360), "yyyy/MM/dd")).when(k % 4 == 2, "2026/02/30").otherwise("")
+    said = F.get(F.array(*map(F.lit, ("Discrepancy note: pilot", "Missing firma de piloto and licencia de técnico", "missing firma de capitán", "Missing nothing", ""))), (k % 5).cast("int"))
+    rows = orders.select(
+        k.alias("k"), F.concat(F.lit(" f"), (c % 5).cast("string"), F.lit(".pdf")).alias("file"), F.concat(F.lit(" "), k.cast("string")).alias("page"), plane.alias("matricula"), F.when(k % 7 == 0, "12").otherwise(F.concat(F.lit("No. "), F.lpad(k.cast("string"), 7, "0"))).alias("log_number"),
+        F.concat(F.lit("cm"), (k % 100).cast("string")).alias("flight_number"), day.alias("date"), F.when(k % 8 == 0, " TRUE").otherwise("no").alias("dup"), F.when(k % 5 < 4, "true").otherwise("").alias("disc"), said.alias("disc_reason"), (k % 10 == 3).alias("unsure"),
+    )
+    fleet = rows.where("matricula = 'HP-1711CMP'").select("matricula").distinct().select("matricula", F.lit("NG").alias("fleet"), F.lit("own").alias("lessor"))
+    last = orders.agg(F.max(F.add_months("o_orderdate", 360)).alias("day"))
+    inferred = rows.where("k % 3 > 0").select(F.trim("file").alias("file"), F.trim("page").cast("int").alias("page"), F.lit("between").alias("method")).join(F.broadcast(last))  # one row
+    as_of = F.to_date(F.lit("2027-06-15"))
+    got = records.index_records(rows, "k", fleet, inferred, as_of, "HP-[0-9]{4}(CMP|WWP)", {"HP-1500CMP": "HP-1501CMP"}, {"HP-98": "MAX", "HP-99": "MAX"}, "NG", SIGNATURES, month_end=True, doubtful="unsure")
+    return got.withColumn("fields", F.array_join("fields", ","))
+
+
+@query("""
+    WITH t AS (SELECT p_brand AS id, bool_or(p_size = 50) AS required, min(p_size) % 9 + 5 AS low, max(p_size) % 7 + 18 AS high, bool_or(p_size = 49) AS signature FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1),
+    f AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_name END AS value, p_size / 50 AS confidence FROM part),
+    b AS (SELECT p_partkey, p_brand, CASE WHEN id IS NULL THEN 'unknown' WHEN value = '' THEN CASE WHEN required THEN 'required' ELSE 'optional_empty' END WHEN NOT regexp_full_match(value, '[a-zA-Z# 0-9_]+') THEN 'regex' WHEN length(value) < low THEN 'too_short' WHEN length(value) > high THEN 'too_long'
+                                        WHEN confidence < 0.4 AND NOT signature THEN 'low_confidence' END AS broken FROM f LEFT JOIN t ON id = p_brand)
+    SELECT p_partkey, p_brand AS field_id, broken, CASE WHEN broken IS NULL THEN 'OK' WHEN broken IN ('unknown', 'optional_empty', 'low_confidence') THEN 'WARNING' ELSE 'ERROR' END AS status FROM b
+""")
+def template_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as fields of a form whose template, one field a brand, is written as JSON and read again."""
+    parts = table(spark, d, "part")
+    size = F.col("p_size")
+    rules = parts.where("p_brand <> 'Brand#11'").groupBy("p_brand").agg((F.min(size) % 9 + 5).alias("low"), (F.max(size) % 7 + 18).alias("high"), F.bool_or(size == 50).alias("required"), F.bool_or(size == 49).alias("signature"))
+    part = lambda v: F.lit(v).cast("double")
+    field = F.struct(F.col("p_brand").alias("id"), F.when(F.col("signature"), "signature").alias("type"), F.col("required"), part(0).alias("x"), part(0.5).alias("y"), part(1).alias("w"), part(0.1).alias("h"), F.lit("[a-zA-Z# 0-9_]+").alias("regex"), F.col("low").alias("min_length"), F.col("high").alias("max_length"))
+    path = shared_folder(spark, "template")
+    rules.agg(F.array_sort(F.collect_list(field)).alias("fields")).select(F.lit("parts").alias("name"), F.lit("1.0").alias("version"), "fields").coalesce(1).write.json(path)  # one field a brand
+    fields = parts.select("p_partkey", F.col("p_brand").alias("field_id"), F.when(size % 10 == 0, "").otherwise(F.col("p_name")).alias("value"), (size / 50).alias("confidence"))
+    return records.ruled(fields, manifests.template_fields(spark, path), 0.4, ["p_partkey"])
+
+
+@query("""
+    WITH j AS (SELECT o_custkey AS run, o_orderkey AS job, o_orderkey % 3 + 1 AS part, o_orderkey % 5 = 0 AS review, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 1) AS logs FROM orders WHERE o_orderkey % 11 > 0)
+    SELECT run, job::VARCHAR AS job, review, (row_number() OVER (PARTITION BY run, review ORDER BY part, job::VARCHAR))::INT AS "index", count(*) OVER (PARTITION BY run, review) AS "of", (row_number() OVER (PARTITION BY run ORDER BY review, part, job::VARCHAR))::INT AS place, n::INT AS n_pages, logs::INT AS n_logs FROM j
+""")
+def manifest_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as job manifests, written as JSON below a root with broken ones among them, scanned again and numbered as parts."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.lit("f").alias("file"), F.col("l_linenumber").alias("page"), (F.col("l_linenumber") == 1).alias("separator")))).alias("pages"))
+    k = F.col("o_orderkey")
+    jobs = table(spark, d, "orders").join(lines, k == F.col("l_orderkey"), "left").select(k, F.to_json(F.struct(k.cast("string").alias("job"), F.col("o_custkey").cast("string").alias("batch"), (k % 3 + 1).alias("part"), (k % 5 == 0).alias("review"), "pages")).alias("text"))
+    root = shared_folder(spark, "jobs")
+    whole = F.when(k % 11 > 0, F.col("text")).when(k % 22 > 0, F.substring("text", 1, 20)).otherwise("{}")
+    jobs.select(whole.alias("value")).write.text(f"{root}/a/b")
+    found = manifests.manifests(spark, root, "part-*").withColumn("run", F.col("batch").cast("long"))
+    return manifests.delivery_parts(found, "run")
+
+
+@query("""
+    WITH r AS (SELECT l_suppkey, (l_partkey * 7 % 61 + CASE WHEN l_returnflag = 'R' THEN 30 + l_suppkey % 40 ELSE 0 END)::INT AS score, CASE l_returnflag WHEN 'R' THEN 'present' WHEN 'A' THEN 'absent' ELSE 'unclear' END AS said, CASE WHEN l_partkey % 5 > 0 THEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_partkey % 2 = 0) END AS label, l_linenumber > 2 AS may FROM lineitem),
+    x AS (SELECT l_suppkey, list_sort(list(score) FILTER (said = 'present')) AS t, list_reverse(list_sort(list(score) FILTER (said = 'absent'))) AS f FROM r GROUP BY 1),
+    c AS (SELECT l_suppkey, dt, df, f[df + 1] AS low, t[dt + 1] AS high FROM x, range(0, 3) a(dt), range(0, 3) b(df) WHERE len(t) - dt >= 3 AND len(f) - df >= 3 AND t[dt + 1] > f[df + 1]),
+    won AS (SELECT l_suppkey, low, high FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY (high - low >= 3) DESC, CASE WHEN high - low >= 3 THEN 0 ELSE low - high END, dt + df, dt) AS rn FROM c) WHERE rn = 1),
+    v AS (SELECT r.*, CASE WHEN said = 'unclear' AND score >= high THEN 'present' WHEN said = 'unclear' AND score <= low AND may THEN 'absent' ELSE said END AS reviewed FROM r LEFT JOIN won USING (l_suppkey)),
+    both_ AS (SELECT l_suppkey, 'plain' AS way, label, said FROM v UNION ALL SELECT l_suppkey, 'reviewed', label, reviewed FROM v)
+    SELECT l_suppkey, way, count(*) AS total, count(*) FILTER (said = CASE WHEN label THEN 'present' ELSE 'absent' END) AS correct, count(*) FILTER (NOT label AND said = 'present') AS false_present, count(*) FILTER (label AND said = 'absent') AS false_absent,
+           count(*) FILTER (label AND said = 'unclear') AS unsure_present, count(*) FILTER (NOT label AND said = 'unclear') AS unsure_absent FROM both_ WHERE label IS NOT NULL GROUP BY ALL
+""")
+def book_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Two classifiers compared, a supplier each: plain verdicts, and those with the unclear ones decided by the supplier's band."""
+    flag, part = F.col("l_returnflag"), F.col("l_partkey")
+    score = (part * 7 % 61 + F.when(flag == "R", 30 + F.col("l_suppkey") % 40).otherwise(0)).cast("int")
+    label = F.when(part % 5 > 0, (flag == "R") | ((flag == "N") & (part % 2 == 0)))
+    rows = table(spark, d, "lineitem").select("l_suppkey", score.alias("score"), F.when(flag == "R", "present").when(flag == "A", "absent").otherwise("unclear").alias("said"), label.alias("label"), (F.col("l_linenumber") > 2).alias("may"))
+    seen = stored(evaluate.reviewed_by_band(rows, "l_suppkey", "score", "said", F.lit(3), F.col("may")), "reviews")
+    ways = [evaluate.tallies(seen, ["l_suppkey"], "label", c).withColumn("way", F.lit(n)) for n, c in (("plain", "said"), ("reviewed", "reviewed"))]
+    return ways[0].unionByName(ways[1])

@@ -7,7 +7,7 @@ import pytest
 from pagewright.plans.catalogue import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "embeddings"]
 
 
 @pytest.fixture(scope="module")

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import nested, slots
-from pagewright.operators import arbitration, evaluate, fullbatches, tiling
-from pagewright.sources import guarded
+from pagewright.operators import arbitration, evaluate, fullbatches, records, tiling
+from pagewright.sources import guarded, manifests
 from pagewright.streaming import ledger
 
 START = datetime.datetime(2025, 1, 1)
@@ -292,3 +292,54 @@ def test_guarded_partitions(spark, tmp_path):
     assert read() == sorted([(8, "foreign", 0), (9, "other", 1), (4, "d", 2)], key=str)
     journal, backup = guarded.overwritten(spark, path, schema, "p", frame([(6, "x", 2)]), spark.createDataFrame([(2, digest(frame(rows))[2])], "p int, digest string"))
     assert guarded.restored(spark, path, schema, "p", backup).first().action == "restored" and (4, "d", 2) in read()
+
+
+def test_records_of_odd_rows(spark):
+    day = F.to_date(F.lit("2025-03-10"))
+    rows = spark.createDataFrame([(1, None, None, " hp-17 17cmp", "a1234567", "2025/03/31", None), (2, "f", "x", "HP-1717CMPX", "12", "2025/04/01", "x"), (3, "f", "7", "HP-9911WWP", None, "2025/02/30", "TRUE"), (4, "f", "8", None, None, None, None)], "k int, file string, page string, matricula string, log_number string, date string, dup string")
+    fleet = spark.createDataFrame([("HP-1717CMP", "NG", None), ("HP-9911WWP", "", None)], "matricula string, fleet string, lessor string")
+    inferred = spark.createDataFrame([("f", 7, datetime.date(2024, 5, 5), "between"), ("f", 8, datetime.date(2024, 6, 6), "edge"), ("", 0, datetime.date(2020, 1, 1), "no")], "file string, page int, day date, method string")
+    got = {r.seq: (r.file, r.page, r.matricula, r.log_number, r.date, r.inferred, r.fleet, r.fleet_inferred, r.duplicate, r.reason) for r in records.index_records(rows, "k", fleet, inferred, day, "HP-[0-9]{4}(CMP|WWP)", {}, {"HP-99": "MAX"}, "XX", {"a": "b"}).collect()}
+    assert got == {
+        1: ("", 0, "HP-1717CMP", "1234567", "2025/03/31", "", "NG", False, False, ""), 2: ("f", 0, "", "", "", "", "", False, False, ""),
+        3: ("f", 7, "HP-9911WWP", "", "2024/05/05", "between", "MAX", True, True, ""), 4: ("f", 8, "", "", "2024/06/06", "edge", "", False, False, ""),
+    }
+    ends = records.index_records(rows.withColumn("unsure", F.col("k") == 4), "k", fleet, inferred, day, "HP-[0-9]{4}(CMP|WWP)", {}, {}, "XX", {"a": "b"}, month_end=True, doubtful="unsure")
+    assert {r.seq: (r.date, r.inferred) for r in ends.collect()} == {1: ("2025/03/31", ""), 2: ("", ""), 3: ("2024/05/31", "between"), 4: ("", "")}
+
+
+def test_templates_are_checked(spark, tmp_path):
+    field = {"id": "a", "type": "signature", "x": 0, "y": 0, "w": 1, "h": 1}
+
+    def load(*fields):
+        (tmp_path / "t.json").write_text(json.dumps({"name": "t", "fields": fields}, indent=1))
+        return manifests.template_fields(spark, f"file://{tmp_path}/t.json").orderBy("place").collect()
+
+    got = load(field, {**field, "id": "b", "type": None, "required": True, "max_length": 3})
+    assert [(r.id, r.type, r.required, r.max_length) for r in got] == [("a", "signature", False, None), ("b", "ocr", True, 3)]
+    for wrong, why in (([field, field], "stands twice"), ([{**field, "w": 0}], "not on the page"), ([{**field, "x": None}], "not on the page"), ([{**field, "min_length": -1}], "below 0"), ([{**field, "id": None}], "no id")):
+        with pytest.raises(Exception, match=why):
+            load(*wrong)
+
+
+def test_manifests_below_a_root(spark, tmp_path):
+    pages = [{"file": "f", "page": 1, "separator": True}, {"file": "f", "page": 2}]
+    files = {"a/manifest.json": {"job": "x", "batch": "r", "part": 2, "pages": pages}, "b/c/manifest_2.json": {"job": "y", "batch": "r", "review": True, "part": 1}, "manifest.json": {"job": "z", "batch": "r", "part": 1, "pages": []}, "d/other.json": {"job": "no"}, "e/manifest.json": {"batch": "r"}}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(content))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/manifest.json").write_text('{"job": "broken", ')
+    found = manifests.manifests(spark, f"file://{tmp_path}")
+    got = sorted(tuple(r) for r in manifests.delivery_parts(found, "batch").select("place", "job", "review", "index", "of", "n_pages", "n_logs").collect())
+    assert got == [(1, "z", False, 1, 2, 0, 0), (2, "x", False, 2, 2, 2, 1), (3, "y", True, 1, 1, 0, 0)]
+
+
+def test_unclear_verdicts_are_reviewed(spark):
+    rows = [("k", s, v, s > 50, None) for s, v in ((1, "absent"), (2, "absent"), (3, "absent"), (60, "present"), (70, "present"), (80, "present"), (65, "unclear"), (2, None), (30, "unclear"))] + [("few", 1, "unclear", False, None), (None, 5, "unclear", None, None)]
+    df = spark.createDataFrame(rows, "k string, s int, v string, label boolean, x int")
+    seen = evaluate.reviewed_by_band(df, "k", "s", "v", F.lit(4))
+    assert sorted((r.s, r.reviewed) for r in seen.where("k = 'k' AND coalesce(v, 'unclear') = 'unclear'").collect()) == [(2, "absent"), (30, "unclear"), (65, "present")]
+    assert seen.count() == len(rows)
+    tally = {r.k: tuple(r)[1:] for r in evaluate.tallies(seen, ["k"], "label", "reviewed").collect()}
+    assert tally == {"k": (9, 8, 0, 0, 0, 1), "few": (1, 0, 0, 0, 0, 1)}
