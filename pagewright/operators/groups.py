@@ -127,3 +127,13 @@ def adopt_run_value(df: DataFrame, book: str, value: str, alternatives: str, con
     has = F.array_contains(alternatives, F.col("_run"))
     method = F.when(far & has, "adopted").when(far, "review").otherwise("kept")
     return rows.withColumns({"method": method, "adopted": F.when(far & has, F.col("_run")).otherwise(F.col(value))}).drop("_b", "_v", "_twice", "_run")
+
+
+def purgeable_pages(reports: DataFrame, report: str, pages: str, number: str, blank: str, identity: Sequence[str]) -> DataFrame:
+    """Nested reports as one row a page: report, ``place`` in it, number, ``duplicated`` (within all reports), ``blank`` and the identity fields as trimmed texts.
+
+    A page without a number is no duplicate. Reports may hold no pages.
+    """
+    flat = reports.select(F.col(report), F.posexplode(pages).alias("place", "_p"))
+    rows = flat.select(report, "place", F.col(f"_p.{number}").alias("number"), F.coalesce(F.col(f"_p.{blank}"), F.lit(False)).alias("blank"), *[F.trim(F.coalesce(F.col(f"_p.{c}").cast("string"), F.lit(""))).alias(c) for c in identity])
+    return flag_duplicates(rows, ["number"], [report, "place"]).withColumnRenamed("is_duplicate", "duplicated").drop("is_first")

@@ -130,3 +130,21 @@ def run_summary(parts: DataFrame, run: str, counts: Sequence[str]) -> DataFrame:
 def match_paths(rows: DataFrame, path: str, by: str) -> DataFrame:
     """How many rows each way of matching found."""
     return rows.groupBy(by, path).agg(F.count("*").alias("n"))
+
+
+def control_keys(rows: DataFrame, key: str, done: Column, order: str, n: int) -> DataFrame:
+    """The ``n`` keys that came first of those of which any row is done: key and its first place."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"), F.bool_or(done).alias("_done")).where("_done").drop("_done").orderBy("first", key).limit(max(0, n))
+
+
+def plan_report(plans: DataFrame, batch: str, page: str, columns: Mapping[str, Column], separator: Column, writable: Column, notes: str) -> DataFrame:
+    """What would be written, all batches in one report of texts: the batch (if a plan has several), the page, the columns, the action and the notes.
+
+    Separators are never written; a page that can't be is blocked. Nulls are empty.
+    """
+    several = plans.agg(F.count_distinct(batch).alias("_batches"))
+    action = F.when(separator, "separator").when(writable, "write").otherwise("blocked")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = plans.join(F.broadcast(several))  # one row
+    named = F.when(F.col("_batches") > 1, text(F.col(batch))).otherwise("")
+    return rows.select(named.alias("batch"), text(F.col(page)).alias("page"), *[text(c).alias(n) for n, c in columns.items()], action.alias("action"), F.array_join(F.coalesce(notes, F.array().cast("array<string>")), " | ").alias("notes"))

@@ -193,3 +193,15 @@ def exact_or_partial(rows: DataFrame, cell: Column, text: str) -> DataFrame:
     hits = rows.withColumns({"exact": cell == text, "_in": cell.contains(text)}).where("_in").drop("_in")
     any_exact = hits.agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("_any"))
     return hits.join(F.broadcast(any_exact)).where(F.col("exact") | ~F.col("_any")).drop("_any")  # one row
+
+
+def copies_of(grid: DataFrame, wanted: DataFrame, number: str, images: str) -> DataFrame:
+    """The rows of a grid that are one of the wanted numbers, without white space around them; empty numbers are none.
+
+    A count of images that isn't digits alone is null: it never allows a deletion.
+    """
+    clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    asked = wanted.select(clean(number).alias("_number")).where("_number <> ''").distinct()
+    met = grid.withColumn("_number", clean(number)).join(asked, "_number", "left_semi")
+    counted = F.when(clean(images).rlike("^[0-9]+$"), clean(images).try_cast("long"))
+    return met.withColumns({number: F.col("_number"), images: counted}).drop("_number")

@@ -170,3 +170,12 @@ def delivery_order(df: DataFrame, keys: Sequence[str], number: str, tie: str, la
     """Each row's place in its delivery: by number, those without one after the others, and rows of the last section at the end."""
     w = Window.partitionBy(*keys).orderBy(last.cast("int"), F.coalesce(F.col(number), F.lit(1 << 30)), tie)
     return df.withColumns({"place": F.row_number().over(w), "section": F.when(last, "review").otherwise("main")})
+
+
+def written_order(df: DataFrame, keys: Sequence[str], number: str, page: str, blank: str, day: str) -> DataFrame:
+    """The numbered pages of each book that aren't blank, with their ``place`` by number and page, and ``day_place`` among those with a date (null without one)."""
+    rows = df.where(F.col(number).isNotNull() & ~F.coalesce(F.col(blank), F.lit(False)))
+    own = Window.partitionBy(*keys).orderBy(number, page)
+    dated = F.col(day).isNotNull()
+    upto = F.sum(dated.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumns({"place": F.row_number().over(own), "day_place": F.when(dated, upto)})

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import nested, slots
-from pagewright.operators import arbitration, evaluate, fullbatches, records, tiling
+from pagewright.operators import arbitration, evaluate, fullbatches, groups, jobs, joins, order, records, tiling
+from pagewright.plans.grouped import BOOK_SQL, with_book
+from pagewright.plans.ordered import BOOK
 from pagewright.plans.registry import query, table
 from pagewright.session import shared_folder, stored
-from pagewright.sources import guarded, manifests
+from pagewright.sources import csv_runs, guarded, manifests
 from pagewright.streaming import ledger
 
 
@@ -323,3 +325,61 @@ def book_reviews(spark: SparkSession, d: str) -> DataFrame:
     seen = stored(evaluate.reviewed_by_band(rows, "l_suppkey", "score", "said", F.lit(3), F.col("may")), "reviews")
     ways = [evaluate.tallies(seen, ["l_suppkey"], "label", c).withColumn("way", F.lit(n)) for n, c in (("plain", "said"), ("reviewed", "reviewed"))]
     return ways[0].unionByName(ways[1])
+
+
+@query("SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id HAVING bool_or(event_type = 'purchase' AND value > 20) ORDER BY first, user_id LIMIT 12")
+def control_users(spark: SparkSession, d: str) -> DataFrame:
+    """A report of the twelve users that came first of those with a large purchase."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return jobs.control_keys(rows, "user_id", (F.col("event_type") == "purchase") & (F.col("value") > 20), "event_id", 12)
+
+
+@query("""
+    SELECT 'lote' || l_suppkey % 7 AS batch, (l_orderkey * 10 + l_linenumber)::VARCHAR AS page, l_partkey::VARCHAR AS part, coalesce(CASE WHEN l_quantity > 10 THEN l_returnflag END, '') AS flag,
+           CASE WHEN l_linenumber = 1 THEN 'separator' WHEN l_quantity < 40 THEN 'write' ELSE 'blocked' END AS action, CASE WHEN l_quantity >= 40 THEN 'too many | check' WHEN l_linenumber = 2 THEN 'second' ELSE '' END AS notes
+    FROM lineitem
+""")
+def plan_report(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of several batches in one report, written as CSV and read again."""
+    lines = table(spark, d, "lineitem")
+    notes = F.when(F.col("l_quantity") >= 40, F.array(F.lit("too many"), F.lit("check"))).when(F.col("l_linenumber") == 2, F.array(F.lit("second")))
+    plans = lines.select("*", F.concat(F.lit("lote"), (F.col("l_suppkey") % 7).cast("string")).alias("batch"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), notes.alias("notes"))
+    columns = {"part": F.col("l_partkey"), "flag": F.when(F.col("l_quantity") > 10, F.col("l_returnflag"))}
+    path = shared_folder(spark, "plan")
+    csv_runs.write_run(jobs.plan_report(plans, "batch", "page", columns, F.col("l_linenumber") == 1, F.col("l_quantity") < 40, "notes"), path)
+    return csv_runs.read_run(spark, path)
+
+
+@query("""
+    WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS place, CASE WHEN l_partkey % 10 > 0 THEN l_orderkey * 10 + l_linenumber END AS number, l_quantity < 3 AS blank, trim(l_returnflag) AS flag FROM lineitem)
+    SELECT l_suppkey, place::INT AS place, number, number IS NOT NULL AND count(*) OVER (PARTITION BY number) > 1 AS duplicated, blank, flag FROM p
+""")
+def purgeable_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' reports of nested pages, flattened with what decides whether a page may go."""
+    number = F.when(F.col("l_partkey") % 10 > 0, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    page = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", number.alias("number"), F.when(F.col("l_quantity") < 3, True).alias("blank"), F.concat(F.col("l_returnflag"), F.lit(" ")).alias("flag"))
+    reports = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(page)).alias("pages"))  # a report, as the reader has them
+    return groups.purgeable_pages(reports, "l_suppkey", "pages", "number", "blank", ["flag"])
+
+
+@query(f"""
+    WITH r AS (SELECT o_orderkey, o_custkey, {BOOK_SQL}, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey END AS number, o_orderkey % 9 = 0 AS blank, CASE WHEN o_custkey % 4 > 0 THEN o_orderdate::DATE END AS day FROM orders)
+    SELECT o_orderkey, (row_number() OVER w)::INT AS place, CASE WHEN day IS NOT NULL THEN count(day) OVER (w ROWS UNBOUNDED PRECEDING) END AS day_place FROM r WHERE number IS NOT NULL AND NOT blank WINDOW w AS (PARTITION BY series, half ORDER BY number, o_custkey)
+""")
+def written_order(spark: SparkSession, d: str) -> DataFrame:
+    """The written pages of books in the order they were filled in, and their dated ones."""
+    k = F.col("o_orderkey")
+    rows = with_book(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    rows = rows.withColumns({"number": F.when(k % 7 > 0, k), "blank": k % 9 == 0, "day": F.when(F.col("o_custkey") % 4 > 0, F.to_date("o_orderdate"))})
+    return order.written_order(rows, BOOK, "number", "o_custkey", "blank", "day").select("o_orderkey", "place", "day_place")
+
+
+@query("""
+    SELECT l_orderkey::VARCHAR AS number, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity::BIGINT END AS images FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 > 0)
+""")
+def copies_of_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that are a wanted number, with their images where these are counted clearly."""
+    images = F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit(" "), F.col("l_quantity").cast("long").cast("string"))).otherwise(F.concat(F.lit("~"), F.col("l_quantity").cast("long").cast("string")))
+    grid = table(spark, d, "lineitem").select(F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" ")).alias("number"), "l_linenumber", "l_partkey", images.alias("images"))
+    wanted = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey").cast("string")).otherwise(" ").alias("number"))
+    return joins.copies_of(grid, wanted, "number", "images")
