@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import dates
+
 
 def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """All rows of a repeated key are flagged, and the first of each key marked; rows with a null key are no duplicates."""
@@ -129,6 +131,29 @@ def adopt_run_value(df: DataFrame, book: str, value: str, alternatives: str, con
     return rows.withColumns({"method": method, "adopted": F.when(far & has, F.col("_run")).otherwise(F.col(value))}).drop("_b", "_v", "_twice", "_run")
 
 
+def fit_to_run(df: DataFrame, book: str, year: str, month: str, alternatives: str, direct: Column, aligned: Column, consensus: DataFrame, as_of: Column, distance: int = 2) -> DataFrame:
+    """``df`` with ``adopted`` and ``method`` for the year of each page, given the run's (``consensus``, one row or none).
+
+    A year that its book has by two direct readings stays (``kept``). Else an aligned page takes the run's year if its own is
+    ``distance`` away or more and the run's is among its ``alternatives`` (``adopted``); a page whose month the run has with
+    that year takes it too, if its own is as far or its month begins before the time that needs review (``month_fit``); other
+    aligned ones that far are for ``review``. The last two only while the run's year is ``as_of``'s or the one before. Nulls stay.
+    """
+    known = df.where(F.col(year).isNotNull())
+    twice = known.where(direct).groupBy(F.col(book).alias("_b"), F.col(year).alias("_y")).agg((F.count("*") >= 2).alias("_twice"))
+    run = consensus.select(F.col(year).alias("_run"))
+    months = known.join(F.broadcast(run), F.col(year) == F.col("_run"), "left_semi").where(F.col(month).isNotNull()).agg(F.collect_set(month).alias("_months"))  # twelve at most
+    rows = df.join(twice, F.col(book).eqNullSafe(F.col("_b")) & (F.col(year) == F.col("_y")), "left").join(F.broadcast(run), how="left").join(F.broadcast(months))
+    recent = F.col("_run").between(F.year(as_of) - 1, F.year(as_of))
+    open_ = F.coalesce((F.col(year) != F.col("_run")) & ~F.coalesce("_twice", F.lit(False)), F.lit(False))
+    far = F.abs(F.col(year) - F.col("_run")) >= distance
+    old = F.make_date(year, month, F.lit(1)) < dates.review_start(as_of)
+    fits = recent & F.array_contains("_months", F.col(month)) & (far | old)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    method = F.when(~open_, "kept").when(no(aligned & far & F.array_contains(alternatives, F.col("_run"))), "adopted").when(no(fits), "month_fit").when(no(aligned & far & recent), "review").otherwise("kept")
+    return rows.withColumns({"method": method, "adopted": F.when(method.isin("adopted", "month_fit"), F.col("_run")).otherwise(F.col(year))}).drop("_b", "_y", "_twice", "_run", "_months")
+
+
 def purgeable_pages(reports: DataFrame, report: str, pages: str, number: str, blank: str, identity: Sequence[str]) -> DataFrame:
     """Nested reports as one row a page: report, ``place`` in it, number, ``duplicated`` (within all reports), ``blank`` and the identity fields as trimmed texts.
 

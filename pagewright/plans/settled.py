@@ -383,3 +383,28 @@ def copies_of_numbers(spark: SparkSession, d: str) -> DataFrame:
     grid = table(spark, d, "lineitem").select(F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" ")).alias("number"), "l_linenumber", "l_partkey", images.alias("images"))
     wanted = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey").cast("string")).otherwise(" ").alias("number"))
     return joins.copies_of(grid, wanted, "number", "images")
+
+
+@query("""
+    WITH r AS (
+        SELECT o_orderkey AS k, o_custkey % 300 AS book, CASE WHEN o_orderkey % 40 = 0 THEN 2018 + o_custkey % 7 WHEN o_orderkey % 41 = 0 THEN NULL ELSE 2024 END AS year, CASE WHEN o_orderkey % 40 = 0 THEN month(o_orderdate) WHEN o_orderkey % 23 > 0 THEN month(o_orderdate) % 8 + 1 END AS month,
+               o_orderkey % 120 = 0 AS other, o_orderkey % 9 > 0 AS direct, o_orderkey % 7 > 1 AS aligned FROM orders),
+    v AS (SELECT year, count(*) AS votes, count(DISTINCT book) AS books FROM r WHERE direct AND year IS NOT NULL GROUP BY 1),
+    run AS (SELECT year FROM (SELECT *, (sum(votes) OVER ())::BIGINT AS readings, row_number() OVER (ORDER BY votes DESC, year) AS rn, lead(votes) OVER (ORDER BY votes DESC, year) AS second FROM v) WHERE rn = 1 AND votes >= 12 AND books >= 3 AND votes * 10 >= readings * 9 AND votes > coalesce(second, 0)),
+    b AS (SELECT book, year, count(*) AS n FROM r WHERE direct AND year IS NOT NULL GROUP BY ALL),
+    x AS (SELECT r.*, (SELECT year FROM run) AS run, coalesce(b.n >= 2, false) AS twice, month IN (SELECT month FROM r JOIN run USING (year) WHERE month IS NOT NULL) AS fits FROM r LEFT JOIN b ON b.book = r.book AND b.year = r.year),
+    m AS (
+        SELECT *, CASE WHEN year IS NULL OR run IS NULL OR year = run OR twice THEN 'kept' WHEN aligned AND abs(year - run) >= 2 AND other THEN 'adopted' WHEN run IN (2024, 2025) AND coalesce(fits, false) AND (abs(year - run) >= 2 OR make_date(year::BIGINT, month::BIGINT, 1) < DATE '2025-01-01') THEN 'month_fit'
+                       WHEN aligned AND abs(year - run) >= 2 AND run IN (2024, 2025) THEN 'review' ELSE 'kept' END AS method FROM x)
+    SELECT k, CASE WHEN method IN ('adopted', 'month_fit') THEN run ELSE year END::INT AS adopted, method FROM m
+""")
+def run_year_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Years of a run's pages that differ from its own: adopted by an alternative or by the month, or for review."""
+    k, c, month = F.col("o_orderkey"), F.col("o_custkey"), F.month("o_orderdate")
+    year = F.when(k % 40 == 0, 2018 + c % 7).when(k % 41 != 0, 2024).cast("int")
+    rows = table(spark, d, "orders").select(
+        k.alias("k"), (c % 300).alias("book"), year.alias("year"), F.when(k % 40 == 0, month).when(k % 23 > 0, month % 8 + 1).alias("month"), F.when(k % 120 == 0, F.array(F.lit(2024))).otherwise(F.array().cast("array<int>")).alias("others"),
+        (k % 9 > 0).alias("direct"), (k % 7 > 1).alias("aligned"),
+    )
+    run = groups.run_consensus(rows.where("direct"), "book", "year")
+    return groups.fit_to_run(rows, "book", "year", "month", "others", F.col("direct"), F.col("aligned"), run, F.to_date(F.lit("2025-03-10"))).select("k", "adopted", "method")
