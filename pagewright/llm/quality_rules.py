@@ -33,12 +33,12 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 MEASURE_NAMES = [c.split()[0] for c in MEASURES.split(", ")]
 #: Texts that a sketch must hold before its fences count, and the fences' distance from the quartiles in quartile ranges.
 LEAST, REACH = 200, 6
-#: The rates: name, SQL over the measures, and how far beyond its fence a rate may lie.
+#: The rates: name, SQL over the measures, and how far beyond its fence a rate may lie (for repeats as far as the base rule goes).
 RATES = (
     ("word_length", "100 * word_chars DIV n_words", 100),
     ("symbols", "1000 * n_symbols DIV word_chars", 50),
     ("dup_lines", "1000 * n_dup_lines DIV n_words", 80),
-    ("repeats", "1000 * n_repeat_words DIV n_words", 150),
+    ("repeats", "1000 * n_repeat_words DIV n_words", 200),
 )
 #: A sketch's cells: values below 2^FINE have one each; above, each power of two has half as many.
 FINE = 6

@@ -235,7 +235,7 @@ ORACLE_SQL = {
             FROM (SELECT rid, lang, source, k FROM rated, range(1, 5) r(k)) r
             JOIN fences f ON f.k = r.k AND (f.level = 2 OR f.level = 1 AND f.texts >= 200 AND f.lang IS NOT DISTINCT FROM r.lang OR f.level = 0 AND f.texts >= 200 AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source)
             GROUP BY r.rid, r.k),
-        beyond AS (SELECT DISTINCT c.rid FROM chosen c JOIN rated r USING (rid) WHERE r.rates[c.k] < c.fence.low - [100, 50, 80, 150][c.k] OR r.rates[c.k] > c.fence.high + [100, 50, 80, 150][c.k])
+        beyond AS (SELECT DISTINCT c.rid FROM chosen c JOIN rated r USING (rid) WHERE r.rates[c.k] < c.fence.low - [100, 50, 80, 200][c.k] OR r.rates[c.k] > c.fence.high + [100, 50, 80, 200][c.k])
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM beyond) AS kept FROM rated
     """,
     "op13_structure_repair": f"""
