@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 fps.append(fingerprint(text))
                 wides.append(wide)
                 anchors.append(own)
-                if len(known) > 1 << 18:
+                if len(known) > 1 << 14:
                     known.clear()
             kinds = pa.int64(), pa.binary(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((fps, wides, anchors), kinds, strict=True))], names=["doc_id", "fp", "wide", "anchors"])
