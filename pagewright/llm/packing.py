@@ -29,6 +29,8 @@ from pagewright.llm.shared import utf8
 CAPACITY = 2048
 SHARD = 4096
 SHARD_BYTES = 1 << 25
+#: Pieces that a task hands on at once: a shard's token ids never stand in its result as a whole.
+SLICE = 512
 #: Shards of larger tables share partitions.
 MOST_PARTITIONS = 1 << 14
 ROWS = "doc_id long, source string, cluster long, token_ids binary"
@@ -61,7 +63,8 @@ def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capa
 
 
 def _pack_shard(capacity: int, kind: type):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # one shard
         docs, sources, clusters = (rows.column(c).to_pylist() for c in ("doc_id", "source", "cluster"))
         ids = [np.frombuffer(x.as_buffer(), kind) for chunk in rows.column("token_ids").chunks for x in chunk]
         pieces = [(min(capacity, len(x) - at), r, k, at) for r, x in enumerate(ids) for k, at in enumerate(range(0, max(1, len(x)), capacity))]
@@ -71,18 +74,21 @@ def _pack_shard(capacity: int, kind: type):
         found = best_fit([p[0] for p in part], [sources[p[1]] for p in part], [clusters[p[1]] for p in part], capacity)
         bins = [*range(full), *(full + b for b in found)]
         used: Counter[int] = Counter()
-        offsets = []
+        offsets: list[int | None] = []
         for (n, *_), b in zip(pieces, bins, strict=False):
             offsets.append(used[b])
             used[b] += n
         none = [None] * (len(pieces) - len(bins))
-        values = np.concatenate([np.zeros(0, kind), *[ids[r][at : at + n] for n, r, _, at in pieces]]).astype(np.int32)
-        ends = np.cumsum([0, *(p[0] for p in pieces)])
-        columns = [
-            pa.array([docs[p[1]] for p in pieces], pa.int64()), pa.array([p[2] for p in pieces], pa.int32()), pa.array([p[0] for p in pieces], pa.int64()), pa.array([*(f"{key[0].as_py()}-{b}" for b in bins), *none], pa.string()), pa.array([*offsets, *none], pa.int64()),
-            pa.array([sources[p[1]] for p in pieces], pa.string()), pa.array([clusters[p[1]] for p in pieces], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())),
-        ]
-        return pa.Table.from_arrays(columns, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster", "token_ids"])
+        names, offsets = [*(f"{key[0].as_py()}-{b}" for b in bins), *none], [*offsets, *none]
+        for at in range(0, len(pieces), SLICE):
+            own = pieces[at : at + SLICE]
+            values = np.concatenate([np.zeros(0, kind), *[ids[r][k : k + n] for n, r, _, k in own]]).astype(np.int32)
+            ends = np.cumsum([0, *(p[0] for p in own)])
+            columns = [
+                pa.array([docs[p[1]] for p in own], pa.int64()), pa.array([p[2] for p in own], pa.int32()), pa.array([p[0] for p in own], pa.int64()), pa.array(names[at : at + SLICE], pa.string()), pa.array(offsets[at : at + SLICE], pa.int64()),
+                pa.array([sources[p[1]] for p in own], pa.string()), pa.array([clusters[p[1]] for p in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "source", "cluster", "token_ids"])
 
     return run
 
