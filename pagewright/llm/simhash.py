@@ -14,10 +14,11 @@ pass over the classes' leaders, with 256 bits over distinct five-word shingles a
 texts which share four fifths of their shingles and a little more (see README for its recall). So wide a radius leaves no
 blocks to agree on; leaders meet in the buckets of anchors instead: of a text's ``ANCHORS`` smallest shingle hashes the
 ``CHOSEN`` that fewest leaders have. Two texts that share four fifths of their shingles share none of these about once in ten
-thousand times, and a passage that many texts quote is nobody's rare anchor. Each bucket is compared by tiles; one of more
-than a tile's rows goes through all pairs of its tiles, which is exact; one of more than ``PAIRED`` tiles (33,000 rows that
-share an anchor) first goes through rounds in which every tile keeps one row of each class it finds, as long as that halves
-the bucket. What a round drops is linked to the row that stands for it; a text which only a dropped row is near to may stay.
+thousand times, and a passage that many texts quote is nobody's rare anchor. Buckets are first compared within tiles, then within
+tiles of the rows that stand for their tiles' classes, as long as that halves them; this only finds most links early. In
+each bucket of more than a tile, whatever its size, all pairs of rows that aren't of one component by then are compared,
+so that the components are those of all pairs. Rows alike cost little so; n rows of one bucket that are not alike cost
+n * n / 2 comparisons.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; null ids are no smallest id (a
 component of null ids has a null one); repeated rows are rows of one class; an empty table gives an empty result; other
@@ -49,7 +50,7 @@ LANES = np.uint64(0x0101010101010101)
 EDGE_SCHEMA = "u long, v long"
 #: The second pass: words of a shingle, lanes of 64 bits, bits that may differ, smallest hashes of a text, and how many of them make buckets.
 WIDE_SHINGLE, LANES_WIDE, WIDE_RADIUS, ANCHORS, CHOSEN = 5, 4, 48, 16, 8
-#: Tiles of a bucket of which all pairs are compared at once.
+#: Tiles that the rows of a large bucket are cut into at most, so that rows are multiplied by a fixed number; beyond that the tiles grow.
 PAIRED = 16
 #: Multipliers of the words' places, and those of the splitmix64 finaliser.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -282,46 +283,55 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return classes_of(written(fingerprints(docs, id_col, text_col), "simhash-fingerprints"), tile, most)
 
 
-def wide_links(ids: np.ndarray, wide: np.ndarray, other_ids: np.ndarray | None = None, other: np.ndarray | None = None, radius: int = WIDE_RADIUS, step: int = STEP // 2) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of links among rows (``wide``: lanes by rows, sorted by population count), or between them and other such rows."""
+def joining_links(labels: np.ndarray, wide: np.ndarray, other_labels: np.ndarray | None = None, other: np.ndarray | None = None, radius: int = WIDE_RADIUS, step: int = STEP // 2) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of links between the classes (``labels``) of rows (``wide``: lanes by rows), or between theirs and those of other rows.
+
+    Pairs of rows that are of one class by then are skipped, as they join nothing; the classes come out as if all pairs were compared.
+    """
     alone = other is None
-    other_ids, other = (ids, wide) if alone else (other_ids, other)
-    total, totals = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (wide, other))
-    us, vs, held = [], [], 0
-    for a in range(0, len(ids), step):
-        low, high = total[a], total[min(a + step, len(ids)) - 1]
-        for b in range(a if alone else 0, len(other_ids), step):
-            if totals[b] - high > radius:
-                break
-            if low - totals[min(b + step, len(other_ids)) - 1] > radius:
+    other_labels, other = (labels, wide) if alone else (other_labels, other)
+    totals = np.bitwise_count(other).sum(axis=0, dtype=np.int64)
+    names, at = np.unique(np.concatenate((labels, other_labels)), return_inverse=True)
+    root, mine, theirs = np.arange(len(names)), at[: len(labels)], at[len(labels) :]
+    for a in range(0, len(labels), step):
+        x = wide[:, a : a + step]
+        own = np.bitwise_count(x).sum(axis=0, dtype=np.int64)
+        may = (totals >= own.min() - radius) & (totals <= own.max() + radius)
+        if alone:
+            may[:a] = False
+        left = np.flatnonzero(may)
+        for b in range(0, len(left), step):
+            y = left[b : b + step]
+            ours, its = root[mine[a : a + step]], root[theirs[y]]
+            if (ours == ours[0]).all():
+                y, its = y[its != ours[0]], its[its != ours[0]]
+            if not len(y):
                 continue
-            apart = np.zeros((min(step, len(ids) - a), min(step, len(other_ids) - b)), np.uint16)
-            for x, y in zip(wide, other, strict=True):
-                apart += np.bitwise_count(x[a : a + step, None] ^ y[None, b : b + step])
-            i, j = np.nonzero(np.triu(apart <= radius, 1) if alone and a == b else apart <= radius)
-            us, vs, held = [*us, ids[a + i]], [*vs, other_ids[b + j]], held + len(i)
-            if held > 1 << 19:
-                u, v = forest(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [u], [v], len(u)
-    return forest(np.concatenate(us), np.concatenate(vs)) if held else (ids[:0], ids[:0])
+            apart = np.zeros((len(ours), len(y)), np.uint16)
+            for p, q in zip(x, other, strict=True):
+                apart += np.bitwise_count(p[:, None] ^ q[None, y])
+            i, j = np.nonzero((apart <= radius) & (ours[:, None] != its[None, :]))
+            if len(i):
+                u, v = forest(ours[i], its[j])
+                root[u] = v
+                root = root[root]
+    moved = root != np.arange(len(names))
+    return names[moved], names[root[moved]]
 
 
-def _lanes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints in bytes as lanes by rows, and the order of their population counts."""
-    wide = np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(-1, LANES_WIDE).T
-    return wide, np.argsort(np.bitwise_count(wide).sum(axis=0, dtype=np.int64), kind="stable")
+def _lanes(values: pa.Array) -> np.ndarray:
+    """Fingerprints in bytes as lanes by rows."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(-1, LANES_WIDE).T)
 
 
 def _tile_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles of a bucket (rows by bucket and tile): each row with the row of its class that stays, or null if it is that row."""
     for keys, ids, values in _groups(batches):
-        wide, order = _lanes(values)
-        ids = ids[order]
-        u, v = wide_links(ids, np.ascontiguousarray(wide[:, order]))
+        u, v = joining_links(ids, _lanes(values))
         at = np.searchsorted(u, ids)
         known = (at < len(u)) & (u[np.minimum(at, max(0, len(u) - 1))] == ids) if len(u) else np.zeros(len(ids), bool)
         root = pa.array(v[np.minimum(at, max(0, len(v) - 1))] if len(v) else ids, pa.int64(), mask=~known)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), keys[0])), pa.array(ids), values.take(pa.array(order)), root], names=["bucket", "doc_id", "wide", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), keys[0])), pa.array(ids), values, root], names=["bucket", "doc_id", "wide", "root"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n: int = 2) -> Iterator[tuple[tuple, np.ndarray, pa.Array]]:
@@ -349,49 +359,70 @@ def _group(keys: tuple, held: list[pa.RecordBatch], n: int) -> tuple[tuple, np.n
 
 
 def _pair_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of tiles (rows by pair and side) as links between their sides."""
+    """Pairs of tiles (rows by pair, side and root) as links between the classes of their sides, 0 and 1; side 2 is a tile by itself."""
     left = None
-    for (pair, side), ids, values in _groups(batches):
-        wide, order = _lanes(values)
-        own = pair, ids[order], np.ascontiguousarray(wide[:, order])
+    for (pair, side), roots, values in _groups(batches):
+        own = pair, roots, _lanes(values)
         if side == 0:
             left = own
+        elif side == 2:
+            yield _batch(*joining_links(own[1], own[2]))
         elif left is not None and left[0] == pair:
-            yield _batch(*wide_links(left[1], left[2], own[1], own[2]))
+            yield _batch(*joining_links(left[1], left[2], own[1], own[2]))
+
+
+def apart_links(rows: DataFrame, edges: DataFrame, tile: int) -> DataFrame:
+    """All links that join two components of ``edges`` within a bucket (``rows``: bucket, doc_id, wide), and those components; a written table.
+
+    The rows of a bucket's largest component meet all others of the bucket, and these meet each other. Either side is cut
+    into tiles of ``tile`` rows, or into ``PAIRED`` larger ones; each pair of tiles is a group.
+    """
+    roots = written(components(edges), "simhash-joined")
+    named = rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "wide", F.coalesce("root", "doc_id").alias("root"))
+    named = written(named, "simhash-named")
+    counts = named.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    cuts = lambda n: F.least(F.ceil(n / tile), F.lit(PAIRED)).cast("int")
+    sizes = written(sizes.where("all > n").select("bucket", "most", cuts(F.col("n")).alias("of_most"), cuts(F.col("all") - F.col("n")).alias("of_rest")), "simhash-sizes")
+    spread = named.join(sizes, "bucket").withColumn("rest", F.col("root") != F.col("most"))
+    spread = spread.withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(F.col("rest"), F.col("of_rest")).otherwise(F.col("of_most"))).cast("int"))
+    pair = lambda kind, a, b, side: F.struct(F.xxhash64("bucket", F.lit(kind), a, b).alias("pair"), side.cast("int").alias("side"))
+    tile_ = F.col("tile")
+    across = lambda n, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)
+    of_most = across("of_rest", lambda k: pair(0, tile_, k, F.lit(0)))
+    of_rest = F.concat(
+        across("of_most", lambda k: pair(0, k, tile_, F.lit(1))),
+        across("of_rest", lambda k: pair(1, F.least(tile_, k), F.greatest(tile_, k), F.when(tile_ == k, 2).otherwise((tile_ > k).cast("int")))),
+    )
+    pairs = spread.select(F.explode(F.when(F.col("rest"), of_rest).otherwise(of_most)).alias("p"), "root", "wide").select("p.pair", "p.side", "root", "wide")
+    found = pairs.repartition("pair").sortWithinPartitions("pair", "side", "root").mapInArrow(_pair_edges, EDGE_SCHEMA)
+    return written(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found), "simhash-apart")
 
 
 def second_links(leaders: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links (u, v) between leaders (doc_id, wide, anchors) whose wide fingerprints lie within the radius; written tables."""
+    """Links (u, v) between leaders (doc_id, wide, anchors) whose components are those of all pairs that share a bucket and lie within the radius; written tables."""
     anchors = written(leaders.select("doc_id", F.explode("anchors").alias("bucket")), "simhash-anchors")
     known = written(anchors.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
     # an anchor that nobody shares counts as one of the rarest, but makes no bucket
     ranked = anchors.join(known, "bucket", "left").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "bucket"))), 1, CHOSEN).alias("own"))
     chosen = ranked.select("doc_id", F.explode("own").alias("x")).where("x.n > 1").select("doc_id", "x.bucket")
-    rows = written(chosen.join(leaders.select("doc_id", "wide"), "doc_id").select("bucket", "doc_id", "wide").distinct(), "simhash-members")
-    edges = None
+    members = written(chosen.join(leaders.select("doc_id", "wide"), "doc_id").select("bucket", "doc_id", "wide").distinct(), "simhash-members")
+    edges = large = None
+    rows = members
     while True:
         sizes = written(rows.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "simhash-sizes")
-        spread = rows.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+        large = sizes.where("tiles > 1").select("bucket") if large is None else large
+        # a bucket's own tiles, so that a row meets others in each of its buckets
+        spread = rows.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("tiles")).cast("int"))
         found = written(spread.select("bucket", "tile", "doc_id", "wide").repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_tile_roots, FOUND), "simhash-found")
         own = found.where("root IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
         edges = own if edges is None else edges.unionByName(own)
-        left = found.where("root IS NULL").join(sizes.where("tiles > 1"), "bucket").select("bucket", "doc_id", "wide")
-        left = written(left, "simhash-left")
-        before, largest, after = *sizes.where("tiles > 1").agg(F.sum("tiles"), F.max("tiles")).first(), left.count()
-        if not after:
-            return edges
-        few = largest <= PAIRED
-        if few or 2 * after > before * tile:  # or tiles no longer find enough of their rows alike
-            left = rows.join(sizes.where("tiles > 1"), "bucket", "left_semi") if few else left
-            sizes = written(left.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "simhash-sizes")
-            spread = left.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("tiles")).cast("int"))
-            pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.xxhash64("bucket", F.least("tile", k), F.greatest("tile", k)).alias("pair"), (F.col("tile") > k).cast("int").alias("side"), (F.col("tile") == k).alias("same"))))
-            pairs = spread.select(pairs.alias("p"), "doc_id", "wide")
-            within = pairs.where("p.same").select(F.col("p.pair").alias("bucket"), F.lit(0).alias("tile"), "doc_id", "wide").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tile_roots, FOUND)
-            across = pairs.where("NOT p.same").select("p.pair", "p.side", "doc_id", "wide").repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(_pair_edges, EDGE_SCHEMA)
-            within = within.where("root IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
-            return edges.unionByName(written(within.unionByName(across), "simhash-pairs"))
+        left = written(found.where("root IS NULL").join(sizes.where("tiles > 1"), "bucket").select("bucket", "doc_id", "wide"), "simhash-left")
+        before, after = sizes.where("tiles > 1").agg(F.sum("tiles")).first()[0], left.count()
+        if not after or 2 * after > before * tile:  # or tiles no longer find enough of their rows alike
+            break
         rows = left
+    return edges if before is None and rows is members else apart_links(members.join(large, "bucket", "left_semi"), edges, tile)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:

@@ -220,3 +220,32 @@ def test_large_buckets_go_through_rounds_and_pairs(spark, monkeypatch):
     other |= {k + 100: other[k] + " end" for k in range(0, 40, 4)}
     monkeypatch.setattr(simhash, "CHOSEN", 16)
     assert {r.doc_id for r in drop_near_duplicates(df(other), tile=4).collect()} == second_pass(first_pass(other), 16)
+
+
+@pytest.mark.parametrize(("tile", "paired"), [(2048, 16), (8, 16), (8, 1), (6, 3)])
+def test_wide_links_do_not_depend_on_a_buckets_size(spark, monkeypatch, tile, paired):
+    """Rows in one bucket: chains that hang together by neighbours only, one large class, and rows apart."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = np.random.default_rng(11)
+    flipped = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(256, n, replace=False))
+    new = lambda: int.from_bytes(rng.bytes(32), "little")
+    rows = []
+    for length in (70, 20, 3):
+        rows.append(new())
+        for _ in range(length - 1):
+            rows.append(flipped(rows[-1], 30))
+    centre = new()
+    rows += [flipped(centre, 6) for _ in range(90)] + [new() for _ in range(25)]
+    rows = {int(k): x for k, x in zip(rng.permutation(len(rows)), rows, strict=True)}
+    root = {k: k for k in rows}
+    up = lambda k: k if root[k] == k else up(root[k])
+    for a in rows:
+        for b in rows:
+            if a < b and (rows[a] ^ rows[b]).bit_count() <= simhash.WIDE_RADIUS:
+                ra, rb = sorted((up(a), up(b)))
+                root[rb] = ra
+    want = {k: up(k) for k in rows}
+    assert len(set(want.values())) == 29
+    leaders = spark.createDataFrame([(k, x.to_bytes(32, "little"), [5] if k % 3 else [5, 6]) for k, x in rows.items()], "doc_id long, wide binary, anchors array<long>")
+    got = {r.node: r.root for r in components(simhash.second_links(leaders, tile)).collect()}
+    assert {k: got.get(k, k) for k in rows} == want
