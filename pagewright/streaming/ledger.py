@@ -6,6 +6,8 @@ reservation a send for good, ``rejected`` gives it back at once, and an unknown
 gives it back. Attempts are taken in the order of their times and ids, once the watermark has passed them, so files may come
 in any order and more than once: an attempt that waits is known by its id, and one from before the watermark is settled.
 What happens to each attempt is appended to a journal (a file sink, written exactly once); the ledger is its fold.
+Keys share their state and its timer by hash, as a call of Python for each key and batch costs more than its attempts; a
+shard's attempts and reservations are packed Arrow tables. Each key is walked on its own all the same.
 
 Defined cases: null keys are keys; attempts without a time or id are left out; ends other than the three count as unknown;
 an attempt that arrives behind the watermark is left out; attempts after the last watermark wait for more input, which may be
@@ -16,12 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "ids array<long>, times array<long>, ends array<string>, settled long, held long, holder long, sent boolean"
+STATE = "waiting binary, reserved binary, sent binary, settled long"
+#: What a shard keeps: attempts that wait for the watermark, keys' reservations, and keys that are sent.
+WAITING = pa.schema([("key", pa.string()), ("attempt", pa.int64()), ("time", pa.int64()), ("end", pa.string())])
+RESERVED = pa.schema([("key", pa.string()), ("until", pa.int64()), ("holder", pa.int64())])
+SENT = pa.schema([("key", pa.string())])
 #: What a journal says of an attempt; ``expired`` is said of the one whose reservation's lease ended, at that time.
 ACTIONS = ("sent", "rejected", "held", "refused", "expired")
 
@@ -49,39 +57,76 @@ def settle(pending: list[tuple[int, int, str]], held: tuple[int, int] | None, se
     return said, held, sent
 
 
-def journal(attempts: DataFrame, keys: Sequence[str], at: str, attempt: str, end: str, late: str = "1 hour", lease_seconds: int = 3600) -> DataFrame:
-    """The stream of journal rows: the keys, ``at``, ``attempt`` and ``action``."""
+def packed(columns: dict[str, Sequence], schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.table(columns, schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(kept: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(kept)).read_all()
+
+
+def walked(ready: pd.DataFrame, reserved: dict[str, tuple[int, int]], sent: set[str], until: int, lease: int) -> dict[str, list]:
+    """The journal of a shard's attempts before ``until``, key by key; ``reserved`` and ``sent`` are brought up to then."""
+    out: dict[str, list] = {"key": [], "at": [], "attempt": [], "action": []}
+    rows = ready.sort_values("key", kind="stable")
+    names = rows["key"].to_numpy()
+    starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist()] if len(rows) else []
+    attempts = list(zip(rows["time"].tolist(), rows["attempt"].tolist(), rows["end"].tolist(), strict=True))
+    mine = {names[i]: attempts[i:j] for i, j in zip(starts, [*starts[1:], len(rows)], strict=False)}
+    for key in [*mine, *[k for k, (end, _) in reserved.items() if end < until and k not in mine]]:
+        said, held, is_sent = settle(mine.get(key, []), reserved.pop(key, None), key in sent, until, lease)
+        if held is not None:
+            reserved[key] = held
+        if is_sent:
+            sent.add(key)
+        for k, name in enumerate(("at", "attempt", "action")):
+            out[name] += [x[k] for x in said]
+        out["key"] += [key] * len(said)
+    return out
+
+
+def journal(attempts: DataFrame, keys: Sequence[str], at: str, attempt: str, end: str, late: str = "1 hour", lease_seconds: int = 3600, shards: int = 512) -> DataFrame:
+    """The stream of journal rows: the keys, ``at``, ``attempt`` and ``action``. ``shards``: how many states the keys share."""
     kinds = dict(attempts.dtypes)  # ids are whole numbers
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", at timestamp, attempt long, action string"
+    schema = "key string, at timestamp, attempt long, action string"
     lease = lease_seconds * 1_000_000
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, ends, settled, held_until, holder, sent = state.get if state.exists else ([], [], [], 0, None, None, False)
-        pending = {i: (t, i, e) for i, t, e in zip(ids, times, ends, strict=True)}
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, held, done, settled = state.get if state.exists else (packed({n: [] for n in WAITING.names}, WAITING), packed({n: [] for n in RESERVED.names}, RESERVED), packed({"key": []}, SENT), 0)
+        kept = unpacked(held).to_pydict()
+        reserved = dict(zip(kept["key"], zip(kept["until"], kept["holder"], strict=True), strict=True))
+        sent = set(unpacked(done)["key"].to_pylist())
+        parts = [unpacked(waiting).to_pandas()]
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                if row.whole and row.attempt_at >= settled:
-                    pending.setdefault(row.attempt_id, (row.attempt_at, row.attempt_id, row.attempt_end))
+            if len(frame):
+                parts.append(frame.loc[frame["whole"] & (frame["time"] >= settled), WAITING.names])
+        pending = pd.concat([p for p in parts if len(p)] or parts[:1]).drop_duplicates(["key", "attempt"])  # the first that came
         now = max(settled, state.getCurrentWatermarkMs() * 1000)
-        ready = [x for x in pending.values() if x[0] < now]
-        said, held, sent = settle(ready, None if held_until is None else (held_until, holder), sent, now, lease)
-        left = sorted(x for x in pending.values() if x[0] >= now)
-        state.update(([x[1] for x in left], [x[0] for x in left], [x[2] for x in left], now, *(held or (None, None)), sent))
-        wakes = [x[0] for x in left[:1]] + ([held[0]] if held is not None else [])
+        out = walked(pending[pending["time"] < now], reserved, sent, now, lease)
+        left = pending[pending["time"] >= now]
+        held = {"key": list(reserved), "until": [v[0] for v in reserved.values()], "holder": [v[1] for v in reserved.values()]}
+        state.update((packed({n: pa.Array.from_pandas(left[n], type=WAITING.field(n).type) for n in WAITING.names}, WAITING), packed(held, RESERVED), packed({"key": sorted(sent)}, SENT), now))
+        wakes = ([int(left["time"].min())] if len(left) else []) + held["until"]
         if wakes:
             state.setTimeoutTimestamp(max(min(wakes) // 1000, now // 1000) + 1)
-        if said:
-            out = pd.DataFrame({k: [v] * len(said) for k, v in zip(keys, key, strict=True)})
-            out["at"] = pd.to_datetime([x[0] for x in said], unit="us")
-            out["attempt"] = [x[1] for x in said]
-            out["action"] = [x[2] for x in said]
-            yield out
+        if out["key"]:
+            yield pd.DataFrame(out | {"at": pd.to_datetime(out["at"], unit="us")})
 
     # rows without a time or id are told apart in the step: a filter would be moved below the watermark, which a closing row must move
     whole = F.col(attempt).isNotNull() & F.col(at).isNotNull()
     zero = F.lit(0).cast("long")
-    rows = attempts.withWatermark(at, late).select(*keys, at, whole.alias("whole"), F.coalesce(F.unix_micros(at), zero).alias("attempt_at"), F.coalesce(F.col(attempt).cast("long"), zero).alias("attempt_id"), F.coalesce(end, F.lit("")).alias("attempt_end"))
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # keys as one text, so that nulls stay keys and whole numbers exact on the way through pandas
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    key = F.to_json(F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)]), micros)
+    rows = attempts.withWatermark(at, late).select(
+        key.alias("key"), F.col(at).alias("at"), whole.alias("whole"), F.coalesce(F.unix_micros(at), zero).alias("time"), F.coalesce(F.col(attempt).cast("long"), zero).alias("attempt"), F.coalesce(end, F.lit("")).alias("end")
+    ).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    said = rows.groupBy("shard").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    read = F.from_json("key", ", ".join(f"k{n} {kinds[k]}" for n, k in enumerate(keys)), micros)
+    return said.withColumn("key", read).select(*[F.col(f"key.k{n}").alias(k) for n, k in enumerate(keys)], "at", "attempt", "action")
 
 
 def archiving(spark: SparkSession, path: str, archive: str, schema: str, per_batch: int = 100) -> DataFrame:

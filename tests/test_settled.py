@@ -77,6 +77,23 @@ def test_a_late_attempt_is_left_out(spark, tmp_path):
     assert got == {(1, "sent"), (2, "refused")}
 
 
+def test_keys_of_a_ledger_share_states(spark, tmp_path):
+    rng = random.Random(5)
+    keys = [2**60 + k for k in range(40)] + [None]
+    rows = [(rng.choice(keys), k, rng.randrange(300), rng.choice(["ok", "rejected", "unknown"])) for k in range(200)]
+    made = [(k, None if n % 2 else "", n, START + datetime.timedelta(minutes=m), e) for k, n, m, e in rows]
+    schema = "user long, kind string, name long, at timestamp, ended string"
+    for part in (made, made[::-1]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ledger.journal(ledger.archiving(spark, f"{tmp_path}/in", f"{tmp_path}/archive", schema, per_batch=1), ["user", "kind"], "at", "name", "ended", late="1 day", lease_seconds=3600, shards=4)
+    ledger.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/c")
+    assert 0 < spark.read.format("statestore").load(f"{tmp_path}/c").count() <= 4  # not one for each of the 80 keys
+    spark.createDataFrame([(None, None, None, START + datetime.timedelta(days=3), None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    journal = ledger.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/c")
+    got = {str((r.user, r.kind)): (r.sender, r.sent, r.rejected, r.held, r.refused, r.expired) for r in ledger.ledger(journal, ["user", "kind"]).collect()}
+    assert got == plain_ledger([(str((k, None if n % 2 else "")), n, m, e) for k, n, m, e in rows], 60)
+
+
 def plain_innermost(value, wanted, path="$", depth=0):
     """Paths of the smallest objects that hold a text or number, up to six levels down."""
 
