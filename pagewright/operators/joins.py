@@ -33,6 +33,26 @@ def asof_nearest(df: DataFrame, keys: Sequence[str], number: str, date: str) ->
     return rows.withColumns({"dated": value, "method": method}).drop("known", "same", "left_known", "right_known")
 
 
+def distinct_digits(df: DataFrame, c: str, size: int) -> DataFrame:
+    return df.select(c).where(F.col(c).rlike(f"^[0-9]{{{size}}}$")).distinct()
+
+
+def meeting(readings: DataFrame, reading: str, numbers: DataFrame, number: str, size: int) -> DataFrame:
+    """Pairs of digits that agree in all but two places."""
+    kept = list(combinations(range(1, size + 1), max(size - 2, 0)))
+    keys = lambda c: F.array(*[F.concat(F.lit(f"{k}:"), *[F.substring(c, p, 1) for p in places]) for k, places in enumerate(kept)])
+    split = lambda rows, c: rows.select(c, F.explode(keys(c)).alias("_key"))
+    return split(readings, reading).join(split(numbers, number), "_key").select(reading, number).distinct()
+
+
+def numbers_at(costs: DataFrame, reading: str, cost: str, known: DataFrame, number: str, size: int = 4) -> DataFrame:
+    """All known numbers at the cost that ``nearest_numbers`` gives a reading: its ties. They meet as there."""
+    numbers, near = distinct_digits(known, number, size), F.col(cost) < 3 * CONFUSED
+    met = meeting(costs.where(near).select(reading), reading, numbers, number, size).join(costs, reading)
+    pairs = met.unionByName(costs.where(~near).join(F.broadcast(numbers)))  # at most 10 to the power of size short texts
+    return pairs.where(weighted_hamming(reading, number, size) == F.col(cost)).select(reading, number)
+
+
 def nearest_numbers(df: DataFrame, reading: str, known: DataFrame, number: str, size: int = 4) -> DataFrame:
     """The nearest known number of each distinct reading by ``weighted_hamming``, how many tie, and its cost.
 
@@ -40,12 +60,8 @@ def nearest_numbers(df: DataFrame, reading: str, known: DataFrame, number: str,
     meet where they agree in all but two places. A number that differs in more costs at least three confusions, so a
     reading with a cheaper match is settled; only the others are compared with all numbers.
     """
-    digits = f"^[0-9]{{{size}}}$"
-    readings, numbers = df.select(reading).where(F.col(reading).rlike(digits)).distinct(), known.select(number).where(F.col(number).rlike(digits)).distinct()
-    kept = list(combinations(range(1, size + 1), max(size - 2, 0)))
-    keys = lambda c: F.array(*[F.concat(F.lit(f"{k}:"), *[F.substring(c, p, 1) for p in places]) for k, places in enumerate(kept)])
-    split = lambda rows, c: rows.select(c, F.explode(keys(c)).alias("_key"))
-    met = split(readings, reading).join(split(numbers, number), "_key").select(reading, number).distinct()
+    readings, numbers = distinct_digits(df, reading, size), distinct_digits(known, number, size)
+    met = meeting(readings, reading, numbers, number, size)
 
     def nearest(pairs: DataFrame) -> DataFrame:
         costs = pairs.withColumn("cost", weighted_hamming(reading, number, size)).groupBy(reading, "cost").agg(F.count("*").alias("ties"), F.min(number).alias(number))

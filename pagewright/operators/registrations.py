@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.fuzzy import best_window_cost, weighted_hamming
+from pagewright.functions.fuzzy import best_window_cost, char_cost, compacted
 from pagewright.operators.groups import digit_vote
-from pagewright.operators.joins import confident_match, nearest_numbers
+from pagewright.operators.joins import confident_match, nearest_numbers, numbers_at
+from pagewright.session import stored
 
 #: How much a reading counts by its quality, the least confidence that counts, and what confirms a weak one.
 QUALITY = {"clean": 1.0, "ambiguous": 0.8, "weak": 0.25}
@@ -114,6 +115,24 @@ def correct_by_book(pages: DataFrame, book: str, log: str, page: str, number: st
     return rows.select(*pages.columns, *[c.alias(n) for n, c in out.items()])
 
 
+def reading_costs(asked: DataFrame, pages: DataFrame, book: str, value: str, option: str, reading: str, size: int = 4) -> DataFrame:
+    """What all readings of a book cost against each number asked for (``asked``: book, value, option), by ``best_window_cost``; adds _cost.
+
+    A reading of just ``size`` characters has one window, whose cost is a sum over places; so a book's such readings are
+    added up once, by place and digit, and each number looks up its own digits. Only longer readings meet every number.
+    """
+    texts = pages.where(F.col(book).isNotNull()).groupBy(book, F.col(reading).alias("_text")).agg(F.count("*").alias("_times")).withColumn("_compact", compacted("_text"))
+    chars = texts.where(F.length("_compact") == size).select(book, "_times", F.posexplode(F.array(*[F.substring("_compact", k, 1) for k in range(1, size + 1)])).alias("_place", "_char"))
+    counted = chars.groupBy(book, "_place", "_char").agg(F.sum("_times").alias("_times"))
+    digits = counted.groupBy(book, "_place").agg(F.array(*[F.sum(char_cost(F.col("_char"), F.lit(str(n))) * F.col("_times")) for n in range(10)]).alias("_costs"))
+    tables = digits.groupBy(book).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_costs"))).alias("_table"))  # ``size`` places
+    at = lambda k: F.get(F.col("_table")[k], F.substring(option, k + 1, 1).cast("int"))
+    one = asked.join(tables, book, "left").select(book, value, option, F.coalesce(sum((at(k) for k in range(1, size)), at(0)), F.lit(0)).alias("_cost"))
+    long = texts.where(F.length("_compact") > size).select(book, "_text", "_times")
+    more = asked.join(long, book).select(book, value, option, (best_window_cost("_text", option, size) * F.col("_times")).alias("_cost"))
+    return one.unionByName(more).groupBy(book, value, option).agg(F.sum("_cost").alias("_cost"))
+
+
 def against_fleet(pages: DataFrame, book: str, value: str, reading: str, fleet: DataFrame, number: str) -> DataFrame:
     """Values that are no known number become the nearest one; ties go to the number that the book's readings cost least, if just one does; else there is none.
 
@@ -122,14 +141,11 @@ def against_fleet(pages: DataFrame, book: str, value: str, reading: str, fleet:
     known = fleet.select(F.col(number).alias(value)).distinct().withColumn("_known", F.lit(True))
     rows = pages.join(known, value, "left")
     odd = rows.where("_known IS NULL").select(value)
-    near = nearest_numbers(odd, value, fleet, number)
-    tied = near.where("ties > 1").select(value, F.col("cost").alias("_least"))
-    numbers = fleet.select(number).where(F.col(number).rlike("^[0-9]{4}$")).distinct()
-    options = tied.join(F.broadcast(numbers)).where(weighted_hamming(value, number) == F.col("_least")).select(value, F.col(number).alias("_option"))  # at most 10,000 short texts
-    asked = rows.where("_known IS NULL").select(book, value).distinct().join(options, value)
-    costs = asked.join(pages.select(book, reading), book).withColumn("_cost", best_window_cost(reading, "_option")).groupBy(book, value, "_option").agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("_cost"))
-    least = costs.groupBy(book, value).agg(F.min("_cost").alias("_c"))
-    alone = costs.join(least, [book, value]).where(F.col("_cost") == F.col("_c")).groupBy(book, value).agg(F.count("*").alias("_n"), F.min("_option").alias("_chosen")).where("_n = 1").drop("_n")
+    near = stored(nearest_numbers(odd, value, fleet, number), "nearest")
+    options = numbers_at(near.where("ties > 1").select(value, F.col("cost").alias("_least")), value, "_least", fleet, number).withColumnRenamed(number, "_option")
+    asked = rows.where("_known IS NULL").where(F.col(book).isNotNull()).select(book, value).distinct().join(options, value)
+    costs = reading_costs(asked, pages, book, value, "_option", reading).groupBy(book, value, "_cost").agg(F.count("*").alias("_n"), F.min("_option").alias("_chosen"))
+    alone = costs.groupBy(book, value).agg(F.min(F.struct("_cost", "_n", "_chosen")).alias("_best")).where("_best._n = 1").select(book, value, "_best._chosen")
     rows = rows.join(near.where("ties = 1").select(value, F.col(number).alias("_near")), value, "left").join(alone, [book, value], "left")
     method = F.when(F.col("_known"), "known").when(F.col("_near").isNotNull(), "nearest").when(F.col("_chosen").isNotNull(), "by_readings").otherwise("unconfirmed")
     return rows.select(*pages.columns, F.when(F.col("_known"), F.col(value)).otherwise(F.coalesce("_near", "_chosen")).alias("fleet_value"), method.alias("fleet_method"))

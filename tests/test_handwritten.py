@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import handwritten as fh
-from pagewright.operators import registrations
+from pagewright.functions.fuzzy import best_window_cost, weighted_hamming
+from pagewright.operators import joins, registrations
 
 
 @pytest.mark.parametrize(
@@ -44,3 +47,24 @@ def test_ranked_names(spark):
     wanted = spark.createDataFrame([("a-2", "a", 5), ("a", "a", 5), ("c", "c", 2), ("z", "z", 1)], "name string, base string, size int")
     got = {r.wanted: r.found for r in registrations.ranked_names(wanted, names, "name", "base", "size").collect()}
     assert got == {"a-2": "a-2", "a": "a-1", "c": None, "z": None}
+
+
+def test_reading_costs_are_sums_over_readings(spark):
+    rng = random.Random(7)
+    text = lambda: rng.choice([None, "", "17", "HP-1717CMP", "l7!7", "????", "1 7 1 7", "".join(rng.choice("0179OlZ-x ") for _ in range(rng.randrange(9)))])
+    pages = spark.createDataFrame([(rng.choice([1, 2, 3, None]), text()) for _ in range(150)] + [(4, "12"), (4, None)], "book int, text string")
+    asked = spark.createDataFrame([(b, f"v{k}", f"{rng.randrange(10000):04d}") for b in (1, 2, 3, 4) for k in range(5) for _ in range(3)], "book int, value string, option string").distinct()
+    costs = registrations.reading_costs(asked, pages, "book", "value", "option", "text")
+    got = {(r.book, r.value, r.option): r._cost for r in costs.collect()}
+    each = asked.join(pages, "book").groupBy("book", "value", "option").agg(F.coalesce(F.sum(best_window_cost("text", "option")), F.lit(0)).alias("cost"))
+    want = {(r.book, r.value, r.option): r.cost for r in each.collect()}
+    assert got == want and {k for k, v in got.items() if v == 0} == {k for k in want if k[0] == 4}
+
+
+def test_ties_near_and_far_are_all_options(spark):
+    fleet = spark.createDataFrame([(n,) for n in ("0000", "0006", "0600", "9999", "9111", "1119", "x")], "number string")
+    costs = spark.createDataFrame([(r,) for r in ("0066", "2222", "0008")], "reading string").join(fleet.where("number <> 'x'")).withColumn("cost", weighted_hamming("reading", "number"))
+    near = costs.groupBy("reading").agg(F.min("cost").alias("cost"))
+    got = {tuple(r) for r in joins.numbers_at(near, "reading", "cost", fleet, "number").collect()}
+    assert got == {(r.reading, r.number) for r in costs.join(near, ["reading", "cost"]).collect()}
+    assert near.where("cost >= 18").count() and near.where("cost < 18").count()
