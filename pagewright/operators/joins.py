@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.fuzzy import CONFUSED, MARGIN, MAX_COST, as_digits, best_window_cost, compacted, weighted_hamming
+from pagewright.session import stored
 
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -33,6 +36,13 @@ def asof_nearest(df: DataFrame, keys: Sequence[str], number: str, date: str) ->
     return rows.withColumns({"dated": value, "method": method}).drop("known", "same", "left_known", "right_known")
 
 
+def worked_out_once(rows: DataFrame, given: Sequence[str], made: dict[str, Column]) -> DataFrame:
+    """Columns ``made`` of the columns ``given`` alone, worked out once for each distinct combination of these and joined to all rows; nulls are values."""
+    found = rows.select(*given).distinct().select(*[F.col(c).alias(f"_{c}") for c in given], *[c.alias(n) for n, c in made.items()])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in given])
+    return rows.join(stored(found, "once"), same, "left").select(*rows.columns, *made)
+
+
 def distinct_digits(df: DataFrame, c: str, size: int) -> DataFrame:
     return df.select(c).where(F.col(c).rlike(f"^[0-9]{{{size}}}$")).distinct()
 

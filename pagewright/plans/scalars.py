@@ -10,7 +10,7 @@ from pagewright.functions import dates as fd
 from pagewright.functions import fuzzy as ff
 from pagewright.functions import handwritten as fh
 from pagewright.functions import text as ft
-from pagewright.operators import status
+from pagewright.operators import joins, status
 from pagewright.plans.registry import AS_OF, query, table
 
 
@@ -231,9 +231,9 @@ def _handwritten(orders: DataFrame) -> DataFrame:
     day = F.to_date("o_orderdate")
     written_day = F.regexp_replace(F.date_format(day, "dd"), "^0", "O")
     as_of = F.make_date(F.lit(2099), F.lit(12), F.lit(31))
-    return orders.select(
-        "o_orderkey", fh.month_value(F.concat(F.upper(F.date_format(day, "MMM")), F.lit(" month"))).alias("named"), fh.month_value(F.date_format(day, "M")).alias("numbered"), fh.day_value(written_day).alias("day"), fh.year_value(F.concat(F.lit("Year YR "), F.date_format(day, "yy")), as_of).alias("year")
-    )
+    texts = orders.select("o_orderkey", F.concat(F.upper(F.date_format(day, "MMM")), F.lit(" month")).alias("name_text"), F.date_format(day, "M").alias("number_text"), written_day.alias("day_text"), F.concat(F.lit("Year YR "), F.date_format(day, "yy")).alias("year_text"))
+    parts = {"named": fh.month_value("name_text"), "numbered": fh.month_value("number_text"), "day": fh.day_value("day_text"), "year": fh.year_value("year_text", as_of)}
+    return joins.worked_out_once(texts, ["name_text", "number_text", "day_text", "year_text"], parts).select("o_orderkey", *parts)
 
 
 @query("""

@@ -68,3 +68,23 @@ def test_ties_near_and_far_are_all_options(spark):
     got = {tuple(r) for r in joins.numbers_at(near, "reading", "cost", fleet, "number").collect()}
     assert got == {(r.reading, r.number) for r in costs.join(near, ["reading", "cost"]).collect()}
     assert near.where("cost >= 18").count() and near.where("cost < 18").count()
+
+
+def test_a_reading_is_worked_out_once(spark):
+    one = spark.createDataFrame([("JUL", "O5")], "m string, d string").select(fh.month_value("m").alias("month"), fh.day_value("d").alias("day"))
+    plan = one._jdf.queryExecution().analyzed().toString()
+    assert plan.count("levenshtein(") == 1 and plan.count("upper(") == 1
+
+
+@pytest.mark.parametrize(("text", "day", "year"), [("OO5", "05", "05"), ("IO5", "05", "05"), ("lO", "", ""), ("1\ue0005", "15", "15"), ("O5\nZ1", "05", "21"), ("12 123", "12", "12"), ("1 123", "1", "123"), ("5 B G8", "", ""), ("2 0 2 7", "", "")])
+def test_letters_beside_digits(spark, text, day, year):
+    got = spark.createDataFrame([(text,)], "v string").select(fh.day_value("v"), fh.year_value("v", F.to_date(F.lit("2026-01-15")))).first()
+    assert tuple(got) == (day, year)
+
+
+def test_distinct_values_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(k, [None, "a", "b"][k % 3], [None, 1][k % 2]) for k in range(60)], "k int, a string, b int")
+    got = joins.worked_out_once(rows, ["a", "b"], {"both": F.concat_ws("-", F.coalesce("a", F.lit("none")), F.col("b").cast("string")), "n": F.monotonically_increasing_id()})
+    found = got.collect()
+    assert sorted((r.k, r.both) for r in found) == [(k, f"{[None, 'a', 'b'][k % 3] or 'none'}{'-1' if k % 2 else ''}") for k in range(60)]
+    assert len({r.n for r in found}) == 6
