@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.fuzzy import best_window_cost, char_cost, compacted
-from pagewright.operators.groups import digit_vote
+from pagewright.operators.groups import vote_of_sums, weight_sums
 from pagewright.operators.joins import confident_match, nearest_numbers, numbers_at
 from pagewright.session import stored
 
@@ -32,11 +32,16 @@ def unique_evidence(df: DataFrame, book: str, log: str, number: str, confidence:
 
 def book_winners(evidence: DataFrame, book: str, number: str, fleet: DataFrame | None = None) -> DataFrame:
     """Each book's winner and its votes; if any evidence names a number of ``fleet`` (column number), only such evidence votes."""
-    rows = evidence
+    return winners_of_sums(weight_sums(evidence, book, number, "weight"), book, number, fleet)
+
+
+def winners_of_sums(sums: DataFrame, book: str, number: str, fleet: DataFrame | None = None) -> DataFrame:
+    """``book_winners`` of evidence that is summed up by number."""
+    rows = sums
     if fleet is not None:
         known = fleet.select(F.col("number").alias(number)).distinct().withColumn("known", F.lit(True))
         rows = rows.join(known, number, "left").withColumn("any_known", F.max("known").over(Window.partitionBy(book))).where("known OR any_known IS NULL").drop("known", "any_known")
-    return digit_vote(rows, book, number, "weight", 4)
+    return vote_of_sums(rows, book, number, 4)
 
 
 def impose(pages: DataFrame, winners: DataFrame, book: str, number: str, confidence: str) -> DataFrame:
@@ -86,13 +91,17 @@ def correct_by_book(pages: DataFrame, book: str, log: str, page: str, number: st
     the vote's winner. A reading that differs is only taken for a misreading if no other book claims it and it is near
     enough (or, with a ``fleet``, no number of it); else its page is a discrepancy. Adds value, new_status, method, votes
     and conflict.
+
+    Pages are read twice, for the evidence and to be corrected, and don't move where they come partitioned by book; the
+    books' sums, plans and claims are tables.
     """
     evidence = unique_evidence(pages, book, log, number, confidence, quality, page)
-    winners = book_winners(evidence, book, number, fleet)
-    matched = evidence.join(winners.select(book, F.col("winner").alias(number)), [book, number]).groupBy(book).agg(F.bround(F.avg("weight") / 1_000_000, 3).alias("vote_confidence"))
+    sums = stored(weight_sums(evidence, book, number, "weight"), "evidence")
+    winners = winners_of_sums(sums, book, number, fleet)
+    matched = sums.join(winners.select(book, F.col("winner").alias(number)), [book, number]).select(book, F.bround(F.col("w") / F.col("n") / 1_000_000, 3).alias("vote_confidence"))
     voted = winners.join(matched, book).withColumn("strong", (F.col("support") >= CONFIRM_VOTES) & (F.col("vote_confidence") >= CONFIRM_CONFIDENCE))
-    plans = voted.join(registry.select(book, "stored"), book, "full").withColumn("strong", F.coalesce("strong", F.lit(False)))
-    rows = pages.join(plans, book, "left").join(claims(plans, book), F.col(number) == F.col("claimed"), "left")
+    plans = stored(voted.join(registry.select(book, "stored"), book, "full").withColumn("strong", F.coalesce("strong", F.lit(False))).select(book, "winner", "support", "strong", "stored"), "plans")
+    rows = pages.join(plans, book, "left").join(stored(claims(plans, book), "claims"), F.col(number) == F.col("claimed"), "left")
     known = None
     if fleet is not None:
         rows = rows.join(fleet.select(F.col("number").alias("_fleet")).distinct(), F.col(number) == F.col("_fleet"), "left")

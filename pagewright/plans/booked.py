@@ -42,7 +42,8 @@ PAGES = """
 def registration_pass(spark: SparkSession, d: str) -> DataFrame:
     """Books' registrations from their votes and a registry that knows every second book, one of two with another number."""
     pages = registration_pages(spark, d).withColumn("status", F.when(F.col("quality") == "clean", "OK").otherwise("WARNING"))
-    stored = pages.where("book % 2 = 0").select("book").distinct().withColumn("stored", F.when(F.col("book") % 4 == 0, F.concat(F.lit("9"), F.lpad((F.col("book") % 1000).cast("string"), 3, "0"))).otherwise("1712"))
+    books = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 50).cast("long").alias("book"))
+    stored = books.where("book % 2 = 0").distinct().withColumn("stored", F.when(F.col("book") % 4 == 0, F.concat(F.lit("9"), F.lpad((F.col("book") % 1000).cast("string"), 3, "0"))).otherwise("1712"))
     return registrations.correct_by_book(pages, "book", "log", "page", "number", "confidence", "quality", "status", stored).select("log", "page", "value", "new_status", "method", "votes", "conflict")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import groups, jobs, registrations, registry
+from pagewright.plans import catalogue
 
 
 def day(n, month=1):
@@ -87,3 +88,13 @@ def test_groups_without_a_key_are_groups(spark):
     df = spark.createDataFrame([(None, "12", 3), (None, "12", 1), (None, "13", 1), ("x", "40", 2)], "k string, number string, w int")
     assert {(r.k, r.winner, r.support) for r in groups.digit_vote(df, "k", "number", "w", 2).collect()} == {(None, "12", 2), ("x", "40", 1)}
     assert [tuple(r) for r in groups.consensus(df, ["k"], "number").select("k", "number", "votes").collect()] == [(None, "12", 2)]
+
+
+def test_pages_of_registrations_move_once(spark, tmp_path):
+    rows = [(k, k * 7 % 40, k % 9, 1 + k % 6, float(k % 50)) for k in range(400)]
+    spark.createDataFrame(rows + rows[:50], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalogue.QUERIES["registration_pass"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<l_orderkey") == 1 and plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(log" not in plan
+    got = df.collect()
+    assert len(got) == len({(r.log, r.page) for r in got}) == 400
